@@ -63,18 +63,34 @@ def token_overlap(question: Column, name: Column) -> Column:
     return F.size(F.array_intersect(question, names)) / F.greatest(F.sqrt(F.size(names)), F.lit(1.0))
 
 
+def spaced(text: Column) -> Column:
+    """Lower-case text with one blank for every run of other characters."""
+    return F.regexp_replace(F.lower(text), NOT_WORD, " ")
+
+
+def padded(word: Column) -> Column:
+    """A word between blanks, so that a text search only finds whole words."""
+    return F.concat(F.lit(" "), word, F.lit(" "))
+
+
+def word_bag(words: Column) -> Column:
+    """Words as one text that holds each of them between blanks of its own."""
+    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+
 def plain_name(identifier: Column) -> Column:
     """Lower-case name with single blanks; null when nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(identifier), NOT_WORD, " ")), F.lit(""))
+    return F.nullif(F.trim(spaced(identifier)), F.lit(""))
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), NOT_WORD, "")
+    """Lower-case letters and digits only."""
+    return F.replace(spaced(text), F.lit(" "), F.lit(""))
 
 
-def compact_name(identifier: Column) -> Column:
-    """Lower-case name without separators; null when too short to be telling."""
-    name = compact(identifier)
+def compact_name(plain: Column) -> Column:
+    """A plain name without blanks; null when too short to be telling."""
+    name = F.replace(plain, F.lit(" "), F.lit(""))
     return F.when(F.length(name) >= V.COMPACT_NAME_MIN_LENGTH, name)
 
 
@@ -86,7 +102,8 @@ def name_hits(question_lc: Column, question_compact: Column, plain: Column, shor
 
 def substring_score(question: Column, identifier: Column) -> Column:
     """Bonus for a name that occurs literally in the question."""
-    return name_hits(F.lower(question), compact(question), plain_name(identifier), compact_name(identifier))
+    plain = plain_name(identifier)
+    return name_hits(F.lower(question), compact(question), plain, compact_name(plain))
 
 
 def asks_for(tokens: Column, hint: tuple) -> Column:

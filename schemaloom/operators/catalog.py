@@ -17,6 +17,7 @@ from schemaloom.functions.arrays import empty_if_null, let
 
 STRINGS = T.ArrayType(T.StringType())
 INTS = T.ArrayType(T.IntegerType())
+NAME_FEATURES = ("name_lc", "words", "norm", "plain", "short")
 DOCUMENT_SCHEMA = T.StructType(
     [
         T.StructField("table_names_original", STRINGS),
@@ -257,30 +258,38 @@ def tables_with_columns(entries: Column) -> Column:
     return let(entries, group)
 
 
-def nested_columns_by_table(docs: DataFrame, type_rule: str = "position") -> DataFrame:
-    """`columns_by_table` kept as one row per database."""
-    entries = _plain_entries() if type_rule == "position" else _column_entries("source")
-    return docs.select("db_key", tables_with_columns(entries).alias("tables"))
+def sorted_tables(type_rule: str = "position") -> Column:
+    """`columns_by_table` of a document, nested and sorted by name."""
+    return tables_with_columns(_plain_entries() if type_rule == "position" else _column_entries("source"))
+
+
+def _name_features(name: Column) -> Column:
+    """What the scores need from a table or column name, worked out once."""
+    words = F.transform(F.array_distinct(tok.split_identifier(name)), tok.padded)
+    return let(
+        F.struct(words.alias("words"), tok.plain_name(name).alias("plain")),
+        lambda f: F.struct(
+            F.lower(name).alias("name_lc"),
+            f.words.alias("words"),
+            F.greatest(F.sqrt(F.size(f.words)), F.lit(1.0)).alias("norm"),
+            f.plain.alias("plain"),
+            tok.compact_name(f.plain).alias("short"),
+        ),
+    )
 
 
 def _column_features(c: Column) -> Column:
-    """Everything the scores need from a column name, worked out once."""
-    name_lc = F.lower(c.col_name)
-    words = F.array_distinct(tok.split_identifier(c.col_name))
     return let(
-        F.struct(name_lc.alias("name_lc"), words.alias("words")),
+        _name_features(c.col_name),
         lambda f: F.struct(
-            c.table_idx.alias("table_idx"),
-            c.col_idx.alias("col_idx"),
+            c.table_idx,
+            c.col_idx,
             c.col_name.alias("name"),
-            f.name_lc.alias("name_lc"),
-            c.col_type.alias("col_type"),
-            c.is_pk.alias("is_pk"),
-            c.is_fk.alias("is_fk"),
-            f.words.alias("words"),
-            F.sqrt(F.size(f.words)).alias("norm"),
-            tok.plain_name(c.col_name).alias("plain"),
-            tok.compact_name(c.col_name).alias("short"),
+            c.col_type,
+            c.is_pk,
+            c.is_fk,
+            tok.key_bonus(c.is_pk, c.is_fk).alias("key_bonus"),
+            *[f[part].alias(part) for part in NAME_FEATURES],
             tok.offers(f.name_lc, V.DATE_HINT).alias("has_date"),
             tok.offers(f.name_lc, V.COUNT_HINT).alias("has_count"),
             tok.offers(f.name_lc, V.AVERAGE_HINT).alias("has_average"),
@@ -288,8 +297,8 @@ def _column_features(c: Column) -> Column:
     )
 
 
-def linking_catalog(docs: DataFrame) -> DataFrame:
-    """One row per database: nested tables, columns, their features, neighbours.
+def linking_tables() -> Column:
+    """Nested tables of a document: columns, their features, neighbours.
 
     This is the catalog side of every question join. Names are tokenised here,
     once per column, not once per question.
@@ -304,26 +313,27 @@ def linking_catalog(docs: DataFrame) -> DataFrame:
         return F.transform(
             d.names,
             lambda name, i: let(
-                F.array_distinct(tok.split_identifier(name)),
-                lambda words: F.struct(
+                _name_features(name),
+                lambda f: F.struct(
                     i.alias("table_idx"),
                     name.alias("name"),
-                    F.lower(name).alias("name_lc"),
-                    words.alias("words"),
-                    F.sqrt(F.size(words)).alias("norm"),
-                    tok.plain_name(name).alias("plain"),
-                    tok.compact_name(name).alias("short"),
+                    *[f[part].alias(part) for part in NAME_FEATURES],
                     F.transform(F.filter(d.edges, lambda e: e.src == i), lambda e: e.dst).alias("neighbours"),
                     F.filter(d.columns, lambda c: c.table_idx == i).alias("columns"),
                 ),
             ),
         )
 
-    return docs.select("db_key", let(bound, tables).alias("tables"))
+    return let(bound, tables)
 
 
-def name_catalog(docs: DataFrame) -> DataFrame:
-    """One row per database with names only, for resolving identifiers."""
+def linking_catalog(docs: DataFrame) -> DataFrame:
+    """One row per database with `linking_tables`: a form to store."""
+    return docs.select("db_key", linking_tables().alias("tables"))
+
+
+def name_tables() -> Column:
+    """Nested tables of a document with names only, to resolve identifiers."""
     bound = F.struct(_tables().alias("names"), _column_entries("both").alias("columns"))
 
     def tables(d: Column) -> Column:
@@ -340,7 +350,12 @@ def name_catalog(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.select("db_key", let(bound, tables).alias("tables"))
+    return let(bound, tables)
+
+
+def name_catalog(docs: DataFrame) -> DataFrame:
+    """One row per database with `name_tables`: a form to store."""
+    return docs.select("db_key", name_tables().alias("tables"))
 
 
 def catalog_size(docs: DataFrame) -> int:

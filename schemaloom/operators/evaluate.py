@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
 from schemaloom.functions.arrays import let
-from schemaloom.operators.links import with_catalog
+from schemaloom.operators.links import with_catalog, with_names
 
 METRICS = ("p_t", "r_t", "f1_t", "p_c", "r_c", "f1_c")
 
@@ -56,7 +56,7 @@ def per_question(
     questions: DataFrame,
     gold: DataFrame,
     predictions: DataFrame,
-    catalog: DataFrame,
+    docs: DataFrame,
     runs: list[str | int],
     columns: int | None = None,
 ) -> DataFrame:
@@ -72,7 +72,7 @@ def per_question(
     pairs = asked.withColumn("run_id", F.explode(run_ids)).join(
         last_wins(predictions).drop("entries"), ["run_id", "question_id"], "left"
     )
-    scored = with_catalog(pairs, catalog, columns).select(
+    scored = with_names(pairs, docs, columns).select(
         "run_id",
         "question_id",
         "db_id",
@@ -145,9 +145,9 @@ def eval_diagnostics(
     `evaluable` is the number of questions with schema and gold, so a run
     misses `evaluable - scored` predictions.
     """
-    present = docs.select("db_key", F.lit(True).alias("has_schema"))
+    present = {"has_schema": F.lit(True)}
     status = (
-        with_catalog(questions.select("question_id", "db_id"), present, columns, how="left")
+        with_catalog(questions.select("question_id", "db_id"), docs, columns, present, how="left")
         .join(gold.select("question_id", F.lit(True).alias("has_gold")), "question_id", "left")
         .select(
             "question_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A catalog of at most this many columns is broadcast. A column with its
@@ -21,6 +21,7 @@ def hot_key_join(
     spread_by: str,
     how: str = "inner",
     counts: DataFrame | None = None,
+    derive: dict[str, Column] | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join `left` to the one row per `key` of `right` in a shuffle.
@@ -30,6 +31,9 @@ def hot_key_join(
     same salt when a lost task runs again, and the one right row is repeated
     per salt. All other keys use salt 0 and stay as they are. `counts`
     (`key`, `n`) may be given when it is known already.
+
+    `derive` replaces the columns of `right` by expressions on them. They are
+    evaluated behind the shuffle, which so moves the raw columns only.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -50,6 +54,10 @@ def hot_key_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
+    if derive is not None:
+        repeated = repeated.repartition(key, "_salt").select(
+            key, "_salt", *[expr.alias(name) for name, expr in derive.items()]
+        )
     # The merge hint keeps the planner from broadcasting on a guessed size.
     return salted.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 
@@ -58,6 +66,7 @@ def join_catalog(
     questions: DataFrame,
     catalog: DataFrame,
     columns: int | None,
+    derive: dict[str, Column] | None = None,
     spread_by: str = "question_id",
     how: str = "inner",
 ) -> DataFrame:
@@ -65,8 +74,11 @@ def join_catalog(
 
     `columns` is the measured size of the catalog (`catalog_size`); up to
     `BROADCAST_COLUMNS` it is broadcast, beyond or unmeasured it is shuffled
-    with hot databases salted.
+    with hot databases salted. `derive` turns schema documents into what the
+    job needs; a catalog stored in its final form needs none.
     """
     if columns is not None and columns <= BROADCAST_COLUMNS:
+        if derive is not None:
+            catalog = catalog.select("db_key", *[expr.alias(name) for name, expr in derive.items()])
         return questions.join(F.broadcast(catalog), "db_key", how)
-    return hot_key_join(questions, catalog, "db_key", spread_by, how)
+    return hot_key_join(questions, catalog, "db_key", spread_by, how, derive=derive)

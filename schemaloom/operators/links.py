@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
 from schemaloom.functions.arrays import let
-from schemaloom.operators.catalog import db_key
+from schemaloom.operators.catalog import db_key, name_tables, sorted_tables
 from schemaloom.operators.joins import join_catalog
 
 
-def with_catalog(df: DataFrame, catalog: DataFrame, columns: int | None, how: str = "inner") -> DataFrame:
-    return join_catalog(df.withColumn("db_key", db_key(F.col("db_id"))), catalog, columns, how=how)
+def with_catalog(
+    df: DataFrame,
+    catalog: DataFrame,
+    columns: int | None,
+    derive: dict[str, Column] | None,
+    how: str = "inner",
+) -> DataFrame:
+    keyed = df.withColumn("db_key", db_key(F.col("db_id")))
+    return join_catalog(keyed, catalog, columns, derive, how=how)
 
 
-def normalize_links(
-    df: DataFrame, catalog: DataFrame, links: str, columns: int | None = None
-) -> DataFrame:
+def with_names(df: DataFrame, docs: DataFrame, columns: int | None) -> DataFrame:
+    """Rows with the names of their database's schema in `tables`."""
+    return with_catalog(df, docs, columns, {"tables": name_tables()})
+
+
+def normalize_links(df: DataFrame, docs: DataFrame, links: str, columns: int | None = None) -> DataFrame:
     """`normalized` links with real names in schema order, from JSON text."""
-    joined = with_catalog(df.withColumn("_folded", L.fold_links_json(F.col(links))), catalog, columns)
-    return joined.withColumn(
-        "normalized", L.links_in_schema_order(F.col("tables"), F.col("_folded"))
-    ).drop("_folded", "tables")
+    ordered = let(
+        L.fold_links_json(F.col(links)), lambda folded: L.links_in_schema_order(F.col("tables"), folded)
+    )
+    return with_names(df, docs, columns).withColumn("normalized", ordered).drop("tables")
 
 
 def parse_links(df: DataFrame, response: str) -> DataFrame:
@@ -33,13 +43,13 @@ def parse_links(df: DataFrame, response: str) -> DataFrame:
 
 
 def validate_links(
-    examples: DataFrame, catalog: DataFrame, links: str, columns: int | None = None
+    examples: DataFrame, docs: DataFrame, links: str, columns: int | None = None
 ) -> DataFrame:
     """One warning row per link that the schema does not have, by exact name.
 
-    `catalog` is `nested_columns_by_table`: a table without columns is unknown.
+    A table without columns counts as unknown.
     """
-    joined = with_catalog(examples, catalog, columns)
+    joined = with_catalog(examples, docs, columns, {"tables": sorted_tables()})
 
     def problems(e: Column) -> Column:
         t = F.try_element_at(F.filter(F.col("tables"), lambda t: t.table_name == e.key), F.lit(1))
@@ -76,11 +86,10 @@ def validate_links(
 
 
 def canonical_links(
-    df: DataFrame, catalog: DataFrame, links: str, columns: int | None = None, is_gold: bool = False
+    df: DataFrame, docs: DataFrame, links: str, columns: int | None = None, is_gold: bool = False
 ) -> DataFrame:
     """Canonical sets of links JSON against the schema."""
-    joined = with_catalog(df, catalog, columns)
-    return joined.withColumn(
+    return with_names(df, docs, columns).withColumn(
         "canonical", L.canonical_sets(L.scorer_entries(F.col(links)), F.col("tables"), is_gold)
     ).drop("tables")
 

@@ -15,7 +15,7 @@ from schemaloom.config import RetrievalConfig
 from schemaloom.functions import tokens as tok
 from schemaloom.functions.arrays import let, take
 from schemaloom.functions.links import fold_links
-from schemaloom.operators.catalog import db_key
+from schemaloom.operators.catalog import db_key, linking_tables
 from schemaloom.operators.joins import join_catalog
 
 
@@ -24,7 +24,7 @@ def question_features(question: Column) -> Column:
     return let(
         tok.question_tokens(question),
         lambda words: F.struct(
-            words.alias("words"),
+            tok.word_bag(words).alias("bag"),
             F.lower(question).alias("lc"),
             tok.compact(question).alias("compact"),
             tok.asks_for(words, V.DATE_HINT).alias("date"),
@@ -35,8 +35,7 @@ def question_features(question: Column) -> Column:
 
 
 def _overlap(q: Column, item: Column) -> Column:
-    shared = F.size(F.filter(item.words, lambda w: F.array_contains(q.words, w)))
-    return shared / F.greatest(item.norm, F.lit(1.0))
+    return F.size(F.filter(item.words, lambda w: q.bag.contains(w))) / item.norm
 
 
 def _hits(q: Column, item: Column) -> Column:
@@ -49,7 +48,7 @@ def _column_score(q: Column, c: Column) -> Column:
     score = score + tok.bonus(q.date & c.has_date, V.DATE_HINT[0])
     score = score + tok.bonus(q["count"] & c.has_count, V.COUNT_HINT[0])
     score = score + tok.bonus(q.average & c.has_average, V.AVERAGE_HINT[0])
-    return score + tok.key_bonus(c.is_pk, c.is_fk)
+    return score + c.key_bonus
 
 
 def _table_score(q: Column, t: Column, columns: Column) -> Column:
@@ -94,20 +93,17 @@ def scored_tables(q: Column, tables: Column) -> Column:
     return F.transform(tables, scored)
 
 
-def with_scores(questions: DataFrame, catalog: DataFrame, columns: int | None = None) -> DataFrame:
-    """Questions with `scored`, the scored schema of their database.
+def with_scores(
+    questions: DataFrame, catalog: DataFrame, columns: int | None = None, stored: bool = False
+) -> DataFrame:
+    """Questions with `tables` and `scored`, the scored schema of their database.
 
-    Question features are worked out below the join, so they are evaluated
-    once per question and not once per column.
+    `catalog` holds schema documents, or with `stored` a `linking_catalog`.
     """
-    asked = questions.withColumn("db_key", db_key(F.col("db_id"))).withColumn(
-        "_q", question_features(F.col("question"))
-    )
-    return (
-        join_catalog(asked, catalog, columns)
-        .withColumn("scored", scored_tables(F.col("_q"), F.col("tables")))
-        .drop("_q")
-    )
+    derive = None if stored else {"tables": linking_tables()}
+    asked = questions.withColumn("db_key", db_key(F.col("db_id")))
+    scored = let(question_features(F.col("question")), lambda q: scored_tables(q, F.col("tables")))
+    return join_catalog(asked, catalog, columns, derive).withColumn("scored", scored)
 
 
 def column_scores(scored: DataFrame) -> DataFrame:
@@ -266,6 +262,7 @@ def candidate_schema(
     cfg: RetrievalConfig,
     columns: int | None = None,
     force_links: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Questions with their `candidates`; questions without a schema drop out.
 
@@ -273,12 +270,11 @@ def candidate_schema(
     columns always become candidates: for training data only, so that a
     target never points at a hidden identifier.
     """
-    force = None
-    if force_links is not None:
-        questions = questions.withColumn("_force", fold_links(F.col(force_links)))
-        force = F.col("_force")
-    scored = with_scores(questions, catalog, columns)
-    return scored.withColumn("candidates", candidates(F.col("scored"), cfg, force)).drop("scored", "_force")
+    scored = with_scores(questions, catalog, columns, stored)
+    if force_links is None:
+        return scored.withColumn("candidates", candidates(F.col("scored"), cfg)).drop("scored")
+    forced = let(fold_links(F.col(force_links)), lambda force: candidates(F.col("scored"), cfg, force))
+    return scored.withColumn("candidates", forced).drop("scored")
 
 
 def explode_candidates(df: DataFrame) -> DataFrame:

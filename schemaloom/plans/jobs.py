@@ -14,6 +14,7 @@ from schemaloom.functions import prompts as P
 from schemaloom.functions import sequences as seq
 from schemaloom.operators import curate, evaluate
 from schemaloom.operators import sequences as S
+from schemaloom.operators.catalog import sorted_tables
 from schemaloom.operators.links import links_shape, parse_links, with_catalog
 from schemaloom.operators.predict import Predictor, batch_predict
 from schemaloom.operators.retrieval import candidate_schema
@@ -81,21 +82,18 @@ def chat_rows(payloads: DataFrame) -> DataFrame:
 
 def sft_records(
     examples: DataFrame,
-    tables: DataFrame,
+    docs: DataFrame,
     include_types: bool = True,
     include_keys: bool = True,
     columns: int | None = None,
 ) -> DataFrame:
     """Chat records with the whole schema in the prompt, and their sizes.
 
-    `tables` is `nested_columns_by_table`; its text is made once per database
-    before the join. Examples without a schema drop out.
+    The schema text is made once per database, not once per example.
+    Examples without a schema drop out.
     """
-    texts = tables.select(
-        "db_key",
-        P.serialize_full_schema(F.col("tables"), include_types, include_keys).alias("schema_text"),
-    )
-    joined = with_catalog(links_shape(examples, "schema_links"), texts, columns)
+    text = {"schema_text": P.serialize_full_schema(sorted_tables(), include_types, include_keys)}
+    joined = with_catalog(links_shape(examples, "schema_links"), docs, columns, text)
     messages = P.chat_messages(
         F.lit(V.SFT_SYSTEM_PROMPT),
         P.full_prompt(F.col("schema_text"), F.col("question")),
@@ -135,13 +133,13 @@ def score_runs(
     questions: DataFrame,
     gold: DataFrame,
     predictions: DataFrame,
-    catalog: DataFrame,
+    docs: DataFrame,
     runs: DataFrame,
     run_ids: list[str | int],
     columns: int | None = None,
 ) -> DataFrame:
     """Leaderboard of all runs in one job."""
-    rows = evaluate.per_question(questions, gold, predictions, catalog, run_ids, columns)
+    rows = evaluate.per_question(questions, gold, predictions, docs, run_ids, columns)
     return evaluate.leaderboard(evaluate.macro_scores(rows), runs)
 
 

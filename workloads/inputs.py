@@ -97,25 +97,22 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return examples(spark, sf).where("o_totalprice <= 495000").select("question_id", "links_json")
 
 
-def _variant() -> Column:
-    return F.pmod(F.floor(F.col("question_id") / 12) + F.col("run_id"), F.lit(8))
-
-
-def _asked_of_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Question and run pairs that have an answer.
+def asked_of_runs(rows: DataFrame) -> DataFrame:
+    """Question and run pairs that have an answer; `v` is the kind of answer.
 
     Each run left out open orders of one priority; run 4 also all finished ones.
     """
-    rows = examples(spark, sf).withColumn("run_id", F.explode(F.array(*map(F.lit, X.RUNS))))
+    pairs = rows.withColumn("run_id", F.explode(F.array(*map(F.lit, X.RUNS))))
     left_out = (F.col("o_orderstatus") == "P") & (
         F.substring("o_orderpriority", 1, 1).cast("int") == F.col("run_id")
     )
     finished = (F.col("run_id") == 4) & (F.col("o_orderstatus") == "F")
-    return rows.where(~left_out & ~finished).withColumn("v", _variant())
+    kind = F.pmod(F.floor(F.col("question_id") / 12) + F.col("run_id"), F.lit(8))
+    return pairs.where(~left_out & ~finished).withColumn("v", kind)
 
 
-def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Free text answers of the runs."""
+def with_responses(rows: DataFrame) -> DataFrame:
+    """Rows of `examples` (and what was added to them) with the answers of the runs."""
     g = F.col("links_json")
     text = (
         F.when(F.col("v") == 0, g)
@@ -127,9 +124,12 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("v") == 6, F.left(g, F.length(g) - 3))
         .otherwise(F.lit(X.ODD_ANSWER))
     )
-    return _asked_of_runs(spark, sf).select(
-        "run_id", "question_id", "db_id", "question", "v", text.alias("response")
-    )
+    return asked_of_runs(rows).withColumn("response", text)
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Free text answers of the runs."""
+    return with_responses(examples(spark, sf)).select("run_id", "question_id", "db_id", "response")
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +158,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("o_totalprice") > 490000, row(-1 - qid, text, 2)),
         )
     )
-    return _asked_of_runs(spark, sf).select("run_id", F.inline(entries))
+    return asked_of_runs(examples(spark, sf)).select("run_id", F.inline(entries))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
