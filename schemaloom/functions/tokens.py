@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,14 +43,11 @@ def split_identifier(text: Column) -> Column:
 
 def expand_synonyms(tokens: Column) -> Column:
     """Each token followed by the sorted words it can stand for (one step)."""
-    table = V.synonyms()
-    pairs = [x for word, others in table.items() for x in (F.lit(word), F.array(*map(F.lit, others)))]
-    lookup = F.create_map(*pairs)
+    expansions = {word: [word, *others] for word, others in V.synonyms().items()}
+    # As one JSON literal the table is folded to a constant when the plan is made.
+    lookup = F.from_json(F.lit(json.dumps(expansions)), "map<string,array<string>>")
     return F.flatten(
-        F.transform(
-            tokens,
-            lambda t: F.when(t.isin(*table), F.concat(F.array(t), F.element_at(lookup, t))).otherwise(F.array(t)),
-        )
+        F.transform(tokens, lambda t: F.coalesce(F.try_element_at(lookup, t), F.array(t)))
     )
 
 

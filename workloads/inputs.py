@@ -44,38 +44,37 @@ def schema_docs(spark: SparkSession, sf: str) -> DataFrame:
     ).select("db_id", "db_key", "doc.*")
 
 
+def _template() -> Column:
+    """The template a question is made from, as a struct `q, links, sql`."""
+    texts = {f"{row[0]}:{row[1]}": dict(zip(("q", "links", "sql"), row[2:])) for row in X.rows()}
+    lookup = F.from_json(F.lit(json.dumps(texts)), "map<string,struct<q:string,links:string,sql:string>>")
+    sizes = _pick(F.col("family"), [F.lit(len(X.TEMPLATES[f])) for f in X.FAMILIES])
+    return F.element_at(lookup, F.concat_ws(":", F.col("family"), F.col("o_orderkey") % sizes))
+
+
+def _filled(text: Column) -> Column:
+    for mark, value in (
+        ("{year}", F.year("o_orderdate").cast("string")),
+        ("{seg}", F.col("c_mktsegment")),
+        ("{prio}", F.col("o_orderpriority")),
+        ("{key}", F.col("o_orderkey").cast("string")),
+    ):
+        text = F.replace(text, F.lit(mark), value)
+    return text
+
+
 def examples(spark: SparkSession, sf: str) -> DataFrame:
     """One question per order to the database of its customer."""
     asked = table(spark, sf, "orders").join(
         customers(spark, sf).select("c_custkey", "c_mktsegment", "family", "db_id"),
         F.col("o_custkey") == F.col("c_custkey"),
     )
-    number = F.col("o_orderkey") % _pick(
-        F.col("family"), [F.lit(len(X.TEMPLATES[f])) for f in X.FAMILIES]
-    )
-
-    def choose(part: int) -> Column:
-        out = F.lit(None).cast("string")
-        for row in X.rows():
-            out = F.when((F.col("family") == row[0]) & (F.col("number") == row[1]), row[part]).otherwise(out)
-        return out
-
-    def filled(text: Column) -> Column:
-        for mark, value in (
-            ("{year}", F.year("o_orderdate").cast("string")),
-            ("{seg}", F.col("c_mktsegment")),
-            ("{prio}", F.col("o_orderpriority")),
-            ("{key}", F.col("o_orderkey").cast("string")),
-        ):
-            text = F.replace(text, F.lit(mark), value)
-        return text
-
-    return asked.withColumn("number", number).select(
+    return asked.withColumn("t", _template()).select(
         F.col("o_orderkey").alias("question_id"),
         "db_id",
-        filled(choose(2)).alias("question"),
-        filled(choose(4)).alias("gold_sql"),
-        choose(3).alias("links_json"),
+        _filled(F.col("t.q")).alias("question"),
+        _filled(F.col("t.sql")).alias("gold_sql"),
+        F.col("t.links").alias("links_json"),
         "o_orderstatus",
         "o_orderpriority",
         "o_totalprice",

@@ -272,7 +272,7 @@ def scorer_rows(src: str, name: str, marked: bool) -> str:
     return f"""
 {name}k AS (SELECT id, f, links, unnest(json_keys(links)) AS k FROM (SELECT id, f, links FROM {src} WHERE json_valid(links))),
 {name}v AS (SELECT id, f, k, json_type(links, '$."' || k || '"') = 'ARRAY' AS is_list,
-  CASE WHEN json_type(links, '$."' || k || '"') = 'ARRAY' THEN json_extract(links, '$."' || k || '"[*]') ELSE CAST([] AS JSON[]) END AS items FROM {name}k),
+  CASE WHEN json_type(links, '$."' || k || '"') = 'ARRAY' THEN from_json(json_extract(links, '$."' || k || '"'), '["JSON"]') ELSE CAST([] AS JSON[]) END AS items FROM {name}k),
 {name}r AS (SELECT {name}v.*, ttab.table_name AS real, coalesce(ttab.table_name, '__hallu__:' || lower(k)) AS label
   FROM {name}v LEFT JOIN ttab ON ttab.f = {name}v.f AND lower(ttab.table_name) = lower(k)),
 {name}i AS (SELECT id, f, real, label, lower(coalesce(json_extract_string(unnest(items), '$'), 'none')) AS c FROM {name}r),
