@@ -12,9 +12,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and hand it to `body`.
 
     Inside a higher-order function a plain reuse of an expression is evaluated
-    again for every element; binding it through a one-element array is not.
+    again for every element. Here the value is the start of a fold over nothing
+    and `body` its last step, which also spares a copy of the result.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def empty_if_null(arr: Column, element_type: str) -> Column:

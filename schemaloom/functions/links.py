@@ -203,56 +203,53 @@ def scorer_entries(text: Column) -> Column:
 PAIR_SEPARATOR = "\x1f"
 
 
-def canonical_sets(entries: Column, tables: Column, is_gold: bool = False) -> Column:
+def canonical_sets(entries: Column, index: Column, is_gold: bool = False) -> Column:
     """Table set, table/column pair set and counts of identifiers not in the schema.
 
-    Unknown identifiers of a prediction stay as marked members that match
-    nothing; those of gold are left out.
+    `index` is the `name_index` of the schema. Unknown identifiers of a
+    prediction stay as marked members that match nothing; those of gold are
+    left out.
     """
+    marked = lambda name: F.concat(F.lit(V.UNKNOWN_MARK), name)
+    unknown = lambda name: name.startswith(V.UNKNOWN_MARK)
 
-    def resolve(e: Column) -> Column:
-        def columns(t: Column) -> Column:
-            return F.transform(
-                empty_if_null(e.cols_lc, "string"),
-                lambda c: let(
-                    F.try_element_at(F.filter(t.columns, lambda x: x.name_lc == c), F.lit(-1))["name"],
-                    lambda name: F.struct(
-                        F.coalesce(name, F.concat(F.lit(V.UNKNOWN_MARK), c)).alias("label"),
-                        name.isNotNull().alias("known"),
-                    ),
-                ),
-            )
+    def columns(items: Column, at: Column) -> Column:
+        return let(
+            F.struct(F.get(index.cols_lc, at).alias("lc"), F.get(index.cols, at).alias("real")),
+            lambda names: F.transform(
+                empty_if_null(items, "string"),
+                lambda c: F.coalesce(F.get(names.real, F.array_position(names.lc, c) - 1), marked(c)),
+            ),
+        )
 
+    def resolve(e: Column) -> Column:
         return let(
-            F.try_element_at(F.filter(tables, lambda t: t.name_lc == e.table_lc), F.lit(-1)),
-            lambda t: F.struct(
-                F.coalesce(t["name"], F.concat(F.lit(V.UNKNOWN_MARK), e.table_lc)).alias("label"),
-                t.isNotNull().alias("known"),
-                columns(t).alias("columns"),
+            F.array_position(index.tables_lc, e.table_lc) - 1,
+            lambda at: F.struct(
+                F.coalesce(F.get(index.tables, at), marked(e.table_lc)).alias("label"),
+                columns(e.cols_lc, at).alias("columns"),
             ),
         )
 
     def summarise(resolved: Column) -> Column:
-        kept = F.filter(resolved, lambda r: r.known) if is_gold else resolved
+        tables = F.transform(resolved, lambda r: r.label)
         pairs = F.flatten(
             F.transform(
-                kept,
-                lambda r: F.transform(
-                    F.filter(r.columns, lambda c: c.known) if is_gold else r.columns,
-                    lambda c: F.concat_ws(PAIR_SEPARATOR, r.label, c.label),
-                ),
+                resolved,
+                lambda r: F.transform(r.columns, lambda c: F.concat(r.label, F.lit(PAIR_SEPARATOR), c)),
             )
         )
-        unknown = F.aggregate(
-            resolved,
-            F.lit(0),
-            lambda acc, r: acc + F.size(F.filter(r.columns, lambda c: ~c.known)),
-        )
+        names = F.flatten(F.transform(resolved, lambda r: r.columns))
+        if is_gold:
+            tables = F.filter(tables, lambda t: ~unknown(t))
+            pairs = F.filter(
+                pairs, lambda p: ~unknown(p) & ~p.contains(PAIR_SEPARATOR + V.UNKNOWN_MARK)
+            )
         return F.struct(
-            F.array_distinct(F.transform(kept, lambda r: r.label)).alias("tables"),
+            F.array_distinct(tables).alias("tables"),
             F.array_distinct(pairs).alias("pairs"),
-            F.size(F.filter(resolved, lambda r: ~r.known)).alias("bad_tables"),
-            unknown.alias("bad_columns"),
+            F.size(F.filter(resolved, lambda r: unknown(r.label))).alias("bad_tables"),
+            F.size(F.filter(names, unknown)).alias("bad_columns"),
         )
 
     return let(F.transform(entries, resolve), summarise)

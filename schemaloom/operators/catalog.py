@@ -358,6 +358,35 @@ def name_catalog(docs: DataFrame) -> DataFrame:
     return docs.select("db_key", name_tables().alias("tables"))
 
 
+def name_index() -> Column:
+    """Names of a document as parallel arrays, for case-insensitive look-ups.
+
+    Tables and columns are in reverse order: the first match of a look-up is
+    the last of the names that fold together.
+    """
+    bound = F.struct(_tables().alias("names"), _column_entries("both").alias("columns"))
+
+    def index(d: Column) -> Column:
+        names = F.transform(
+            d.names,
+            lambda _, i: F.reverse(
+                F.transform(F.filter(d.columns, lambda c: c.table_idx == i), lambda c: c.col_name)
+            ),
+        )
+        lower = lambda arr: F.transform(arr, lambda name: F.lower(name))
+        return let(
+            F.struct(F.reverse(d.names).alias("tables"), F.reverse(names).alias("cols")),
+            lambda r: F.struct(
+                r.tables.alias("tables"),
+                lower(r.tables).alias("tables_lc"),
+                r.cols.alias("cols"),
+                F.transform(r.cols, lower).alias("cols_lc"),
+            ),
+        )
+
+    return let(bound, index)
+
+
 def catalog_size(docs: DataFrame) -> int:
     """Number of columns in all documents: the measure for broadcasting."""
     return docs.agg(F.coalesce(F.sum(F.size(_pairs())), F.lit(0)).alias("n")).first()["n"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
 from schemaloom.functions.arrays import let
-from schemaloom.operators.links import with_catalog, with_names
+from schemaloom.operators.links import with_catalog, with_name_index
 
 METRICS = ("p_t", "r_t", "f1_t", "p_c", "r_c", "f1_c")
 
@@ -65,20 +65,21 @@ def per_question(
     Questions without gold or without a schema are left out, a missing
     prediction scores as empty. `runs` is the list of runs to score.
     """
-    asked = questions.select("question_id", "db_id").join(
-        gold.select("question_id", F.col("links_json").alias("gold_json")), "question_id"
-    )
+    # Gold is parsed once per question, before the questions meet the runs.
+    wanted = gold.select("question_id", L.scorer_entries(F.col("links_json")).alias("wanted"))
+    asked = questions.select("question_id", "db_id").join(wanted, "question_id")
     run_ids = F.array(*[F.lit(r) for r in runs])
     pairs = asked.withColumn("run_id", F.explode(run_ids)).join(
         last_wins(predictions).drop("entries"), ["run_id", "question_id"], "left"
     )
-    scored = with_names(pairs, docs, columns).select(
+    names = F.col("names")
+    scored = with_name_index(pairs, docs, columns).select(
         "run_id",
         "question_id",
         "db_id",
         F.col("links_json").isNull().alias("is_missing"),
-        L.canonical_sets(L.scorer_entries(F.col("gold_json")), F.col("tables"), is_gold=True).alias("g"),
-        L.canonical_sets(L.scorer_entries(F.col("links_json")), F.col("tables")).alias("p"),
+        L.canonical_sets(F.col("wanted"), names, is_gold=True).alias("g"),
+        L.canonical_sets(L.scorer_entries(F.col("links_json")), names).alias("p"),
     )
     rated = scored.withColumns(
         {"t": prf(F.col("p.tables"), F.col("g.tables")), "c": prf(F.col("p.pairs"), F.col("g.pairs"))}

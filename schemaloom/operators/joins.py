@@ -54,10 +54,13 @@ def hot_key_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
+    # Both sides are laid out for the join here. A fixed number of partitions
+    # keeps small but costly inputs from being folded into a few tasks.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = salted.repartition(parts, key, "_salt")
+    repeated = repeated.repartition(parts, key, "_salt")
     if derive is not None:
-        repeated = repeated.repartition(key, "_salt").select(
-            key, "_salt", *[expr.alias(name) for name, expr in derive.items()]
-        )
+        repeated = repeated.select(key, "_salt", *[expr.alias(name) for name, expr in derive.items()])
     # The merge hint keeps the planner from broadcasting on a guessed size.
     return salted.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 

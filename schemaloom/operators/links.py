@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
 from schemaloom.functions.arrays import let
-from schemaloom.operators.catalog import db_key, name_tables, sorted_tables
+from schemaloom.operators.catalog import db_key, name_index, name_tables, sorted_tables
 from schemaloom.operators.joins import join_catalog
 
 
@@ -27,6 +27,11 @@ def with_names(df: DataFrame, docs: DataFrame, columns: int | None) -> DataFrame
     return with_catalog(df, docs, columns, {"tables": name_tables()})
 
 
+def with_name_index(df: DataFrame, docs: DataFrame, columns: int | None) -> DataFrame:
+    """Rows with the look-up of their database's names in `names`."""
+    return with_catalog(df, docs, columns, {"names": name_index()})
+
+
 def normalize_links(df: DataFrame, docs: DataFrame, links: str, columns: int | None = None) -> DataFrame:
     """`normalized` links with real names in schema order, from JSON text."""
     ordered = let(
@@ -89,9 +94,8 @@ def canonical_links(
     df: DataFrame, docs: DataFrame, links: str, columns: int | None = None, is_gold: bool = False
 ) -> DataFrame:
     """Canonical sets of links JSON against the schema."""
-    return with_names(df, docs, columns).withColumn(
-        "canonical", L.canonical_sets(L.scorer_entries(F.col(links)), F.col("tables"), is_gold)
-    ).drop("tables")
+    sets = L.canonical_sets(L.scorer_entries(F.col(links)), F.col("names"), is_gold)
+    return with_name_index(df, docs, columns).withColumn("canonical", sets).drop("names")
 
 
 def links_shape(df: DataFrame, links: str) -> DataFrame:

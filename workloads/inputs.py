@@ -12,8 +12,26 @@ from schemaloom.operators.catalog import DOCUMENT_SCHEMA, db_key
 from workloads import templates as X
 
 
+# A column to spread the rows of a table by.
+SPREAD_BY = {
+    "orders": "o_orderkey",
+    "customer": "c_custkey",
+    "documents": "doc_id",
+    "conversations": "conv_id",
+    "events": "event_id",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; rows of a file that Spark cannot split are spread over the tasks.
+
+    A table with enough splits of its own is read as it is, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    if name in SPREAD_BY and df.rdd.getNumPartitions() < tasks:
+        return df.repartition(tasks, SPREAD_BY[name])
+    return df
 
 
 def _pick(family: Column, values: list[Column]) -> Column:
