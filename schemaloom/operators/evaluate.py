@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
 from schemaloom.functions.arrays import let
+from schemaloom.operators.catalog import db_key
 from schemaloom.operators.links import with_catalog, with_name_index
 
 METRICS = ("p_t", "r_t", "f1_t", "p_c", "r_c", "f1_c")
@@ -72,8 +73,12 @@ def per_question(
     pairs = asked.withColumn("run_id", F.explode(run_ids)).join(
         last_wins(predictions).drop("entries"), ["run_id", "question_id"], "left"
     )
+    # Questions per database and run: enough to find hot databases, without the joins.
+    counts = questions.groupBy(db_key(F.col("db_id")).alias("db_key")).agg(
+        (F.count(F.lit(1)) * len(runs)).alias("n")
+    )
     names = F.col("names")
-    scored = with_name_index(pairs, docs, columns).select(
+    scored = with_name_index(pairs, docs, columns, counts).select(
         "run_id",
         "question_id",
         "db_id",

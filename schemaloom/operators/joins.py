@@ -30,7 +30,8 @@ def hot_key_join(
     tasks: their rows get a salt from a hash of `spread_by`, which gives the
     same salt when a lost task runs again, and the one right row is repeated
     per salt. All other keys use salt 0 and stay as they are. `counts`
-    (`key`, `n`) may be given when it is known already.
+    (`key`, `n`, not too small) may be given where it is cheaper to have than
+    by counting `left`.
 
     `derive` replaces the columns of `right` by expressions on them. They are
     evaluated behind the shuffle, which so moves the raw columns only.
@@ -72,6 +73,7 @@ def join_catalog(
     derive: dict[str, Column] | None = None,
     spread_by: str = "question_id",
     how: str = "inner",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Attach the catalog row of each question's database by `db_key`.
 
@@ -84,4 +86,4 @@ def join_catalog(
         if derive is not None:
             catalog = catalog.select("db_key", *[expr.alias(name) for name, expr in derive.items()])
         return questions.join(F.broadcast(catalog), "db_key", how)
-    return hot_key_join(questions, catalog, "db_key", spread_by, how, derive=derive)
+    return hot_key_join(questions, catalog, "db_key", spread_by, how, counts, derive)

@@ -17,9 +17,10 @@ def with_catalog(
     columns: int | None,
     derive: dict[str, Column] | None,
     how: str = "inner",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     keyed = df.withColumn("db_key", db_key(F.col("db_id")))
-    return join_catalog(keyed, catalog, columns, derive, how=how)
+    return join_catalog(keyed, catalog, columns, derive, how=how, counts=counts)
 
 
 def with_names(df: DataFrame, docs: DataFrame, columns: int | None) -> DataFrame:
@@ -27,9 +28,11 @@ def with_names(df: DataFrame, docs: DataFrame, columns: int | None) -> DataFrame
     return with_catalog(df, docs, columns, {"tables": name_tables()})
 
 
-def with_name_index(df: DataFrame, docs: DataFrame, columns: int | None) -> DataFrame:
+def with_name_index(
+    df: DataFrame, docs: DataFrame, columns: int | None, counts: DataFrame | None = None
+) -> DataFrame:
     """Rows with the look-up of their database's names in `names`."""
-    return with_catalog(df, docs, columns, {"names": name_index()})
+    return with_catalog(df, docs, columns, {"names": name_index()}, counts=counts)
 
 
 def normalize_links(df: DataFrame, docs: DataFrame, links: str, columns: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,14 +17,20 @@ def responses(prompt: Column, load: Callable[[], Predictor]) -> Column:
     """Response text per prompt, in Arrow batches.
 
     `load` runs once per Python worker, so a model is loaded once and serves
-    all batches of its tasks. Only the prompt travels to Python.
+    all batches of all tasks there. Only the prompt travels to Python.
     """
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = load()
+        # A worker process serves many tasks; each brings its own copy of this
+        # function, so the model is kept with the process. The last one stays.
+        kept = sys.__dict__.setdefault("_schemaloom_model", {})
+        if name not in kept:
+            kept.clear()
+            kept[name] = load()
         for batch in batches:
-            yield pd.Series(predict(batch.tolist()), index=batch.index, dtype=object)
+            yield pd.Series(kept[name](batch.tolist()), index=batch.index, dtype=object)
 
     return answer(prompt)
 

@@ -15,14 +15,19 @@ EXAMPLE_FIELDS = f"{QUESTION_FIELDS}, gold_sql string, schema_links {LINKS_TYPE}
 LINKS_FIELDS = "question_id bigint, schema_links string"
 
 
-def _file_name() -> Column:
-    return F.col("_metadata.file_name")
+def _decoded(location: Column) -> Column:
+    """A file location without URL escapes."""
+    return F.url_decode(F.replace(location, F.lit("+"), F.lit("%2B")))
+
+
+def _file_path() -> Column:
+    return _decoded(F.col("_metadata.file_path"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Schema documents `<db_key>.json`, one row per file."""
     rows = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
-    return rows.select(F.regexp_replace(_file_name(), r"\.json$", "").alias("db_key"), "*")
+    return rows.select(F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.json$", "").alias("db_key"), "*")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +61,9 @@ def _json_list(spark: SparkSession, path: str, fields: str) -> DataFrame:
     The place decides between repeated ids, so each file is parsed as the one
     document it is; files are spread over the tasks.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(
-        F.col("_metadata.file_path").alias("file_path"),
+        _file_path().alias("file_path"),
         F.posexplode(F.from_json("value", f"array<struct<{_struct(fields)}>>")).alias("pos", "row"),
     ).select("file_path", "pos", "row.*")
 
@@ -109,8 +114,8 @@ RUN_LAYOUTS = {
 
 def read_runs(spark: SparkSession, root: str, layout: str) -> DataFrame:
     """Runs below a root: `run_id, run_name, adapter_dir, base_model`."""
-    text = spark.read.option("wholetext", True).text(f"{root}/{RUN_LAYOUTS[layout]}")
-    directory = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]+$", ""), "^file:/+", "/")
+    text = spark.read.text(f"{root}/{RUN_LAYOUTS[layout]}", wholetext=True)
+    directory = F.regexp_replace(F.regexp_replace(_file_path(), r"/[^/]+$", ""), "^file:/+", "/")
     located = text.select(directory.alias("adapter_dir"), "value").dropDuplicates(["adapter_dir"])
     parent = F.regexp_extract("adapter_dir", r"([^/]+)/[^/]+$", 1)
     numbered = F.concat(
@@ -129,14 +134,14 @@ def read_runs(spark: SparkSession, root: str, layout: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files as `path, report`; parse with `evaluate.parse_report`."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("report"))
+    text = spark.read.text(path, wholetext=True)
+    return text.select(_file_path().alias("path"), F.col("value").alias("report"))
 
 
 def read_run_config(spark: SparkSession, path: str) -> RunConfig:
     """One run's settings; defaults when the file is missing."""
     try:
-        row = spark.read.option("wholetext", True).text(path).first()
+        row = spark.read.text(path, wholetext=True).first()
     except Exception as error:  # the reader raises its own class for a missing path
         if "PATH_NOT_FOUND" in str(error):
             return RunConfig()
