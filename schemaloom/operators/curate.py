@@ -14,6 +14,8 @@ from schemaloom.functions import tokens as tok
 from schemaloom.functions.arrays import any_of
 from schemaloom.operators.joins import hot_key_join
 
+# Counts of at most this many databases are broadcast: some 60 bytes each.
+BROADCAST_DATABASES = 500_000
 # Rows per piece when a group is numbered or repeated in pieces.
 PIECE = 1_000_000
 
@@ -22,9 +24,15 @@ def db_counts(examples: DataFrame) -> DataFrame:
     return examples.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_db_count(examples: DataFrame) -> DataFrame:
-    """Each row with the size `n` of its database; hot databases are salted."""
+def with_db_count(examples: DataFrame, broadcast_rows: int = BROADCAST_DATABASES) -> DataFrame:
+    """Each row with the size `n` of its database.
+
+    Up to `broadcast_rows` databases the counts are broadcast and the examples
+    stay where they are; beyond, both are shuffled with hot databases salted.
+    """
     counts = db_counts(examples)
+    if counts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return examples.join(F.broadcast(counts), "db_id")
     return hot_key_join(examples, counts, "db_id", "question_id", counts=counts)
 
 
@@ -101,26 +109,33 @@ def balance_log(examples: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def numbered_in_group(df: DataFrame, group: str, by: str, piece: int = PIECE) -> DataFrame:
-    """Number the rows of each group from 1 as `rn`, in the order of `by`.
+    """Number the rows of each group from 1 as `rn`, in the order of the unique `by`.
 
-    `by` is a unique whole number. Rows are numbered inside ranges of `by`, at
-    most `piece` rows each, and shifted by the sizes of the ranges before, so
-    a hot group is spread over many tasks.
+    A group of more than `piece` rows is cut by a hash of `by` into pieces of
+    about that size, numbered piece by piece, so that no task has to sort a hot
+    group. There are at most `rows / piece` such groups, which bounds the
+    broadcast of their list.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(by) / piece))
-    before = F.sum("_size").over(W.partitionBy(group).orderBy("_range")) - F.col("_size")
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > piece).select(group, F.ceil(F.col("_n") / piece).alias("_pieces"))
+    cut = (
+        df.join(F.broadcast(hot), group, "left")
+        .withColumn("_piece", F.pmod(F.xxhash64(by), F.coalesce("_pieces", F.lit(1))))
+        .drop("_pieces")
+    )
+    before = F.sum("_size").over(W.partitionBy(group).orderBy("_piece")) - F.col("_size")
     shifts = (
-        ranged.groupBy(group, "_range")
+        cut.groupBy(group, "_piece")
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", before)
         .drop("_size")
     )
-    local = F.row_number().over(W.partitionBy(group, "_range").orderBy(by))
+    local = F.row_number().over(W.partitionBy(group, "_piece").orderBy(by))
     return (
-        ranged.withColumn("rn", local)
-        .join(shifts, [group, "_range"])
+        cut.withColumn("rn", local)
+        .join(shifts, [group, "_piece"])
         .withColumn("rn", F.col("rn") + F.col("_before"))
-        .drop("_range", "_before")
+        .drop("_piece", "_before")
     )
 
 

@@ -51,10 +51,9 @@ def _column_score(q: Column, c: Column) -> Column:
     return score + c.key_bonus
 
 
-def _table_score(q: Column, t: Column, columns: Column) -> Column:
-    best = take(F.sort_array(F.transform(columns, lambda c: c.score), asc=False), V.TOP_COLUMNS)
+def _table_score(q: Column, t: Column, scores: Column) -> Column:
     return let(
-        best,
+        take(F.sort_array(scores, asc=False), V.TOP_COLUMNS),
         lambda top: F.lit(V.TABLE_OVERLAP_WEIGHT) * _overlap(q, t)
         + _hits(q, t)
         + F.lit(V.BEST_COLUMN_WEIGHT) * F.coalesce(F.get(top, F.lit(0)), F.lit(0.0))
@@ -63,30 +62,17 @@ def _table_score(q: Column, t: Column, columns: Column) -> Column:
 
 
 def scored_tables(q: Column, tables: Column) -> Column:
-    """The schema with a score on every table and column, in schema order."""
+    """Scores of all tables and their columns, in schema order.
+
+    Only numbers and the sort name are kept; everything else stays in `tables`
+    at the same position.
+    """
 
     def scored(t: Column) -> Column:
-        columns = F.transform(
-            t.columns,
-            lambda c: F.struct(
-                c.col_idx,
-                c["name"].alias("col_name"),
-                c.name_lc,
-                c.col_type,
-                c.is_pk,
-                c.is_fk,
-                _column_score(q, c).alias("score"),
-            ),
-        )
         return let(
-            columns,
-            lambda cs: F.struct(
-                t.table_idx,
-                t["name"].alias("table_name"),
-                t.name_lc,
-                t.neighbours,
-                _table_score(q, t, cs).alias("score"),
-                cs.alias("columns"),
+            F.transform(t.columns, lambda c: _column_score(q, c)),
+            lambda scores: F.struct(
+                t.table_idx, t.name_lc, _table_score(q, t, scores).alias("score"), scores.alias("scores")
             ),
         )
 
@@ -96,7 +82,7 @@ def scored_tables(q: Column, tables: Column) -> Column:
 def with_scores(
     questions: DataFrame, catalog: DataFrame, columns: int | None = None, stored: bool = False
 ) -> DataFrame:
-    """Questions with `tables` and `scored`, the scored schema of their database.
+    """Questions with `tables`, the schema of their database, and its `scored`.
 
     `catalog` holds schema documents, or with `stored` a `linking_catalog`.
     """
@@ -108,17 +94,35 @@ def with_scores(
 
 def column_scores(scored: DataFrame) -> DataFrame:
     """One row per question and column."""
-    tables = scored.select("question_id", F.inline("scored")).select(
-        "question_id", "table_idx", "table_name", F.inline("columns")
+    rows = F.flatten(
+        F.transform(
+            "tables",
+            lambda t: F.transform(
+                t.columns,
+                lambda c, j: F.struct(
+                    t.table_idx,
+                    t["name"].alias("table_name"),
+                    c.col_idx,
+                    c["name"].alias("col_name"),
+                    F.get(F.get(F.col("scored"), t.table_idx).scores, j).alias("score"),
+                ),
+            ),
+        )
     )
-    return tables.select("question_id", "table_idx", "table_name", "col_idx", "col_name", "score")
+    return scored.select("question_id", F.inline(rows))
 
 
 def table_scores(scored: DataFrame) -> DataFrame:
     """One row per question and table."""
-    return scored.select("question_id", F.inline("scored")).select(
-        "question_id", "table_idx", "table_name", "score"
+    rows = F.transform(
+        "tables",
+        lambda t: F.struct(
+            t.table_idx,
+            t["name"].alias("table_name"),
+            F.get(F.col("scored"), t.table_idx).score.alias("score"),
+        ),
     )
+    return scored.select("question_id", F.inline(rows))
 
 
 def ranked_tables(scored: Column) -> Column:
@@ -127,31 +131,33 @@ def ranked_tables(scored: Column) -> Column:
     return F.transform(F.sort_array(keys, asc=False), lambda k: -k.back)
 
 
+def table_names(positions: Column, tables: Column) -> Column:
+    return F.transform(positions, lambda i: F.get(tables, i)["name"])
+
+
 def topk_tables(scored: DataFrame, k: int) -> DataFrame:
     """The k best tables of each question with their rank."""
-    ranked = let(
-        F.col("scored"),
-        lambda s: F.transform(
-            take(ranked_tables(s), k),
-            lambda i, rank: let(
-                F.get(s, i),
-                lambda t: F.struct((rank + 1).alias("t_rank"), t.table_name, t.score),
-            ),
+    ranked = F.transform(
+        take(ranked_tables(F.col("scored")), k),
+        lambda i, rank: F.struct(
+            (rank + 1).alias("t_rank"),
+            F.get(F.col("tables"), i)["name"].alias("table_name"),
+            F.get(F.col("scored"), i).score.alias("score"),
         ),
     )
     return scored.select("question_id", F.inline(ranked))
 
 
-def forced_tables(scored: Column, chosen: Column, force: Column) -> Column:
+def forced_tables(tables: Column, chosen: Column, force: Column) -> Column:
     """Positions of forced tables that were not chosen, in schema order."""
     missing = F.filter(
-        scored,
+        tables,
         lambda t: F.exists(force, lambda f: f.table_lc == t.name_lc) & ~F.array_contains(chosen, t.table_idx),
     )
     return F.transform(missing, lambda t: t.table_idx)
 
 
-def join_neighbours(scored: Column, order: Column, chosen: Column, seeds: int, limit: int) -> Column:
+def join_neighbours(tables: Column, order: Column, chosen: Column, seeds: int, limit: int) -> Column:
     """Chosen tables plus, seed by seed, their best neighbours not yet in."""
     return F.aggregate(
         take(chosen, seeds),
@@ -159,7 +165,7 @@ def join_neighbours(scored: Column, order: Column, chosen: Column, seeds: int, l
         lambda acc, seed: F.concat(
             acc,
             let(
-                F.get(scored, seed).neighbours,
+                F.get(tables, seed).neighbours,
                 lambda near: take(
                     F.filter(order, lambda n: F.array_contains(near, n) & ~F.array_contains(acc, n)), limit
                 ),
@@ -168,17 +174,17 @@ def join_neighbours(scored: Column, order: Column, chosen: Column, seeds: int, l
     )
 
 
-def choose_tables(scored: Column, order: Column, cfg: RetrievalConfig, force: Column | None) -> Column:
+def choose_tables(tables: Column, order: Column, cfg: RetrievalConfig, force: Column | None) -> Column:
     """Positions of the candidate tables in candidate order.
 
     Forced tables and neighbours may go beyond the table budget.
     """
     top = take(order, cfg.max_tables)
     if force is not None:
-        top = let(top, lambda best: F.concat(best, forced_tables(scored, best, force)))
+        top = let(top, lambda best: F.concat(best, forced_tables(tables, best, force)))
     if not cfg.include_join_neighbors:
         return top
-    return let(top, lambda best: join_neighbours(scored, order, best, cfg.max_tables, cfg.join_neighbor_limit))
+    return let(top, lambda best: join_neighbours(tables, order, best, cfg.max_tables, cfg.join_neighbor_limit))
 
 
 def _is_forced(force: Column | None, t: Column, c: Column) -> Column:
@@ -187,29 +193,24 @@ def _is_forced(force: Column | None, t: Column, c: Column) -> Column:
     return F.exists(force, lambda f: (f.table_lc == t.name_lc) & F.array_contains(f.cols_lc, c.name_lc))
 
 
-def prune_columns(t: Column, cfg: RetrievalConfig, force: Column | None) -> Column:
+def prune_columns(t: Column, scores: Column, cfg: RetrievalConfig, force: Column | None) -> Column:
     """The columns that fit the budget and all forced ones, in schema order."""
-
-    def cut() -> Column:
-        keys = F.transform(
-            t.columns,
-            lambda c: F.struct(
-                _is_forced(force, t, c).alias("forced"),
-                c.score,
-                (c.is_pk | c.is_fk).alias("key"),
-                c.name_lc,
-                (-c.col_idx).alias("back"),
-            ),
-        )
-        kept = F.transform(take(F.sort_array(keys, asc=False), cfg.columns_kept), lambda k: -k.back)
-        return let(
-            kept,
-            lambda best: F.filter(
-                t.columns, lambda c: F.array_contains(best, c.col_idx) | _is_forced(force, t, c)
-            ),
-        )
-
-    return F.when(F.size(t.columns) <= cfg.columns_kept, t.columns).otherwise(cut())
+    keys = F.transform(
+        t.columns,
+        lambda c, j: F.struct(
+            _is_forced(force, t, c).alias("forced"),
+            F.get(scores, j).alias("score"),
+            (c.is_pk | c.is_fk).alias("key"),
+            c.name_lc,
+            (-j).alias("back"),
+        ),
+    )
+    kept = F.transform(take(F.sort_array(keys, asc=False), cfg.columns_kept), lambda k: -k.back)
+    cut = let(
+        kept,
+        lambda best: F.filter(t.columns, lambda c, j: F.array_contains(best, j) | _is_forced(force, t, c)),
+    )
+    return F.when(F.size(t.columns) <= cfg.columns_kept, t.columns).otherwise(cut)
 
 
 def numbered_columns(columns: Column) -> Column:
@@ -218,8 +219,7 @@ def numbered_columns(columns: Column) -> Column:
         lambda c, j: F.struct(
             (j + 1).alias("c_rank"),
             F.concat(F.lit("C"), (j + 1).cast("string")).alias("column_id"),
-            c.col_idx,
-            c.col_name,
+            c["name"].alias("col_name"),
             c.name_lc,
             c.col_type,
             c.is_pk,
@@ -228,21 +228,20 @@ def numbered_columns(columns: Column) -> Column:
     )
 
 
-def candidates(scored: Column, cfg: RetrievalConfig, force: Column | None = None) -> Column:
+def candidates(tables: Column, scored: Column, cfg: RetrievalConfig, force: Column | None = None) -> Column:
     """Candidate tables with IDs `T1, T2, …` and columns `C1, C2, …` in each."""
 
     def build(s: Column, chosen: Column) -> Column:
         return F.transform(
             chosen,
             lambda i, rank: let(
-                F.get(s, i),
+                F.get(tables, i),
                 lambda t: F.struct(
                     (rank + 1).alias("t_rank"),
                     F.concat(F.lit("T"), (rank + 1).cast("string")).alias("table_id"),
-                    t.table_idx,
-                    t.table_name,
+                    t["name"].alias("table_name"),
                     t.name_lc,
-                    numbered_columns(prune_columns(t, cfg, force)).alias("columns"),
+                    numbered_columns(prune_columns(t, F.get(s, i).scores, cfg, force)).alias("columns"),
                 ),
             ),
         )
@@ -251,7 +250,7 @@ def candidates(scored: Column, cfg: RetrievalConfig, force: Column | None = None
         scored,
         lambda s: let(
             ranked_tables(s),
-            lambda order: let(choose_tables(s, order, cfg, force), lambda chosen: build(s, chosen)),
+            lambda order: let(choose_tables(tables, order, cfg, force), lambda chosen: build(s, chosen)),
         ),
     )
 
@@ -271,10 +270,9 @@ def candidate_schema(
     target never points at a hidden identifier.
     """
     scored = with_scores(questions, catalog, columns, stored)
-    if force_links is None:
-        return scored.withColumn("candidates", candidates(F.col("scored"), cfg)).drop("scored")
-    forced = let(fold_links(F.col(force_links)), lambda force: candidates(F.col("scored"), cfg, force))
-    return scored.withColumn("candidates", forced).drop("scored")
+    make = lambda force: candidates(F.col("tables"), F.col("scored"), cfg, force)
+    made = make(None) if force_links is None else let(fold_links(F.col(force_links)), make)
+    return scored.withColumn("candidates", made).drop("scored")
 
 
 def explode_candidates(df: DataFrame) -> DataFrame:
@@ -282,7 +280,7 @@ def explode_candidates(df: DataFrame) -> DataFrame:
     tables = df.select("question_id", F.inline("candidates")).drop("name_lc")
     return tables.select(
         "question_id", "t_rank", "table_id", "table_name", F.inline_outer("columns")
-    ).drop("name_lc", "col_idx")
+    ).drop("name_lc")
 
 
 def retrieval_recall(df: DataFrame, links: str) -> DataFrame:

@@ -226,11 +226,11 @@ def forced_tables(spark, sf):
     """Linked tables that the two best tables leave out, in the order they are added."""
     d = Data(spark, sf)
     scored = retrieval.with_scores(d.linked_examples, d.schema_docs, d.size())
+    best = F.slice(retrieval.ranked_tables(F.col("scored")), 1, BUDGET.max_tables)
     missing = let(
-        F.struct(F.col("scored").alias("s"), link_text.fold_links(F.col("schema_links")).alias("force")),
-        lambda x: F.transform(
-            retrieval.forced_tables(x.s, F.slice(retrieval.ranked_tables(x.s), 1, BUDGET.max_tables), x.force),
-            lambda i: F.get(x.s, i).table_name,
+        F.struct(best.alias("best"), link_text.fold_links(F.col("schema_links")).alias("force")),
+        lambda x: retrieval.table_names(
+            retrieval.forced_tables(F.col("tables"), x.best, x.force), F.col("tables")
         ),
     )
     return scored.select("question_id", F.posexplode(missing).alias("place", "table_name"))
@@ -240,14 +240,11 @@ def forced_tables(spark, sf):
 def join_neighbours(spark, sf):
     """The two best tables and the neighbours they bring in."""
     scored = _scored(Data(spark, sf))
+    tables = F.col("tables")
     chosen = let(
-        F.col("scored"),
-        lambda s: let(
-            retrieval.ranked_tables(s),
-            lambda order: F.transform(
-                retrieval.join_neighbours(s, order, F.slice(order, 1, 2), 2, 1),
-                lambda i: F.get(s, i).table_name,
-            ),
+        retrieval.ranked_tables(F.col("scored")),
+        lambda order: retrieval.table_names(
+            retrieval.join_neighbours(tables, order, F.slice(order, 1, 2), 2, 1), tables
         ),
     )
     return scored.select("question_id", joined(chosen).alias("chosen"))
@@ -277,7 +274,7 @@ def retrieval_recall(spark, sf):
     scored = retrieval.with_scores(d.linked_examples, d.schema_docs, d.size())
 
     def recall(name: str, cfg: RetrievalConfig) -> DataFrame:
-        df = scored.withColumn("candidates", retrieval.candidates(F.col("scored"), cfg))
+        df = scored.withColumn("candidates", retrieval.candidates(F.col("tables"), F.col("scored"), cfg))
         return retrieval.retrieval_recall(df, "schema_links").select(F.lit(name).alias("budget"), "*")
 
     both = recall("small", BUDGET).unionByName(recall("grid", PRESETS["grid"]))
