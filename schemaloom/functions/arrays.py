@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,13 @@ def any_of(conditions: list[Column]) -> Column:
 
 def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
     return any_of([text.contains(part) for part in parts])
+
+
+def inline_rows(df: DataFrame, structs: Column | str, required: str, *keep: Column | str) -> DataFrame:
+    """One row per struct, beside the kept columns; `required` is never null in a struct.
+
+    The plain generator makes the planner test the array for emptiness below
+    it, which evaluates a costly array again, inside the join condition even.
+    The outer one does not; its rows for empty arrays are dropped here.
+    """
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(required).isNotNull())

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from schemaloom import vocabulary as V
 from schemaloom.functions import tokens as tok
-from schemaloom.functions.arrays import empty_if_null, let
+from schemaloom.functions.arrays import empty_if_null, inline_rows, let
 
 STRINGS = T.ArrayType(T.StringType())
 INTS = T.ArrayType(T.IntegerType())
@@ -115,7 +115,7 @@ def catalog_columns(docs: DataFrame, fk_ends: str = "both") -> DataFrame:
     `fk_ends='both'` flags both ends of a foreign key, `'source'` only the
     referring end.
     """
-    return docs.select("db_key", F.inline(_column_entries(fk_ends))).drop("real")
+    return inline_rows(docs, _column_entries(fk_ends), "col_idx", "db_key").drop("real")
 
 
 def catalog_tables(docs: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _edges() -> Column:
 
 def fk_edges(docs: DataFrame) -> DataFrame:
     """Undirected table adjacency, one row per direction."""
-    named = docs.select("db_key", _tables().alias("tables"), F.inline(_edges()))
+    named = inline_rows(docs, _edges(), "src", "db_key", _tables().alias("tables"))
     return named.select(
         "db_key",
         F.get("tables", F.col("src")).alias("src_table"),
@@ -204,7 +204,7 @@ def columns_by_table(docs: DataFrame, type_rule: str = "position") -> DataFrame:
     """
     if type_rule == "shifted":
         return catalog_columns(docs, fk_ends="source")
-    return docs.select("db_key", F.inline(_plain_entries()))
+    return inline_rows(docs, _plain_entries(), "col_idx", "db_key")
 
 
 def _plain_entries() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
-from schemaloom.functions.arrays import let
+from schemaloom.functions.arrays import inline_rows, let
 from schemaloom.operators.catalog import db_key, name_index, name_tables, sorted_tables
 from schemaloom.operators.joins import join_catalog
 
@@ -74,11 +74,8 @@ def validate_links(
             ),
         )
 
-    unknown = joined.select(
-        "question_id",
-        "db_id",
-        F.inline(F.flatten(F.transform(F.map_entries(links), problems))),
-    )
+    found = F.flatten(F.transform(F.map_entries(links), problems))
+    unknown = inline_rows(joined, found, "table_name", "question_id", "db_id")
     where = F.format_string("question_id=%s db_id=%s: ", F.col("question_id").cast("string"), F.col("db_id"))
     return unknown.withColumn(
         "warning",

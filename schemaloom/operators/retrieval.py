@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from schemaloom import vocabulary as V
 from schemaloom.config import RetrievalConfig
 from schemaloom.functions import tokens as tok
-from schemaloom.functions.arrays import let, take
+from schemaloom.functions.arrays import inline_rows, let, take
 from schemaloom.functions.links import fold_links
 from schemaloom.operators.catalog import db_key, linking_tables
 from schemaloom.operators.joins import join_catalog
@@ -109,7 +109,7 @@ def column_scores(scored: DataFrame) -> DataFrame:
             ),
         )
     )
-    return scored.select("question_id", F.inline(rows))
+    return inline_rows(scored, rows, "col_idx", "question_id")
 
 
 def table_scores(scored: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def table_scores(scored: DataFrame) -> DataFrame:
             F.get(F.col("scored"), t.table_idx).score.alias("score"),
         ),
     )
-    return scored.select("question_id", F.inline(rows))
+    return inline_rows(scored, rows, "table_idx", "question_id")
 
 
 def ranked_tables(scored: Column) -> Column:
@@ -145,7 +145,7 @@ def topk_tables(scored: DataFrame, k: int) -> DataFrame:
             F.get(F.col("scored"), i).score.alias("score"),
         ),
     )
-    return scored.select("question_id", F.inline(ranked))
+    return inline_rows(scored, ranked, "t_rank", "question_id")
 
 
 def forced_tables(tables: Column, chosen: Column, force: Column) -> Column:
@@ -277,7 +277,7 @@ def candidate_schema(
 
 def explode_candidates(df: DataFrame) -> DataFrame:
     """One row per candidate column; a table without columns gives one row."""
-    tables = df.select("question_id", F.inline("candidates")).drop("name_lc")
+    tables = inline_rows(df, "candidates", "t_rank", "question_id").drop("name_lc")
     return tables.select(
         "question_id", "t_rank", "table_id", "table_name", F.inline_outer("columns")
     ).drop("name_lc")

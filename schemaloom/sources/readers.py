@@ -64,8 +64,8 @@ def _json_list(spark: SparkSession, path: str, fields: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     return text.select(
         _file_path().alias("file_path"),
-        F.posexplode(F.from_json("value", f"array<struct<{_struct(fields)}>>")).alias("pos", "row"),
-    ).select("file_path", "pos", "row.*")
+        F.posexplode_outer(F.from_json("value", f"array<struct<{_struct(fields)}>>")).alias("pos", "row"),
+    ).where("pos is not null").select("file_path", "pos", "row.*")
 
 
 def _struct(fields: str) -> str:

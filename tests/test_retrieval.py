@@ -149,6 +149,15 @@ def test_plan_has_one_join_and_no_python(spark, monkeypatch):
     assert "SortMergeJoin" in large and "Window" not in large and "CartesianProduct" not in large
 
 
+def test_candidates_are_evaluated_once(spark):
+    questions, catalog = _many(spark)
+    # The rows are not tested for emptiness below the generator.
+    for columns in (100, None):
+        text = plan(R.explode_candidates(R.candidate_schema(questions, catalog, cfg(), columns)))
+        joins_on_conditions = [line for line in text.split("\n") if "Join" in line and "sort_array" in line]
+        assert not joins_on_conditions and sum("sort_array" in line for line in text.split("\n")) == 1
+
+
 def test_recall(spark):
     rows = asked(spark, [(1, "k", "apple apple_id")]).withColumn(
         "links", F.from_json(F.lit('{"apple":["apple_id","hub_id"],"far":["far_key"],"ghost":[]}'), LINKS_TYPE)

@@ -175,7 +175,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("o_totalprice") > 490000, row(-1 - qid, text, 2)),
         )
     )
-    return asked_of_runs(examples(spark, sf)).select("run_id", F.inline(entries))
+    return asked_of_runs(examples(spark, sf)).select("run_id", F.inline_outer(entries))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:

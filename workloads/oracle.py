@@ -640,7 +640,7 @@ THEN 'table ''' || table_name || ''' not in schema' ELSE 'column ''' || col_name
         BASE, LINKS, RUNS,
         """spoilt0 AS (SELECT asked.run_id, question_id, db_id, asked.f, CASE v WHEN 1 THEN upper(table_name) ELSE table_name END AS t,
   CASE WHEN v = 1 THEN list_transform(cols, lambda c: upper(c)) WHEN len(cols) = 0 THEN cols ELSE list_concat(cols, ['no_such_col']) END AS cs
-  FROM asked JOIN lt USING (f, tn) WHERE v NOT IN (4, 7) AND db_key IN (SELECT db_key FROM docs)
+  FROM asked JOIN lt USING (f, tn) WHERE v <> 4 AND db_key IN (SELECT db_key FROM docs)
   UNION ALL SELECT run_id, question_id, db_id, f, 'ghost_table', ['ghost_col'] FROM asked WHERE v = 4 AND db_key IN (SELECT db_key FROM docs)),
 spoilt AS (SELECT *, EXISTS (SELECT 1 FROM tcol WHERE tcol.f = spoilt0.f AND table_name = t AND plain_type IS NOT NULL) AS known FROM spoilt0)""",
     ).replace(")\n, bad AS", "),\nbad AS")

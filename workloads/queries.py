@@ -11,7 +11,7 @@ from schemaloom import vocabulary as V
 from schemaloom.config import PRESETS, RetrievalConfig, RunConfig
 from schemaloom.functions import jsontext, prompts, sequences, tokens
 from schemaloom.functions import links as link_text
-from schemaloom.functions.arrays import let
+from schemaloom.functions.arrays import inline_rows, let
 from schemaloom.operators import catalog, curate, evaluate, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
@@ -93,7 +93,8 @@ def fk_edges(spark, sf):
 @query
 def schema_map(spark, sf):
     df = catalog.schema_map(Data(spark, sf).schema_docs)
-    return df.select("db_key", F.explode("schema").alias("table_name", "cols")).withColumn("cols", joined("cols"))
+    rows = inline_rows(df, F.map_entries("schema"), "key", "db_key")
+    return rows.select("db_key", F.col("key").alias("table_name"), joined("value").alias("cols"))
 
 
 @query
@@ -233,7 +234,8 @@ def forced_tables(spark, sf):
             retrieval.forced_tables(F.col("tables"), x.best, x.force), F.col("tables")
         ),
     )
-    return scored.select("question_id", F.posexplode(missing).alias("place", "table_name"))
+    rows = scored.select("question_id", F.posexplode_outer(missing).alias("place", "table_name"))
+    return rows.where("place is not null")
 
 
 @query
@@ -318,7 +320,7 @@ def target_json(spark, sf):
 def chat_rows(spark, sf):
     df = jobs.chat_rows(_payloads(spark, sf, "ids"))
     turns = F.concat("prompt", "completion")
-    return df.select("question_id", "db_id", F.posexplode(turns).alias("turn", "message")).select(
+    return df.select("question_id", "db_id", F.posexplode_outer(turns).alias("turn", "message")).select(
         "question_id", "db_id", "turn", "message.role", "message.content"
     )
 
@@ -367,7 +369,7 @@ def _entries(text: Column) -> Column:
 def first_json(spark, sf):
     """Keys and names of the first object in each answer."""
     df = Data(spark, sf).responses
-    return df.select("run_id", "question_id", F.inline(_entries(F.col("response"))))
+    return inline_rows(df, _entries(F.col("response")), "key", "run_id", "question_id")
 
 
 @query
@@ -378,7 +380,7 @@ def event_props(spark, sf):
         jsontext.entries_last_wins(found),
         lambda p: F.struct(p.key.alias("key"), jsontext.text_or_none(p.value).alias("value")),
     )
-    return Data(spark, sf).table("events").select("event_id", F.inline(pairs))
+    return inline_rows(Data(spark, sf).table("events"), pairs, "key", "event_id")
 
 
 @query
@@ -417,7 +419,7 @@ def normalize_links(spark, sf):
 @query
 def validate_links(spark, sf):
     d = Data(spark, sf)
-    answered = inputs.asked_of_runs(d.examples).where("v <> 7")
+    answered = inputs.asked_of_runs(d.examples)
     text = F.when(F.col("v") == 1, F.upper("links_json")).when(
         F.col("v") == 4, F.lit('{"ghost_table":["ghost_col"]}')
     )
