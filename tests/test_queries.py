@@ -3,6 +3,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from workloads import oracle
+from workloads.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # Queries that together touch every module; `python check.py` compares all of them.
@@ -20,7 +22,9 @@ COMPARED = [
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracle.build())
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
