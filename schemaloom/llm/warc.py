@@ -27,6 +27,8 @@ ARCHIVE_BYTES = 256 << 20
 # Bytes that are read and inflated at a time.
 READ_BYTES = 1 << 18
 LEVEL = 6
+# Tasks that read; with more archives, a task reads several, one after another.
+MOST_TASKS = 20_000
 
 # The format's version line, its profile of equal payloads, the names of records.
 VERSION = "WARC/1.1"
@@ -253,4 +255,6 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame, payloads: bool
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file").repartition("file").mapInArrow(run, READ)
+    # Names are too small for Spark to see what reading them costs: a number of tasks is given.
+    tasks = max(1, min(files.count(), MOST_TASKS))
+    return files.select("file").repartitionByRange(tasks, "file").mapInArrow(run, READ)
