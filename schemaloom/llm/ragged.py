@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text that are worked on at a time, and words whose ids a worker keeps.
-SLICE_BYTES = 16_000_000
-KEPT_WORDS = 500_000
+SLICE_BYTES = 8_000_000
+KEPT_WORDS = 400_000
 
 
 class Words:

@@ -8,16 +8,20 @@ groups of rows, and every stripe can be read by a task of its own.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.llm.ragged import Words, as_lists, sequences, slices
+from schemaloom.llm.ragged import KEPT_WORDS, Words, as_lists, sequences, slices
 from schemaloom.llm.shared import saved, text_of
 
 # Bytes of a stripe, rows of a row-index group, and the Bloom filters' rate of false hits.
@@ -26,16 +30,50 @@ INDEX_ROWS = 1_000
 FALSE_HITS = 0.01
 
 
+# Fixed value: the pre-tokens of lower-cased text without contractions.
+PRETOKENS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Words of these characters only take the fast way below (the tests compare
+# all of them): no contraction, no special string. Any other goes to the library.
+KNOWN = regex.compile("[\x21-\x26\x28-\x3b\x3d-\x7e\xa1-\u02ff]*+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 @lru_cache(maxsize=2)
 def _words(path: str) -> Words:
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-    tokenizer = Tokenizer.from_file(path)
-
-    def make(words: list[str]) -> list[np.ndarray]:
-        return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-
+    tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
+    merge, find = tokenizer.model.tokenize, PRETOKENS.findall
+    kept: dict[str, list[int]] = {}
+
+    def pieces(pretoken: str) -> list[int]:
+        ids = kept.get(pretoken)
+        if ids is None:
+            if len(kept) >= KEPT_WORDS // 4:
+                kept.clear()
+            written = pretoken if pretoken.isascii() else "".join([letters[b] for b in pretoken.encode()])
+            ids = kept[pretoken] = [t.id for t in merge(written)]
+        return ids
+
+    def make(words: list[str]) -> list[list[int]]:
+        fast = [KNOWN.fullmatch(w) is not None for w in words]
+        rest = iter(tokenizer.encode_batch([w for w, f in zip(words, fast) if not f], add_special_tokens=False))
+        return [
+            list(chain.from_iterable(map(pieces, find(normalize("NFC", w).lower())))) if f else next(rest).ids
+            for w, f in zip(words, fast)
+        ]
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
+        raise ValueError(f"{path}: not a tokenizer of lower-cased words")
     return Words(make)
 
 

@@ -77,6 +77,15 @@ def test_sorted_words_share_work():
     assert together == [next(iter(model.encode_sorted([w]))) for w in words] == [model.merged(w) for w in words]
 
 
+def test_words_of_known_characters_are_the_librarys():
+    tokenizer, words = Tokenizer.from_file(WORDS), token_files._words(WORDS)
+    chars = [chr(c) for c in range(0x21, 0x300)]
+    texts = [t for c in chars for t in (c, f"a{c}1{c}!{c}Z", f"{c}{c}B.", f"é{c}Ü")] + ["it's", "<|endoftext|>x", "Σίσυφος"]
+    flat, starts = words(texts)
+    for i, t in enumerate(texts):
+        assert flat[starts[i] : starts[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def token_rows(spark, df, path):
     token_files.write_tokens(df, path, WORDS, end_id=2)
     return token_files.digests(spark, path, pieces.ids_crc32)
