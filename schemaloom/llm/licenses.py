@@ -147,8 +147,8 @@ class Index:
                 self.places[int(hashes[at])].append((t, int(at)))
         self.hashes = np.array(sorted(self.places), np.uint64)
 
-    def ids_of(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array([self.number.get(w, 0) for w in words_of(c)], np.int32) for c in chunks]
+    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+        return [[self.number.get(w, 0) for w in words_of(c)] for c in chunks]
 
     def candidates(self, ids: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """(template, diagonal) of the hits (place, hash): one for those close to each other."""

@@ -35,6 +35,8 @@ PRETOKENS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Words of these characters only take the fast way below (the tests compare
 # all of them): no contraction, no special string. Any other goes to the library.
 KNOWN = regex.compile("[\x21-\x26\x28-\x3b\x3d-\x7e\xa1-\u02ff]*+")
+# Letters below this one are single, composed letters; a stop ends a word.
+LATIN_END, STOPS = "\u0300", frozenset(".,;:!?|")
 
 
 def _byte_letters() -> list[str]:
@@ -62,13 +64,20 @@ def _words(path: str) -> Words:
             ids = kept[pretoken] = [t.id for t in merge(written)]
         return ids
 
+    def ids_of(word: str) -> list[int] | None:
+        low = word.lower()
+        if low.isalpha() and (low.isascii() or max(word + low) < LATIN_END):
+            return pieces(low)
+        if low[-1:] in STOPS and low[:-1].isalpha() and (low.isascii() or max(word + low) < LATIN_END):
+            return pieces(low[:-1]) + pieces(low[-1])
+        if KNOWN.fullmatch(word):
+            return list(chain.from_iterable(map(pieces, find(normalize("NFC", word).lower()))))
+        return None
+
     def make(words: list[str]) -> list[list[int]]:
-        fast = [KNOWN.fullmatch(w) is not None for w in words]
-        rest = iter(tokenizer.encode_batch([w for w, f in zip(words, fast) if not f], add_special_tokens=False))
-        return [
-            list(chain.from_iterable(map(pieces, find(normalize("NFC", w).lower())))) if f else next(rest).ids
-            for w, f in zip(words, fast)
-        ]
+        out = list(map(ids_of, words))
+        rest = iter(tokenizer.encode_batch([w for w, x in zip(words, out) if x is None], add_special_tokens=False))
+        return [next(rest).ids if x is None else x for x in out]
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
