@@ -34,12 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, read back once to see that they give the text."""
     model = public_tokenizers.path(MODEL)
-    rows = docs.select("doc_id", "lang", "source", shared.text_of("text").alias("text"))
-    ids = rows.withColumn("ids", pieces.encoder(model)(F.col("text")))
-    back = pieces.decoded(ids, model)
-    return back.select(
-        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip")
-    )
+    rows = docs.select("doc_id", "lang", "source", pieces.checked(model)(F.col("text")).alias("done"))
+    return rows.select("doc_id", "lang", "source", "done.ids", "done.n_tokens", "done.round_trip")
 
 
 STAGES = [

@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.ragged import Words, as_lists, sequences, slices
+from schemaloom.llm.ragged import Words, as_lists, sequences, slices, strings
 from schemaloom.llm.shared import text_of
 
 MARK = "▁"
 NEVER = float("-inf")
 # Pairs of pieces whose test a worker remembers.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 400_000
 # A marked word: marks, and all up to the next one.
 MARKED = regex.compile(f"{MARK}+[^{MARK}]*+")
 
@@ -52,8 +52,8 @@ class Pieces:
             raise ValueError(f"{path}: a model with byte fallback is needed")
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError(f"{path}: a piece goes beyond a word")
-        # All ends of pieces; True for a whole piece.
-        self.ends = {t[i:]: False for t in self.ids for i in range(len(t))} | dict.fromkeys(self.ids, True)
+        # All ends of pieces; a whole piece gives itself.
+        self.ends = {t[i:]: "" for t in self.ids for i in range(len(t))} | {t: t for t in self.ids}
         self.bytes = {i: t.replace(MARK, " ").encode() for t, i in self.ids.items()} | {i: bytes([b]) for b, i in self.of_byte.items()}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
@@ -106,11 +106,10 @@ class Pieces:
                 low, found = end - 1, [word[end - 1]]
                 while low:
                     low -= 1
-                    piece = word[low:end]
-                    kind = ends(piece)
-                    if kind is None:
+                    piece = ends(word[low:end])
+                    if piece is None:
                         break
-                    if kind:
+                    if piece:
                         found.append(piece)
                 for piece in reversed(found):
                     start = end - len(piece)
@@ -129,7 +128,7 @@ class Pieces:
                 end -= len(out[-1])
             yield out[::-1]
 
-    def ids_of(self, words: list[str]) -> list[np.ndarray]:
+    def ids_of(self, words: list[str]) -> list[list[int]]:
         out: dict[str, list[int]] = {}
         ordered = sorted(words)
         for word, pieces in zip(ordered, self.encode_sorted(ordered)):
@@ -165,20 +164,24 @@ def marked_words(texts: pa.Array) -> pa.ListArray:
     return pa.array([MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
+def _encoded(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    return sequences(marked_words(texts), words)
+
+
 def encoder(model: str):
     """A function of a text column: its ids (array<int>). `model` is a path on every worker."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         _, words = _loaded(model)
-        parts = [as_lists(*sequences(marked_words(part), words)) for part in slices(texts)]
+        parts = [as_lists(*_encoded(part, words)) for part in slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return lambda text: encode(F.coalesce(text, F.lit("")))
 
 
 def decoder(model: str):
-    """A function of an ids column: the text."""
+    """A function of an ids column: the text; none for null."""
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
@@ -189,6 +192,40 @@ def decoder(model: str):
     return lambda ids: decode(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def checked(model: str):
+    """A function of a text column: ids, their CRC-32, the length of the text decoded from them, whether it is the same.
+
+    Encoding and decoding take place in one pass, so that ids go to no second
+    worker; `with_ids=False` leaves them there.
+    """
+
+    def checks(texts: pa.Array, with_ids: bool) -> pa.Array:
+        pieces, words = _loaded(model)
+        kind = pa.list_(pa.int32())
+        rows: list[list] = [[], [], [], [], []]
+        for part in slices(texts):
+            ids, starts = _encoded(part, words)
+            rows[0].append(as_lists(ids, starts) if with_ids else pa.nulls(len(part), kind))
+            for text, a, b in zip(strings(part), starts.tolist(), starts[1:].tolist()):
+                decoded = pieces.decode(ids[a:b])
+                rows[1].append(b - a)
+                rows[2].append(zlib.crc32(ids[a:b]))
+                rows[3].append(len(decoded))
+                rows[4].append(decoded == text)
+        lists = pa.concat_arrays(rows[0]) if rows[0] else pa.array([], kind)
+        columns = [lists, *(pa.array(r, pa.int64()) for r in rows[1:4]), pa.array(rows[4], pa.bool_())]
+        return pa.StructArray.from_arrays(columns, ["ids", "n_tokens", "ids_crc32", "decoded_chars", "round_trip"])
+
+    def run(text: Column, with_ids: bool = True) -> Column:
+        def call(texts: pa.Array) -> pa.Array:
+            return checks(texts, with_ids)
+
+        udf = F.arrow_udf(call, "ids array<int>, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean")
+        return udf(F.coalesce(text, F.lit("")))
+
+    return run
+
+
 def encoded(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (`id`, `text`, `ids`), one for each row of `docs`.
 

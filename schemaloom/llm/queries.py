@@ -54,12 +54,9 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = pieces.decoded(pieces.encoded(shared.table(spark, folder, "documents"), model), model)
-    return rows.select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), pieces.ids_crc32(F.col("ids")).alias("ids_crc32"),
-        F.char_length("decoded").cast("long").alias("decoded_chars"), (F.col("decoded") == F.col("text")).alias("round_trip"),
-    )
+    check = pieces.checked(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = shared.table(spark, folder, "documents").select("doc_id", check(F.col("text"), with_ids=False).alias("done"))
+    return docs.select("doc_id", "done.n_tokens", "done.ids_crc32", "done.decoded_chars", "done.round_trip")
 
 
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
