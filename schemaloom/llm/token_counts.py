@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +39,10 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 # of them (the tests compare all). Any other text is split by the library.
 KNOWN = regex.compile("[\x00-ͯ‐-‧]*+")
 
-POSTINGS = "pretoken string, header_of long, chunk long, docs binary, counts binary, ids array<long>, sizes array<long>"
+POSTINGS = "pretoken string, header_of long, chunk long, postings binary"
+# A posting: the document's number in its chunk, and how often it holds the pre-token.
+POSTING = np.dtype([("doc", "<u2"), ("n", "<u4")])
+SUM = np.dtype([("doc", "<u2"), ("n", "<i8")])
 
 
 def _load(path: str):
@@ -75,54 +79,56 @@ def splitter(path: str) -> Callable[[str], Counter]:
     return pretokens
 
 
-def _packed(rows: list[np.ndarray], starts: np.ndarray, kind: str) -> pa.Array:
-    """A binary array of slices of one buffer."""
-    values = np.ascontiguousarray(np.concatenate(rows)).astype(kind)
-    offsets = (starts * values.itemsize).astype("<i4")
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+def _packed(doc: np.ndarray, n: np.ndarray, starts: np.ndarray, kind: np.dtype) -> pa.Array:
+    """A binary array of slices of one buffer. Few columns make rows cheap to move."""
+    values = np.empty(len(doc), kind)
+    values["doc"], values["n"] = doc, n
+    offsets = (starts * kind.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.view(np.uint8))])
+
+
+def _header(ids: list, sizes: list) -> bytes:
+    """What a chunk's documents are called, and their bytes."""
+    rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "n_bytes"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def _postings(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pretokens = splitter(path)
         part, chunks = TaskContext.get().partitionId(), 0
-        schema = pa.schema(
-            [("pretoken", pa.string()), ("header_of", pa.int64()), ("chunk", pa.int64()), ("docs", pa.binary()),
-             ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
-        )
+        schema = pa.schema([("pretoken", pa.string()), ("header_of", pa.int64()), ("chunk", pa.int64()), ("postings", pa.binary())])
         number: dict[str, int] = {}
-        which, docs, counts, ids, sizes, chars = [], [], [], [], [], 0
+        which, counts, ids, sizes, chars = [], [], [], [], 0
 
         def flush():
             chunk = (part << 32) | chunks
-            header = {"header_of": chunk, "chunk": chunk, "ids": ids, "sizes": sizes}
-            yield pa.RecordBatch.from_pylist([header], schema)
+            yield pa.RecordBatch.from_pylist([{"header_of": chunk, "chunk": chunk, "postings": _header(ids, sizes)}], schema)
             if number:
                 w = np.concatenate(which)
                 order = np.argsort(w, kind="stable")
                 starts = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(number)))])
-                owner = np.repeat(np.arange(len(docs)), [len(x) for x in which])
-                n, none = len(number), pa.nulls
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number, pa.string()), none(n, pa.int64()), pa.array(np.full(n, chunk)),
-                     _packed([owner[order]], starts, "<u2"), _packed([np.concatenate(counts)[order]], starts, "<u4"),
-                     none(n, schema.field("ids").type), none(n, schema.field("sizes").type)],
-                    schema=schema,
-                )
+                owner = np.repeat(np.arange(len(ids)), [len(x) for x in which])
+                n = len(number)
+                postings = _packed(owner[order], np.concatenate(counts)[order], starts, POSTING)
+                columns = [pa.array(number, pa.string()), pa.nulls(n, pa.int64()), pa.array(np.full(n, chunk)), postings]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = pretokens(text)
                 which.append(np.fromiter((number.setdefault(k, len(number)) for k in found), np.int64, len(found)))
                 counts.append(np.fromiter(found.values(), np.int64, len(found)))
-                docs.append(doc)
                 ids.append(doc)
                 sizes.append(len(text.encode()))
                 chars += len(text)
                 if chars >= CHUNK_CHARS or len(ids) >= CHUNK_DOCS:
                     yield from flush()
                     chunks += 1
-                    number, which, docs, counts, ids, sizes, chars = {}, [], [], [], [], [], 0
+                    number, which, counts, ids, sizes, chars = {}, [], [], [], [], 0
         if ids:
             yield from flush()
 
@@ -134,10 +140,7 @@ def _sums(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(path)
-        schema = pa.schema(
-            [("chunk", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()),
-             ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
-        )
+        schema = pa.schema([("chunk", pa.int64()), ("header", pa.binary()), ("sums", pa.binary())])
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last, pieces_of_last, n_held = None, 0, 0
 
@@ -149,20 +152,14 @@ def _sums(path: str):
             first = np.flatnonzero(np.r_[True, (np.diff(chunk) != 0) | (np.diff(doc) != 0)])
             total, chunk, doc = np.add.reduceat(worth, first), chunk[first], doc[first]
             cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(chunk) != 0]), len(chunk)]
-            none = len(cuts) - 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(chunk[cuts[:-1]]), _packed([doc], cuts, "<u2"), _packed([total], cuts, "<i8"),
-                 pa.nulls(none, schema.field("ids").type), pa.nulls(none, schema.field("sizes").type)],
-                schema=schema,
-            )
+            columns = [pa.array(chunk[cuts[:-1]]), pa.nulls(len(cuts) - 1, pa.binary()), _packed(doc, total, cuts, SUM)]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             headers = batch.filter(pc.is_valid(batch.column("header_of")))
             if headers.num_rows:
-                none = pa.nulls(headers.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [headers.column("chunk"), none, none, headers.column("ids"), headers.column("sizes")], schema=schema
-                )
+                columns = [headers.column("chunk"), headers.column("postings"), pa.nulls(headers.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
             batch = batch.filter(pc.is_null(batch.column("header_of")))
             if not batch.num_rows:
                 continue
@@ -175,12 +172,11 @@ def _sums(path: str):
             found = [pieces_of_last, *found] if words[0] == last else found
             last, pieces_of_last = words[-1], found[-1]
             pieces = np.array(found, np.int64)[coded.indices.to_numpy()]
-            lengths = pc.binary_length(batch.column("docs")).to_numpy() // 2
-            docs = np.frombuffer(b"".join(batch.column("docs").to_pylist()), "<u2")
-            counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4")
+            lengths = pc.binary_length(batch.column("postings")).to_numpy() // POSTING.itemsize
+            own = np.frombuffer(b"".join(batch.column("postings").to_pylist()), POSTING)
             chunks = np.repeat(batch.column("chunk").to_numpy(), lengths)
-            held.append((chunks, docs, np.repeat(pieces, lengths) * counts))
-            n_held += len(docs)
+            held.append((chunks, own["doc"], np.repeat(pieces, lengths) * own["n"]))
+            n_held += len(own)
             if n_held >= SUMMED_AT_ONCE:
                 yield flush()
                 n_held = 0
@@ -191,14 +187,14 @@ def _sums(path: str):
 
 
 def _by_document(chunk_rows: pa.Table) -> pa.Table:
-    ids = sizes = None
-    total = np.zeros(CHUNK_DOCS, np.int64)
-    for row in chunk_rows.select(["docs", "sums", "ids", "sizes"]).to_pylist():
-        if row["docs"] is None:
-            ids, sizes = row["ids"], row["sizes"]
+    rows, total = None, np.zeros(CHUNK_DOCS, np.int64)
+    for header, sums in zip(chunk_rows.column("header").to_pylist(), chunk_rows.column("sums").to_pylist()):
+        if sums is None:
+            rows = pa.ipc.open_stream(header).read_all()
         else:
-            total[np.frombuffer(row["docs"], "<u2")] += np.frombuffer(row["sums"], "<i8")
-    return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": total[: len(ids)]})
+            own = np.frombuffer(sums, SUM)
+            total[own["doc"]] += own["n"]
+    return rows.append_column("n_tokens", pa.array(total[: rows.num_rows]))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -216,7 +212,5 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
     # is sorted far faster than strings; equal hashes of two pre-tokens only
     # make their pieces be counted again.
     together = postings.repartition("pretoken", "header_of").sortWithinPartitions(F.xxhash64("pretoken"))
-    sums = together.mapInArrow(
-        _sums(tokenizer), "chunk long, docs binary, sums binary, ids array<long>, sizes array<long>"
-    )
+    sums = together.mapInArrow(_sums(tokenizer), "chunk long, header binary, sums binary")
     return sums.groupBy("chunk").applyInArrow(_by_document, "id long, n_bytes long, n_tokens long")
