@@ -188,7 +188,7 @@ def extra_predictions(predictions: DataFrame, questions: DataFrame) -> DataFrame
 
 def eval_report(scores: DataFrame) -> DataFrame:
     """The text report of each run, four decimals."""
-    four = lambda name: F.format_string("%.4f", F.col(name))
+    four = lambda name: F.format_number(F.col(name), 4)
     rule = "((P+R+F1)/3)"
     lines = [
         F.format_string("Evaluated:                  %d questions", F.col("questions")),
