@@ -71,7 +71,7 @@ def per_question(
     asked = questions.select("question_id", "db_id").join(wanted, "question_id")
     run_ids = F.array(*[F.lit(r) for r in runs])
     pairs = asked.withColumn("run_id", F.explode(run_ids)).join(
-        last_wins(predictions).drop("entries"), ["run_id", "question_id"], "left"
+        last_wins(predictions).drop("entries").withColumn("present", F.lit(True)), ["run_id", "question_id"], "left"
     )
     # Questions per database and run: enough to find hot databases, without the joins.
     counts = questions.groupBy(db_key(F.col("db_id")).alias("db_key")).agg(
@@ -82,7 +82,8 @@ def per_question(
         "run_id",
         "question_id",
         "db_id",
-        F.col("links_json").isNull().alias("is_missing"),
+        # A prediction without links is there all the same; it scores as empty.
+        F.col("present").isNull().alias("is_missing"),
         L.canonical_sets(F.col("wanted"), names, is_gold=True).alias("g"),
         L.canonical_sets(L.scorer_entries(F.col("links_json")), names).alias("p"),
     )
