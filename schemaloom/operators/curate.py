@@ -12,26 +12,44 @@ from schemaloom import vocabulary as V
 from schemaloom.functions import links as L
 from schemaloom.functions import tokens as tok
 from schemaloom.functions.arrays import any_of
-from schemaloom.operators.joins import hot_key_join
+from schemaloom.operators.joins import hot_key_join, hot_keys
 
-# Counts of at most this many databases are broadcast: some 60 bytes each.
-BROADCAST_DATABASES = 500_000
+# Counts per database are broadcast up to this size: the names and ROW_BYTES for each.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 32
 # Rows per piece when a group is numbered or repeated in pieces.
 PIECE = 1_000_000
+# Ranges for each piece of a group that is numbered.
+RANGES = 16
 
 
 def db_counts(examples: DataFrame) -> DataFrame:
     return examples.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_db_count(examples: DataFrame, broadcast_rows: int = BROADCAST_DATABASES) -> DataFrame:
+def counts_size(counts: DataFrame) -> int:
+    """Bytes of a broadcast of `counts`, by a distributed sum."""
+    each = F.coalesce(F.octet_length("db_id"), F.lit(0)) + ROW_BYTES
+    return counts.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+
+
+def with_db_count(
+    examples: DataFrame,
+    counts: DataFrame | None = None,
+    size: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Each row with the size `n` of its database.
 
-    Up to `broadcast_rows` databases the counts are broadcast and the examples
-    stay where they are; beyond, both are shuffled with hot databases salted.
+    Up to `broadcast_bytes` the counts are broadcast and the examples stay
+    where they are; beyond, both are shuffled with hot databases salted. Who
+    has the counts already gives them, and their `counts_size`.
     """
-    counts = db_counts(examples)
-    if counts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if counts is None:
+        counts = db_counts(examples)
+    if size is None:
+        size = counts_size(counts)
+    if size <= broadcast_bytes:
         return examples.join(F.broadcast(counts), "db_id")
     return hot_key_join(examples, counts, "db_id", "question_id", counts=counts)
 
@@ -109,19 +127,25 @@ def balance_log(examples: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def numbered_in_group(df: DataFrame, group: str, by: str, piece: int = PIECE) -> DataFrame:
-    """Number the rows of each group from 1 as `rn`, in the order of the unique `by`.
+    """Number the rows of each group from 1 as `rn`, in the order of the unique whole number `by`.
 
-    A group of more than `piece` rows is cut by a hash of `by` into pieces of
-    about that size, numbered piece by piece, so that no task has to sort a hot
-    group. There are at most `rows / piece` such groups, which bounds the
-    broadcast of their list.
+    A group of more than `piece` rows is cut into ranges of `by`, numbered one
+    by one behind each other, so that no task has to sort a hot group. The
+    ranges are of equal width, `RANGES` for every `piece` rows, as numbers need
+    not lie evenly. The numbers are the same whatever `piece` is.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > piece).select(group, F.ceil(F.col("_n") / piece).alias("_pieces"))
+    counts = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.min(by).alias("_low"), F.max(by).alias("_high")
+    )
+    # As doubles, so that no difference of two numbers overflows; rounding keeps their order.
+    far = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
+    width = (far / (F.ceil(F.col("n") / piece) * RANGES)).alias("_width")
+    hot = hot_keys(counts, group, piece).select(group).join(counts.select(group, "_low", width), group)
+    offset = F.col(by).cast("double") - F.col("_low").cast("double")
     cut = (
         df.join(F.broadcast(hot), group, "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(by), F.coalesce("_pieces", F.lit(1))))
-        .drop("_pieces")
+        .withColumn("_piece", F.coalesce(F.floor(offset / F.col("_width")), F.lit(0)))
+        .drop("_low", "_width")
     )
     before = F.sum("_size").over(W.partitionBy(group).orderBy("_piece")) - F.col("_size")
     shifts = (
@@ -172,13 +196,13 @@ def train_balance(examples: DataFrame, seed: int, floor: int = 18) -> DataFrame:
         "draw",
         (_hash_below(F.col("n"), F.lit(seed), F.col("db_id"), F.col("draw")) + 1).alias("rn"),
     )
-    drawn = numbered_in_group(examples, "db_id", "question_id").join(draws, ["db_id", "rn"]).drop("rn")
-    part = lambda df, name, copy: df.withColumns({"part": F.lit(name), "copy": copy.cast("long")})
-    return (
-        part(examples, "original", F.lit(0))
-        .unionByName(part(drawn, "draw", F.col("draw")).drop("draw"))
-        .unionByName(part(examples.where(L.table_count(F.col("schema_links")) >= 2), "extra", F.lit(0)))
-    )
+    # Ids alone are numbered, of short databases only; the rest of a row follows once it is drawn.
+    ids = examples.select("db_id", "question_id").join(short.select("db_id"), "db_id", "left_semi")
+    drawn = numbered_in_group(ids, "db_id", "question_id").join(draws, ["db_id", "rn"]).drop("rn")
+    drawn = examples.join(drawn, ["db_id", "question_id"]).withColumn("copy", F.col("draw").cast("long"))
+    parts = F.array(F.lit("original"), F.when(L.table_count(F.col("schema_links")) >= 2, F.lit("extra")))
+    kept = examples.withColumns({"part": F.explode(F.array_compact(parts)), "copy": F.lit(0).cast("long")})
+    return kept.unionByName(drawn.drop("draw").withColumn("part", F.lit("draw")))
 
 
 def is_target(

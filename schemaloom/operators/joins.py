@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 BROADCAST_COLUMNS = 50_000
 # One task takes about this many rows of a hot key.
 ROWS_PER_SALT = 1_000_000
-# Only this many of the hottest keys are salted, which bounds their list.
-MAX_HOT_KEYS = 1_000
+# A key with less than this part of all rows is no burden to any one task.
+# Keys above it are fewer than this number, which bounds their list.
+HOT_PART = 100_000
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """Every key of `counts` (`key`, `n`) with more than `rows` rows, or than 1 / `HOT_PART` of all if that is more.
+
+    So there are fewer than `HOT_PART` of them, however large the data: the
+    list may be broadcast.
+    """
+    share = counts.agg(F.greatest(F.lit(rows), F.coalesce(F.sum("n"), F.lit(0)) / HOT_PART).alias("share"))
+    return counts.where(F.col("n") > share.scalar()).select(key, "n")
 
 
 def hot_key_join(
@@ -38,12 +49,8 @@ def hot_key_join(
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(
-        counts.where(F.col("n") > rows_per_salt)
-        .orderBy(F.col("n").desc(), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_salts"))
-    )
+    salts_of = F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_salts")
+    hot = F.broadcast(hot_keys(counts, key, rows_per_salt).select(key, salts_of))
     salts = F.coalesce("_salts", F.lit(1))
     salted = (
         left.join(hot, key, "left")

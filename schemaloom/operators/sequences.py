@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from schemaloom import vocabulary as V
 from schemaloom.functions import sequences as seq
 
-ROWS_PER_BUCKET = 100_000
+# Buckets of rows that are batched; a fixed number, so that batches do not depend on the row count.
+BUCKETS = 64
 
 
 def truncate_pair(df: DataFrame, max_length: int, eos_id: int) -> DataFrame:
@@ -35,17 +34,14 @@ def label_mask(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", row).select(*df.columns, "_row.*").drop("prompt_ids", "answer_ids")
 
 
-def assign_batches(
-    df: DataFrame, by: str, batch_size: int, seed: int, buckets: int | None = None
-) -> DataFrame:
+def assign_batches(df: DataFrame, by: str, batch_size: int, seed: int, buckets: int = BUCKETS) -> DataFrame:
     """Number rows into batches in a seeded order.
 
-    Rows are numbered inside hash buckets of about `ROWS_PER_BUCKET` rows, so
-    no task sees the whole data; the last batch of a bucket may be short.
-    `by` has to identify a row.
+    Rows are numbered inside `buckets` hash buckets, so no task sees the whole
+    data; the last batch of a bucket may be short. A bucket is one task: give
+    a number that fits the data, as the make-up of the batches follows from it
+    alone. `by` has to identify a row.
     """
-    if buckets is None:
-        buckets = max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))
     bucket = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % buckets
     place = F.row_number().over(W.partitionBy("bucket").orderBy("_digest", by))

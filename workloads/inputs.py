@@ -52,12 +52,11 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def schema_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """One schema document per customer that is not in debt."""
+    """One schema document per customer."""
     documents = [
         F.from_json(F.lit(json.dumps(X.document(f))), DOCUMENT_SCHEMA.simpleString()) for f in X.FAMILIES
     ]
-    owners = customers(spark, sf).where("c_acctbal >= 0")
-    return owners.select(
+    return customers(spark, sf).select(
         "db_id", db_key(F.col("db_id")).alias("db_key"), _pick(F.col("family"), documents).alias("doc")
     ).select("db_id", "db_key", "doc.*")
 
@@ -109,23 +108,43 @@ def linked_examples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("question_id", "db_id", "question", "gold_sql", "schema_links")
 
 
+def scored_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """All questions; expensive ones also asked again to a database without a schema."""
+    rows = examples(spark, sf)
+    lost = rows.where("o_totalprice > 492000").select(
+        _again().alias("question_id"), F.concat(F.lit("lost "), "db_id").alias("db_id"), "question"
+    )
+    return rows.select("question_id", "db_id", "question").unionByName(lost)
+
+
+def _again() -> Column:
+    """The id of a question that is there a second time."""
+    return -1 - F.col("question_id")
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold links; the most expensive orders have none."""
-    return examples(spark, sf).where("o_totalprice <= 495000").select("question_id", "links_json")
+    """Gold links; the most expensive orders have none but where they are asked again."""
+    rows = examples(spark, sf)
+    again = rows.where("o_totalprice > 492000").select(_again().alias("question_id"), "links_json")
+    return rows.where("o_totalprice <= 495000").select("question_id", "links_json").unionByName(again)
+
+
+def all_pairs_of_runs(rows: DataFrame) -> DataFrame:
+    """Every question once for each run; `v` is the kind of answer."""
+    kind = F.pmod(F.floor(F.col("question_id") / 12) + F.col("run_id"), F.lit(8))
+    return rows.withColumn("run_id", F.explode(F.array(*map(F.lit, X.RUNS)))).withColumn("v", kind)
 
 
 def asked_of_runs(rows: DataFrame) -> DataFrame:
-    """Question and run pairs that have an answer; `v` is the kind of answer.
+    """Question and run pairs that have an answer, for scoring.
 
     Each run left out open orders of one priority; run 4 also all finished ones.
     """
-    pairs = rows.withColumn("run_id", F.explode(F.array(*map(F.lit, X.RUNS))))
     left_out = (F.col("o_orderstatus") == "P") & (
         F.substring("o_orderpriority", 1, 1).cast("int") == F.col("run_id")
     )
     finished = (F.col("run_id") == 4) & (F.col("o_orderstatus") == "F")
-    kind = F.pmod(F.floor(F.col("question_id") / 12) + F.col("run_id"), F.lit(8))
-    return pairs.where(~left_out & ~finished).withColumn("v", kind)
+    return all_pairs_of_runs(rows).where(~left_out & ~finished)
 
 
 def with_responses(rows: DataFrame) -> DataFrame:
@@ -141,7 +160,7 @@ def with_responses(rows: DataFrame) -> DataFrame:
         .when(F.col("v") == 6, F.left(g, F.length(g) - 3))
         .otherwise(F.lit(X.ODD_ANSWER))
     )
-    return asked_of_runs(rows).withColumn("response", text)
+    return all_pairs_of_runs(rows).withColumn("response", text)
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,10 +169,20 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of runs that left questions out, for scoring."""
+    return _predictions(asked_of_runs(examples(spark, sf)))
+
+
+def all_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of every run for every question."""
+    return _predictions(all_pairs_of_runs(examples(spark, sf)))
+
+
+def _predictions(answered: DataFrame) -> DataFrame:
     """`run_id, question_id, links_json, pos` with repeats and unknown ids.
 
     Cheap orders are answered twice, the later answer empty; expensive ones
-    also under an id that nobody asked.
+    also under an id that belongs to a question without schema or to none.
     """
     g = F.col("links_json")
     text = (
@@ -172,15 +201,16 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.array(
             row(qid, text, 0),
             F.when(F.col("o_totalprice") < 10000, row(qid, F.lit("{}"), 1)),
-            F.when(F.col("o_totalprice") > 490000, row(-1 - qid, text, 2)),
+            F.when(F.col("o_totalprice") > 490000, row(_again(), text, 2)),
         )
     )
-    return asked_of_runs(examples(spark, sf)).select("run_id", F.inline_outer(entries))
+    return answered.select("run_id", F.inline_outer(entries))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """The runs found in the predictions and one that failed."""
-    found = predictions(spark, sf).select("run_id").distinct()
+    """The runs that answered and one that failed."""
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "question_id")
+    found = asked_of_runs(orders).select("run_id").distinct()
     failed = spark.range(X.FAILED_RUN, X.FAILED_RUN + 1).select(F.col("id").cast("int").alias("run_id"))
     name = F.concat(F.lit("sweep_run"), F.col("run_id").cast("string"))
     path = F.format_string("sweep/runs/%s/checkpoints/final_checkpoint", F.col("run_id").cast("string"))

@@ -87,7 +87,7 @@ tedge(f, src, dst, src_table, dst_table) AS ({values(_template_edges())}),
 tpl(f, n, q, links, sql) AS ({values(X.rows())}),
 cust0 AS (SELECT customer.*, fam.f, fam.n_tpl, fname || ' ' || c_name AS db_id FROM customer JOIN fam ON fam.f = c_custkey % 4),
 cust AS (SELECT *, {KEY} AS db_key FROM cust0),
-docs AS (SELECT f, db_id, db_key FROM cust WHERE c_acctbal >= 0),
+docs AS (SELECT f, db_id, db_key FROM cust),
 ex AS (SELECT o_orderkey AS question_id, cust.f, tpl.n AS tn, db_id, db_key, {filled('q')} AS question,
   {filled('sql')} AS gold_sql, links AS links_json, o_orderstatus, o_orderpriority, o_totalprice
   FROM orders JOIN cust ON o_custkey = c_custkey JOIN tpl ON tpl.f = cust.f AND tpl.n = o_orderkey % cust.n_tpl),
@@ -258,6 +258,8 @@ runs(run_id) AS ({values([(r,) for r in X.RUNS])}),
 asked AS (SELECT ex.*, run_id, (question_id // 12 + run_id) % 8 AS v FROM ex, runs
   WHERE NOT (o_orderstatus = 'P' AND CAST(left(o_orderpriority, 1) AS INT) = run_id) AND NOT (run_id = 4 AND o_orderstatus = 'F'))
 """
+# Every question answered by every run.
+ALL_RUNS = RUNS[: RUNS.index("  WHERE NOT")].rstrip() + ")"
 PREDICTIONS = f"""{RUNS},
 ptext AS (SELECT *, CASE v WHEN 1 THEN upper(links_json) WHEN 4 THEN {GHOST}
   WHEN 5 THEN replace(links_json, ']', ',"no_such_col"]') WHEN 6 THEN '{{}}' WHEN 7 THEN {ODD} ELSE links_json END AS links FROM asked),
@@ -266,6 +268,8 @@ preds AS (SELECT run_id, question_id, links AS links_json, 0 AS pos FROM ptext
   UNION ALL SELECT run_id, -1 - question_id, links, 2 FROM ptext WHERE o_totalprice > 490000)
 """
 
+ALL_PREDICTIONS = PREDICTIONS.replace(RUNS, ALL_RUNS)
+
 # Links text -> (table, items) rows as the scorer reads them. `src` has an `id`.
 def scorer_rows(src: str, name: str, marked: bool) -> str:
     """CTEs ending in `{name}t`, `{name}p`: members of the sets, by row id."""
@@ -287,7 +291,8 @@ def scorer_rows(src: str, name: str, marked: bool) -> str:
 
 
 LASTS = """lasts AS (SELECT run_id, question_id, arg_max(links_json, pos) AS links_json, count(*) AS entries FROM preds GROUP BY ALL)"""
-GOLD = "gold AS (SELECT question_id, links_json FROM ex WHERE o_totalprice <= 495000)"
+GOLD = """gold AS (SELECT question_id, links_json FROM ex WHERE o_totalprice <= 495000
+  UNION ALL SELECT -1 - question_id, links_json FROM ex WHERE o_totalprice > 492000)"""
 
 
 def level(name: str) -> str:
@@ -593,7 +598,7 @@ nj0 AS (SELECT f, tn, '{' || string_agg('"' || table_name || '": [' || array_to_
         "UNION ALL SELECT run_id, question_id, table_name, array_to_string(list_concat(cols, ['no_such_col']), ',') FROM asked JOIN lt USING (f, tn) "
         "WHERE v = 5 AND links_json NOT LIKE '%[]%' "
         f"UNION ALL SELECT run_id, question_id, k, n FROM asked, ({values(odd)}) AS o(k, n) WHERE v = 7",
-        BASE, LINKS, RUNS,
+        BASE, LINKS, ALL_RUNS,
     )
     q["event_props"] = (
         "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value "
@@ -615,7 +620,7 @@ rl AS (SELECT lt.f, lt.tn, '{' || string_agg('"' || lt.table_name || '":[' || co
         "SELECT run_id, question_id, CASE WHEN v IN (0, 1, 2, 3) THEN rl.links WHEN v = 5 AND links_json NOT LIKE '%[]%' THEN rl.links "
         "WHEN v = 7 THEN odd.links ELSE '{}' END AS links FROM asked JOIN rl USING (f, tn) JOIN odd USING (f) "
         "WHERE db_key IN (SELECT db_key FROM docs)",
-        BASE, LINKS, RUNS, real, f"odd(f, links) AS ({values(parsed_odd)})",
+        BASE, LINKS, ALL_RUNS, real, f"odd(f, links) AS ({values(parsed_odd)})",
     )
     q["parse_id_links"] = with_(
         "SELECT question_id, rl.links AS links FROM exd JOIN rl USING (f, tn)", BASE, LINKS, real
@@ -628,7 +633,7 @@ asked_preds AS (SELECT preds.run_id, preds.question_id, preds.pos, preds.links_j
         "SELECT run_id, question_id, pos, CASE WHEN pos = 1 THEN '{}' WHEN v IN (0, 1, 2, 3) THEN rl.links "
         "WHEN v = 5 AND rl.links NOT LIKE '%[]%' THEN rl.links WHEN v = 7 THEN odd.links ELSE '{}' END AS links "
         "FROM asked_preds JOIN rl USING (f, tn) JOIN odd USING (f)",
-        BASE, LINKS, PREDICTIONS, real, known, f"odd(f, links) AS ({values(normal_odd)})",
+        BASE, LINKS, ALL_PREDICTIONS, real, known, f"odd(f, links) AS ({values(normal_odd)})",
     )
     q["validate_links"] = with_(
         """, bad AS (
@@ -637,7 +642,7 @@ UNION ALL SELECT run_id, question_id, db_id, t, c FROM (SELECT *, unnest(cs) AS
 WHERE NOT EXISTS (SELECT 1 FROM tcol WHERE tcol.f = s.f AND tcol.table_name = s.t AND tcol.col_name = s.c AND plain_type IS NOT NULL))
 SELECT question_id, db_id, table_name, col_name, 'question_id=' || question_id || ' db_id=' || db_id || ': ' || CASE WHEN col_name IS NULL
 THEN 'table ''' || table_name || ''' not in schema' ELSE 'column ''' || col_name || ''' not in table ''' || table_name || '''' END AS warning FROM bad""",
-        BASE, LINKS, RUNS,
+        BASE, LINKS, ALL_RUNS,
         """spoilt0 AS (SELECT asked.run_id, question_id, db_id, asked.f, CASE v WHEN 1 THEN upper(table_name) ELSE table_name END AS t,
   CASE WHEN v = 1 THEN list_transform(cols, lambda c: upper(c)) WHEN len(cols) = 0 THEN cols ELSE list_concat(cols, ['no_such_col']) END AS cs
   FROM asked JOIN lt USING (f, tn) WHERE v <> 4 AND db_key IN (SELECT db_key FROM docs)
@@ -649,7 +654,7 @@ spoilt AS (SELECT *, EXISTS (SELECT 1 FROM tcol WHERE tcol.f = spoilt0.f AND tab
         "bad_columns::INT AS bad_columns FROM src JOIN xb USING (id) "
         "LEFT JOIN (SELECT id, string_agg(m, ',' ORDER BY m) AS tt FROM xt GROUP BY id) USING (id) "
         "LEFT JOIN (SELECT id, string_agg(m, ',' ORDER BY m) AS pp FROM xp GROUP BY id) USING (id)",
-        BASE, PREDICTIONS, known,
+        BASE, ALL_PREDICTIONS, known,
         "src AS (SELECT *, row_number() OVER () AS id, links_json AS links FROM asked_preds)".replace(
             "row_number() OVER ()", "(question_id * 10 + run_id) * 10 + pos"
         ),
@@ -672,7 +677,8 @@ count(*) FILTER (status = 'scored') AS scored, (SELECT count(*) FROM st WHERE st
 FROM lasts LEFT JOIN st USING (question_id) GROUP BY run_id""",
         BASE, PREDICTIONS, LASTS, GOLD,
         "st AS (SELECT question_id, CASE WHEN db_key NOT IN (SELECT db_key FROM docs) THEN 'no_schema' "
-        "WHEN question_id NOT IN (SELECT question_id FROM gold) THEN 'no_gold' ELSE 'scored' END AS status FROM ex)",
+        "WHEN question_id NOT IN (SELECT question_id FROM gold) THEN 'no_gold' ELSE 'scored' END AS status FROM ex "
+        "UNION ALL SELECT -1 - question_id, 'no_schema' FROM ex WHERE o_totalprice > 492000)",
     )
     per_row = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
     q["per_question"] = with_(
@@ -762,8 +768,7 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
     q["pad_batch"] = with_(
         f"SELECT question_id, bucket, batch, {padded('i', 1)} AS input_ids, {padded('m', 0)} AS attention_mask, {padded('l', -100)} AS labels FROM b2",
         BASE, PAIRS,
-        "nbk AS (SELECT greatest(1, ceil(count(*) / 100000.0))::BIGINT AS nb FROM mk)",
-        f"b0 AS (SELECT mk.*, md5(concat_ws(':', '{SEED}', question_id)) AS dg, ({hashed(lit(str(SEED)), 'question_id')} % nb)::INT AS bucket FROM mk, nbk)",
+        f"b0 AS (SELECT mk.*, md5(concat_ws(':', '{SEED}', question_id)) AS dg, ({hashed(lit(str(SEED)), 'question_id')} % 64)::INT AS bucket FROM mk)",
         "b1 AS (SELECT *, ((row_number() OVER (PARTITION BY bucket ORDER BY dg, question_id) - 1) // 8)::INT AS batch FROM b0)",
         "b2 AS (SELECT *, max(len(i)) OVER (PARTITION BY bucket, batch) AS longest FROM b1)",
     )

@@ -12,7 +12,7 @@ from schemaloom.config import PRESETS, RetrievalConfig, RunConfig
 from schemaloom.functions import jsontext, prompts, sequences, tokens
 from schemaloom.functions import links as link_text
 from schemaloom.functions.arrays import inline_rows, let
-from schemaloom.operators import catalog, curate, evaluate, links, predict, retrieval
+from schemaloom.operators import catalog, curate, evaluate, joins, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
 from workloads import inputs
@@ -157,21 +157,21 @@ def text_word_counts(spark, sf):
 def lexical_evidence(spark, sf):
     """Every score part of every question and column, each on its own."""
     d = Data(spark, sf)
-    columns = catalog.catalog_columns(d.schema_docs).select(
-        "db_key",
+    column = F.struct(
         "col_idx",
         "col_name",
         "is_pk",
         "is_fk",
         tokens.split_identifier(F.col("col_name")).alias("name_words"),
     )
+    columns = catalog.catalog_columns(d.schema_docs).groupBy("db_key").agg(F.collect_list(column).alias("columns"))
     asked = d.questions.select(
         "question_id",
         catalog.db_key(F.col("db_id")).alias("db_key"),
         "question",
         tokens.question_tokens(F.col("question")).alias("words"),
     )
-    pairs = asked.join(columns, "db_key")
+    pairs = joins.join_catalog(asked, columns, d.size()).select("question_id", "question", "words", F.inline("columns"))
     return rounded(
         pairs.select(
             "question_id",
@@ -406,7 +406,7 @@ def parse_id_links(spark, sf):
 
 def _predicted(d: Data) -> DataFrame:
     """Predictions of asked questions with their database."""
-    return d.predictions.join(d.questions.select("question_id", "db_id"), "question_id")
+    return d.all_predictions.join(d.questions.select("question_id", "db_id"), "question_id")
 
 
 @query
@@ -419,7 +419,7 @@ def normalize_links(spark, sf):
 @query
 def validate_links(spark, sf):
     d = Data(spark, sf)
-    answered = inputs.asked_of_runs(d.examples)
+    answered = inputs.all_pairs_of_runs(d.examples)
     text = F.when(F.col("v") == 1, F.upper("links_json")).when(
         F.col("v") == 4, F.lit('{"ghost_table":["ghost_col"]}')
     )
@@ -472,12 +472,12 @@ def extra_predictions(spark, sf):
 @query
 def eval_diagnostics(spark, sf):
     d = Data(spark, sf)
-    return evaluate.eval_diagnostics(d.questions, d.gold, d.predictions, d.schema_docs, d.size())
+    return evaluate.eval_diagnostics(d.scored_questions, d.gold, d.predictions, d.schema_docs, d.size())
 
 
 def _rows(spark, sf) -> DataFrame:
     d = Data(spark, sf)
-    return evaluate.per_question(d.questions, d.gold, d.predictions, d.schema_docs, list(X.RUNS), d.size())
+    return evaluate.per_question(d.scored_questions, d.gold, d.predictions, d.schema_docs, list(X.RUNS), d.size())
 
 
 SCORES = ("table_score", "column_score", "leaderboard_score")
