@@ -56,7 +56,7 @@ class RunConfig:
 
     base_model: str | None = None
     output_format: str = "ids"
-    retrieval: RetrievalConfig = field(default_factory=lambda: PRESETS["grid"])
+    retrieval: RetrievalConfig = field(default_factory=lambda: PRESETS["default"])
     max_input_length: int = 2048
     train_config: Mapping[str, Any] = field(default_factory=dict)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
 from schemaloom.functions.arrays import take, take_last
+from schemaloom.functions.workers import kept
 
 # A run of word characters, or one other visible character.
 TOKEN = r"\w+|[^\w\s]"
@@ -31,10 +33,11 @@ def tokenizer_ids(text: Column, load: Callable[[], Callable[[list[str]], list[li
     `load` runs once per Python worker and returns a function from a list of
     texts to a list of id lists.
     """
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenize: Any = load()
+        tokenize: Any = kept(name, load)
         for batch in batches:
             yield pd.Series(tokenize(batch.tolist()), index=batch.index)
 

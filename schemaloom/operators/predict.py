@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions.workers import kept
+
 Predictor = Callable[[list[str]], list[str]]
 
 
@@ -23,14 +24,9 @@ def responses(prompt: Column, load: Callable[[], Predictor]) -> Column:
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # A worker process serves many tasks; each brings its own copy of this
-        # function, so the model is kept with the process. The last one stays.
-        kept = sys.__dict__.setdefault("_schemaloom_model", {})
-        if name not in kept:
-            kept.clear()
-            kept[name] = load()
+        model = kept(name, load)
         for batch in batches:
-            yield pd.Series(kept[name](batch.tolist()), index=batch.index, dtype=object)
+            yield pd.Series(model(batch.tolist()), index=batch.index, dtype=object)
 
     return answer(prompt)
 

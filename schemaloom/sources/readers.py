@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from schemaloom.config import RunConfig
 from schemaloom.functions.links import LINKS_TYPE
@@ -24,18 +25,23 @@ def _file_path() -> Column:
     return _decoded(F.col("_metadata.file_path"))
 
 
+def _whole_files(spark: SparkSession, fields: StructType | str, path: str) -> DataFrame:
+    """JSON documents or lists; a broken file stops the job with an error that names it."""
+    return spark.read.schema(fields).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Schema documents `<db_key>.json`, one row per file."""
-    rows = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
+    rows = _whole_files(spark, DOCUMENT_SCHEMA, path)
     return rows.select(F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.json$", "").alias("db_key"), "*")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUESTION_FIELDS).option("multiLine", True).json(path)
+    return _whole_files(spark, QUESTION_FIELDS, path)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EXAMPLE_FIELDS).option("multiLine", True).json(path)
+    return _whole_files(spark, EXAMPLE_FIELDS, path)
 
 
 def incomplete_examples(examples: DataFrame) -> DataFrame:
@@ -59,12 +65,15 @@ def _json_list(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Elements of JSON list files with their place in the file.
 
     The place decides between repeated ids, so each file is parsed as the one
-    document it is; files are spread over the tasks.
+    document it is; files are spread over the tasks. A broken file stops the
+    job with an error that names it.
     """
     text = spark.read.text(path, wholetext=True)
+    rows = F.from_json("value", f"array<struct<{_struct(fields)}>>")
+    broken = F.raise_error(F.concat(F.lit("not a JSON list: "), _file_path()))
     return text.select(
         _file_path().alias("file_path"),
-        F.posexplode_outer(F.from_json("value", f"array<struct<{_struct(fields)}>>")).alias("pos", "row"),
+        F.posexplode_outer(F.coalesce(rows, broken)).alias("pos", "row"),
     ).where("pos is not null").select("file_path", "pos", "row.*")
 
 
