@@ -127,7 +127,9 @@ def response_links(response: Column, candidates: Column, tables: Column) -> Colu
 
 
 def to_links_map(entries: Column) -> Column:
-    return F.map_from_entries(entries)
+    """Entries as a map; of tables with equal names the last one stays."""
+    later = lambda es, e, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x.table_name == e.table_name)
+    return F.map_from_entries(let(entries, lambda es: F.filter(es, lambda e, i: ~later(es, e, i))))
 
 
 def compact_json(entries: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
-from schemaloom.functions.arrays import take, take_last
+from schemaloom.functions.arrays import let, take, take_last
 from schemaloom.functions.workers import kept
 
 # A run of word characters, or one other visible character.
@@ -61,6 +61,12 @@ def input_budget(prompt: Column, max_length: int) -> Column:
     return take_last(prompt, F.lit(max_length))
 
 
+def last_tokens(text: Column, max_length: int) -> Column:
+    """The end of a text, cut to so many regex tokens with the blanks before them."""
+    parts = F.regexp_extract_all(text, F.lit(rf"\s*(?:{TOKEN})"), F.lit(0))
+    return let(parts, lambda p: F.array_join(take_last(p, F.lit(max_length)), ""))
+
+
 def sequence_row(prompt: Column, answer: Column) -> Column:
     """Input ids, attention mask and labels of an already fitted pair."""
     ids = F.concat(prompt, answer)

@@ -92,6 +92,12 @@ def with_scores(
     return join_catalog(asked, catalog, columns, derive).withColumn("scored", scored)
 
 
+def questions_without_schema(questions: DataFrame, catalog: DataFrame, columns: int | None = None) -> DataFrame:
+    """Questions that retrieval drops, because no schema has their `db_key`."""
+    asked = questions.withColumn("db_key", db_key(F.col("db_id")))
+    return join_catalog(asked, catalog.select("db_key"), columns, how="left_anti")
+
+
 def column_scores(scored: DataFrame) -> DataFrame:
     """One row per question and column."""
     rows = F.flatten(

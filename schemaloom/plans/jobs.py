@@ -20,6 +20,7 @@ from schemaloom.operators.predict import Predictor, batch_predict
 from schemaloom.operators.retrieval import candidate_schema
 
 Tokens = Callable[[Column], Column]
+Shorten = Callable[[Column, int], Column]
 
 
 def prompts(
@@ -37,9 +38,16 @@ def link_questions(
     run: RunConfig,
     load: Callable[[], Predictor],
     columns: int | None = None,
+    shorten: Shorten = seq.last_tokens,
 ) -> DataFrame:
-    """Questions to links with a user's model: retrieve, ask, parse."""
+    """Questions to links with a user's model: retrieve, cut to the input length, ask, parse.
+
+    `shorten` gives the end of a prompt that has so many tokens; for a model
+    with a tokenizer of its own, give one that counts by it. Questions without
+    a schema are listed by `questions_without_schema`.
+    """
     asked = prompts(questions, catalog, run.retrieval, run.output_format, columns)
+    asked = asked.withColumn("prompt", shorten(F.col("prompt"), run.max_input_length))
     answered = batch_predict(asked, "prompt", load)
     return parse_links(answered, "response").select("question_id", "db_id", "response", "parsed")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.links import LINKS_TYPE
 from schemaloom.operators import curate as U
+from schemaloom.operators.joins import hot_key_join, hot_keys
 
 
 def examples(spark, sizes, links='{"a":["x"],"b":[]}'):
@@ -147,3 +148,12 @@ def test_selection_order_and_ties(spark):
     assert [r.question_id for r in pick.collect()] == [6, 5, 4, 3, 1]
     assert U.selection_by_db(pick).first().selected == 5
     assert "TakeOrderedAndProject" in plan(pick)
+
+
+def test_every_hot_key_is_salted(spark):
+    left = spark.range(4500).selectExpr("id as question_id", "id % 1500 as k")
+    right = spark.range(1500).selectExpr("id as k", "id * 2 as twice")
+    counts = left.groupBy("k").count().withColumnRenamed("count", "n")
+    assert hot_keys(counts, "k", 1).count() == 1500
+    rows = hot_key_join(left, right, "k", "question_id", rows_per_salt=1)
+    assert rows.count() == 4500 and rows.where("twice <> 2 * (question_id % 1500)").count() == 0

@@ -133,3 +133,17 @@ def test_prediction_lines(spark, tmp_path):
     assert readers.read_links(spark, put(tmp_path / "list.json", [{"question_id": 1, "schema_links": {}}])).count() == 1
     row = readers.read_prediction_lines(spark, str(tmp_path / "p")).first()
     assert (row.question_id, row.links_json) == (1, '{"A":["x"]}')
+
+
+@pytest.mark.parametrize("read", [readers.read_catalog, readers.read_questions, readers.read_examples, readers.read_predictions])
+def test_broken_files_are_named(spark, tmp_path, read):
+    path = put(tmp_path / "broken.json", json.dumps(EXAMPLES)[:-30])
+    with pytest.raises(Exception, match="broken.json"):
+        read(spark, path).collect()
+
+
+def test_predictions_with_equal_table_names(spark, tmp_path):
+    entries = [("T", ["a"]), ("U", ["b"]), ("T", ["c"])]
+    df = spark.createDataFrame([(1, entries)], "question_id int, parsed array<struct<table_name string, cols array<string>>>")
+    writers.write_predictions(df, str(tmp_path / "out"))
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first().value)["schema_links"] == {"U": ["b"], "T": ["c"]}

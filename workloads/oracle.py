@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from schemaloom import vocabulary as V
 from workloads import templates as X
-from workloads.queries import BUDGET, MAX_LENGTH, SEED, TARGETS
+from workloads.queries import BUDGET, INPUT_LENGTH, MAX_LENGTH, SEED, TARGETS
 
 
 def lit(value) -> str:
@@ -780,9 +780,15 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
         "t1 AS (SELECT question_id, p, CASE WHEN len(a0) >= 128 THEN list_concat(a0[1:127], [0]) ELSE a0 END AS a FROM t0)",
         "t2 AS (SELECT *, CASE WHEN 128 - len(a) <= 0 THEN [] ELSE p[greatest(1, len(p) - (128 - len(a)) + 1):] END AS q FROM t1)",
     )
+    q["questions_without_schema"] = with_(
+        "SELECT -1 - question_id AS question_id, 'lost ' || db_id AS db_id FROM ex WHERE o_totalprice > 492000", BASE
+    )
     q["batch_predict"] = with_("SELECT question_id, question, 'echo ' || question AS response FROM ex", BASE)
     q["link_questions"] = with_(
-        "SELECT question_id, '{\"' || table_name || '\":[\"' || col_name || '\"]}' AS links FROM cand WHERE t_rank = 1 AND c_rank = 1",
-        BASE, SCORES, free,
+        "SELECT question_id, '{\"' || table_name || '\":[\"' || col_name || '\"]}' AS links FROM cand JOIN sent USING (question_id) "
+        "WHERE t_rank = 1 AND c_rank = 1 + length(array_to_string(parts[-least(len(parts), "
+        f"{INPUT_LENGTH}):], '')) % 2",
+        BASE, SCORES, free, user_text("ids"),
+        f"sent AS (SELECT question_id, regexp_extract_all(prompt, '\\s*(?:[0-9A-Za-z_]+|[^0-9A-Za-z_\\s])') AS parts FROM ({prompt('ids')}))",
     )
     return q

@@ -25,6 +25,7 @@ BUDGET = RetrievalConfig(
     max_tables=2, max_columns_per_table=4, min_columns_per_table=2, join_neighbor_limit=1
 )
 MAX_LENGTH = 20
+INPUT_LENGTH = 60
 SEED = 43
 TARGETS = {"databases": ("corpus Customer#000000001",), "prefixes": ("field survey/2024",)}
 
@@ -283,6 +284,13 @@ def retrieval_recall(spark, sf):
     return rounded(both, "table_recall", "column_recall")
 
 
+@query
+def questions_without_schema(spark, sf):
+    d = Data(spark, sf)
+    lost = retrieval.questions_without_schema(d.scored_questions, d.schema_docs, d.size())
+    return lost.select("question_id", "db_id")
+
+
 # Prompts and targets -----------------------------------------------------------
 
 
@@ -697,8 +705,8 @@ def training_sequences(spark, sf):
 
 
 def first_choice():
-    """A stand-in model: always the first column of the first table."""
-    return lambda prompts: ['Answer: {"t1": ["C1"]}' for _ in prompts]
+    """A stand-in model: the first column of the first table, or the second if the prompt's length is odd."""
+    return lambda prompts: [f'Answer: {{"t1": ["C{1 + len(p) % 2}"]}}' for p in prompts]
 
 
 @query
@@ -714,6 +722,6 @@ def echo():
 @query
 def link_questions(spark, sf):
     d = Data(spark, sf)
-    run = RunConfig(retrieval=BUDGET)
+    run = RunConfig(retrieval=BUDGET, max_input_length=INPUT_LENGTH)
     df = jobs.link_questions(d.questions, d.schema_docs, run, first_choice, d.size())
     return df.select("question_id", link_text.compact_json(F.col("parsed")).alias("links"))
