@@ -245,9 +245,9 @@ def fit(
     # Fewer tasks, fewer tables to add up; each holds one table, however much it reads.
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     counted = labelled.coalesce(tasks).mapInArrow(_counts, "place int, before int, n0 long, n1 long, n2 long, n3 long")
-    table = counted.groupBy("place").agg(F.max("before").alias("before"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).toPandas()
-    place, before = table["place"].to_numpy(np.int64), table["before"].to_numpy(np.int64)
-    n = [table[f"n{k}"].to_numpy(np.float64) for k in range(4)]
+    table = counted.groupBy("place").agg(F.max("before").alias("before"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).toArrow()
+    place, before = (table.column(c).to_numpy() for c in ("place", "before"))
+    n = [table.column(f"n{k}").to_numpy() for k in range(4)]
     del table
     if not all(c.sum() for c in n):
         ones, rows = taught.agg(F.sum("y"), F.count(F.lit(1))).first()
