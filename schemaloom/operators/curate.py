@@ -54,21 +54,22 @@ def with_db_count(
     return hot_key_join(examples, counts, "db_id", "question_id", counts=counts)
 
 
-def dataset_stats(records: DataFrame) -> DataFrame:
-    """One row of totals over records with `schema_links` and `is_oversampled`.
+def dataset_stats(records: DataFrame, *keys: str) -> DataFrame:
+    """One row of totals over records with `schema_links` and `is_oversampled`, or one for each value of `keys`.
 
     The counts per database are a relation of their own (`db_counts`): their
     number grows with the data and does not belong into one row.
     """
     links = F.col("schema_links")
     sized = records.select(
+        *keys,
         "db_id",
         "is_oversampled",
         L.table_count(links).alias("tables"),
         L.column_count(links).alias("cols"),
         L.has_empty_table(links).alias("has_empty"),
     )
-    return sized.agg(
+    return sized.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_examples"),
         F.count_distinct("db_id").alias("unique_databases"),
         F.count_if(F.col("tables") > 1).alias("multi_table_examples"),
@@ -89,14 +90,17 @@ def light_target(n: Column, threshold: int) -> Column:
     return F.least(2 * n, F.lit(threshold))
 
 
-def light_balance(examples: DataFrame, threshold: int = 10) -> DataFrame:
-    """Add copies of the first rows of databases below the threshold.
+def light_balance(
+    examples: DataFrame, threshold: int = 10, order: Sequence[str] = ("question_id",)
+) -> DataFrame:
+    """Add copies of the first rows, by `order`, of databases below the threshold.
 
+    `order` has to identify a row; `readers.INPUT_ORDER` is that of the files.
     The rank filter reaches the map side of the shuffle (group limit), so a
     hot database sends only a handful of rows per task.
     """
     first = examples.withColumn(
-        "_rn", F.row_number().over(W.partitionBy("db_id").orderBy("question_id"))
+        "_rn", F.row_number().over(W.partitionBy("db_id").orderBy(*order))
     ).where(F.col("_rn") <= max(1, threshold // 2))
     small = db_counts(examples).where(F.col("n") < threshold)
     copies = (
@@ -284,9 +288,9 @@ def difficulty(examples: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def select_for_augmentation(
-    scored: DataFrame, min_score: int = 9, max_examples: int = 90
+    scored: DataFrame, min_score: int = 9, max_examples: int = 90, order: Sequence[str] = ("question_id",)
 ) -> DataFrame:
-    """The hardest examples above a score, hardest first, input order on ties."""
+    """The hardest examples above a score, hardest first; ties by `order`, for instance `readers.INPUT_ORDER`."""
     return (
         scored.where(F.col("score") >= min_score)
         .orderBy(
@@ -294,7 +298,7 @@ def select_for_augmentation(
             F.col("num_tables").desc(),
             F.col("num_columns").desc(),
             F.col("n").asc(),
-            F.col("question_id").asc(),
+            *order,
         )
         .limit(max_examples)
     )

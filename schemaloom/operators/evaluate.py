@@ -17,9 +17,13 @@ def last_wins(predictions: DataFrame) -> DataFrame:
     """The last prediction per run and question, with the number of entries.
 
     Aggregated on the map side first, so many repeats of one id stay cheap.
+    Places count within a file where `file_path` is given. With `question_key`,
+    the id as text, ids that are not whole numbers stay apart.
     """
-    return predictions.groupBy("run_id", "question_id").agg(
-        F.max_by("links_json", "pos").alias("links_json"), F.count(F.lit(1)).alias("entries")
+    given = lambda *names: [c for c in names if c in predictions.columns]
+    return predictions.groupBy("run_id", "question_id", *given("question_key")).agg(
+        F.max_by("links_json", F.struct(*given("file_path"), "pos")).alias("links_json"),
+        F.count(F.lit(1)).alias("entries"),
     )
 
 
@@ -71,7 +75,7 @@ def per_question(
     asked = questions.select("question_id", "db_id").join(wanted, "question_id")
     run_ids = F.array(*[F.lit(r) for r in runs])
     pairs = asked.withColumn("run_id", F.explode(run_ids)).join(
-        last_wins(predictions).drop("entries").withColumn("present", F.lit(True)), ["run_id", "question_id"], "left"
+        last_wins(predictions).drop("entries", "question_key").withColumn("present", F.lit(True)), ["run_id", "question_id"], "left"
     )
     # Questions per database and run: enough to find hot databases, without the joins.
     counts = questions.groupBy(db_key(F.col("db_id")).alias("db_key")).agg(
@@ -244,19 +248,34 @@ def parse_report(reports: DataFrame, text: str = "report") -> DataFrame:
     return reports.withColumns({name: number(label) for name, label in REPORT_LABELS.items()})
 
 
-def leaderboard(scores: DataFrame, runs: DataFrame) -> DataFrame:
+def leaderboard(scores: DataFrame, runs: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
     """All runs, best first; a run without scores gets -1.
 
     `runs` holds `run_id, run_name, adapter_dir, base_model`. Metrics are those
     of the four-decimal report. Equal scores keep the order of the paths.
+    `outcomes` (`run_id, inferred, evaluated`), if given, says which steps of a
+    run went well: a run that was not inferred has no metrics, one whose
+    scoring failed keeps what it has, but is not `ok`. A run that it does not
+    list, or lists with null, is judged by its scores.
     """
     printed = parse_report(eval_report(scores)).drop("report")
     board = runs.join(printed, "run_id", "left")
     metrics = {name: F.coalesce(name, F.lit(-1.0)) for name in REPORT_LABELS}
     status = F.when(F.col("leaderboard_score").isNull(), "infer_failed").otherwise("ok")
+    if outcomes is not None:
+        board = board.join(outcomes.select("run_id", "inferred", "evaluated"), "run_id", "left")
+        lost = F.col("inferred") == F.lit(False)
+        metrics = {name: F.when(lost, F.lit(-1.0)).otherwise(value) for name, value in metrics.items()}
+        status = (
+            F.when(lost, "infer_failed")
+            .when(F.col("evaluated") == F.lit(False), "eval_failed")
+            .when(F.col("inferred") & F.col("evaluated"), "ok")
+            .otherwise(status)
+        )
     return (
         board.withColumn("status", status)
         .withColumns(metrics)
+        .drop("inferred", "evaluated")
         .orderBy(F.col("leaderboard_score").desc(), "adapter_dir")
     )
 

@@ -289,9 +289,20 @@ def explode_candidates(df: DataFrame) -> DataFrame:
     ).drop("name_lc")
 
 
-def retrieval_recall(df: DataFrame, links: str) -> DataFrame:
+def candidates_by_budget(scored: DataFrame, budgets: dict[str, RetrievalConfig]) -> DataFrame:
+    """Scored questions with their `candidates` under each named `budget`, scored only once."""
+    made = [
+        F.struct(F.lit(name).alias("budget"), candidates(F.col("tables"), F.col("scored"), cfg).alias("candidates"))
+        for name, cfg in budgets.items()
+    ]
+    return scored.select("*", F.inline(F.array(*made)))
+
+
+def retrieval_recall(df: DataFrame, links: str, *keys: str) -> DataFrame:
     """Share of linked tables and columns that survive the budgets, per question.
 
+    `keys` are kept beside the question, such as the name of a budget.
+
     Links outside the schema count as lost. Questions without linked columns
     have a null column recall.
     """
@@ -321,6 +332,7 @@ def retrieval_recall(df: DataFrame, links: str) -> DataFrame:
     total = lambda arr, pick: F.aggregate(arr, F.lit(0), lambda acc, x: acc + pick(x))
     hits = let(F.struct(F.col("candidates"), wanted.alias("wanted")), found)
     counted = df.select(
+        *keys,
         "question_id",
         "db_id",
         let(
@@ -334,6 +346,7 @@ def retrieval_recall(df: DataFrame, links: str) -> DataFrame:
         ).alias("r"),
     )
     return counted.select(
+        *keys,
         "question_id",
         "db_id",
         "r.*",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,30 +56,30 @@ def example_payloads(
     examples: DataFrame,
     catalog: DataFrame,
     cfg: RetrievalConfig,
-    output_format: str = "ids",
+    output_format: str | Sequence[str] = "ids",
     force_gold: bool = True,
     columns: int | None = None,
 ) -> DataFrame:
-    """System, user and assistant text of each example.
+    """System, user and assistant text of each example, in each output format.
 
     With `force_gold` the linked tables and columns always are candidates.
+    Several formats are made from one scoring.
     """
     offered = candidate_schema(
         examples, catalog, cfg, columns, force_links="schema_links" if force_gold else None
     )
-    assistant = F.coalesce(
-        L.target_json(F.col("schema_links"), F.col("candidates"), F.col("tables"), output_format),
-        F.lit(""),
-    )
-    return offered.select(
-        "question_id",
-        "db_id",
-        "question",
-        P.system_prompt(output_format).alias("system"),
-        P.user_content(F.col("question"), F.col("candidates"), cfg, output_format).alias("user"),
-        assistant.alias("assistant"),
-        F.lit(output_format).alias("output_format"),
-    )
+
+    def payload(name: str) -> Column:
+        answer = L.target_json(F.col("schema_links"), F.col("candidates"), F.col("tables"), name)
+        return F.struct(
+            P.system_prompt(name).alias("system"),
+            P.user_content(F.col("question"), F.col("candidates"), cfg, name).alias("user"),
+            F.coalesce(answer, F.lit("")).alias("assistant"),
+            F.lit(name).alias("output_format"),
+        )
+
+    formats = [output_format] if isinstance(output_format, str) else output_format
+    return offered.select("question_id", "db_id", "question", F.inline(F.array(*map(payload, formats))))
 
 
 def chat_rows(payloads: DataFrame) -> DataFrame:
@@ -145,10 +145,11 @@ def score_runs(
     runs: DataFrame,
     run_ids: list[str | int],
     columns: int | None = None,
+    outcomes: DataFrame | None = None,
 ) -> DataFrame:
     """Leaderboard of all runs in one job."""
     rows = evaluate.per_question(questions, gold, predictions, docs, run_ids, columns)
-    return evaluate.leaderboard(evaluate.macro_scores(rows), runs)
+    return evaluate.leaderboard(evaluate.macro_scores(rows), runs, outcomes)
 
 
 def balanced_training_set(examples: DataFrame, seed: int) -> DataFrame:

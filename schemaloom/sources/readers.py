@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +16,8 @@ QUESTION_FIELDS = "question_id bigint, db_id string, question string"
 EXAMPLE_FIELDS = f"{QUESTION_FIELDS}, gold_sql string, schema_links {LINKS_TYPE}"
 # A nested value read as a string keeps its raw JSON text.
 LINKS_FIELDS = "question_id bigint, schema_links string"
+# Columns that give the order of the input, over all files.
+INPUT_ORDER = ("file_path", "pos")
 
 
 def _decoded(location: Column) -> Column:
@@ -40,8 +44,29 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return _whole_files(spark, QUESTION_FIELDS, path)
 
 
+def _lines(spark: SparkSession, fields: str, path: str) -> DataFrame:
+    """JSON lines, which Spark splits; a broken line stops the job."""
+    return spark.read.schema(fields).option("mode", "FAILFAST").json(path)
+
+
+def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Questions as JSON lines: the form for large inputs."""
+    return _lines(spark, QUESTION_FIELDS, path)
+
+
+def example_rows(text: Column) -> Column:
+    """Entries of an examples file as structs."""
+    return json_rows(text, EXAMPLE_FIELDS)
+
+
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    return _whole_files(spark, EXAMPLE_FIELDS, path)
+    """Examples of JSON list files, with `file_path` and `pos` (`INPUT_ORDER`)."""
+    return _json_list(spark, path, example_rows)
+
+
+def read_example_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Examples as JSON lines with an explicit `pos`: the form for large inputs."""
+    return _lines(spark, f"{EXAMPLE_FIELDS}, pos bigint", path)
 
 
 def incomplete_examples(examples: DataFrame) -> DataFrame:
@@ -61,7 +86,7 @@ def check_examples(examples: DataFrame) -> DataFrame:
     return examples
 
 
-def _json_list(spark: SparkSession, path: str, fields: str) -> DataFrame:
+def _json_list(spark: SparkSession, path: str, rows: Callable[[Column], Column]) -> DataFrame:
     """Elements of JSON list files with their place in the file.
 
     The place decides between repeated ids, so each file is parsed as the one
@@ -69,24 +94,42 @@ def _json_list(spark: SparkSession, path: str, fields: str) -> DataFrame:
     job with an error that names it.
     """
     text = spark.read.text(path, wholetext=True)
-    rows = F.from_json("value", f"array<struct<{_struct(fields)}>>")
     broken = F.raise_error(F.concat(F.lit("not a JSON list: "), _file_path()))
     return text.select(
         _file_path().alias("file_path"),
-        F.posexplode_outer(F.coalesce(rows, broken)).alias("pos", "row"),
+        F.posexplode_outer(F.coalesce(rows(F.col("value")), broken)).alias("pos", "row"),
     ).where("pos is not null").select("file_path", "pos", "row.*")
 
 
-def _struct(fields: str) -> str:
-    return ",".join(":".join(field.split()) for field in fields.split(","))
+def json_rows(text: Column, fields: str) -> Column:
+    """The elements of a JSON list as structs; null if the text is broken."""
+    return F.from_json(text, f"array<struct<{fields}>>")
+
+
+def links_rows(text: Column) -> Column:
+    """Entries of a links file: `question_id, schema_links` and `question_key`, the id as text.
+
+    Ids that are not whole numbers are null; their key has a mark before it,
+    so that the text "1" is not the number 1.
+    """
+    keyed = json_rows(text, "question_id string")
+    return F.zip_with(
+        json_rows(text, LINKS_FIELDS),
+        keyed,
+        lambda row, raw: F.struct(
+            row.question_id.alias("question_id"),
+            row.schema_links.alias("schema_links"),
+            F.coalesce(row.question_id.cast("string"), F.concat(F.lit("text:"), raw.question_id)).alias("question_key"),
+        ),
+    )
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """`question_id, links_json, pos` from JSON list files (gold or predictions).
+    """`file_path, pos, question_id, question_key, links_json` from JSON list files (gold or predictions).
 
     Ids that are not whole numbers read as null and match no question.
     """
-    return _json_list(spark, path, LINKS_FIELDS).withColumnRenamed("schema_links", "links_json")
+    return _json_list(spark, path, links_rows).withColumnRenamed("schema_links", "links_json")
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
@@ -98,10 +141,19 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_gold_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Gold links as JSON lines with an explicit `pos`, the last of repeated ids: the form for large inputs."""
+    rows = _lines(spark, f"{LINKS_FIELDS}, pos bigint", path)
+    return rows.groupBy("question_id").agg(F.max_by("schema_links", "pos").alias("links_json"))
+
+
 def read_predictions(spark: SparkSession, path: str, run_id: Column | None = None) -> DataFrame:
-    """Predictions with a `run_id`, by default the name of the file's folder."""
+    """Predictions with a `run_id`, by default the name of the file's folder.
+
+    Places count within a file; `last_wins` takes the files of a run in the order of their paths.
+    """
     folder = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
-    return read_links(spark, path).withColumn("run_id", folder if run_id is None else run_id).drop("file_path")
+    return read_links(spark, path).withColumn("run_id", folder if run_id is None else run_id)
 
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:

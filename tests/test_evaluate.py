@@ -96,6 +96,36 @@ def test_leaderboard_and_best_run(spark, data):
     assert best.run_id == "r1" and best.promote is False
 
 
+def test_text_ids_stay_apart(spark, data):
+    questions, gold, _, docs = data
+    rows = [(1, "1"), (None, "text:1"), (None, "text:x"), (None, "text:x")]
+    preds = spark.createDataFrame(
+        [("r", q, key, "{}", i) for i, (q, key) in enumerate(rows)],
+        "run_id string, question_id bigint, question_key string, links_json string, pos int",
+    )
+    row = E.eval_diagnostics(questions, gold, preds, docs, 10).first()
+    assert (row.duplicates, row.extra, row.scored) == (1, 2, 1)
+    assert E.per_question(questions, gold, preds, docs, ["r"], 10).where("not is_missing").count() == 1
+
+
+def test_outcomes_of_runs(spark, data):
+    runs = spark.createDataFrame(
+        [(r, r, f"runs/{r}", "m") for r in ("r1", "r2", "r3", "r4")],
+        "run_id string, run_name string, adapter_dir string, base_model string",
+    )
+    outcomes = spark.createDataFrame(
+        [("r1", True, False), ("r2", True, True), ("r3", False, None)], "run_id string, inferred boolean, evaluated boolean"
+    )
+    scores = E.macro_scores(E.per_question(*data, ["r1", "r2"], 10))
+    board = E.leaderboard(scores, runs, outcomes)
+    assert board.columns == E.leaderboard(scores, runs).columns
+    status = {r.run_id: (r.status, r.leaderboard_score >= 0) for r in board.collect()}
+    assert status == {
+        "r1": ("eval_failed", True), "r2": ("ok", True), "r3": ("infer_failed", False), "r4": ("infer_failed", False),
+    }
+    assert E.best_run(board).first().run_id == "r2"
+
+
 def test_equal_scores_keep_path_order(spark):
     scores = spark.createDataFrame(
         [(r, *[0.5] * 9, 4, 0, 0, 0) for r in ("a", "b")],

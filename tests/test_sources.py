@@ -47,6 +47,44 @@ def test_predictions_keep_raw_values_and_places(spark, tmp_path):
     assert df.where("run_id = 'runB'").count() == 1
     last = {r.question_id: r.links_json for r in E.last_wins(df.where("run_id = 'runA'")).collect()}
     assert last[1] == "text"
+    # The text "2" is no number.
+    keys = [r.question_key for r in df.where("run_id = 'runA'").orderBy("pos").collect()]
+    assert keys == ["1", "text:2", "1", "3"]
+
+
+def test_last_prediction_over_several_files(spark, tmp_path):
+    for name, links in (("b", {"B": []}), ("a", {"A": []})):
+        rows = [{"question_id": 9, "schema_links": {}}] * (3 if name == "a" else 0)
+        put(tmp_path / "run" / f"{name}.json", [*rows, {"question_id": 1, "schema_links": links}])
+    last = E.last_wins(readers.read_predictions(spark, str(tmp_path / "run" / "*.json")))
+    assert {r.question_id: (r.links_json, r.entries) for r in last.collect()} == {1: ('{"B":[]}', 2), 9: ("{}", 3)}
+
+
+def test_input_order(spark, tmp_path):
+    ids = (9, 2, 5, 7, 1)
+    path = put(tmp_path / "train.json", [EXAMPLES[0] | {"question_id": i} for i in ids])
+    df = readers.read_examples(spark, path)
+    copies = U.light_balance(df, threshold=6, order=readers.INPUT_ORDER).where("is_oversampled")
+    assert [r.question_id for r in copies.collect()] == [9]
+    picked = U.select_for_augmentation(U.difficulty(df), 0, 3, readers.INPUT_ORDER)
+    assert [r.question_id for r in picked.collect()] == [9, 2, 5]
+
+
+def test_line_forms(spark, tmp_path):
+    lines = "\n".join(json.dumps(e | {"pos": i}) for i, e in enumerate(EXAMPLES))
+    path = put(tmp_path / "train.jsonl", lines)
+    examples = readers.read_example_lines(spark, path)
+    assert [(r.question_id, r.pos, r.schema_links) for r in examples.orderBy("pos").collect()] == [
+        (i, i, {"T": ["c"], "U": []}) for i in range(3)
+    ]
+    assert readers.read_question_lines(spark, path).count() == 3
+    twice = lines + "\n" + json.dumps({"question_id": 0, "schema_links": {"Z": []}, "pos": 9})
+    gold = {r.question_id: json.loads(r.links_json) for r in readers.read_gold_lines(spark, put(tmp_path / "gold.jsonl", twice)).collect()}
+    assert gold[0] == {"Z": []} and gold[1] == {"T": ["c"], "U": []}
+    broken = put(tmp_path / "broken.jsonl", lines[:-20])
+    for read in (readers.read_question_lines, readers.read_example_lines, readers.read_gold_lines):
+        with pytest.raises(Exception, match="broken.jsonl"):
+            read(spark, broken).collect()
 
 
 def test_gold_last_wins(spark, tmp_path):

@@ -108,6 +108,12 @@ def linked_examples(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("question_id", "db_id", "question", "gold_sql", "schema_links")
 
 
+def ordered_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with an input order that differs from the ids."""
+    rows = examples(spark, sf).withColumn("schema_links", F.from_json("links_json", LINKS_TYPE))
+    return rows.select("question_id", "db_id", "question", "gold_sql", "schema_links", "o_totalprice")
+
+
 def scored_questions(spark: SparkSession, sf: str) -> DataFrame:
     """All questions; expensive ones also asked again to a database without a schema."""
     rows = examples(spark, sf)
@@ -209,11 +215,9 @@ def _predictions(answered: DataFrame) -> DataFrame:
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """The runs that answered and one that failed."""
-    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "question_id")
-    found = asked_of_runs(orders).select("run_id").distinct()
-    failed = spark.range(X.FAILED_RUN, X.FAILED_RUN + 1).select(F.col("id").cast("int").alias("run_id"))
+    found = spark.createDataFrame([(r,) for r in (*X.RUNS, X.FAILED_RUN)], "run_id int")
     name = F.concat(F.lit("sweep_run"), F.col("run_id").cast("string"))
     path = F.format_string("sweep/runs/%s/checkpoints/final_checkpoint", F.col("run_id").cast("string"))
-    return found.union(failed).select(
+    return found.select(
         "run_id", name.alias("run_name"), path.alias("adapter_dir"), F.lit("base-1.5b").alias("base_model")
     )

@@ -358,7 +358,7 @@ dbn AS (SELECT db_id, count(*) AS n FROM ex GROUP BY db_id)
 """
 
 BALANCED = f"""{SHAPES},
-firsts AS (SELECT shape.*, n, row_number() OVER (PARTITION BY db_id ORDER BY question_id) AS rn FROM shape JOIN dbn USING (db_id)),
+firsts AS (SELECT shape.*, n, row_number() OVER (PARTITION BY db_id ORDER BY o_totalprice, question_id) AS rn FROM shape JOIN dbn USING (db_id)),
 balanced AS (SELECT question_id, db_id, num_tables, num_columns, has_empty, 'original' AS source, FALSE AS is_oversampled FROM shape
   UNION ALL SELECT question_id, db_id, num_tables, num_columns, has_empty, 'oversampled', TRUE FROM firsts
   WHERE n < 10 AND rn <= least(2 * n, 10) - n)
@@ -401,8 +401,9 @@ RULES = [
 ]
 DIFFICULTY = f"""{SHAPES},
 diff AS (SELECT question_id, db_id, n, {' + '.join('(' + p + ')' for p, _ in RULES)} AS score,
-  concat_ws(';', {', '.join(r for _, r in RULES)}) AS reasons, num_tables, num_columns FROM shape JOIN dbn USING (db_id)),
-sel AS (SELECT * FROM diff WHERE score >= 9 ORDER BY score DESC, num_tables DESC, num_columns DESC, n, question_id LIMIT 90)
+  concat_ws(';', {', '.join(r for _, r in RULES)}) AS reasons, num_tables, num_columns, o_totalprice FROM shape JOIN dbn USING (db_id)),
+sel AS (SELECT * EXCLUDE (o_totalprice) FROM diff WHERE score >= 9
+  ORDER BY score DESC, num_tables DESC, num_columns DESC, n, o_totalprice, question_id LIMIT 90)
 """
 
 
@@ -745,7 +746,7 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
     q["seeded_shuffle"] = with_(
         f"SELECT question_id, md5(concat_ws(':', '{SEED}', question_id)) AS shuffle_key FROM ex", BASE
     )
-    q["difficulty"] = with_("SELECT * FROM diff", BASE, DIFFICULTY)
+    q["difficulty"] = with_("SELECT * EXCLUDE (o_totalprice) FROM diff", BASE, DIFFICULTY)
     q["select_for_augmentation"] = with_("SELECT * FROM sel", BASE, DIFFICULTY)
     q["selection_by_db"] = with_("SELECT db_id, count(*) AS selected FROM sel GROUP BY db_id", BASE, DIFFICULTY)
 

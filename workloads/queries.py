@@ -27,6 +27,8 @@ BUDGET = RetrievalConfig(
 MAX_LENGTH = 20
 INPUT_LENGTH = 60
 SEED = 43
+# The order of examples in their input.
+INPUT_ORDER = ("o_totalprice", "question_id")
 TARGETS = {"databases": ("corpus Customer#000000001",), "prefixes": ("field survey/2024",)}
 
 QUERIES: dict[str, Query] = {}
@@ -275,13 +277,8 @@ def retrieval_recall(spark, sf):
     """What two budgets keep of the linked tables and columns."""
     d = Data(spark, sf)
     scored = retrieval.with_scores(d.linked_examples, d.schema_docs, d.size())
-
-    def recall(name: str, cfg: RetrievalConfig) -> DataFrame:
-        df = scored.withColumn("candidates", retrieval.candidates(F.col("tables"), F.col("scored"), cfg))
-        return retrieval.retrieval_recall(df, "schema_links").select(F.lit(name).alias("budget"), "*")
-
-    both = recall("small", BUDGET).unionByName(recall("grid", PRESETS["grid"]))
-    return rounded(both, "table_recall", "column_recall")
+    both = retrieval.candidates_by_budget(scored, {"small": BUDGET, "grid": PRESETS["grid"]})
+    return rounded(retrieval.retrieval_recall(both, "schema_links", "budget"), "table_recall", "column_recall")
 
 
 @query
@@ -294,7 +291,7 @@ def questions_without_schema(spark, sf):
 # Prompts and targets -----------------------------------------------------------
 
 
-def _payloads(spark, sf, output_format: str, force: bool = True) -> DataFrame:
+def _payloads(spark, sf, output_format: str | list[str], force: bool = True) -> DataFrame:
     d = Data(spark, sf)
     return jobs.example_payloads(d.linked_examples, d.schema_docs, BUDGET, output_format, force, d.size())
 
@@ -319,9 +316,7 @@ def example_payloads(spark, sf):
 @query
 def target_json(spark, sf):
     """Answers over candidates without the gold forced in, as IDs and as names."""
-    ids = _payloads(spark, sf, "ids", force=False).select("question_id", "output_format", "assistant")
-    names = _payloads(spark, sf, "names", force=False).select("question_id", "output_format", "assistant")
-    return ids.unionByName(names)
+    return _payloads(spark, sf, ["ids", "names"], force=False).select("question_id", "output_format", "assistant")
 
 
 @query
@@ -561,18 +556,16 @@ def db_counts(spark, sf):
 @query
 def dataset_stats(spark, sf):
     """Totals of the examples before and after light balancing."""
-    examples = Data(spark, sf).linked_examples
-    before = curate.dataset_stats(examples.withColumn("is_oversampled", F.lit(False)))
-    after = curate.dataset_stats(curate.light_balance(examples))
-    both = before.select(F.lit("before").alias("stage"), "*").unionByName(
-        after.select(F.lit("after").alias("stage"), "*")
-    )
+    balanced = curate.light_balance(Data(spark, sf).ordered_examples, order=INPUT_ORDER)
+    # Originals count in both.
+    stages = F.array_compact(F.array(F.lit("after"), F.when(~F.col("is_oversampled"), F.lit("before"))))
+    both = curate.dataset_stats(balanced.withColumn("stage", F.explode(stages)), "stage")
     return rounded(both, "avg_tables_per_example", "avg_columns_per_example")
 
 
 @query
 def light_balance(spark, sf):
-    df = curate.light_balance(Data(spark, sf).linked_examples)
+    df = curate.light_balance(Data(spark, sf).ordered_examples, order=INPUT_ORDER)
     return df.select("question_id", "db_id", "source", "is_oversampled")
 
 
@@ -600,7 +593,7 @@ def seeded_shuffle(spark, sf):
 
 
 def _difficulty(spark, sf) -> DataFrame:
-    return curate.difficulty(Data(spark, sf).linked_examples)
+    return curate.difficulty(Data(spark, sf).ordered_examples)
 
 
 def _selection(df: DataFrame) -> DataFrame:
@@ -616,12 +609,12 @@ def difficulty(spark, sf):
 
 @query
 def select_for_augmentation(spark, sf):
-    return _selection(curate.select_for_augmentation(_difficulty(spark, sf)))
+    return _selection(curate.select_for_augmentation(_difficulty(spark, sf), order=INPUT_ORDER))
 
 
 @query
 def selection_by_db(spark, sf):
-    return curate.selection_by_db(curate.select_for_augmentation(_difficulty(spark, sf)))
+    return curate.selection_by_db(curate.select_for_augmentation(_difficulty(spark, sf), order=INPUT_ORDER))
 
 
 # Sequences and prediction ---------------------------------------------------------------------
