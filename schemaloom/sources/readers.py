@@ -176,8 +176,13 @@ RUN_LAYOUTS = {
 def read_runs(spark: SparkSession, root: str, layout: str) -> DataFrame:
     """Runs below a root: `run_id, run_name, adapter_dir, base_model`."""
     text = spark.read.text(f"{root}/{RUN_LAYOUTS[layout]}", wholetext=True)
-    directory = F.regexp_replace(F.regexp_replace(_file_path(), r"/[^/]+$", ""), "^file:/+", "/")
-    located = text.select(directory.alias("adapter_dir"), "value").dropDuplicates(["adapter_dir"])
+    return run_rows(text.select(_file_path().alias("path"), "value"), layout)
+
+
+def run_rows(settings: DataFrame, layout: str) -> DataFrame:
+    """The same from the `path` and text (`value`) of settings files."""
+    directory = F.regexp_replace(F.regexp_replace("path", r"/[^/]+$", ""), "^file:/+", "/")
+    located = settings.select(directory.alias("adapter_dir"), "value").dropDuplicates(["adapter_dir"])
     parent = F.regexp_extract("adapter_dir", r"([^/]+)/[^/]+$", 1)
     numbered = F.concat(
         F.regexp_extract("adapter_dir", r".*/([^/]+)/runs/([^/]+)/", 1),

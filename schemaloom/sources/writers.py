@@ -16,9 +16,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def prediction_rows(df: DataFrame, links: str = "parsed") -> DataFrame:
+    return df.select("question_id", to_links_map(F.col(links)).alias("schema_links"))
+
+
 def write_predictions(df: DataFrame, path: str, links: str = "parsed") -> None:
     """`{question_id, schema_links}` lines from parsed links."""
-    df.select("question_id", to_links_map(F.col(links)).alias("schema_links")).write.mode("overwrite").json(path)
+    prediction_rows(df, links).write.mode("overwrite").json(path)
 
 
 def write_stats(records: DataFrame, split: str, path: str) -> None:
@@ -68,9 +72,10 @@ def write_per_question(rows: DataFrame, path: str) -> None:
     rows.select(*keys, *columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_review(selected: DataFrame, path: str) -> None:
-    """Review table; reasons joined with `;`."""
-    selected.select(
+# Fixed values in the next two functions: the field names of the files.
+def review_rows(selected: DataFrame) -> DataFrame:
+    """Rows of the review table; reasons joined with `;`."""
+    return selected.select(
         "question_id",
         "db_id",
         F.col("n").alias("db_count"),
@@ -80,12 +85,12 @@ def write_review(selected: DataFrame, path: str) -> None:
         "num_columns",
         "question",
         "gold_sql",
-    ).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    )
 
 
-def write_selection(selected: DataFrame, path: str) -> None:
+def selection_rows(selected: DataFrame) -> DataFrame:
     """Selected examples in their own form with the selection facts added."""
-    selected.select(
+    return selected.select(
         "question_id",
         "db_id",
         "question",
@@ -96,7 +101,15 @@ def write_selection(selected: DataFrame, path: str) -> None:
         F.col("num_tables").alias("num_linked_tables"),
         F.col("num_columns").alias("num_linked_columns"),
         F.col("n").alias("original_db_example_count"),
-    ).write.mode("overwrite").json(path)
+    )
+
+
+def write_review(selected: DataFrame, path: str) -> None:
+    review_rows(selected).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_selection(selected: DataFrame, path: str) -> None:
+    selection_rows(selected).write.mode("overwrite").json(path)
 
 
 def write_leaderboard(board: DataFrame, path: str) -> None:

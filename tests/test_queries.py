@@ -18,6 +18,12 @@ COMPARED = [
     "train_balance",
     "select_for_augmentation",
     "pad_batch",
+    "dataset_stats",
+    "retrieval_recall",
+    "parsed_examples",
+    "parsed_predictions",
+    "parsed_runs",
+    "selection_rows",
 ]
 
 

@@ -750,6 +750,36 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
     q["select_for_augmentation"] = with_("SELECT * FROM sel", BASE, DIFFICULTY)
     q["selection_by_db"] = with_("SELECT db_id, count(*) AS selected FROM sel GROUP BY db_id", BASE, DIFFICULTY)
 
+    q["parsed_examples"] = with_(
+        "SELECT question_id, 0 AS pos, db_id, question, gold_sql, num_tables FROM shape "
+        "UNION ALL SELECT question_id, 1, NULL, NULL, NULL, -1 FROM ex",
+        BASE, SHAPES,
+    )
+    q["incomplete_examples"] = with_("SELECT question_id, NULL::VARCHAR AS db_id FROM ex", BASE)
+    q["parsed_predictions"] = with_(
+        "SELECT question_id AS asked, 0 AS pos, TRUE AS is_number, question_id::VARCHAR AS question_key, links_json FROM ex "
+        "UNION ALL SELECT question_id, 1, FALSE, 'text:' || question_id, '7' FROM ex "
+        "UNION ALL SELECT question_id, 2, TRUE, question_id::VARCHAR, NULL FROM ex",
+        BASE,
+    )
+    q["parsed_runs"] = (
+        "SELECT replace(c_name, '#', '_') || '_run' || c_custkey AS run_id, run_id AS run_name, "
+        "'/sweeps/' || c_name || '/runs/' || c_custkey || '/checkpoints/final_checkpoint' AS adapter_dir, "
+        "c_mktsegment AS base_model FROM customer"
+    )
+    q["prediction_rows"] = with_("SELECT question_id, links_json AS schema_links FROM ex", BASE)
+    q["review_rows"] = with_(
+        "SELECT question_id, sel.db_id, n AS db_count, score, reasons, num_tables, num_columns, question, gold_sql "
+        "FROM sel JOIN ex USING (question_id)",
+        BASE, DIFFICULTY,
+    )
+    q["selection_rows"] = with_(
+        "SELECT question_id, sel.db_id, question, gold_sql, answer AS schema_links, score AS selection_score, "
+        "reasons AS selection_reasons, num_tables AS num_linked_tables, num_columns AS num_linked_columns, "
+        "n AS original_db_example_count FROM sel JOIN ex USING (question_id) JOIN nj0 USING (f, tn)",
+        BASE, DIFFICULTY, norm,
+    )
+
     ids = f"SELECT doc_id, {token_ids('text')} AS ids FROM documents"
     q["token_ids"] = f"SELECT doc_id, len(ids)::INT AS n_ids, md5({text('ids')}) AS ids_md5 FROM ({ids})"
     lengths = "list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: length(w))"

@@ -15,6 +15,7 @@ from schemaloom.functions.arrays import inline_rows, let
 from schemaloom.operators import catalog, curate, evaluate, joins, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
+from schemaloom.sources import readers, writers
 from workloads import inputs
 from workloads import templates as X
 
@@ -617,6 +618,88 @@ def selection_by_db(spark, sf):
     return curate.selection_by_db(curate.select_for_augmentation(_difficulty(spark, sf), order=INPUT_ORDER))
 
 
+# Texts of files in, rows of files out ----------------------------------------------------------
+
+
+@query
+def parsed_examples(spark, sf):
+    """Each example as a list of two entries, the second one with its id only."""
+    entry = F.to_json(F.struct("question_id", "db_id", "question", "gold_sql", "schema_links"))
+    text = F.concat(F.lit("["), entry, F.lit(', {"question_id": '), F.col("question_id"), F.lit("}]"))
+    rows = Data(spark, sf).linked_examples.select(F.posexplode(readers.example_rows(text)).alias("pos", "row"))
+    return rows.select(
+        "row.question_id",
+        "pos",
+        "row.db_id",
+        "row.question",
+        "row.gold_sql",
+        F.coalesce(link_text.table_count(F.col("row.schema_links")), F.lit(-1)).alias("num_tables"),
+    )
+
+
+@query
+def incomplete_examples(spark, sf):
+    """Entries of the lists of `parsed_examples` that lack a field."""
+    entry = F.to_json(F.struct("question_id", "db_id", "question", "gold_sql", "schema_links"))
+    text = F.concat(F.lit("["), entry, F.lit(', {"question_id": '), F.col("question_id"), F.lit("}]"))
+    rows = Data(spark, sf).linked_examples.select(F.inline(readers.example_rows(text)))
+    return readers.incomplete_examples(rows).select("question_id", "db_id")
+
+
+@query
+def parsed_predictions(spark, sf):
+    """A number, a text and a missing `schema_links` under the id of each question."""
+    form = '[{"question_id": %d, "schema_links": %s}, {"question_id": "%d", "schema_links": 7}, {"question_id": %d}]'
+    qid = F.col("question_id")
+    text = F.format_string(form, qid, F.col("links_json"), qid, qid)
+    rows = Data(spark, sf).examples.select(
+        qid.alias("asked"), F.posexplode(readers.links_rows(text)).alias("pos", "row")
+    )
+    return rows.select(
+        "asked",
+        "pos",
+        (F.col("row.question_id") == F.col("asked")).alias("is_number"),
+        "row.question_key",
+        F.col("row.schema_links").alias("links_json"),
+    ).fillna(False, "is_number")
+
+
+@query
+def parsed_runs(spark, sf):
+    """A run of the grid for each customer."""
+    path = F.format_string(
+        "file:///sweeps/%s/runs/%d/checkpoints/final_checkpoint/adapter_config.json", F.col("c_name"), F.col("c_custkey")
+    )
+    value = F.to_json(F.struct(F.col("c_mktsegment").alias("base_model_name_or_path")))
+    return readers.run_rows(Data(spark, sf).customers.select(path.alias("path"), value.alias("value")), "grid")
+
+
+@query
+def prediction_rows(spark, sf):
+    """Lines of predictions whose links are those of the examples."""
+    parsed = F.transform(
+        F.map_entries("schema_links"), lambda e: F.struct(e.key.alias("table_name"), e.value.alias("cols"))
+    )
+    rows = writers.prediction_rows(Data(spark, sf).linked_examples.withColumn("parsed", parsed))
+    return rows.select("question_id", F.to_json("schema_links").alias("schema_links"))
+
+
+@query
+def review_rows(spark, sf):
+    return writers.review_rows(curate.select_for_augmentation(_difficulty(spark, sf), order=INPUT_ORDER))
+
+
+@query
+def selection_rows(spark, sf):
+    df = writers.selection_rows(curate.select_for_augmentation(_difficulty(spark, sf), order=INPUT_ORDER))
+    return df.withColumns(
+        {
+            "schema_links": link_text.normalized_json(F.col("schema_links")),
+            "selection_reasons": F.concat_ws(";", "selection_reasons"),
+        }
+    )
+
+
 # Sequences and prediction ---------------------------------------------------------------------
 
 
