@@ -261,14 +261,14 @@ asked AS (SELECT ex.*, run_id, (question_id // 12 + run_id) % 8 AS v FROM ex, ru
 # Every question answered by every run.
 ALL_RUNS = RUNS[: RUNS.index("  WHERE NOT")].rstrip() + ")"
 PREDICTIONS = f"""{RUNS},
-ptext AS (SELECT *, CASE v WHEN 1 THEN upper(links_json) WHEN 4 THEN {GHOST}
+ptext AS (SELECT *, CASE v WHEN 2 THEN NULL WHEN 1 THEN upper(links_json) WHEN 4 THEN {GHOST}
   WHEN 5 THEN replace(links_json, ']', ',"no_such_col"]') WHEN 6 THEN '{{}}' WHEN 7 THEN {ODD} ELSE links_json END AS links FROM asked),
 preds AS (SELECT run_id, question_id, links AS links_json, 0 AS pos FROM ptext
   UNION ALL SELECT run_id, question_id, '{{}}', 1 FROM ptext WHERE o_totalprice < 10000
   UNION ALL SELECT run_id, -1 - question_id, links, 2 FROM ptext WHERE o_totalprice > 490000)
 """
 
-ALL_PREDICTIONS = PREDICTIONS.replace(RUNS, ALL_RUNS)
+ALL_PREDICTIONS = PREDICTIONS.replace(RUNS, ALL_RUNS).replace("WHEN 2 THEN NULL ", "")
 
 # Links text -> (table, items) rows as the scorer reads them. `src` has an `id`.
 def scorer_rows(src: str, name: str, marked: bool) -> str:
@@ -290,7 +290,7 @@ def scorer_rows(src: str, name: str, marked: bool) -> str:
 """
 
 
-LASTS = """lasts AS (SELECT run_id, question_id, arg_max(links_json, pos) AS links_json, count(*) AS entries FROM preds GROUP BY ALL)"""
+LASTS = """lasts AS (SELECT run_id, question_id, arg_max({'l': links_json}, pos).l AS links_json, count(*) AS entries FROM preds GROUP BY ALL)"""
 GOLD = """gold AS (SELECT question_id, links_json FROM ex WHERE o_totalprice <= 495000
   UNION ALL SELECT -1 - question_id, links_json FROM ex WHERE o_totalprice > 492000)"""
 
@@ -311,14 +311,14 @@ SCORED = f"""{PREDICTIONS},
 {LASTS},
 {GOLD},
 gsrc AS (SELECT question_id AS id, f, gold.links_json AS links FROM gold JOIN exd USING (question_id)),
-sc AS (SELECT question_id * 10 + runs.run_id AS id, runs.run_id, question_id, exd.db_id, exd.f, lasts.links_json AS links
+sc AS (SELECT question_id * 10 + runs.run_id AS id, runs.run_id, question_id, exd.db_id, exd.f, lasts.links_json AS links, lasts.entries
   FROM exd JOIN gold USING (question_id) CROSS JOIN runs LEFT JOIN lasts USING (run_id, question_id)),
 {scorer_rows('gsrc', 'g', False).strip()},
 {scorer_rows('sc', 'p', True).strip()},
 {level('t').strip()},
 {level('p').strip()},
 rws AS (SELECT run_id, question_id, db_id, ft.p AS p_t, ft.r AS r_t, ft.f1 AS f1_t, fp.p AS p_c, fp.r AS r_c, fp.f1 AS f1_c,
-  bad_tables, bad_columns, links IS NULL AS is_missing FROM sc JOIN ft USING (id) JOIN fp USING (id) JOIN pb USING (id))
+  bad_tables, bad_columns, entries IS NULL AS is_missing FROM sc JOIN ft USING (id) JOIN fp USING (id) JOIN pb USING (id))
 """
 METRICS = ("p_t", "r_t", "f1_t", "p_c", "r_c", "f1_c")
 
