@@ -130,17 +130,25 @@ def balance_log(examples: DataFrame, threshold: int = 10) -> DataFrame:
     )
 
 
-def numbered_in_group(df: DataFrame, group: str, by: str, piece: int = PIECE) -> DataFrame:
+def _group_ranges(df: DataFrame, group: str, by: str) -> DataFrame:
+    """Size of each group, and its smallest and largest `by`."""
+    return df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.min(by).alias("_low"), F.max(by).alias("_high")
+    )
+
+
+def numbered_in_group(
+    df: DataFrame, group: str, by: str, piece: int = PIECE, ranges: DataFrame | None = None
+) -> DataFrame:
     """Number the rows of each group from 1 as `rn`, in the order of the unique whole number `by`.
 
     A group of more than `piece` rows is cut into ranges of `by`, numbered one
     by one behind each other, so that no task has to sort a hot group. The
     ranges are of equal width, `RANGES` for every `piece` rows, as numbers need
-    not lie evenly. The numbers are the same whatever `piece` is.
+    not lie evenly. The numbers are the same whatever `piece` is. Who has the
+    `_group_ranges` of these groups, or of more, gives them.
     """
-    counts = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min(by).alias("_low"), F.max(by).alias("_high")
-    )
+    counts = _group_ranges(df, group, by) if ranges is None else ranges
     # As doubles, so that no difference of two numbers overflows; rounding keeps their order.
     far = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
     width = (far / (F.ceil(F.col("n") / piece) * RANGES)).alias("_width")
@@ -190,7 +198,8 @@ def train_balance(examples: DataFrame, seed: int, floor: int = 18) -> DataFrame:
     replacement and depend only on seed, database and draw number, so a lost
     task draws the same again. `part` tells original, draw and extra apart.
     """
-    counts = db_counts(examples)
+    ranges = _group_ranges(examples, "db_id", "question_id")
+    counts = ranges.select("db_id", "n")
     target = counts.agg(
         F.greatest(F.lit(floor), F.floor(F.sum("n") / F.count(F.lit(1)))).alias("target")
     ).scalar()
@@ -202,7 +211,7 @@ def train_balance(examples: DataFrame, seed: int, floor: int = 18) -> DataFrame:
     )
     # Ids alone are numbered, of short databases only; the rest of a row follows once it is drawn.
     ids = examples.select("db_id", "question_id").join(short.select("db_id"), "db_id", "left_semi")
-    drawn = numbered_in_group(ids, "db_id", "question_id").join(draws, ["db_id", "rn"]).drop("rn")
+    drawn = numbered_in_group(ids, "db_id", "question_id", ranges=ranges).join(draws, ["db_id", "rn"]).drop("rn")
     drawn = examples.join(drawn, ["db_id", "question_id"]).withColumn("copy", F.col("draw").cast("long"))
     parts = F.array(F.lit("original"), F.when(L.table_count(F.col("schema_links")) >= 2, F.lit("extra")))
     kept = examples.withColumns({"part": F.explode(F.array_compact(parts)), "copy": F.lit(0).cast("long")})

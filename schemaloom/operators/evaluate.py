@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
@@ -168,17 +169,35 @@ def eval_diagnostics(
             .alias("status"),
         )
     )
-    evaluable = status.agg(F.count_if(F.col("status") == "scored").alias("n")).scalar()
-    predicted = last_wins(predictions).join(status, "question_id", "left")
-    counted = predicted.groupBy("run_id").agg(
+    # Questions and predicted ids meet once; an id holds at most one entry per run.
+    last = last_wins(predictions)
+    keys = [c for c in ("question_id", "question_key") if c in last.columns]
+    answer = lambda run, entries, asked: F.struct(
+        run.alias("run_id"), entries.alias("entries"), F.lit(asked).alias("asked")
+    )
+    by_id = last.groupBy(*keys).agg(
+        F.collect_list(answer(F.col("run_id"), F.col("entries"), False)).alias("answers")
+    )
+    # The question itself counts as one more row, of no run.
+    nobody = F.lit(None).cast(last.schema["run_id"].dataType)
+    asked = F.when(F.col("status").isNotNull(), F.array(answer(nobody, F.lit(0).cast("long"), True)))
+    rows = status.join(by_id, "question_id", "full").select(
+        "status", F.explode(F.flatten(F.array_compact(F.array("answers", asked)))).alias("a")
+    ).select("status", "a.*")
+    counted = rows.groupBy("run_id", "asked").agg(
         F.sum(F.col("entries") - 1).alias("duplicates"),
         F.count_if(F.col("status").isNull()).alias("extra"),
         F.count_if(F.col("status") == "no_schema").alias("unscored_no_schema"),
         F.count_if(F.col("status") == "no_gold").alias("unscored_no_gold"),
         F.count_if(F.col("status") == "scored").alias("scored"),
     )
-    return counted.withColumn("evaluable", evaluable).withColumn(
-        "missing", F.col("evaluable") - F.col("scored")
+    # One row per run, and one for the questions.
+    evaluable = F.max(F.when(F.col("asked"), F.col("scored"))).over(W.partitionBy())
+    return (
+        counted.withColumn("evaluable", F.coalesce(evaluable, F.lit(0).cast("long")))
+        .withColumn("missing", F.col("evaluable") - F.col("scored"))
+        .where(~F.col("asked"))
+        .drop("asked")
     )
 
 
