@@ -34,10 +34,6 @@ DISCOUNT = 0.75
 ALPHABET = 256
 # Labelled texts that the calibration is fitted on at most, taken by a hash.
 CALIBRATED_ON = 20_000
-# Labelled rows that teach at most, about; of more, a share is taken by a hash.
-# Their ids are broadcast: 16 bytes each, so some 3 MB.
-TAUGHT_BY = 200_000
-SHARES = 1 << 20
 TOP = (1, 3, 6)
 THRESHOLD = 0.3
 # Texts are read in parts of about this many letters.
@@ -221,7 +217,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def fit(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"
 ) -> Scorer:
-    """Models of the labelled rows that are not held out: all, or about `TAUGHT_BY` of more.
+    """Models of all labelled rows that are not held out.
 
     `labels` (id, 0 or 1) may repeat an id; one toxic label makes it toxic.
     Null ids and labels teach nothing. The counts of two thirds of the rows
@@ -239,9 +235,8 @@ def fit(
     rest = F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 3, 2).otherwise(0)
     texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     taught = saved(known.where(remainder("id") != 2).withColumn("kind", (rest + F.col("y")).cast("int")))
-    share = int(SHARES * min(1, TAUGHT_BY / max(1, taught.count())))
-    teaching = taught.where(F.pmod(F.xxhash64(F.lit("teach"), "id"), F.lit(SHARES)) < share)
-    labelled = texts.where(remainder("id") != 2).join(F.broadcast(teaching.select("id", "kind")), "id").select("kind", "text")
+    # The labels may be many, so Spark chooses the join by their size.
+    labelled = texts.where(remainder("id") != 2).join(taught.select("id", "kind"), "id").select("kind", "text")
     # Fewer tasks, fewer tables to add up; each holds one table, however much it reads.
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     counted = labelled.coalesce(tasks).mapInArrow(_counts, "place int, before int, n0 long, n1 long, n2 long, n3 long")
@@ -254,7 +249,7 @@ def fit(
         return Scorer(None, np.zeros(0), np.zeros(0), np.zeros(0), (ones or 0) / rows if rows else 0.0)
     half = spark.sparkContext.broadcast(Model.of(place, before, n[:2]))
     # A bounded list of ids, so it can be broadcast.
-    chosen = teaching.where("kind >= 2").orderBy(F.xxhash64("id"), "id").limit(CALIBRATED_ON).select("id", "y")
+    chosen = taught.where("kind >= 2").orderBy(F.xxhash64("id"), "id").limit(CALIBRATED_ON).select("id", "y")
 
     @F.arrow_udf("array<double>")
     def vector(column: pa.Array) -> pa.Array:

@@ -117,3 +117,14 @@ def test_probabilities_of_a_context_add_up():
     got, letters = model.evidence(tests)
     assert got == pytest.approx([evidence(w) for w in tests], rel=1e-4)
     assert letters.tolist() == [len(w) + 1 for w in tests]
+
+
+def test_every_labelled_row_teaches(spark):
+    """Many labels teach as few do: no text is left out of the counts."""
+    docs = [(i, "grumpf river" if i % 5 == 0 else "stone garden", "x") for i in range(400)]
+    labels = spark.range(300_000).selectExpr("id as doc_id", "1 as quality", "int(id % 5 = 0) as toxic")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, score string"), labels).model.value
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in docs]
+    for y in (0, 1):
+        words = [w for (i, t, _), h in zip(docs, held) if not h and int(i % 5 == 0) == y for w in t.split()]
+        assert model.counts[y].sum() == sum(len(at) for at, _, _ in toxicity._grams(words)[0])
