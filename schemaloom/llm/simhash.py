@@ -56,10 +56,11 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before the text, the last one, and its fingerprint."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         found = pa.array([fingerprint(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), found], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -151,6 +152,17 @@ def links(distinct_fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "fp").mapInArrow(_links, "a long, b long")
 
 
+def _grouped(rows: DataFrame, block: int) -> DataFrame:
+    """(`fp`, `root`, `component`) of every fingerprint of `rows` (`id`, `fp`)."""
+    # The rows of a fingerprint may be many; they shrink before they move.
+    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    found = components(links(distinct.select("fp"), block))
+    named = found.withColumnRenamed("node", "fp")
+    reached = saved(distinct.join(named, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    smallest = saved(reached.groupBy("root").agg(F.min("least").alias("component")))
+    return saved(reached.select("fp", "root").join(smallest, "root").select("fp", "root", "component"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
     """Rows (`id`, `fp`, `component`), one for each row of `docs`.
 
@@ -160,14 +172,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     equal answers. An empty table gives no rows.
     """
     rows = saved(fingerprints(docs, id_column, text_column))
-    # The rows of a fingerprint may be many; they shrink before they move.
-    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(distinct.select("fp"), block))
-    named = found.withColumnRenamed("node", "fp")
-    reached = saved(distinct.join(named, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    smallest = saved(reached.groupBy("root").agg(F.min("least").alias("component")))
-    by_fp = saved(reached.select("fp", "root").join(smallest, "root").select("fp", "component"))
-    return rows.join(by_fp, "fp").select("id", "fp", "component")
+    return rows.join(_grouped(rows, block).select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def hex_of(fp: Column) -> Column:
@@ -178,11 +183,20 @@ def hex_of(fp: Column) -> Column:
 def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that stay: of each group the one with the smallest id.
 
-    Of rows that repeat the smallest id of a group, the one with the smallest
-    text by its hash stays. Groups without any id keep one row in this way.
+    Null ids count as larger than all others. Of rows that repeat the smallest
+    id of a group, the one with the smallest text by its hash stays; so it does
+    in groups without any id. Every group keeps one row.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.xxhash64("id").alias("id_hash"), "id", "fp").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(id_column).alias("id_hash"))
-    both = rows.join(keep, "id_hash").where(F.col(f"row.{id_column}").eqNullSafe(F.col("id")))
-    return both.dropDuplicates(["id_hash"]).select("row.*")
+    text_hash = F.sha2(text_of(text_column), 256)
+    marked = docs.select(F.col(id_column).alias("id"), F.unhex(text_hash).alias("hash"), text_of(text_column).alias("text"))
+    rows = saved(marked.mapInArrow(_fingerprints, marked.select("id", "hash", F.lit(0).cast("long").alias("fp")).schema))
+    groups = _grouped(rows.select("id", "fp"), BLOCK).select("fp", "root")
+    # Of a fingerprint only the best row can be the best of its group.
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")
+    best = rows.groupBy("fp").agg(F.min(rank).alias("best")).join(groups, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    # Equal texts have one fingerprint, so an id and a text belong to one group only.
+    keep = best.select(F.xxhash64("best.id").alias("id_hash"), F.col("best.hash").alias("hash"), F.col("best.id").alias("keep_id"))
+    # The row as one column, so that no name of its can clash.
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(id_column).alias("id_hash"), F.unhex(text_hash).alias("hash"))
+    both = own.join(keep, ["id_hash", "hash"]).where(F.col(f"row.{id_column}").eqNullSafe(F.col("keep_id")))
+    return both.dropDuplicates(["id_hash", "hash"]).select("row.*")

@@ -159,3 +159,19 @@ def test_without_near_duplicates(docs, sample, no_docs):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(r.component) for r in found})
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.without_near_duplicates(no_docs).count() == 0
+
+
+def test_rows_with_null_and_repeated_ids_keep_one_row_per_group(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(12)) for w in ("river", "stone", "lamp", "paper", "cloud", "horse")]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0] + " more"), (None, texts[3]), (7, texts[3])]
+    # Two texts under one id, one of them also without an id; and repeated rows.
+    rows += [(5, texts[4]), (5, texts[5]), (None, texts[5]), (5, texts[4]), (None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = defaultdict(list)
+    ids = list(range(len(rows)))
+    for r, c in zip(rows, brute_components(ids, [brute_fingerprint(t) for _, t in rows])):
+        groups[c].append(r)
+    rank = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).digest())
+    expected = Counter(min(own, key=rank) for own in groups.values())
+    assert len(expected) >= 6
+    assert Counter(map(tuple, simhash.without_near_duplicates(docs).collect())) == expected
