@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,6 @@ from schemaloom.llm.shared import saved, text_of
 
 # Letters that a probability looks at, its own included.
 ORDER = 6
-# Counts lie in a table of this many places, whatever the corpus; a hash of
-# the letters is the place. It bounds what is sent to the driver and back.
-PLACES = 1 << 21
 DISCOUNT = 0.75
 ALPHABET = 256
 # Labelled texts that the calibration is fitted on at most, taken by a hash.
@@ -38,6 +35,8 @@ TOP = (1, 3, 6)
 THRESHOLD = 0.3
 # Texts are read in parts of about this many letters.
 PART = 1_000_000
+# Distinct words that a task holds at most, and of which it makes grams at once.
+HELD, AT_ONCE = 300_000, 50_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 FEATURES = 2 * len(TOP) + 2
@@ -49,7 +48,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """For each length up to ORDER: letters' positions, places of the grams that end there, places before them.
+    """For each length up to ORDER: letters' positions, keys of the grams that end there, keys of what is before them.
 
     Also the first position of each word, and the number of letters of each.
     """
@@ -59,7 +58,6 @@ def _grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndar
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     into = np.arange(len(codes)) - np.repeat(starts, lengths + 1)
     at = np.flatnonzero(into > 0)
-    place = lambda h: (h >> np.uint64(20)).astype(np.int64) % PLACES
     with np.errstate(over="ignore"):
         before, out = np.zeros(len(codes), np.uint64), []
         for k in range(1, ORDER + 1):
@@ -67,25 +65,76 @@ def _grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndar
             shorter = np.zeros_like(before) if k == 1 else np.concatenate([before[:1], before[:-1]])
             now = _mixed(_mixed(shorter + np.uint64(k)) + codes)
             own = at[into[at] >= k - 1]
-            out.append((own, place(now[own]), place(_mixed(shorter[own] + np.uint64(k)))))
+            out.append((own, now[own], _mixed(shorter[own] + np.uint64(k))))
             before = now
     return out, starts, lengths
 
 
+class Places:
+    """Places of 64-bit keys, twice as many as keys or more; a key that is not there gets an empty place."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.zeros(1 << (2 * len(keys)).bit_length(), np.uint64)
+        at, rest = self._first(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[at[rest]] == 0]
+            self.keys[at[free]] = keys[free]
+            rest = rest[self.keys[at[rest]] != keys[rest]]
+            at[rest] = (at[rest] + 1) % len(self.keys)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at, rest = self._first(keys), np.arange(len(keys))
+        while len(rest):
+            there = self.keys[at[rest]]
+            rest = rest[(there != keys[rest]) & (there != 0)]
+            at[rest] = (at[rest] + 1) % len(self.keys)
+        return at
+
+    def laid(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.keys), np.float32)
+        out[at] = values
+        return out
+
+
 @dataclass
 class Model:
-    """Counts of grams and of what follows their first letters, for ordinary (0) and toxic (1) texts."""
+    """Counts of grams and of what follows their first letters, for ordinary (0) and toxic (1) texts.
 
+    Every gram and every context has a place of its own, so the tables grow
+    with the grams of the labelled texts.
+    """
+
+    grams: Places
+    contexts: Places
     counts: list[np.ndarray]
     totals: list[np.ndarray]
     kinds: list[np.ndarray]
+    held: dict[str, float] = field(default_factory=dict)
 
     @classmethod
     def of(cls, place: np.ndarray, before: np.ndarray, counts: list[np.ndarray]) -> Model:
-        dense = [np.bincount(place, c, PLACES).astype(np.float32) for c in counts]
-        totals = [np.bincount(before, c, PLACES).astype(np.float32) for c in counts]
-        kinds = [np.bincount(before, c > 0, PLACES).astype(np.float32) for c in counts]
-        return cls(dense, totals, kinds)
+        """`place` has the keys of distinct grams, `before` those of their contexts."""
+        distinct, number = np.unique(before, return_inverse=True)
+        grams, contexts = Places(place), Places(distinct)
+        at, of = grams.of(place), contexts.of(distinct)
+        dense = [grams.laid(at, c) for c in counts]
+        totals = [contexts.laid(of, np.bincount(number, c, len(distinct))) for c in counts]
+        kinds = [contexts.laid(of, np.bincount(number, c > 0, len(distinct))) for c in counts]
+        return cls(grams, contexts, dense, totals, kinds)
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`evidence`, which a worker keeps for the words of its next texts."""
+        new = [w for w in words if w not in self.held]
+        if len(self.held) + len(new) > HELD:
+            self.held.clear()
+            new = words
+        if new:
+            self.held.update(zip(new, self.evidence(new)[0].tolist()))
+        total = np.fromiter((self.held[w] for w in words), np.float64, len(words))
+        return total, np.fromiter(map(len, words), np.int64, len(words)) + 1
 
     def evidence(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Toxic minus ordinary log-likelihood of each word, and its letters."""
@@ -93,8 +142,8 @@ class Model:
         size = int(starts[-1] + lengths[-1] + 1)
         lower, shared = np.full(size, 1 / ALPHABET), None
         own = [np.full(size, 1 / ALPHABET), np.full(size, 1 / ALPHABET)]
-        for at, place, before in grams:
-            base = lower[at]
+        for at, gram, context in grams:
+            base, place, before = lower[at], self.grams.of(gram), self.contexts.of(context)
             for y in (0, 1):
                 own[y][at] = _interpolated(self.counts[y][place], self.totals[y][before], self.kinds[y][before], base)
             both = [a[0][i] + a[1][i] for a, i in ((self.counts, place), (self.totals, before))]
@@ -131,7 +180,7 @@ def features(model: Model, texts: list[str]) -> np.ndarray:
         number: dict[str, int] = {}
         owned = [[number.setdefault(w, len(number)) for w in WORDS.findall(t.lower())] for t in part]
         if number:
-            total, letters = model.evidence(list(number))
+            total, letters = model.known(list(number))
             by_letter = total / letters
         for own in owned:
             row = np.zeros(FEATURES)
@@ -145,36 +194,59 @@ def features(model: Model, texts: list[str]) -> np.ndarray:
     return np.array(out).reshape(-1, FEATURES)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task by place; a word counts once for a text that holds it."""
-    counts = np.zeros((4, PLACES), np.uint32)  # ordinary and toxic, seen by the calibration or not
-    before = np.zeros(PLACES, np.int32)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each kind that hold a word: ordinary and toxic, seen by the calibration or not."""
+    number: dict[str, int] = {}
+    counts = np.zeros((4, 0), np.int64)
+
+    def flush():
+        words = list(number)
+        for low in range(0, len(words), 65_536):
+            own = slice(low, low + 65_536)
+            columns = [pa.array(words[own], pa.string()), *(pa.array(c[own]) for c in counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n0", "n1", "n2", "n3"])
+
     for batch in batches:
-        kinds = batch.column("kind").to_numpy()
-        texts, low = batch.column("text").to_pylist(), 0
-        for part in _parts(texts):
-            number: dict[str, int] = {}
-            owned = [[number.setdefault(w, len(number)) for w in set(WORDS.findall(t.lower()))] for t in part]
-            kind = kinds[low : low + len(part)]
+        kinds, low = batch.column("kind").to_numpy(), 0
+        for part in _parts(batch.column("text").to_pylist()):
+            which: list[list[int]] = [[], [], [], []]
+            for t, kind in zip(part, kinds[low : low + len(part)]):
+                which[kind] += [number.setdefault(w, len(number)) for w in set(WORDS.findall(t.lower()))]
             low += len(part)
-            if not number:
-                continue
-            grams, starts, lengths = _grams(list(number))
-            word_of = np.repeat(np.arange(len(number)), lengths + 1)
+            counts = np.pad(counts, ((0, 0), (0, len(number) - counts.shape[1])))
             for k in range(4):
-                own = [o for o, y in zip(owned, kind) if y == k]
-                if own:
-                    n = np.bincount(np.concatenate([np.array(o, np.int64) for o in own]), minlength=len(number))
-                    for at, place, _ in grams:
-                        counts[k] += np.bincount(place, n[word_of[at]], PLACES).astype(np.uint32)
-            for _, place, prior in grams:
-                # Where two grams share a place, the larger of what stands before them counts.
-                np.maximum.at(before, place, prior.astype(np.int32))
-    at = np.flatnonzero(counts.any(axis=0))
-    for low in range(0, len(at), 65_536):
-        own = at[low : low + 65_536]
-        columns = [own.astype(np.int32), before[own], *(counts[k][own].astype(np.int64) for k in range(4))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "before", "n0", "n1", "n2", "n3"])
+                counts[k] += np.bincount(np.array(which[k], np.int64), minlength=len(number))
+            if len(number) >= HELD:
+                yield from flush()
+                number, counts = {}, np.zeros((4, 0), np.int64)
+    yield from flush()
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of words, summed for some words at a time."""
+    words, held = [], []
+
+    def flush():
+        n = np.concatenate(held, axis=1)
+        grams, _, lengths = _grams(words)
+        word_of = np.repeat(np.arange(len(words)), lengths + 1)
+        own = np.concatenate([word_of[at] for at, _, _ in grams])
+        before = np.concatenate([b for _, _, b in grams])
+        place, first, inverse = np.unique(np.concatenate([p for _, p, _ in grams]), return_index=True, return_inverse=True)
+        counts = [np.bincount(inverse, n[k][own], len(place)).astype(np.int64) for k in range(4)]
+        columns = [place.view(np.int64), before[first].view(np.int64), *counts]
+        for low in range(0, len(place), 65_536):
+            arrays = [pa.array(c[low : low + 65_536]) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, names=["place", "before", "n0", "n1", "n2", "n3"])
+
+    for batch in batches:
+        words += batch.column("word").to_pylist()
+        held.append(np.array([batch.column(f"n{k}").to_numpy() for k in range(4)]))
+        if len(words) >= AT_ONCE:
+            yield from flush()
+            words, held = [], []
+    if words:
+        yield from flush()
 
 
 def remainder(id_column: str) -> Column:
@@ -237,11 +309,12 @@ def fit(
     taught = saved(known.where(remainder("id") != 2).withColumn("kind", (rest + F.col("y")).cast("int")))
     # The labels may be many, so Spark chooses the join by their size.
     labelled = texts.where(remainder("id") != 2).join(taught.select("id", "kind"), "id").select("kind", "text")
-    # Fewer tasks, fewer tables to add up; each holds one table, however much it reads.
-    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    counted = labelled.coalesce(tasks).mapInArrow(_counts, "place int, before int, n0 long, n1 long, n2 long, n3 long")
-    table = counted.groupBy("place").agg(F.max("before").alias("before"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).toArrow()
-    place, before = (table.column(c).to_numpy() for c in ("place", "before"))
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]
+    words = labelled.mapInArrow(_word_counts, "word string, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*sums)
+    counted = words.mapInArrow(_gram_counts, "place long, before long, n0 long, n1 long, n2 long, n3 long")
+    # A row per distinct gram of the labelled texts.
+    table = counted.groupBy("place").agg(F.max("before").alias("before"), *sums).toArrow()
+    place, before = (table.column(c).to_numpy().view(np.uint64) for c in ("place", "before"))
     n = [table.column(f"n{k}").to_numpy() for k in range(4)]
     del table
     if not all(c.sum() for c in n):

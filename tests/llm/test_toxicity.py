@@ -128,3 +128,30 @@ def test_every_labelled_row_teaches(spark):
     for y in (0, 1):
         words = [w for (i, t, _), h in zip(docs, held) if not h and int(i % 5 == 0) == y for w in t.split()]
         assert model.counts[y].sum() == sum(len(at) for at, _, _ in toxicity._grams(words)[0])
+
+
+def test_every_gram_has_its_own_count():
+    """Two grams never share a count, however many there are."""
+    pick = random.Random(5)
+    words = list({"".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000)})
+    grams, _, _ = toxicity._grams(words)
+    place, before = (np.concatenate([g[i] for g in grams]) for i in (1, 2))
+    expected = {s[i - k + 1 : i + 1] for w in words for s in [f"\x02{w}\x03"] for i in range(1, len(s)) for k in range(1, 7) if k <= i + 1}
+    uniq, first, n = np.unique(place, return_index=True, return_counts=True)
+    assert len(uniq) == len(expected)
+    model = toxicity.Model.of(uniq, before[first], [n, np.ones(len(n))])
+    assert (model.counts[0][model.grams.of(uniq)] == n).all()
+    assert model.totals[0].sum() == len(place)
+    strange, _, _ = toxicity._grams(["ßßßßßß"])
+    assert all((model.counts[0][model.grams.of(p)][:-1] == 0).all() for _, p, _ in strange)
+
+
+def test_evidence_is_kept_within_bounds(monkeypatch):
+    seen = ["stone", "stones", "grumpf"]
+    grams, _, _ = toxicity._grams(seen)
+    uniq, first, n = np.unique(np.concatenate([g[1] for g in grams]), return_index=True, return_counts=True)
+    model = toxicity.Model.of(uniq, np.concatenate([g[2] for g in grams])[first], [n, n % 2])
+    monkeypatch.setattr(toxicity, "HELD", 4)
+    for words in (["stone", "x"], ["x", "river", "grumpf"], ["stone", "lamp"], ["a", "b", "c", "d", "e"]):
+        for got, expected in zip(model.known(words), model.evidence(words)):
+            assert got == pytest.approx(expected)
