@@ -56,6 +56,12 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     each; those that tie with the row that stays are all marked kept. An empty
     table gives no rows.
     """
+    out = _answered(docs, id_column, text_column)
+    return out.select("id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _answered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(`id`, `points`, `digest`, `keep_id`, `group_size`, `kept`) of every row."""
     rows = saved(digests(docs, id_column, text_column))
     # The smallest struct is the best row: most points first, ids without null first.
     best = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("no_id"), F.col("id"))
@@ -69,18 +75,24 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
     down = first.select("run", *EVIDENCE).join(answers, EVIDENCE)
     out = rows.join(down, ["run", *EVIDENCE])
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == -F.col("most"))
-    return out.select("id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("id", "points", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one per text."""
-    keep = duplicate_groups(docs, id_column, text_column).where("kept").select(
-        F.xxhash64("id").alias("id_hash"), "text_sha256", F.col("id").alias("keep_id")
+    """The rows of `docs` that stay, one per text.
+
+    Of rows that tie by code points and id, the one with the smallest text by
+    its hash stays.
+    """
+    keep = _answered(docs, id_column, text_column).where("kept").select(
+        F.xxhash64("id").alias("id_hash"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("id").alias("keep_id"), F.col("points").alias("most")
     )
-    digest = F.sha2(normalized(text_of(text_column)), 256).alias("text_sha256")
+    raw = text_of(text_column)
+    digest = F.sha2(normalized(raw), 256).alias("text_sha256")
     # The row as one column, so that no name of its can clash.
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(id_column).alias("id_hash"), digest)
-    both = rows.join(keep.distinct(), ["id_hash", "text_sha256"])
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(id_column).alias("id_hash"), digest, F.char_length(raw).alias("points"))
+    both = rows.join(keep.distinct(), ["id_hash", "text_sha256"]).where("points = most")
     mine = both.where(F.col(f"row.{id_column}").eqNullSafe(F.col("keep_id")))
-    # Of repeated rows one; the join has brought them together.
-    return mine.dropDuplicates(["id_hash", "text_sha256"]).select("row.*")
+    # Of rows that tie one; the join has brought them together.
+    by_text = F.min_by("row", F.sha2(text_of(f"row.{text_column}"), 256)).alias("row")
+    return mine.groupBy("id_hash", "text_sha256").agg(by_text).select("row.*")

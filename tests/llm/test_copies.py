@@ -175,3 +175,15 @@ def test_rows_with_null_and_repeated_ids_keep_one_row_per_group(spark):
     expected = Counter(min(own, key=rank) for own in groups.values())
     assert len(expected) >= 6
     assert Counter(map(tuple, simhash.without_near_duplicates(docs).collect())) == expected
+
+
+def test_deduplicated_keeps_the_most_code_points_without_ids(spark):
+    texts = [f"{w}{i}" for w in ("a", "b", "c") for i in range(10)]
+    rows = [(d, t) for d in (None, 5) for x in texts for t in (f"{x}z{d}", f" {x}z{d}", f"{x} z {d}", f"{x}\tz {d}", f"{x}z{d} ")]
+    expected = Counter()
+    for low in range(0, len(rows), 5):
+        # Two tie with two code points more.
+        expected[min(rows[low + 2 : low + 4], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())] += 1
+    for n in (1, 3):
+        got = exact_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))
+        assert Counter(map(tuple, got.collect())) == expected
