@@ -294,9 +294,9 @@ def fit(
     `labels` (id, 0 or 1) may repeat an id; one toxic label makes it toxic.
     Null ids and labels teach nothing. The counts of two thirds of the rows
     make the models for the calibration, which is fitted on at most
-    `CALIBRATED_ON` of the others; the models for scoring take them all. Without
-    labelled rows of both classes, and in both parts, every score is the
-    share of toxic labels (0 without any).
+    `CALIBRATED_ON` of the others; the models for scoring take them all. If a
+    class is missing in one of these parts, the score is not calibrated; if it
+    is missing in both, every score is the share of toxic labels (0 without any).
     """
     spark = docs.sparkSession
     known = (
@@ -319,7 +319,14 @@ def fit(
     del table
     if not all(c.sum() for c in n):
         ones, rows = taught.agg(F.sum("y"), F.count(F.lit(1))).first()
-        return Scorer(None, np.zeros(0), np.zeros(0), np.zeros(0), (ones or 0) / rows if rows else 0.0)
+        base = (ones or 0) / rows if rows else 0.0
+        if not all((n[y] + n[2 + y]).sum() for y in (0, 1)):
+            return Scorer(None, np.zeros(0), np.zeros(0), np.zeros(0), base)
+        # Nothing to calibrate on: the odds of toxic labels and the evidence of the word with most of it.
+        weights = np.zeros(1 + FEATURES)
+        weights[0], weights[1 + len(TOP)] = np.log(base / (1 - base)), 1
+        whole = spark.sparkContext.broadcast(Model.of(place, before, [n[0] + n[2], n[1] + n[3]]))
+        return Scorer(whole, weights, np.zeros(FEATURES), np.ones(FEATURES), base)
     half = spark.sparkContext.broadcast(Model.of(place, before, n[:2]))
     # A bounded list of ids, so it can be broadcast.
     chosen = taught.where("kind >= 2").orderBy(F.xxhash64("id"), "id").limit(CALIBRATED_ON).select("id", "y")

@@ -155,3 +155,13 @@ def test_evidence_is_kept_within_bounds(monkeypatch):
     for words in (["stone", "x"], ["x", "river", "grumpf"], ["stone", "lamp"], ["a", "b", "c", "d", "e"]):
         for got, expected in zip(model.known(words), model.evidence(words)):
             assert got == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("part", ["= 3", "<> 3"])
+def test_a_class_in_one_part_only_still_teaches(tables, part):
+    docs, labels = tables
+    labels = labels.where(f"not (toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 4 {part})")
+    rows = [r for r in toxicity.toxicity(docs, labels).collect() if r.id is not None and r.id < 1000 and r.held_out]
+    toxic, calm = ([r.score for r in rows if (r.id % 5 == 0) == y] for y in (True, False))
+    assert np.mean(np.array(toxic) >= toxicity.THRESHOLD) > 0.9
+    assert np.mean(np.array(calm) < toxicity.THRESHOLD) > 0.9
