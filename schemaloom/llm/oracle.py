@@ -75,5 +75,54 @@ SELECT doc_id, source, size, source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE
     budget // source_size * size + least(size, greatest(0, budget % source_size - before)) END AS BIGINT) AS taken
 FROM placed
+""",
+    "op11_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), f AS (
+  SELECT doc_id, part,
+    concat(
+      CASE WHEN len(words) < 100 THEN 'A' ELSE '' END,
+      CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END,
+      CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END,
+      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+      CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM d
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id
+), k AS (
+  SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+    JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step)
+), marked AS (
+  SELECT part, filter_order, step, x, n, good, toxic, fails = x AS only_x,
+    contains(fails, x) AS hit, length(translate(fails, earlier, '')) < length(fails) AS early
+  FROM k, steps
+), counted AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN NOT hit AND NOT early THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN hit AND NOT early THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit AND early THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN only_x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit AND NOT early AND good THEN n ELSE 0 END) AS good_lost,
+    sum(CASE WHEN hit AND NOT early AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM marked GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted
 """,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm import (
+    audit,
     exact_dedup,
     licenses,
     mixing,
@@ -82,11 +83,17 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    failed = audit.failures(shared.table(spark, folder, "documents"))
+    return audit.audit(failed, shared.table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_exact_top_k, op3_toxicity, op4_simhash, op5_exact_dedup,
         op6_sentencepiece, op7_token_files, op8_warc, op9_licenses, op10_mixing,
+        op11_filter_audit,
     )
 } | {"pipeline": corpus_pipeline.run}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's URI in the folder that the cluster shares.
 
-    `spark.checkpoint.dir` names it. Where that is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    `spark.checkpoint.dir` names it. Where that is unset, a temporary folder
+    takes its place in local mode only, as in tests; on a cluster, whose
+    executors would each write to their own disk, it is an error.
     """
     return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -34,10 +36,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as a table in the shared folder, so that later steps read only the columns they need."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _shared(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is not None:
         return given
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
     known = spark.conf.get("schemaloom.llm.folder", None)
     if known is None:
         known = "file://" + tempfile.mkdtemp(prefix="llm-")
