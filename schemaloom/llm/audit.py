@@ -59,16 +59,24 @@ def csr(rows: np.ndarray, codes: np.ndarray, n_rows: int, n_codes: int) -> tuple
     return ends, (keys[first] - which * n_codes).astype(np.int32), counts.astype(np.int32)
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as bytes, compressed place by place: high bytes hardly change along a row."""
+    return pa.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(4, n).T.copy().view("<i4").reshape(n)
+
+
 def _shard(name: str, ids: pa.Array, parts: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """A slice of documents as one shard with local codes."""
     split = pc.ascii_split_whitespace(texts)
     flat, per_row = split.flatten(), pc.list_value_length(split).to_numpy()
     # Leading and trailing white space leaves empty words.
     full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-    coded = flat.filter(pa.array(full)).dictionary_encode()
-    rows = np.repeat(np.arange(len(texts)), per_row)[full]
-    ends, codes, counts = csr(rows, coded.indices.to_numpy().astype(np.int64), len(texts), len(coded.dictionary))
-    of_word = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+    codes, words = dictionary.coded(flat.filter(pa.array(full)))
+    ends, codes, counts = csr(np.repeat(np.arange(len(texts)), per_row)[full], codes, len(texts), len(words))
 
     raw = texts.cast(pa.binary()).to_pylist()
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -76,13 +84,13 @@ def _shard(name: str, ids: pa.Array, parts: pa.Array, texts: pa.Array) -> pa.Rec
     data = np.frombuffer(b"".join(raw), np.uint8)
     capitals, points, symbols = (_sums(marks[data], starts, lengths) for marks in (_CAPITAL, _POINT, _SYMBOL))
     digests = pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary())
-    one = np.array([1]) * len(texts)
+    one = np.array([len(texts)])
     columns = {
         "shard": pa.array([name]), "ids": lists(ids, one), "parts": lists(parts, one),
         "capitals": lists(100 * capitals > MOST_CAPITALS * points, one), "symbols": lists(symbols > 0, one),
         "digests": lists(digests, one), "ends": lists(ends, one),
-        "codes": lists(codes, np.array([len(codes)])), "counts": lists(counts, np.array([len(codes)])),
-        "words": lists(coded.dictionary, np.array([len(of_word)])), "of_words": lists(of_word, np.array([len(of_word)])),
+        "codes": pa.array([packed(codes)]), "counts": pa.array([packed(counts)]),
+        "n": pa.array([len(words)]), "words": pa.array([dictionary.joined(words)]),
     }
     return pa.RecordBatch.from_pydict(columns)
 
@@ -99,17 +107,17 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards with global ids in place of local codes."""
-    names = ["ids", "parts", "capitals", "symbols", "digests", "ends"]
+    names = ["shard", "ids", "parts", "capitals", "symbols", "digests", "ends"]
     for batch in batches:
         for i in range(len(batch)):
-            codes, blocks = batch.column("codes")[i].values.to_numpy(), batch.column("blocks")[i].values
-            size = int(codes.max(initial=-1)) + 1
+            row, ends = batch.slice(i, 1), batch.column("ends")[i].values
+            n = ends[len(ends) - 1].as_py()
+            codes, counts = (unpacked(batch.column(c)[i].as_py(), n) for c in ("codes", "counts"))
+            blocks = batch.column("blocks")[i].as_py()
             # A shard of empty texts only has no words and no answer.
-            columns = dictionary.ids_of(blocks, size)[codes] if size else np.zeros(0, np.int64)
-            row = batch.slice(i, 1)
-            arrays = [row.column(c) for c in ["shard", *names]]
-            arrays += [lists(columns, np.array([len(columns)])), row.column("counts")]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", *names, "columns", "counts"])
+            columns = dictionary.ids_of(blocks)[codes] if blocks else np.zeros(0, np.int64)
+            arrays = [*(row.column(c) for c in names), lists(columns, np.array([n])), lists(counts, np.array([n]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "columns", "counts"])
 
 
 def matrix(
@@ -120,14 +128,13 @@ def matrix(
     A row of the first is a shard in CSR form: row i has the entries from
     `ends[i - 1]` to `ends[i]` of `columns` (word ids) and `counts`; `ids`,
     `parts`, `capitals`, `symbols` and `digests` belong to its rows. The second
-    is (`word_id`, `word`, `total`). Words are what stands between white
+    is (`word_id`, `word`). Words are what stands between white
     space, with their case. A null text is empty and has an empty row, a null
     part is an empty string; repeated rows have a row each. An empty table has
     no shards.
     """
-    rows = docs.select(
-        F.col(id_column).alias("id"), F.coalesce(F.col(part_column), F.lit("")).alias("part"), text_of(text_column).alias("text")
-    )
+    part = F.coalesce(F.col(part_column), F.lit("")).alias("part")
+    rows = docs.select(F.col(id_column).alias("id"), part, text_of(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     carried = (
         f"ids array<{kind}>, parts array<string>, capitals array<boolean>, symbols array<boolean>, "
@@ -135,14 +142,15 @@ def matrix(
     )
     shards = stored(
         rows.mapInArrow(
-            _shards, f"shard string, {carried}, codes array<int>, counts array<int>, words array<string>, of_words array<long>"
+            _shards, f"shard string, {carried}, codes binary, counts binary, n long, words string"
         ),
         "shards",
     )
-    answers = dictionary.numbered(shards.select("shard", "words", F.col("of_words").alias("counts")))
-    both = shards.drop("words", "of_words").join(dictionary.by_shard(answers), "shard", "left")
+    local = shards.select(F.lit("").alias("part"), "shard", "n", "words", F.lit(None).cast("binary").alias("counts"))
+    answers = dictionary.numbered(local, sums=False)
+    both = shards.drop("words", "n").join(dictionary.by_shard(answers), "shard", "left")
     encoded = both.mapInArrow(_encoded, f"shard string, {carried}, columns array<long>, counts array<int>")
-    return encoded, dictionary.words(answers)
+    return encoded, dictionary.words(answers).select("word_id", "word")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

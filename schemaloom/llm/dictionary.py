@@ -1,11 +1,14 @@
 """Global ids for the words of many shards.
 
-Every shard has its distinct words as a local dictionary, in the order of its
-own codes. The local dictionaries are cut by a hash of the word into buckets
-of a bounded number of entries; a bucket sums up what its shards say of a
-word, sorts its words and numbers them; prefix sums over the buckets turn that
-into ids of the whole table. So a word moves once per shard that holds it, and
-not once per document, and no task and no driver holds the whole dictionary.
+Every shard has its distinct words as a local dictionary, ordered by a hash;
+its codes are the places in it. The local dictionaries are cut into buckets,
+ranges of the hash with a bounded number of entries; a bucket sums up what its
+shards say of a word, sorts its words and numbers them; prefix sums over the
+buckets turn that into ids of the whole table. So a word moves once per shard
+that holds it, and not once per document, and no task and no driver holds the
+whole dictionary.
+
+Words never hold a line feed, so a run of them travels as one text.
 """
 
 from __future__ import annotations
@@ -18,14 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import saved
+from schemaloom.llm.shared import stored
 
 # Local entries that a bucket has on average.
 ENTRIES = 250_000
 
-ANSWER = (
-    "bucket long, shard string, place array<int>, words array<string>, rank array<long>, total array<long>, before array<long>"
-)
+PIECE = "part string, bucket long, shard string, start int, words string, counts binary"
+ANSWER = "part string, bucket long, shard string, start int, words string, rank binary, total binary, before binary, n long, mass long"
 
 
 def hashes(words: pa.Array) -> np.ndarray:
@@ -44,6 +46,19 @@ def hashes(words: pa.Array) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
+def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The code of every word, and the distinct words in the order of their codes."""
+    found = words.dictionary_encode()
+    order = np.argsort(hashes(found.dictionary), kind="stable")
+    code = np.empty(len(order), np.int64)
+    code[order] = np.arange(len(order))
+    return code[found.indices.to_numpy()], found.dictionary.take(pa.array(order))
+
+
+def joined(words: pa.Array) -> str:
+    return "\n".join(words.to_pylist())
+
+
 def lists(values: pa.Array | np.ndarray, ends: np.ndarray) -> pa.ListArray:
     """Lists of `values`, the i-th up to `ends[i]`."""
     values = values if isinstance(values, pa.Array) else pa.array(values)
@@ -54,110 +69,125 @@ def _cut(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Local dictionaries by bucket."""
         for batch in batches:
-            for i, shard in enumerate(batch.column("shard")):
-                words, counts = batch.column("words")[i].values, batch.column("counts")[i].values
-                if not len(words):
+            for part, shard, words, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "words", "counts"))):
+                if not words:
                     continue
-                own = (hashes(words) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                which, first = np.unique(own[order], return_index=True)
-                ends = np.r_[first[1:], len(order)]
+                split = words.split("\n")
+                # Codes are in the order of the hash, and so are the buckets.
+                own = ((hashes(pa.array(split)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                edges = list(zip(first.tolist(), [*first[1:].tolist(), len(own)]))
                 columns = [
-                    pa.array(which), pa.repeat(shard, len(which)), lists(order.astype(np.int32), ends),
-                    lists(words.take(pa.array(order)), ends), lists(counts.take(pa.array(order)), ends),
+                    pa.repeat(part, len(edges)), pa.array(own[first]), pa.repeat(shard, len(edges)), pa.array(first.astype(np.int32)),
+                    pa.array(["\n".join(split[a:b]) for a, b in edges]),
+                    pa.array([None if counts is None else counts[8 * a : 8 * b] for a, b in edges], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "place", "words", "counts"])
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "shard", "start", "words", "counts"])
 
     return run
 
 
-def _numbered(least: int):
+def _numbered(least: int, sums: bool):
     def run(table: pa.Table) -> pa.Table:
         """Ranks and sums of one bucket's words: a row for each shard, and one without shard for the words."""
-        table = table.combine_chunks()
-        words, counts = table.column("words").combine_chunks(), table.column("counts").combine_chunks()
-        coded = words.flatten().dictionary_encode()
-        which = coded.indices.to_numpy()
-        # The dictionary as bytes sorts as UTF-8 does.
-        sorted_ = pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()
+        n, runs = len(table), pc.split_pattern(table.column("words").combine_chunks(), "\n")
+        found = runs.flatten().dictionary_encode()
+        which = found.indices.to_numpy()
+        # As bytes the words sort as UTF-8 does.
+        sorted_ = pc.sort_indices(found.dictionary.cast(pa.binary())).to_numpy()
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64) if sums else np.ones(len(which), np.int64)
         total = np.zeros(len(sorted_), np.int64)
-        np.add.at(total, which, counts.flatten().to_numpy())
+        np.add.at(total, which, counts)
         kept = sorted_[total[sorted_] >= least]
-        rank, before = np.full(len(total), -1), np.zeros(len(total), np.int64)
+        rank, before = np.full(len(total), -1, np.int32), np.zeros(len(total), np.int64)
         rank[kept], before[kept] = np.arange(len(kept)), np.cumsum(total[kept]) - total[kept]
-        ends = np.cumsum(pc.list_value_length(words).to_numpy())
-        bucket = table.column("bucket")[0].as_py()
-        shards = {
-            "bucket": pa.repeat(pa.scalar(bucket, pa.int64()), len(table)), "shard": table.column("shard").combine_chunks(),
-            "place": table.column("place").combine_chunks(), "words": pa.nulls(len(table), pa.list_(pa.string())),
-            "rank": lists(rank[which], ends), "total": lists(total[which], ends), "before": lists(before[which], ends),
-        }
-        one = np.array([len(kept)])
-        own = {
-            "bucket": pa.array([bucket]), "shard": pa.array([None], pa.string()), "place": pa.array([None], pa.list_(pa.int32())),
-            "words": lists(coded.dictionary.take(pa.array(kept)), one), "rank": lists(np.arange(len(kept)), one),
-            "total": lists(total[kept], one), "before": lists(before[kept], one),
-        }
-        return pa.concat_tables([pa.table(shards), pa.table(own)])
+        ends = np.cumsum(pc.list_value_length(runs).to_numpy())
+
+        def packed(values: np.ndarray) -> list[bytes]:
+            own = values[which]
+            return [own[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)]
+
+        none = [None] * n
+        text, mass = joined(found.dictionary.take(pa.array(kept))), int(total[kept].sum())
+        columns = {
+            "part": [*table.column("part").to_pylist(), table.column("part")[0].as_py()],
+            "bucket": [table.column("bucket")[0].as_py()] * (n + 1),
+            "shard": [*table.column("shard").to_pylist(), None],
+            "start": [*table.column("start").to_pylist(), None],
+            "words": [*none, text],
+            "rank": [*packed(rank), None],
+            "total": [*(packed(total) if sums else none), total[kept].tobytes() if sums else None],
+            "before": [*(packed(before) if sums else none), None],
+            "n": [*none, len(kept)],
+            "mass": [*none, mass],
+        }
+        types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), *[pa.binary()] * 3, pa.int64(), pa.int64()]
+        return pa.table([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))
 
     return run
 
 
-def numbered(local: DataFrame, least: int = 1, entries: int = ENTRIES) -> DataFrame:
-    """Answers of all buckets, computed once, with `first` and `mass`: the ids and the counts of all buckets before.
+def numbered(local: DataFrame, least: int = 1, entries: int = ENTRIES, sums: bool = True) -> DataFrame:
+    """Answers of all buckets, computed once, with `first` and `before_all`: the ids and the counts of all buckets before.
 
-    `local` has a row (`shard`, `words`, `counts`) per shard, without repeated
-    words. Only words whose counts sum up to `least` get an id. Empty
-    dictionaries and an empty table give no answers.
+    `local` has rows (`part`, `shard`, `n`, `words`, `counts`): a local
+    dictionary of `n` words and their counts, packed. Words of different parts
+    are different words; a shard has one part. Only words whose counts sum up
+    to `least` get an id; without `sums`, counts are null and none is summed.
+    Empty dictionaries and an empty table give no answers.
     """
-    (size,) = local.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    cut = local.select("shard", "words", "counts").mapInArrow(
-        _cut(max(1, -(-size // entries))), "bucket long, shard string, place array<int>, words array<string>, counts array<long>"
-    )
-    answers = saved(cut.groupBy("bucket").applyInArrow(_numbered(least), ANSWER))
+    (size,) = local.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
+    cut = local.select("part", "shard", "words", "counts").mapInArrow(_cut(max(1, -(-size // entries))), PIECE)
+    answers = stored(cut.groupBy("part", "bucket").applyInArrow(_numbered(least, sums), ANSWER), "dictionary")
     # One row per bucket.
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    of_words = answers.where("shard IS NULL").select(
-        "bucket", F.size("words").alias("n"), F.aggregate("total", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum")
-    )
-    starts = of_words.select(
-        "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("mass")
-    )
-    return answers.join(starts, "bucket")
+    earlier = Window.orderBy("part", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = answers.where("shard IS NULL").select(
+        "part", "bucket",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"),
+        F.coalesce(F.sum("mass").over(earlier), F.lit(0)).alias("before_all"),
+    )
+    return answers.join(starts, ["part", "bucket"])
 
 
 def by_shard(answers: DataFrame) -> DataFrame:
-    """(`shard`, `blocks`): all answers to a shard, in the order of the buckets."""
-    block = F.struct("bucket", "first", "mass", "place", "rank", "total", "before")
+    """(`shard`, `blocks`): all answers to a shard, in the order of its codes."""
+    block = F.struct("start", "first", "before_all", "rank", "total", "before")
     return answers.where("shard IS NOT NULL").groupBy("shard").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, first, words, total, n in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "words", "total", "n"))):
+            if n:
+                totals = pa.nulls(n, pa.int64()) if total is None else pa.array(np.frombuffer(total, np.int64))
+                columns = [pa.repeat(part, n), pa.array(first + np.arange(n)), pa.array(words.split("\n")), totals]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "word_id", "word", "total"])
+
+
 def words(answers: DataFrame) -> DataFrame:
-    """The dictionary: (`word_id`, `word`, `total`)."""
-    row = F.arrays_zip("rank", "words", "total")
-    rows = answers.where("shard IS NULL").select("first", F.explode(row).alias("w"))
-    return rows.select((F.col("first") + F.col("w.rank")).alias("word_id"), F.col("w.words").alias("word"), F.col("w.total").alias("total"))
+    """The dictionary: (`part`, `word_id`, `word`, `total`)."""
+    rows = answers.where("shard IS NULL").select("part", "first", "words", "total", "n")
+    return rows.mapInArrow(_unpacked, "part string, word_id long, word string, total long")
+
+
+def _values(blocks: list[dict], name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(b[name] for b in blocks), kind)
 
 
-def ids_of(blocks: pa.StructArray, size: int) -> np.ndarray:
-    """Global ids in the order of a shard's local codes; -1 for words without one."""
-    return _laid(blocks, size, "first", "rank")
+def ids_of(blocks: list[dict]) -> np.ndarray:
+    """Global ids in the order of a shard's codes; -1 for words without one."""
+    rank = _values(blocks, "rank", np.int32).astype(np.int64)
+    return np.where(rank < 0, -1, rank + _repeated(blocks, "first"))
 
 
-def starts_of(blocks: pa.StructArray, size: int) -> np.ndarray:
-    """The counts of all words before a word, in the order of local codes."""
-    return _laid(blocks, size, "mass", "before")
+def starts_of(blocks: list[dict]) -> np.ndarray:
+    """The counts of all words that come before a word in the order of ids."""
+    return _values(blocks, "before", np.int64) + _repeated(blocks, "before_all")
 
 
-def totals_of(blocks: pa.StructArray, size: int) -> np.ndarray:
-    return _laid(blocks, size, None, "total")
+def totals_of(blocks: list[dict]) -> np.ndarray:
+    return _values(blocks, "total", np.int64)
 
 
-def _laid(blocks: pa.StructArray, size: int, base: str | None, name: str) -> np.ndarray:
-    out = np.full(size, -1)
-    place, values, rank = (blocks.field(c).flatten().to_numpy() for c in ("place", name, "rank"))
-    if base is not None:
-        values = values + np.repeat(blocks.field(base).to_numpy(), pc.list_value_length(blocks.field("place")).to_numpy())
-    known = rank >= 0
-    out[place[known]] = values[known]
-    return out
+def _repeated(blocks: list[dict], name: str) -> np.ndarray:
+    return np.repeat([b[name] for b in blocks], [len(b["rank"]) // 4 for b in blocks])

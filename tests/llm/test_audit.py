@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -83,8 +84,7 @@ def test_matrix(docs, sample):
                 low = high
         rows = df.collect()
         assert got == Counter((r.doc_id, frozenset(Counter(words(r.text)).items())) for r in rows)
-        total = Counter(w for r in rows for w in words(r.text))
-        assert {r.word: r.total for r in known} == total
+        assert set(name.values()) == {w for r in rows for w in words(r.text)}
 
 
 def test_empty_table_and_other_ids(docs, no_docs, spark):
@@ -99,26 +99,28 @@ def test_empty_table_and_other_ids(docs, no_docs, spark):
 
 def test_dictionary(spark):
     """Ids do not depend on shards or buckets, sums and starts are exact, rare words have no id."""
-    rows = [(f"s{i}", [f"w{j}" for j in range(i % 4, 60, 1 + i % 3)] + ["ü" * 50_000], [i + j for j in range(len(range(i % 4, 60, 1 + i % 3)) + 1)]) for i in range(9)]
-    rows.append(("none", [], []))
-    total = defaultdict(int)
-    for _, ws, ns in rows:
-        for w, n in zip(ws, ns):
-            total[w] += n
-    local = spark.createDataFrame(rows, "shard string, words array<string>, counts array<long>")
+    rows, total, own = [], defaultdict(int), {}
+    for i in range(9):
+        part = "ab"[i % 2]
+        own[f"s{i}"] = [(part, w) for w in dictionary.coded(pa.array([f"w{j}" for j in range(i % 4, 60, 1 + i % 3)] + ["ü" * 50_000]))[1].to_pylist()]
+        counts = np.arange(len(own[f"s{i}"])) + i
+        for key, n in zip(own[f"s{i}"], counts.tolist()):
+            total[key] += n
+        rows.append((part, f"s{i}", len(counts), "\n".join(w for _, w in own[f"s{i}"]), counts.tobytes()))
+    rows.append(("a", "none", 0, "", b""))
+    local = spark.createDataFrame(rows, "part string, shard string, n long, words string, counts binary")
     for entries, least in ((10_000, 1), (7, 1), (50, 60)):
         answers = dictionary.numbered(local, least, entries)
-        known = {r.word: r for r in dictionary.words(answers).collect()}
-        assert {w: r.total for w, r in known.items()} == {w: n for w, n in total.items() if n >= least}
+        known = {(r.part, r.word): r for r in dictionary.words(answers).collect()}
+        assert {k: r.total for k, r in known.items()} == {k: n for k, n in total.items() if n >= least}
         assert sorted(r.word_id for r in known.values()) == list(range(len(known)))
         by_id = sorted((r.word_id, r.total) for r in known.values())
         start = {i: sum(n for _, n in by_id[:i]) for i, _ in by_id}
-        blocks = {r["shard"]: r for r in dictionary.by_shard(answers).toArrow().to_pylist()}
-        assert set(blocks) == {s for s, ws, _ in rows if ws}
-        kind = dictionary.by_shard(answers).toArrow().column("blocks").type.value_type
-        for s, ws, _ in rows[:-1]:
-            array = pa.array(blocks[s]["blocks"], kind)
-            ids = dictionary.ids_of(array, len(ws))
-            assert list(ids) == [known[w].word_id if w in known else -1 for w in ws]
-            assert list(dictionary.starts_of(array, len(ws))) == [start[i] if i >= 0 else -1 for i in ids]
-            assert list(dictionary.totals_of(array, len(ws))) == [total[w] if w in known else -1 for w in ws]
+        blocks = {r["shard"]: r["blocks"] for r in dictionary.by_shard(answers).toArrow().to_pylist()}
+        assert set(blocks) == set(own)
+        for s, keys in own.items():
+            ids = dictionary.ids_of(blocks[s])
+            assert list(ids) == [known[k].word_id if k in known else -1 for k in keys]
+            there = [i for i in range(len(ids)) if ids[i] >= 0]
+            assert [dictionary.starts_of(blocks[s])[i] for i in there] == [start[ids[i]] for i in there]
+            assert list(dictionary.totals_of(blocks[s])) == [total[k] for k in keys]
