@@ -124,5 +124,57 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM counted
+""",
+    "op12_url_filter": r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), o AS (
+  SELECT doc_id AS page_id, max(CAST(toxic = 1 OR quality = 0 AS INTEGER)) AS bad FROM labels GROUP BY doc_id
+), h AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host
+), named AS (
+  SELECT *, regexp_replace(host, '^.*@|:\d*$', '', 'g') AS bare, string_split(regexp_replace(host, '^.*@|:\d*$', '', 'g'), '.') AS x FROM h
+), sized AS (
+  SELECT *, regexp_matches(bare, '(^|\.)\d+$') AS numbers,
+    CASE WHEN len(x) > 1 AND list_contains(['ac.jp', 'ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar',
+      'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'com.tw', 'edu.au', 'gov.au', 'gov.uk', 'ne.jp', 'net.au', 'or.jp',
+      'org.au', 'org.uk'], array_to_string(x[-2:], '.')) THEN 2 ELSE 1 END AS m
+  FROM named
+), hosts AS (
+  SELECT host, n, k, CASE WHEN numbers THEN bare ELSE array_to_string(x[-(m + 1):], '.') END AS domain,
+    CASE WHEN numbers THEN bare ELSE array_to_string(x[-m:], '.') END AS suffix
+  FROM sized
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM hosts) AS base FROM hosts GROUP BY suffix
+), s1 AS (
+  SELECT *, 1 / coalesce(CASE WHEN sum(n * (n - 1) * base * (1 - base)) OVER () > 0 THEN least(0.5, greatest(0.001,
+    sum((k - n * base) * (k - n * base) - n * base * (1 - base)) OVER () / sum(n * (n - 1) * base * (1 - base)) OVER ())) END, 0.1) - 1 AS w FROM s0
+), d0 AS (
+  SELECT domain, suffix, sum(hosts.n) AS n, sum(hosts.k) AS k, any_value((s1.k + w * base) / (s1.n + w)) AS base
+  FROM hosts JOIN s1 USING (suffix) GROUP BY domain, suffix
+), d1 AS (
+  SELECT *, 1 / coalesce(CASE WHEN sum(n * (n - 1) * base * (1 - base)) OVER () > 0 THEN least(0.5, greatest(0.001,
+    sum((k - n * base) * (k - n * base) - n * base * (1 - base)) OVER () / sum(n * (n - 1) * base * (1 - base)) OVER ())) END, 0.1) - 1 AS w FROM d0
+), h0 AS (
+  SELECT host, hosts.n, hosts.k, (d1.k + w * base) / (d1.n + w) AS base FROM hosts JOIN d1 USING (domain, suffix)
+), h1 AS (
+  SELECT *, 1 / coalesce(CASE WHEN sum(n * (n - 1) * base * (1 - base)) OVER () > 0 THEN least(0.5, greatest(0.001,
+    sum((k - n * base) * (k - n * base) - n * base * (1 - base)) OVER () / sum(n * (n - 1) * base * (1 - base)) OVER ())) END, 0.1) - 1 AS w FROM h0
+), rated AS (
+  SELECT host, n, w, (k + w * base) / (n + w) AS rate FROM h1
+), r AS (
+  SELECT page_id, host, path, CASE
+      WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + w + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM r JOIN rated USING (host)
 """,
 }

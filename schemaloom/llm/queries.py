@@ -22,10 +22,12 @@ from schemaloom.llm import (
     token_files,
     topk,
     toxicity,
+    url_filter,
     warc,
 )
 
 MOST_TOKENS = 1024
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,12 +90,20 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(failed, shared.table(spark, folder, "labels"))
 
 
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables have no outcomes of pages; the labels of the document with a page's number stand in for them."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    outcomes = shared.table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    rules = [url_filter.Rule.of(*r) for r in URL_RULES]
+    return url_filter.judged(shared.table(spark, folder, "pages"), outcomes, rules).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_exact_top_k, op3_toxicity, op4_simhash, op5_exact_dedup,
         op6_sentencepiece, op7_token_files, op8_warc, op9_licenses, op10_mixing,
-        op11_filter_audit,
+        op11_filter_audit, op12_url_filter,
     )
 } | {"pipeline": corpus_pipeline.run}
 
