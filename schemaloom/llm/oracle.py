@@ -176,5 +176,41 @@ SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + w + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM r JOIN rated USING (host)
+""",
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), sizes AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, phrase, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(generate_series(1, len(words) - m + 1), lambda i: words[i:i + m - 1])) AS phrase
+    FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(words) >= m
+  ) GROUP BY lang, phrase HAVING count(*) >= 10
+), c AS (
+  SELECT lang, phrase, f AS a, unnest(generate_series(1, len(phrase) - 1)) AS k FROM f WHERE len(phrase) > 1
+), s AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
+    CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1:k] JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1:]
+), lowest AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), around AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, phrase[1:2] AS phrase FROM f WHERE len(phrase) = 3
+    UNION ALL SELECT lang, f, phrase[2:3] FROM f WHERE len(phrase) = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT lowest.*, array_to_string(phrase, ' ') AS text FROM lowest LEFT JOIN around USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT lang, rank, text AS phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, text) AS rank FROM kept
+) JOIN sizes USING (lang) WHERE rank <= 2000
 """,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm import (
     audit,
+    collocations,
     exact_dedup,
     licenses,
     mixing,
@@ -98,12 +99,16 @@ def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(shared.table(spark, folder, "pages"), outcomes, rules).withColumnRenamed("id", "page_id")
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(shared.table(spark, folder, "documents")).withColumnRenamed("part", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_exact_top_k, op3_toxicity, op4_simhash, op5_exact_dedup,
         op6_sentencepiece, op7_token_files, op8_warc, op9_licenses, op10_mixing,
-        op11_filter_audit, op12_url_filter,
+        op11_filter_audit, op12_url_filter, op13_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
 
