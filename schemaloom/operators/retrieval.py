@@ -7,6 +7,8 @@ shuffled or grouped again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from schemaloom.functions import tokens as tok
 from schemaloom.functions.arrays import inline_rows, let, take
 from schemaloom.functions.links import fold_links
 from schemaloom.operators.catalog import db_key, linking_tables
-from schemaloom.operators.joins import join_catalog
+from schemaloom.operators.joins import BROADCAST_COLUMNS, hot_key_join, join_catalog
 
 
 def question_features(question: Column) -> Column:
@@ -42,7 +44,7 @@ def _hits(q: Column, item: Column) -> Column:
     return tok.name_hits(q.lc, q.compact, item.plain, item.short)
 
 
-def _column_score(q: Column, c: Column) -> Column:
+def column_score(q: Column, c: Column) -> Column:
     """The order of the additions is part of the result: ties compare bits."""
     score = F.lit(V.COLUMN_OVERLAP_WEIGHT) * _overlap(q, c) + _hits(q, c)
     score = score + tok.bonus(q.date & c.has_date, V.DATE_HINT[0])
@@ -51,13 +53,16 @@ def _column_score(q: Column, c: Column) -> Column:
     return score + c.key_bonus
 
 
-def _table_score(q: Column, t: Column, scores: Column) -> Column:
+def table_total(overlap: Column, hits: Column, top: Column) -> Column:
+    """A table's score from its name's weighed overlap and hits, and the scores of its best columns."""
+    best = F.lit(V.BEST_COLUMN_WEIGHT) * F.coalesce(F.get(top, F.lit(0)), F.lit(0.0))
+    return overlap + hits + best + F.lit(V.TOP_COLUMNS_WEIGHT) * F.aggregate(top, F.lit(0.0), lambda acc, s: acc + s)
+
+
+def table_score(q: Column, t: Column, scores: Column) -> Column:
     return let(
         take(F.sort_array(scores, asc=False), V.TOP_COLUMNS),
-        lambda top: F.lit(V.TABLE_OVERLAP_WEIGHT) * _overlap(q, t)
-        + _hits(q, t)
-        + F.lit(V.BEST_COLUMN_WEIGHT) * F.coalesce(F.get(top, F.lit(0)), F.lit(0.0))
-        + F.lit(V.TOP_COLUMNS_WEIGHT) * F.aggregate(top, F.lit(0.0), lambda acc, s: acc + s),
+        lambda top: table_total(F.lit(V.TABLE_OVERLAP_WEIGHT) * _overlap(q, t), _hits(q, t), top),
     )
 
 
@@ -70,9 +75,9 @@ def scored_tables(q: Column, tables: Column) -> Column:
 
     def scored(t: Column) -> Column:
         return let(
-            F.transform(t.columns, lambda c: _column_score(q, c)),
+            F.transform(t.columns, lambda c: column_score(q, c)),
             lambda scores: F.struct(
-                t.table_idx, t.name_lc, _table_score(q, t, scores).alias("score"), scores.alias("scores")
+                t.table_idx, t.name_lc, table_score(q, t, scores).alias("score"), scores.alias("scores")
             ),
         )
 
@@ -92,6 +97,28 @@ def with_scores(
     return join_catalog(asked, catalog, columns, derive).withColumn("scored", scored)
 
 
+def with_scores_once(
+    questions: DataFrame, catalog: DataFrame, columns: int | None = None, stored: bool = False
+) -> DataFrame:
+    """The same rows as `with_scores`, where a question asked again to the same database is scored once.
+
+    Distinct pairs of database and question are scored and joined back to all
+    who asked, by a shuffle in which a question with very many rows is split.
+    What moves back are the scores; a broadcast schema joins once more where
+    the rows are, one that is not comes with the scores.
+    """
+    asked = questions.withColumn("db_key", db_key(F.col("db_id"))).withColumn("_asked", F.struct("db_key", "question"))
+    counts = asked.groupBy("_asked").agg(F.count(F.lit(1)).alias("n"))
+    derive = None if stored else {"tables": linking_tables()}
+    attach = lambda rows, by: join_catalog(rows, catalog, columns, derive, by)
+    scores = let(question_features(F.col("question")), lambda q: scored_tables(q, F.col("tables"))).alias("scored")
+    distinct = attach(counts.select("_asked", "_asked.*"), "question")
+    small = columns is not None and columns <= BROADCAST_COLUMNS
+    scored = distinct.select("_asked", scores) if small else distinct.select("_asked", "tables", scores)
+    back = hot_key_join(asked, scored, "_asked", "question_id", counts=counts).drop("_asked")
+    return attach(back, "question_id") if small else back
+
+
 def questions_without_schema(questions: DataFrame, catalog: DataFrame, columns: int | None = None) -> DataFrame:
     """Questions that retrieval drops, because no schema has their `db_key`."""
     asked = questions.withColumn("db_key", db_key(F.col("db_id")))
@@ -234,23 +261,30 @@ def numbered_columns(columns: Column) -> Column:
     )
 
 
+def numbered_tables(
+    tables: Column, chosen: Column, scores: Callable[[Column], Column], cfg: RetrievalConfig, force: Column | None = None
+) -> Column:
+    """Chosen tables with IDs `T1, T2, …` and pruned columns `C1, C2, …`; `scores` gives those of a table's columns."""
+    return F.transform(
+        chosen,
+        lambda i, rank: let(
+            F.get(tables, i),
+            lambda t: F.struct(
+                (rank + 1).alias("t_rank"),
+                F.concat(F.lit("T"), (rank + 1).cast("string")).alias("table_id"),
+                t["name"].alias("table_name"),
+                t.name_lc,
+                numbered_columns(prune_columns(t, scores(i), cfg, force)).alias("columns"),
+            ),
+        ),
+    )
+
+
 def candidates(tables: Column, scored: Column, cfg: RetrievalConfig, force: Column | None = None) -> Column:
     """Candidate tables with IDs `T1, T2, …` and columns `C1, C2, …` in each."""
 
     def build(s: Column, chosen: Column) -> Column:
-        return F.transform(
-            chosen,
-            lambda i, rank: let(
-                F.get(tables, i),
-                lambda t: F.struct(
-                    (rank + 1).alias("t_rank"),
-                    F.concat(F.lit("T"), (rank + 1).cast("string")).alias("table_id"),
-                    t["name"].alias("table_name"),
-                    t.name_lc,
-                    numbered_columns(prune_columns(t, F.get(s, i).scores, cfg, force)).alias("columns"),
-                ),
-            ),
-        )
+        return numbered_tables(tables, chosen, lambda i: F.get(s, i).scores, cfg, force)
 
     return let(
         scored,

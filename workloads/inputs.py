@@ -102,6 +102,16 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return examples(spark, sf).select("question_id", "db_id", "question")
 
 
+def repeated_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """One question per event to one of few databases: few distinct texts, asked over and over."""
+    asked = table(spark, sf, "events").join(
+        customers(spark, sf).select("c_custkey", "db_id"), F.col("user_id") % X.SHARED_DATABASES == F.col("c_custkey")
+    )
+    value = (F.col("event_id") % X.REPEATED_VALUES).cast("string")
+    text = F.concat(F.lit("Total o_totalprice and name for "), "event_type", F.lit(" events by month with value "), value)
+    return asked.select(F.col("event_id").alias("question_id"), "db_id", text.alias("question"))
+
+
 def linked_examples(spark: SparkSession, sf: str) -> DataFrame:
     """Examples with `schema_links` as a map."""
     rows = examples(spark, sf).withColumn("schema_links", F.from_json("links_json", LINKS_TYPE))

@@ -165,6 +165,12 @@ adj AS (SELECT f, list(near ORDER BY table_idx) AS adj FROM (SELECT ttab.f, ttab
   coalesce(list(dst) FILTER (dst IS NOT NULL), []) AS near FROM ttab LEFT JOIN tedge ON ttab.f = tedge.f AND src = table_idx GROUP BY ALL) GROUP BY f)
 """
 
+REPEATED = f"""
+rep AS (SELECT event_id AS question_id, f, 'Total o_totalprice and name for ' || event_type || ' events by month with value '
+  || event_id % {X.REPEATED_VALUES} AS question FROM events JOIN cust ON c_custkey = user_id % {X.SHARED_DATABASES}),
+texts AS (SELECT row_number() OVER () AS question_id, f, question FROM (SELECT DISTINCT f, question FROM rep))
+"""
+
 LINKS = """
 el AS (SELECT tpl.f, tpl.n AS tn, unnest(json_keys(links)) AS t FROM tpl),
 lt AS (SELECT el.f, el.tn, el.t AS table_name, from_json(json_extract(tpl.links, '$."' || el.t || '"'), '["VARCHAR"]') AS cols
@@ -505,6 +511,12 @@ SELECT documents.doc_id, coalesce(n, 0)::INT AS n_tokens, md5(coalesce(j, '')) A
     q["topk_tables"] = with_(
         "SELECT question_id, rk AS t_rank, table_name, round(score, 6) AS score FROM tr WHERE rk <= 3", BASE, SCORES
     )
+    q["topk_tables_indexed"] = q["topk_tables"]
+    q["topk_tables_repeated"] = with_(
+        "SELECT rep.question_id, rk AS t_rank, table_name, round(score, 6) AS score FROM tr "
+        "JOIN texts USING (question_id) JOIN rep ON rep.f = texts.f AND rep.question = texts.question WHERE rk <= 3",
+        BASE, REPEATED, SCORES.replace("FROM exd)", "FROM texts)"),
+    )
     q["forced_tables"] = with_(
         "SELECT exd.question_id, row_number() OVER (PARTITION BY exd.question_id ORDER BY table_idx) - 1 AS place, lt.table_name "
         "FROM exd JOIN lt ON lt.f = exd.f AND lt.tn = exd.tn JOIN tr ON tr.question_id = exd.question_id AND tr.table_name = lt.table_name "
@@ -521,6 +533,7 @@ SELECT documents.doc_id, coalesce(n, 0)::INT AS n_tokens, md5(coalesce(j, '')) A
         "SELECT question_id, t_rank, 'T' || t_rank AS table_id, table_name, c_rank, 'C' || c_rank AS column_id, col_name, col_type, is_pk, is_fk FROM cand",
         BASE, SCORES, free,
     )
+    q["candidate_schema_indexed"] = q["candidate_schema"]
     q["forced_candidate_schema"] = with_(
         "SELECT question_id, t_rank, table_name, c_rank, col_name FROM cand", BASE, LINKS, SCORES, forced
     )

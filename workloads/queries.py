@@ -12,7 +12,7 @@ from schemaloom.config import PRESETS, RetrievalConfig, RunConfig
 from schemaloom.functions import jsontext, prompts, sequences, tokens
 from schemaloom.functions import links as link_text
 from schemaloom.functions.arrays import inline_rows, let
-from schemaloom.operators import catalog, curate, evaluate, joins, links, predict, retrieval
+from schemaloom.operators import catalog, curate, evaluate, indexed, joins, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
 from schemaloom.sources import readers, writers
@@ -289,6 +289,27 @@ def questions_without_schema(spark, sf):
     return lost.select("question_id", "db_id")
 
 
+@query
+def topk_tables_repeated(spark, sf):
+    """Each distinct question is scored once, however often it is asked."""
+    d = Data(spark, sf)
+    scored = retrieval.with_scores_once(d.repeated_questions, d.schema_docs, d.size())
+    return rounded(retrieval.topk_tables(scored, 3), "score")
+
+
+@query
+def topk_tables_indexed(spark, sf):
+    d = Data(spark, sf)
+    return rounded(indexed.topk_tables(d.questions, indexed.indexed_catalog(d.schema_docs), 3, d.size()), "score")
+
+
+@query
+def candidate_schema_indexed(spark, sf):
+    d = Data(spark, sf)
+    made = indexed.candidate_schema(d.questions, indexed.indexed_catalog(d.schema_docs), BUDGET, d.size())
+    return retrieval.explode_candidates(made)
+
+
 # Prompts and targets -----------------------------------------------------------
 
 

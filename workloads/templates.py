@@ -10,6 +10,9 @@ import json
 
 FAMILIES = ("retail", "corpus", "activity", "field survey/2024")
 
+# Databases that all events ask, and values their questions have.
+SHARED_DATABASES, REPEATED_VALUES = 25, 20
+
 # Tables of each family as (table, [(column, type)]).
 TABLES = {
     "retail": [
