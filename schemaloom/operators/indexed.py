@@ -109,13 +109,15 @@ def indexed_catalog(docs: DataFrame, stored: bool = False) -> DataFrame:
     """
     rows = docs if stored else docs.select("db_key", linking_tables().alias("tables"))
     size = F.greatest(F.lit(1), F.aggregate("tables", F.lit(0), lambda n, t: n + F.size(t.columns)))
-    keyed = rows.select("db_key", size.alias("size"), F.explode(_postings(F.col("tables"))).alias("p"))
+    # Worked out below the generators: above them the whole schema would stand in every row that they make.
+    sized = rows.select("db_key", size.alias("size"), _postings(F.col("tables")).alias("postings"))
+    keyed = sized.select("db_key", "size", F.explode("postings").alias("p"))
     place = F.pmod(F.xxhash64("p.key"), F.col("size")).cast("int").alias("place")
     of_key = keyed.groupBy("db_key", place, F.col("p.key").alias("key")).agg(
         F.sort_array(F.collect_list(F.struct("p.code", "p.most"))).alias("at")
     )
     # A row for every place, so that the array has no gaps.
-    places = rows.select("db_key", F.explode(F.sequence(F.lit(0), size - 1)).alias("place"))
+    places = rows.select("db_key", size.alias("size")).select("db_key", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("place"))
     none = F.lit(None).cast("struct<key:string,at:array<struct<code:bigint,most:double>>>").alias("e")
     of_place = (
         of_key.select("db_key", "place", F.struct("key", "at").alias("e")).unionByName(places.select("*", none))

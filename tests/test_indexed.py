@@ -99,8 +99,17 @@ def test_a_hot_question_is_split(spark, monkeypatch):
     """One question asked by all: its rows lie in several tasks, and it is scored in one row."""
     catalog = docs(spark, {"k": schema(3, 5, 4)})
     hot = spark.range(4_000).select(F.col("id").alias("question_id"), F.lit("k").alias("db_id"), F.lit("order date").alias("question"))
-    monkeypatch.setattr(R, "hot_key_join", lambda *a, f=R.hot_key_join, **kw: f(*a, rows_per_salt=500, **kw))
+    seen = []
+
+    def watched(left, right, key, spread_by, join=R.hot_key_join, **kw):
+        """The rows of each salt that the join gives the hot question."""
+        salt = F.pmod(F.xxhash64(spread_by), F.ceil(F.lit(left.count()) / 500))
+        seen.append([tuple(r) for r in left.groupBy(salt.alias("salt")).count().orderBy("salt").collect()])
+        assert right.count() == 1
+        return join(left, right, key, spread_by, rows_per_salt=500, **kw)
+
+    monkeypatch.setattr(R, "hot_key_join", watched)
     once = R.with_scores_once(hot, catalog, 100)
-    spread = once.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert sum(r["count"] for r in spread) == 4_000 and len(spread) > 1
-    assert max(r["count"] for r in spread) < 3_500
+    assert once.count() == 4_000
+    (salts,) = seen
+    assert len(salts) == 8 and all(300 < n < 700 for _, n in salts)
