@@ -10,6 +10,8 @@ from schemaloom.functions.arrays import empty_if_null, let
 OBJECT_TYPE = "map<string,variant>"
 # Only double quotes delimit strings, as in the JSON grammar.
 STRICT = {"allowSingleQuotes": "false"}
+# A brace that can open an object.
+OPENING = r"\{(?=\s*[\"}])"
 # Characters that count as white space around an identifier.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -23,28 +25,32 @@ def json_object(text: Column) -> Column:
 
 
 def first_json_object(text: Column) -> Column:
-    """The first object that parses, trying every opening brace in turn.
+    """The first object that parses, trying the opening braces in turn.
 
-    The scan keeps the text behind the current brace and stops parsing after
-    the first hit, so a response that starts with its answer is parsed once.
+    Only braces before a quote or a closing brace can open an object, and
+    nothing behind the last closing brace belongs to one; no other place is
+    tried. One pass finds these places. The scan keeps the text behind the
+    current one and stops parsing after the first hit, so a response that
+    starts with its answer is parsed once, and floods of braces never.
     """
-    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    start = F.struct(F.lit(None).cast(OBJECT_TYPE).alias("found"), text.alias("rest"))
-
-    def step(state: Column, _: Column) -> Column:
-        here = F.substring(state.rest, F.locate("{", state.rest), F.length(state.rest))
-        return F.when(state.found.isNotNull(), state).otherwise(
-            let(
-                here,
-                lambda t: F.struct(
-                    json_object(t).alias("found"),
-                    F.substring(t, F.lit(2), F.length(t)).alias("rest"),
-                ),
+    closed = F.left(text, F.length(text) - F.length(F.substring_index(text, "}", -1)))
+
+    def scanned(t: Column, pieces: Column) -> Column:
+        first = F.substring(t, F.length(F.get(pieces, 0)) + 1, F.length(t))
+        start = F.struct(F.lit(None).cast(OBJECT_TYPE).alias("found"), first.alias("rest"))
+
+        def step(state: Column, piece: Column) -> Column:
+            # The piece behind the brace that `rest` begins with.
+            further = F.substring(state.rest, F.length(piece) + 2, F.length(state.rest))
+            return F.when(state.found.isNotNull(), state).otherwise(
+                F.struct(json_object(state.rest).alias("found"), further.alias("rest"))
             )
-        )
 
-    scan = F.aggregate(F.sequence(F.lit(1), braces), start, step, lambda state: state.found)
-    return F.when(braces > 0, scan)
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda state: state.found)
+
+    cut = let(closed, lambda t: F.struct(t.alias("t"), F.split(t, OPENING).alias("pieces")))
+    # Most texts without an answer have no place to try.
+    return F.when(F.regexp_like(text, F.lit(OPENING)), let(cut, lambda x: scanned(x.t, x.pieces)))
 
 
 def entries_last_wins(obj: Column) -> Column:
