@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 from schemaloom import vocabulary as V
 from schemaloom.functions import links as L
 from schemaloom.functions import tokens as tok
-from schemaloom.functions.arrays import any_of
-from schemaloom.operators.joins import hot_key_join, hot_keys
+from schemaloom.functions.arrays import any_of, let
+from schemaloom.operators.joins import HOT_PART, hot_key_join, hot_keys
 
 # Counts per database are broadcast up to this size: the names and ROW_BYTES for each.
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 32
 # Rows per piece when a group is numbered or repeated in pieces.
 PIECE = 1_000_000
-# Ranges for each piece of a group that is numbered.
-RANGES = 16
+# A large group is cut into PARTS ranges at most; the sketch of its quantiles
+# errs by 1 / ACCURACY of its rows, a tenth of such a range.
+PARTS, ACCURACY = 1_024, 10_240
+# Bounds that are compared one by one.
+CHUNK = 32
+# Slots of a seeded order.
+SLOTS = 4_096
 
 
 def db_counts(examples: DataFrame) -> DataFrame:
-    return examples.groupBy("db_id").agg(F.count(F.lit(1)).alias("n"))
+    return db_sizes(examples, "db_id")
 
 
 def counts_size(counts: DataFrame) -> int:
@@ -130,35 +135,55 @@ def balance_log(examples: DataFrame, threshold: int = 10) -> DataFrame:
     )
 
 
-def _group_ranges(df: DataFrame, group: str, by: str) -> DataFrame:
-    """Size of each group, and its smallest and largest `by`."""
-    return df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.min(by).alias("_low"), F.max(by).alias("_high")
+def _place(bounds: Column, x: Column) -> Column:
+    """How many of the sorted bounds lie below `x`: first by chunks of them, then inside one."""
+    below = lambda arr: F.size(F.filter(arr, lambda b: b < x))
+    ends = F.filter(bounds, lambda _, i: i % CHUNK == CHUNK - 1)
+    return let(CHUNK * below(ends), lambda skipped: skipped + below(F.slice(bounds, skipped + 1, CHUNK)))
+
+
+def cut_groups(df: DataFrame, group: str, by: str, piece: int = PIECE, counts: DataFrame | None = None) -> DataFrame:
+    """Rows with the `_piece` of their group that they are in: ranges of `by` behind each other.
+
+    Groups of more than `piece` rows are cut at quantiles that a sketch of
+    `by` gives, two ranges for every `piece` rows, so that ranges hold about as
+    many rows however the numbers lie. Beyond `PARTS` ranges, and where groups
+    of `piece` rows are less than 1 / `HOT_PART` of all, ranges grow instead
+    of their number, which bounds the list that is broadcast.
+    """
+    sizes = db_sizes(df, group) if counts is None else counts
+    share = sizes.agg(F.greatest(F.lit(piece), F.coalesce(F.sum("n"), F.lit(0)) / HOT_PART).alias("share")).scalar()
+    parts = F.least(F.lit(PARTS), F.ceil(2 * F.col("n") / share)).cast("int").alias("_parts")
+    hot = hot_keys(sizes, group, piece).select(group, parts)
+    each = [i / PARTS for i in range(1, PARTS)]
+    sketch = F.approx_percentile(by, each, ACCURACY).alias("_all")
+    bounds = F.transform(
+        F.sequence(F.lit(1), F.col("_parts") - 1),
+        lambda i: F.element_at("_all", F.floor(i * PARTS / F.col("_parts")).cast("int")),
     )
+    cuts = (
+        df.select(group, by).join(F.broadcast(hot), group).groupBy(group).agg(F.max("_parts").alias("_parts"), sketch)
+        .select(group, F.array_distinct(bounds).alias("_bounds"))
+    )
+    placed = F.when(F.col("_bounds").isNotNull(), _place(F.col("_bounds"), F.col(by))).otherwise(0)
+    return df.join(F.broadcast(cuts), group, "left").withColumn("_piece", placed).drop("_bounds")
+
+
+def db_sizes(df: DataFrame, group: str) -> DataFrame:
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
 
 def numbered_in_group(
-    df: DataFrame, group: str, by: str, piece: int = PIECE, ranges: DataFrame | None = None
+    df: DataFrame, group: str, by: str, piece: int = PIECE, counts: DataFrame | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1 as `rn`, in the order of the unique whole number `by`.
 
-    A group of more than `piece` rows is cut into ranges of `by`, numbered one
-    by one behind each other, so that no task has to sort a hot group. The
-    ranges are of equal width, `RANGES` for every `piece` rows, as numbers need
-    not lie evenly. The numbers are the same whatever `piece` is. Who has the
-    `_group_ranges` of these groups, or of more, gives them.
+    The ranges of a large group (`cut_groups`) are numbered one by one behind
+    each other, so that no task has to sort a hot group. The numbers are the
+    same whatever `piece` is. Who has the sizes `n` of these groups, or of
+    more, gives them as `counts`.
     """
-    counts = _group_ranges(df, group, by) if ranges is None else ranges
-    # As doubles, so that no difference of two numbers overflows; rounding keeps their order.
-    far = F.col("_high").cast("double") - F.col("_low").cast("double") + 1
-    width = (far / (F.ceil(F.col("n") / piece) * RANGES)).alias("_width")
-    hot = hot_keys(counts, group, piece).select(group).join(counts.select(group, "_low", width), group)
-    offset = F.col(by).cast("double") - F.col("_low").cast("double")
-    cut = (
-        df.join(F.broadcast(hot), group, "left")
-        .withColumn("_piece", F.coalesce(F.floor(offset / F.col("_width")), F.lit(0)))
-        .drop("_low", "_width")
-    )
+    cut = cut_groups(df, group, by, piece, counts)
     before = F.sum("_size").over(W.partitionBy(group).orderBy("_piece")) - F.col("_size")
     shifts = (
         cut.groupBy(group, "_piece")
@@ -198,8 +223,7 @@ def train_balance(examples: DataFrame, seed: int, floor: int = 18) -> DataFrame:
     replacement and depend only on seed, database and draw number, so a lost
     task draws the same again. `part` tells original, draw and extra apart.
     """
-    ranges = _group_ranges(examples, "db_id", "question_id")
-    counts = ranges.select("db_id", "n")
+    counts = db_counts(examples)
     target = counts.agg(
         F.greatest(F.lit(floor), F.floor(F.sum("n") / F.count(F.lit(1)))).alias("target")
     ).scalar()
@@ -211,7 +235,7 @@ def train_balance(examples: DataFrame, seed: int, floor: int = 18) -> DataFrame:
     )
     # Ids alone are numbered, of short databases only; the rest of a row follows once it is drawn.
     ids = examples.select("db_id", "question_id").join(short.select("db_id"), "db_id", "left_semi")
-    drawn = numbered_in_group(ids, "db_id", "question_id", ranges=ranges).join(draws, ["db_id", "rn"]).drop("rn")
+    drawn = numbered_in_group(ids, "db_id", "question_id", counts=counts).join(draws, ["db_id", "rn"]).drop("rn")
     drawn = examples.join(drawn, ["db_id", "question_id"]).withColumn("copy", F.col("draw").cast("long"))
     parts = F.array(F.lit("original"), F.when(L.table_count(F.col("schema_links")) >= 2, F.lit("extra")))
     kept = examples.withColumns({"part": F.explode(F.array_compact(parts)), "copy": F.lit(0).cast("long")})
@@ -251,6 +275,25 @@ def seeded_shuffle(df: DataFrame, seed: int, by: Sequence[str]) -> DataFrame:
     )
 
 
+def numbered_shuffle(df: DataFrame, seed: int, by: Sequence[str], slots: int = SLOTS) -> DataFrame:
+    """Rows with their `place`, from 1, in the order of `seeded_shuffle`; `by` has to identify a row.
+
+    Slots are ranges of the hash, so rows are numbered inside their slot and
+    moved on by the rows of all slots before it: no task sees all rows, and
+    the places do not depend on the number of slots.
+    """
+    key = df.withColumn("_key", shuffle_key(seed, *[F.col(b) for b in by]))
+    # 32 bits of the hash, cut into ranges.
+    slot = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * slots / (1 << 32)).cast("int")
+    slotted = key.withColumn("_slot", slot)
+    # One row per slot.
+    earlier = W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    starts = db_sizes(slotted, "_slot").select("_slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_slot").orderBy("_key", *by))
+    placed = slotted.withColumn("_inside", inside).join(F.broadcast(starts), "_slot")
+    return placed.withColumn("place", F.col("_before") + F.col("_inside")).drop("_key", "_slot", "_inside", "_before")
+
+
 def difficulty_rules(threshold: int) -> list[list[tuple[Column, int, Column]]]:
     """Rule groups as (condition, points, reason); the first hit of a group counts."""
     links, n, sql = F.col("schema_links"), F.col("n"), F.col("gold_sql")

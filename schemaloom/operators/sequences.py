@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
 from schemaloom.functions import sequences as seq
-
-# Buckets of rows that are batched; a fixed number, so that batches do not depend on the row count.
-BUCKETS = 64
+from schemaloom.operators.curate import numbered_shuffle
 
 
 def truncate_pair(df: DataFrame, max_length: int, eos_id: int) -> DataFrame:
@@ -34,29 +32,19 @@ def label_mask(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", row).select(*df.columns, "_row.*").drop("prompt_ids", "answer_ids")
 
 
-def assign_batches(df: DataFrame, by: str, batch_size: int, seed: int, buckets: int = BUCKETS) -> DataFrame:
-    """Number rows into batches in a seeded order.
+def assign_batches(df: DataFrame, by: str, batch_size: int, seed: int) -> DataFrame:
+    """Number rows into batches in a seeded order over all of them; `by` has to identify a row.
 
-    Rows are numbered inside `buckets` hash buckets, so no task sees the whole
-    data; the last batch of a bucket may be short. A bucket is one task: give
-    a number that fits the data, as the make-up of the batches follows from it
-    alone. `by` has to identify a row.
+    Every batch but the last is full. See `curate.numbered_shuffle` for how
+    rows are numbered without a task that sees them all.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))
-    bucket = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % buckets
-    place = F.row_number().over(W.partitionBy("bucket").orderBy("_digest", by))
-    return (
-        df.withColumn("_digest", digest)
-        .withColumn("bucket", bucket.cast("int"))
-        .withColumn("batch", F.floor((place - 1) / batch_size).cast("int"))
-        .drop("_digest")
-    )
+    placed = numbered_shuffle(df, seed, [by])
+    return placed.withColumn("batch", F.floor((F.col("place") - 1) / batch_size)).drop("place")
 
 
 def pad_batch(df: DataFrame, pad_id: int) -> DataFrame:
-    """Right-pad the rows of each (`bucket`, `batch`) to its longest row."""
-    # Both windows share the exchange of the batch numbering on `bucket`.
-    longest = F.max(F.size("input_ids")).over(W.partitionBy("bucket", "batch"))
+    """Right-pad the rows of each `batch` to its longest row."""
+    longest = F.max(F.size("input_ids")).over(W.partitionBy("batch"))
     return (
         df.withColumn("_longest", longest)
         .withColumns(

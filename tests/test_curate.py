@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from helpers import plan
 from pyspark.sql import functions as F
@@ -81,6 +83,37 @@ def test_numbering_in_pieces(spark):
     assert {(r.question_id, r.rn) for r in done} == {(r.question_id, r.rn) for r in again}
 
 
+def test_ranges_follow_the_rows(spark):
+    """One far id, ids that crowd together, and a group of its own size: ranges of about equal rows."""
+    far = spark.range(20_000).selectExpr("'hot' as db_id", "id as question_id").union(spark.sql("select 'hot', 9000000000000000000"))
+    crowd = spark.range(5_000).selectExpr("'crowd' as db_id", "cast(pow(id, 3) as long) - 7000000 as question_id")
+    base = far.union(crowd).union(spark.sql("select 'cold', 5L")).repartition(4)
+    cut = U.cut_groups(base, "db_id", "question_id", piece=1_000)
+    sizes = {}
+    for r in cut.groupBy("db_id", "_piece").count().collect():
+        sizes.setdefault(r.db_id, []).append(r["count"])
+    assert sizes["cold"] == [1] and len(sizes["hot"]) > 30 and len(sizes["crowd"]) >= 10
+    for db in ("hot", "crowd"):
+        assert max(sizes[db]) <= 2 * sorted(sizes[db])[len(sizes[db]) // 2]
+    for piece in (1_000, 3, 10**6):
+        done = U.numbered_in_group(base, "db_id", "question_id", piece=piece)
+        expected, n = {}, Counter()
+        for r in base.orderBy("question_id").collect():
+            n[r.db_id] += 1
+            expected[r.db_id, r.question_id] = n[r.db_id]
+        assert {(r.db_id, r.question_id): r.rn for r in done.collect()} == expected
+
+
+def test_places_of_a_seeded_order(spark):
+    base = examples(spark, {"a": 300, "b": 41})
+    order = [r.question_id for r in U.seeded_shuffle(base, 7, ["question_id"]).collect()]
+    for slots in (1, 5, 4_096):
+        placed = U.numbered_shuffle(base.repartition(3), 7, ["question_id"], slots)
+        assert placed.columns == [*base.columns, "place"]
+        assert [r.question_id for r in placed.orderBy("place").collect()] == order
+        assert sorted(r.place for r in placed.collect()) == list(range(1, 342))
+
+
 def test_db_counts_broadcast_or_salted(spark):
     base = examples(spark, {"hot": 50, "cold": 3})
     sizes = lambda df: sorted((r.question_id, r.n) for r in df.collect())

@@ -42,23 +42,29 @@ def test_label_mask_and_report(spark):
 def test_batches_are_padded_to_their_longest_row(spark):
     rows = [(i, list(range(i % 5)), [9]) for i in range(40)]
     masked = S.label_mask(S.truncate_pair(pairs(spark, rows), 50, eos_id=0))
-    batched = S.assign_batches(masked, "question_id", 4, seed=3, buckets=3)
+    batched = S.assign_batches(masked, "question_id", 4, seed=3)
     padded = S.pad_batch(batched, pad_id=77)
     assert padded.count() == 40
     by_batch = {}
     for r in padded.collect():
-        by_batch.setdefault((r.bucket, r.batch), []).append(r)
+        by_batch.setdefault(r.batch, []).append(r)
         n = r.question_id % 5 + 1
         assert r.input_ids[n:] == [77] * (len(r.input_ids) - n)
         assert r.attention_mask == [1] * n + [0] * (len(r.input_ids) - n)
         assert r.labels[n - 1 :] == [9] + [-100] * (len(r.input_ids) - n)
     for members in by_batch.values():
-        assert len(members) <= 4
+        assert len(members) == 4
         assert {len(m.input_ids) for m in members} == {max(m.question_id % 5 + 1 for m in members)}
-    again = S.pad_batch(S.assign_batches(masked.repartition(6), "question_id", 4, 3, 3), 77)
+    again = S.pad_batch(S.assign_batches(masked.repartition(6), "question_id", 4, 3), 77)
     assert sorted(map(str, padded.collect())) == sorted(map(str, again.collect()))
 
 
+def test_only_the_last_batch_is_short(spark):
+    rows = spark.range(1_003).select(F.col("id").alias("question_id"))
+    sizes = {r.batch: r["count"] for r in S.assign_batches(rows, "question_id", 8, seed=1).groupBy("batch").count().collect()}
+    assert sizes == {b: 8 if b < 125 else 3 for b in range(126)}
+
+
 def test_input_budget(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([],)], "ids array<int>")
     assert [r[0] for r in df.select(seq.input_budget(F.col("ids"), 2)).collect()] == [[2, 3], []]

@@ -810,11 +810,13 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
         f"SELECT question_id, {text('i')} AS input_ids, {text('m')} AS attention_mask, {text('l')} AS labels FROM mk", BASE, PAIRS
     )
     q["pad_batch"] = with_(
-        f"SELECT question_id, bucket, batch, {padded('i', 1)} AS input_ids, {padded('m', 0)} AS attention_mask, {padded('l', -100)} AS labels FROM b2",
+        f"SELECT question_id, batch, {padded('i', 1)} AS input_ids, {padded('m', 0)} AS attention_mask, {padded('l', -100)} AS labels FROM b2",
         BASE, PAIRS,
-        f"b0 AS (SELECT mk.*, md5(concat_ws(':', '{SEED}', question_id)) AS dg, ({hashed(lit(str(SEED)), 'question_id')} % 64)::INT AS bucket FROM mk)",
-        "b1 AS (SELECT *, ((row_number() OVER (PARTITION BY bucket ORDER BY dg, question_id) - 1) // 8)::INT AS batch FROM b0)",
-        "b2 AS (SELECT *, max(len(i)) OVER (PARTITION BY bucket, batch) AS longest FROM b1)",
+        f"b1 AS (SELECT *, (row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', question_id)), question_id) - 1) // 8 AS batch FROM mk)",
+        "b2 AS (SELECT *, max(len(i)) OVER (PARTITION BY batch) AS longest FROM b1)",
+    )
+    q["shuffle_places"] = with_(
+        f"SELECT question_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', question_id)), question_id) AS place FROM ex", BASE
     )
     q["training_sequences"] = with_(
         f"""SELECT question_id, len(p) > 128 - len(a) AS truncated, len(q)::INT + len(a)::INT AS n_ids, md5({text('list_concat(q, a)')}) AS ids_md5, len(q)::INT AS n_masked FROM t2""",

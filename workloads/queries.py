@@ -624,6 +624,12 @@ def _selection(df: DataFrame) -> DataFrame:
     )
 
 
+@query
+def shuffle_places(spark, sf):
+    """The place of every example in the seeded order."""
+    return curate.numbered_shuffle(Data(spark, sf).examples.select("question_id"), SEED, ["question_id"])
+
+
 @query
 def difficulty(spark, sf):
     return _selection(_difficulty(spark, sf))
