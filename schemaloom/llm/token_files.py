@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -21,13 +22,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.llm.ragged import KEPT_WORDS, Words, as_lists, sequences, slices
+from schemaloom.llm.ragged import Words, as_lists, sequences, slices
 from schemaloom.llm.shared import saved, text_of
 
 # Bytes of a stripe, rows of a row-index group, and the Bloom filters' rate of false hits.
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1_000
 FALSE_HITS = 0.01
+# Words whose ids a worker keeps, and half as many pre-tokens.
+KEPT = 600_000
 
 
 # Fixed value: the pre-tokens of lower-cased text without contractions.
@@ -46,6 +49,48 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Kept:
+    """A bounded memory. When its newer half is full, what the older one holds and nobody asked for goes."""
+
+    def __init__(self, size: int):
+        self.half, self.new, self.old = size // 2, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
+class RecentWords(Words):
+    """`Words` whose `make` gives ids as bytes, and whose memory forgets in parts."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]):
+        super().__init__(make)
+        self.kept = Kept(KEPT)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each word's begin."""
+        kept = self.kept
+        found = list(map(kept.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        if new:
+            made = self.make(new)
+            for w, x in zip(new, made):
+                kept.put(w, x)
+            rest = iter(made)
+            found = [next(rest) if x is None else x for x in found]
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        return np.frombuffer(b"".join(found), "<i4"), starts.astype(np.int32)
+
+
 @lru_cache(maxsize=2)
 def _words(path: str) -> Words:
     from tokenizers import Tokenizer
@@ -53,37 +98,38 @@ def _words(path: str) -> Words:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
     tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
     merge, find = tokenizer.model.tokenize, PRETOKENS.findall
-    kept: dict[str, list[int]] = {}
+    kept = Kept(KEPT // 2)
 
-    def pieces(pretoken: str) -> list[int]:
+    def pieces(pretoken: str) -> bytes:
         ids = kept.get(pretoken)
         if ids is None:
-            if len(kept) >= KEPT_WORDS // 4:
-                kept.clear()
             written = pretoken if pretoken.isascii() else "".join([letters[b] for b in pretoken.encode()])
-            ids = kept[pretoken] = [t.id for t in merge(written)]
+            ids = array("i", [t.id for t in merge(written)]).tobytes()
+            kept.put(pretoken, ids)
         return ids
 
-    def ids_of(word: str) -> list[int] | None:
+    def ids_of(word: str) -> bytes | None:
         low = word.lower()
-        if low.isalpha() and (low.isascii() or max(word + low) < LATIN_END):
-            return pieces(low)
-        if low[-1:] in STOPS and low[:-1].isalpha() and (low.isascii() or max(word + low) < LATIN_END):
-            return pieces(low[:-1]) + pieces(low[-1])
+        if low.isalpha():
+            if low.isascii() or max(word + low) < LATIN_END:
+                return pieces(low)
+        elif low[-1] in STOPS and (stem := low[:-1]).isalpha() and (stem.isascii() or max(word + low) < LATIN_END):
+            return pieces(stem) + pieces(low[-1])
         if KNOWN.fullmatch(word):
-            return list(chain.from_iterable(map(pieces, find(normalize("NFC", word).lower()))))
+            return b"".join(map(pieces, find(normalize("NFC", word).lower())))
         return None
 
-    def make(words: list[str]) -> list[list[int]]:
-        out = list(map(ids_of, words))
+    def make(words: list[str]) -> list[bytes]:
+        # White space at the ends of a text leaves empty words.
+        out = [ids_of(w) if w else b"" for w in words]
         rest = iter(tokenizer.encode_batch([w for w, x in zip(words, out) if x is None], add_special_tokens=False))
-        return [next(rest).ids if x is None else x for x in out]
+        return [array("i", next(rest).ids).tobytes() if x is None else x for x in out]
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
         raise ValueError(f"{path}: not a tokenizer of lower-cased words")
-    return Words(make)
+    return RecentWords(make)
 
 
 def encoder(path: str, end_id: int | None):
