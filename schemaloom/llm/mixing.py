@@ -114,10 +114,11 @@ def mixed(
 
     A document stays whole: the one at the cut of a source counts as taken.
     Rows of which nothing is taken go, as do those without words. Repeated
-    rows are taken as often as all of them together.
+    rows, equal in every column, are taken as often as all of them together.
     """
     columns = {"id_column": id_column, "text_column": text_column, "source_column": source_column}
-    key = F.xxhash64(id_column, source_column, text_column)
+    # Of the whole row: rows that differ in any column are counted and taken apart.
+    key = F.xxhash64(F.struct("*"))
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
     counts = mixture(docs, row_key=key, **columns, **options).groupBy("row_key", "id").agg(F.sum(times).cast("int").alias("times"))
     # The row as one column, so that no name of its can clash.

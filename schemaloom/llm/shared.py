@@ -59,3 +59,30 @@ def _shared(spark: SparkSession) -> str:
 def text_of(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+# Ids of a filter are marked in so many bits each, and in a bitmap of BLOCK bits a row;
+# all rows together stay below MOST_BITS, 64 MB.
+BITS_EACH, BLOCK, MOST_BITS = 32, 1 << 15, 1 << 29
+
+
+def likely_in(rows: DataFrame, id_column: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose id may be among the `n` of `ids` (`id`): all that are, and few others.
+
+    A bitmap of the ids' hashes is broadcast, at most 64 MB of it, so rows
+    drop out before any shuffle. With more than 10^8 ids it lets more and more
+    others through; an exact join has to follow in any case.
+    """
+    blocks = 1
+    while blocks * BLOCK < min(n * BITS_EACH, MOST_BITS):
+        blocks *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks * BLOCK))
+    at = ids.select(place("id").alias("at"))
+    marks = at.groupBy(F.floor(F.col("at") / BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.col("at") % BLOCK).alias("marks"))
+    # The row as one column, so that no name of its can clash.
+    placed = rows.select(F.struct("*").alias("row"), place(id_column).alias("at"))
+    found = placed.join(F.broadcast(marks), F.floor(F.col("at") / BLOCK) == F.col("block"))
+    # Bit i of a bitmap is bit i % 8, from the lowest, of byte i div 8.
+    byte = F.conv(F.hex(F.substring("marks", (F.col("at") % BLOCK / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pow(F.lit(2), F.col("at") % 8).cast("int")
+    return found.where(byte.bitwiseAND(bit) > 0).select("row.*")

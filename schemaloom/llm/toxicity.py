@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.shared import saved, text_of
+from schemaloom.llm.shared import likely_in, saved, text_of
 
 # Letters that a probability looks at, its own included.
 ORDER = 6
@@ -292,23 +292,26 @@ def fit(
     """Models of all labelled rows that are not held out.
 
     `labels` (id, 0 or 1) may repeat an id; one toxic label makes it toxic.
-    Null ids and labels teach nothing. The counts of two thirds of the rows
-    make the models for the calibration, which is fitted on at most
-    `CALIBRATED_ON` of the others; the models for scoring take them all. If a
-    class is missing in one of these parts, the score is not calibrated; if it
-    is missing in both, every score is the share of toxic labels (0 without any).
+    Null ids and labels teach nothing, nor do labels without a document; a
+    label of 1 or more is toxic. An empty table gives no rows. The counts of
+    two thirds of the rows make the models for the calibration, which is fitted
+    on at most `CALIBRATED_ON` of the others; the models for scoring take them
+    all. If a class is missing in one of these parts, the score is not
+    calibrated; if it is missing in both, every score is the share of toxic
+    labels (0 without any).
     """
     spark = docs.sparkSession
     known = (
         labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
         .groupBy(F.col(id_column).alias("id"))
-        .agg(F.max(F.col(label_column).cast("int")).alias("y"))
+        .agg((F.max(F.col(label_column).cast("int")) >= 1).cast("int").alias("y"))
     )
     rest = F.when(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 3, 2).otherwise(0)
     texts = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     taught = saved(known.where(remainder("id") != 2).withColumn("kind", (rest + F.col("y")).cast("int")))
-    # The labels may be many, so Spark chooses the join by their size.
-    labelled = texts.where(remainder("id") != 2).join(taught.select("id", "kind"), "id").select("kind", "text")
+    # Texts without a label go before the shuffle; the join has one form at any size.
+    near = likely_in(texts.where(remainder("id") != 2), "id", taught, taught.count())
+    labelled = near.join(taught.select("id", "kind").hint("merge"), "id").select("kind", "text")
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]
     words = labelled.mapInArrow(_word_counts, "word string, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*sums)
     counted = words.mapInArrow(_gram_counts, "place long, before long, n0 long, n1 long, n2 long, n3 long")
@@ -317,7 +320,8 @@ def fit(
     place, before = (table.column(c).to_numpy().view(np.uint64) for c in ("place", "before"))
     n = [table.column(f"n{k}").to_numpy() for k in range(4)]
     del table
-    if not all(c.sum() for c in n):
+
+    def uncalibrated() -> Scorer:
         ones, rows = taught.agg(F.sum("y"), F.count(F.lit(1))).first()
         base = (ones or 0) / rows if rows else 0.0
         if not all((n[y] + n[2 + y]).sum() for y in (0, 1)):
@@ -327,16 +331,29 @@ def fit(
         weights[0], weights[1 + len(TOP)] = np.log(base / (1 - base)), 1
         whole = spark.sparkContext.broadcast(Model.of(place, before, [n[0] + n[2], n[1] + n[3]]))
         return Scorer(whole, weights, np.zeros(FEATURES), np.ones(FEATURES), base)
+
+    if not all(c.sum() for c in n):
+        return uncalibrated()
     half = spark.sparkContext.broadcast(Model.of(place, before, n[:2]))
+    # Of the labels that have a document; moves ids alone.
+    there = saved(taught.where("kind >= 2").join(docs.select(F.col(id_column).alias("id")), "id", "left_semi").select("id", "y"))
+    # A share by hash that surely holds enough, so that the limit sees a bounded number of rows.
+    part = 1 << 20
+    share = min(part, -(-2 * CALIBRATED_ON * part // max(there.count(), 1)))
+    order = F.xxhash64("id")
     # A bounded list of ids, so it can be broadcast.
-    chosen = taught.where("kind >= 2").orderBy(F.xxhash64("id"), "id").limit(CALIBRATED_ON).select("id", "y")
+    chosen = there.where(F.pmod(order, F.lit(part)) < share).orderBy(order, "id").limit(CALIBRATED_ON)
 
     @F.arrow_udf("array<double>")
     def vector(column: pa.Array) -> pa.Array:
         return pa.array(features(half.value, column.to_pylist()).tolist(), pa.list_(pa.float64()))
 
-    seen = texts.join(F.broadcast(chosen), "id").select("y", vector("text").alias("x")).toPandas()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", F.xxhash64("text").alias("h"), vector("text").alias("x"))
+    # One row for each id, however many texts it has.
+    seen = rows.groupBy("id").agg(F.max("y").alias("y"), F.min_by("x", "h").alias("x")).toPandas()
     x, y = np.array(seen["x"].tolist()), seen["y"].to_numpy(np.float64)
+    if not 0 < y.sum() < len(y):
+        return uncalibrated()
     whole = spark.sparkContext.broadcast(Model.of(place, before, [n[0] + n[2], n[1] + n[3]]))
     weights, mean, spread = _logistic(x, y)
     half.unpersist()

@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.llm.shared import saved
+
 # Common suffixes of two labels. All others have one.
 TWO_LABELS = (
     "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn",
@@ -119,10 +121,9 @@ def reputation(
     urls = pages.select(F.col(id_column).alias("id"), host_of(F.col(url_column)).alias("host"))
     domain, suffix = domain_and_suffix(F.col("host"))
     bad = F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k")
-    hosts = (
-        urls.join(told, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), bad)
-        .select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
-    )
+    counted = urls.join(told, "id", "left").groupBy("host").agg(F.count("bad").alias("n"), bad)
+    # One row per host, which all levels start from.
+    hosts = saved(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"))
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = hosts.groupBy("suffix").agg(*sums)

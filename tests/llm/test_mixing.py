@@ -74,6 +74,17 @@ def test_mixed_rows(docs, sample, no_docs):
     assert mixing.mixture(no_docs).count() == 0
 
 
+def test_rows_that_differ_in_one_column_stay_apart(spark):
+    rows = [(1, "one two", "s", "en"), (1, "one two", "s", "de"), (1, "one two", "s", None), (1, "one two", "s", "en"), (2, "x", "t", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = Counter(map(tuple, mixing.mixed(df).collect()))
+    words_of = mixing.mixture(df).groupBy("source").agg({"taken": "sum"}).collect()
+    assert {r.source for r in words_of} == {"s", "t"}
+    assert set(got) <= set(rows) and all(n <= 3 * rows.count(r) for r, n in got.items())
+    # All of source s is taken about as often, whatever the language.
+    assert {r[3] for r in got if r[0] == 1} == {"en", "de", None}
+
+
 def test_wrong_weights(docs):
     with pytest.raises(ValueError):
         mixing.mixture(docs, weights=(1, 0))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom.llm import toxicity
+from schemaloom.llm import shared, toxicity
 
 CALM = "river stone garden morning letter window paper silver carpet lantern".split()
 
@@ -165,3 +165,32 @@ def test_a_class_in_one_part_only_still_teaches(tables, part):
     toxic, calm = ([r.score for r in rows if (r.id % 5 == 0) == y] for y in (True, False))
     assert np.mean(np.array(toxic) >= toxicity.THRESHOLD) > 0.9
     assert np.mean(np.array(calm) < toxicity.THRESHOLD) > 0.9
+
+
+def test_labels_without_documents_do_not_calibrate(spark, tables, monkeypatch):
+    """Far more labels of no document than the calibration takes: they change nothing."""
+    docs, labels = tables
+    monkeypatch.setattr(toxicity, "CALIBRATED_ON", 30)
+    lost = spark.range(10**6, 10**6 + 2_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    scores = lambda l: {r.id: r.score for r in toxicity.toxicity(docs, l).collect()}
+    assert scores(labels.select("doc_id", "toxic").unionByName(lost)) == pytest.approx(scores(labels))
+
+
+def test_repeated_documents_calibrate_once(spark, tables):
+    docs, labels = tables
+    one = docs.where("doc_id = 7")
+    more = docs.unionByName(one).unionByName(one)
+    got = toxicity.toxicity(more, labels).collect()
+    assert len(got) == docs.count() + 2 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_likely_in(spark):
+    ids = spark.range(0, 30_000, 7).unionByName(spark.range(5, 6))
+    rows = spark.range(-5_000, 40_000).selectExpr("id as doc_id", "id as _at", "'x' as _block")
+    got = shared.likely_in(rows, "doc_id", ids, ids.count())
+    assert got.columns == rows.columns
+    kept = {r.doc_id for r in got.collect()}
+    wanted = {r.id for r in ids.collect()}
+    # All that are there, and about one other in BITS_EACH.
+    assert wanted <= kept and len(kept - wanted) < 45_000 / 16
+    assert shared.likely_in(rows, "doc_id", ids.limit(0), 0).count() == 0
