@@ -117,14 +117,18 @@ def _with_scores(averages: DataFrame) -> DataFrame:
     )
 
 
-def _averages(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(
+def _measures() -> list[Column]:
+    return [
         *[F.avg(m).alias(m) for m in METRICS],
         F.count(F.lit(1)).alias("questions"),
         F.count_if("is_missing").alias("missing"),
         F.sum("bad_tables").alias("bad_tables"),
         F.sum("bad_columns").alias("bad_columns"),
-    )
+    ]
+
+
+def _averages(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*_measures())
 
 
 def macro_scores(rows: DataFrame) -> DataFrame:
@@ -137,6 +141,13 @@ def by_database(rows: DataFrame) -> DataFrame:
     return _with_scores(_averages(rows, "run_id", "db_id"))
 
 
+def scores_by_level(rows: DataFrame) -> DataFrame:
+    """`macro_scores` (`level` run, without `db_id`) and `by_database` (`level` database) from one pass over the scoring."""
+    level = F.when(F.grouping("db_id") == 1, "run").otherwise("database").alias("level")
+    both = rows.groupingSets([["run_id"], ["run_id", "db_id"]], "run_id", "db_id").agg(level, *_measures())
+    return _with_scores(both)
+
+
 def hallucinations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").agg(
         F.sum("bad_tables").alias("bad_tables"), F.sum("bad_columns").alias("bad_columns")

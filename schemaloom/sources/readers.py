@@ -157,9 +157,9 @@ def read_predictions(spark: SparkSession, path: str, run_id: Column | None = Non
 
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions as JSON lines with an explicit `pos`: the form for large runs."""
+    """Predictions as JSON lines with an explicit `pos`: the form for large runs. A broken line stops the job."""
     fields = "run_id string, question_id bigint, pos bigint, schema_links string"
-    return spark.read.schema(fields).json(path).withColumnRenamed("schema_links", "links_json")
+    return _lines(spark, fields, path).withColumnRenamed("schema_links", "links_json")
 
 
 def safe_name(name: Column) -> Column:

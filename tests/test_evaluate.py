@@ -191,3 +191,14 @@ def test_report_text_and_back(spark):
     assert empty.leaderboard_score == -1.0 and empty.recall_c == -1.0
     missing = E.eval_report(scores.withColumn("missing", F.lit(3))).first().report
     assert "Missing prediction count:   3  (scored as empty)" in missing
+
+
+def test_both_levels_from_one_scoring(spark):
+    fields = ", ".join(f"{m} double" for m in E.METRICS)
+    rows = [(r, db, *[(i + r) / 10] * 6, i, 1, i % 2 == 0) for i, (r, db) in enumerate([(1, "a"), (1, "b"), (1, None), (2, "a"), (2, "a")])]
+    df = spark.createDataFrame(rows, f"run_id int, db_id string, {fields}, bad_tables bigint, bad_columns bigint, is_missing boolean")
+    got = E.scores_by_level(df)
+    of = lambda level: sorted(map(str, got.where(F.col("level") == level).drop("level").collect()))
+    assert of("database") == sorted(map(str, E.by_database(df).select(got.drop("level").columns).collect()))
+    runs = E.macro_scores(df).withColumn("db_id", F.lit(None).cast("string")).select(got.drop("level").columns)
+    assert of("run") == sorted(map(str, runs.collect()))

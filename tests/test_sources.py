@@ -185,3 +185,9 @@ def test_predictions_with_equal_table_names(spark, tmp_path):
     df = spark.createDataFrame([(1, entries)], "question_id int, parsed array<struct<table_name string, cols array<string>>>")
     writers.write_predictions(df, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first().value)["schema_links"] == {"U": ["b"], "T": ["c"]}
+
+
+def test_a_cut_prediction_line_stops_the_job(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text('{"run_id": "1", "question_id": 1, "pos": 0, "schema_links": "{}"}\n{"run_id": "1", "quest')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_prediction_lines(spark, str(tmp_path)).collect()

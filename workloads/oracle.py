@@ -703,6 +703,13 @@ FROM lasts LEFT JOIN st USING (question_id) GROUP BY run_id""",
     q["by_database"] = with_(
         f"SELECT run_id, db_id, {ROUNDED}, {rest} FROM macro", BASE, SCORED, averages("run_id", "db_id")
     )
+    runs_too = averages("run_id").replace("av AS", "rav AS").replace("sc1 AS", "rsc AS").replace("FROM av)", "FROM rav)")
+    runs_too = runs_too.replace("macro AS", "rmacro AS").replace("FROM sc1)", "FROM rsc)")
+    q["scores_by_level"] = with_(
+        f"SELECT 'database' AS level, run_id, db_id, {ROUNDED}, {rest} FROM macro "
+        f"UNION ALL SELECT 'run', run_id, NULL, {ROUNDED}, {rest} FROM rmacro",
+        BASE, SCORED, averages("run_id", "db_id"), runs_too,
+    )
     q["hallucinations"] = with_("SELECT run_id, bad_tables, bad_columns FROM macro", BASE, SCORED, averages("run_id"))
     four = lambda c: f"format('{{:.4f}}', {c})"
     lines = [

@@ -523,6 +523,12 @@ def by_database(spark, sf):
     return rounded(evaluate.by_database(_rows(spark, sf)), *evaluate.METRICS, *SCORES)
 
 
+@query
+def scores_by_level(spark, sf):
+    """Runs and their databases from one scoring."""
+    return rounded(evaluate.scores_by_level(_rows(spark, sf)), *evaluate.METRICS, *SCORES)
+
+
 @query
 def hallucinations(spark, sf):
     return evaluate.hallucinations(_rows(spark, sf))
