@@ -16,13 +16,12 @@ def _check(output_format: str) -> bool:
 
 
 def _suffix(c: Column, cfg: RetrievalConfig) -> Column:
-    bits = []
-    if cfg.include_types:
-        bits.append(F.nullif(c.col_type, F.lit("")))
-    if cfg.include_keys:
-        bits += [F.when(c.is_pk, F.lit("PK")), F.when(c.is_fk, F.lit("FK"))]
-    if not bits:
-        return F.lit("")
+    types, keys = (flag if isinstance(flag, Column) else F.lit(flag) for flag in (cfg.include_types, cfg.include_keys))
+    bits = [
+        F.when(types, F.nullif(c.col_type, F.lit(""))),
+        F.when(keys & c.is_pk, F.lit("PK")),
+        F.when(keys & c.is_fk, F.lit("FK")),
+    ]
     text = F.concat_ws(" ", *bits)
     return F.when(text != "", F.concat(F.lit(" ["), text, F.lit("]"))).otherwise(F.lit(""))
 

@@ -27,6 +27,11 @@ def hashed_token_ids(text: Column, vocabulary: int = 50_000) -> Column:
     )
 
 
+def token_count(text: Column) -> Column:
+    """How many regex tokens a text has."""
+    return F.regexp_count(text, F.lit(TOKEN))
+
+
 def tokenizer_ids(text: Column, load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Column:
     """Ids from a user's tokenizer in Arrow batches.
 

@@ -25,6 +25,33 @@ def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame:
     return counts.where(F.col("n") > share.scalar()).select(key, "n")
 
 
+def salted_sides(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: str,
+    counts: DataFrame | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a `_salt` to join by beside `key`: see `hot_key_join`."""
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    salts_of = F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_salts")
+    hot = F.broadcast(hot_keys(counts, key, rows_per_salt).select(key, salts_of))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = (
+        left.join(hot, key, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+        .drop("_salts")
+    )
+    repeated = (
+        right.join(hot, key, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
+    )
+    return salted, repeated
+
+
 def hot_key_join(
     left: DataFrame,
     right: DataFrame,
@@ -47,21 +74,7 @@ def hot_key_join(
     `derive` replaces the columns of `right` by expressions on them. They are
     evaluated behind the shuffle, which so moves the raw columns only.
     """
-    if counts is None:
-        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    salts_of = F.ceil(F.col("n") / rows_per_salt).cast("int").alias("_salts")
-    hot = F.broadcast(hot_keys(counts, key, rows_per_salt).select(key, salts_of))
-    salts = F.coalesce("_salts", F.lit(1))
-    salted = (
-        left.join(hot, key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
-        .drop("_salts")
-    )
-    repeated = (
-        right.join(hot, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
+    salted, repeated = salted_sides(left, right, key, spread_by, counts, rows_per_salt)
     # Both sides are laid out for the join here. A fixed number of partitions
     # keeps small but costly inputs from being folded into a few tasks.
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))

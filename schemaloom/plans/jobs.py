@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
@@ -16,8 +16,10 @@ from schemaloom.operators import curate, evaluate
 from schemaloom.operators import sequences as S
 from schemaloom.operators.catalog import sorted_tables
 from schemaloom.operators.links import links_shape, parse_links, with_catalog
+from schemaloom.operators.observed import counted, kept_rows
 from schemaloom.operators.predict import Predictor, batch_predict
 from schemaloom.operators.retrieval import candidate_schema
+from schemaloom.sources.readers import complete_examples
 
 Tokens = Callable[[Column], Column]
 Shorten = Callable[[Column, int], Column]
@@ -39,16 +41,18 @@ def link_questions(
     load: Callable[[], Predictor],
     columns: int | None = None,
     shorten: Shorten = seq.last_tokens,
+    tokens_per_batch: int | None = None,
 ) -> DataFrame:
     """Questions to links with a user's model: retrieve, cut to the input length, ask, parse.
 
     `shorten` gives the end of a prompt that has so many tokens; for a model
     with a tokenizer of its own, give one that counts by it. Questions without
-    a schema are listed by `questions_without_schema`.
+    a schema are listed by `questions_without_schema`. `tokens_per_batch`
+    bounds the padded size of what the model gets at once.
     """
     asked = prompts(questions, catalog, run.retrieval, run.output_format, columns)
     asked = asked.withColumn("prompt", shorten(F.col("prompt"), run.max_input_length))
-    answered = batch_predict(asked, "prompt", load)
+    answered = batch_predict(asked, "prompt", load, tokens_per_batch)
     return parse_links(answered, "response").select("question_id", "db_id", "response", "parsed")
 
 
@@ -94,14 +98,21 @@ def sft_records(
     include_types: bool = True,
     include_keys: bool = True,
     columns: int | None = None,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """Chat records with the whole schema in the prompt, and their sizes.
 
     The schema text is made once per database, not once per example.
-    Examples without a schema drop out.
+    Examples without a schema drop out; `observed`, if given, counts them as
+    `without_schema` among all `rows` while the records are written.
     """
     text = {"schema_text": P.serialize_full_schema(sorted_tables(), include_types, include_keys)}
-    joined = with_catalog(links_shape(examples, "schema_links"), docs, columns, text)
+    shaped = links_shape(examples, "schema_links")
+    if observed is None:
+        joined = with_catalog(shaped, docs, columns, text)
+    else:
+        found = with_catalog(shaped, docs, columns, text | {"_found": F.lit(True)}, how="left")
+        joined = kept_rows(found, "without_schema", F.col("_found").isNull(), observed)
     messages = P.chat_messages(
         F.lit(V.SFT_SYSTEM_PROMPT),
         P.full_prompt(F.col("schema_text"), F.col("question")),
@@ -127,14 +138,27 @@ def training_sequences(
     eos_text: str = "<|endoftext|>",
     eos_id: int = 0,
     tokens: Tokens = seq.hashed_token_ids,
+    observed: Observation | None = None,
 ) -> DataFrame:
-    """Payloads to fitted and labelled token rows."""
+    """Payloads to fitted and labelled token rows; `observed` counts those that were cut as `truncated`."""
     ids = payloads.select(
         "question_id",
         tokens(P.prompt_text(F.col("system"), F.col("user"))).alias("prompt_ids"),
         tokens(F.concat("assistant", F.lit(eos_text))).alias("answer_ids"),
     )
-    return S.label_mask(S.truncate_pair(ids, max_length, eos_id))
+    fitted = counted(S.truncate_pair(ids, max_length, eos_id), observed, truncated=F.col("truncated"))
+    return S.label_mask(fitted)
+
+
+def augmentation_candidates(
+    examples: DataFrame, min_score: int, max_examples: int | None, order: Sequence[str], observed: Observation | None = None
+) -> DataFrame:
+    """The hardest examples; an incomplete one stops the job in the pass that reads it.
+
+    `observed` counts the examples with links to more than one table as `multitable`.
+    """
+    whole = counted(complete_examples(examples), observed, multitable=L.table_count(F.col("schema_links")) > 1)
+    return curate.select_for_augmentation(curate.difficulty(whole), min_score, max_examples, order)
 
 
 def score_runs(

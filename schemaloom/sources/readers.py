@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from schemaloom.config import RunConfig
+from schemaloom.functions.arrays import any_of
 from schemaloom.functions.links import LINKS_TYPE
 from schemaloom.operators.catalog import DOCUMENT_SCHEMA
 
@@ -25,7 +26,8 @@ def _decoded(location: Column) -> Column:
     return F.url_decode(F.replace(location, F.lit("+"), F.lit("%2B")))
 
 
-def _file_path() -> Column:
+def file_path() -> Column:
+    """Where a row comes from."""
     return _decoded(F.col("_metadata.file_path"))
 
 
@@ -69,13 +71,24 @@ def read_example_lines(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, f"{EXAMPLE_FIELDS}, pos bigint", path)
 
 
+# The fields that every example has to have.
+REQUIRED = ("question_id", "db_id", "question", "gold_sql", "schema_links")
+
+
+def _is_incomplete() -> Column:
+    return any_of([F.col(c).isNull() for c in REQUIRED])
+
+
 def incomplete_examples(examples: DataFrame) -> DataFrame:
     """Examples that lack a required field."""
-    required = [F.col(c).isNull() for c in ("question_id", "db_id", "question", "gold_sql", "schema_links")]
-    missing = required[0]
-    for condition in required[1:]:
-        missing = missing | condition
-    return examples.where(missing)
+    return examples.where(_is_incomplete())
+
+
+def complete_examples(examples: DataFrame) -> DataFrame:
+    """The examples unchanged; the job that reads them stops with an error at one that is incomplete."""
+    shown = F.to_json(F.struct(*[c for c in examples.columns if c in (*REQUIRED, *INPUT_ORDER)]))
+    stop = F.raise_error(F.concat(F.lit("example with missing fields: "), shown)).cast("boolean")
+    return examples.where(F.when(_is_incomplete(), stop).otherwise(F.lit(True)))
 
 
 def check_examples(examples: DataFrame) -> DataFrame:
@@ -94,9 +107,9 @@ def _json_list(spark: SparkSession, path: str, rows: Callable[[Column], Column])
     job with an error that names it.
     """
     text = spark.read.text(path, wholetext=True)
-    broken = F.raise_error(F.concat(F.lit("not a JSON list: "), _file_path()))
+    broken = F.raise_error(F.concat(F.lit("not a JSON list: "), file_path()))
     return text.select(
-        _file_path().alias("file_path"),
+        file_path().alias("file_path"),
         F.posexplode_outer(F.coalesce(rows(F.col("value")), broken)).alias("pos", "row"),
     ).where("pos is not null").select("file_path", "pos", "row.*")
 
@@ -176,7 +189,7 @@ RUN_LAYOUTS = {
 def read_runs(spark: SparkSession, root: str, layout: str) -> DataFrame:
     """Runs below a root: `run_id, run_name, adapter_dir, base_model`."""
     text = spark.read.text(f"{root}/{RUN_LAYOUTS[layout]}", wholetext=True)
-    return run_rows(text.select(_file_path().alias("path"), "value"), layout)
+    return run_rows(text.select(file_path().alias("path"), "value"), layout)
 
 
 def run_rows(settings: DataFrame, layout: str) -> DataFrame:
@@ -201,7 +214,7 @@ def run_rows(settings: DataFrame, layout: str) -> DataFrame:
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files as `path, report`; parse with `evaluate.parse_report`."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(_file_path().alias("path"), F.col("value").alias("report"))
+    return text.select(file_path().alias("path"), F.col("value").alias("report"))
 
 
 def read_run_config(spark: SparkSession, path: str) -> RunConfig:

@@ -1,5 +1,6 @@
 import pytest
 from helpers import asked, doc, docs, plan
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from schemaloom.config import RetrievalConfig, RunConfig
@@ -159,3 +160,70 @@ def test_sft_records(spark):
     )
     assert row.messages[2].content == '{"Shop": ["Name", "ShopID"], "Town": []}'
     assert (row.num_tables, row.num_columns, row.is_multitable, row.has_empty_columns) == (2, 2, True, True)
+
+
+def test_sft_records_count_what_they_drop(spark, tmp_path):
+    rows = asked(spark, [(1, "k", "shop name"), (2, "gone", "x"), (3, None, "y"), (4, "k", None)]).withColumn(
+        "schema_links", F.from_json(F.lit('{"Town":[]}'), LINKS_TYPE)
+    )
+    catalog = docs(spark, {"k": DB})
+    for columns in (10, None):
+        seen = Observation()
+        records = jobs.sft_records(rows, catalog, columns=columns, observed=seen)
+        records.write.mode("overwrite").json(str(tmp_path / "records"))
+        assert seen.get == {"rows": 4, "without_schema": 2}
+        assert records.drop("messages").collect() == jobs.sft_records(rows, catalog, columns=columns).drop("messages").collect()
+
+
+def test_cut_sequences_are_counted(spark):
+    rows = asked(spark, [(1, "k", "shop name"), (2, "k", "a b c d e f g h " * 90)]).withColumn(
+        "schema_links", F.from_json(F.lit('{"Shop":["Name"]}'), LINKS_TYPE)
+    )
+    payloads = jobs.example_payloads(rows, docs(spark, {"k": DB}), RetrievalConfig(), columns=10)
+    seen = Observation()
+    made = jobs.training_sequences(payloads, 500, observed=seen).collect()
+    assert seen.get == {"rows": 2, "truncated": sum(r.truncated for r in made)} and seen.get["truncated"] == 1
+
+
+def test_token_batches():
+    lengths = [5, 1, 9, 1, 0, 30, 5, 4]
+    batches = [list(map(int, b)) for b in predict.token_batches(lengths, 10)]
+    assert batches == [[1, 3, 4], [7, 0], [6], [2], [5]]
+    assert all(len(b) == 1 or max(lengths[i] for i in b) * len(b) <= 10 for b in batches)
+    assert predict.token_batches([], 10) == []
+    assert [len(b) for b in predict.token_batches([0] * 25, 10)] == [10, 10, 5]
+
+
+@pytest.mark.parametrize("budget", [1, 7, 40, 10**9])
+def test_responses_do_not_depend_on_the_budget(spark, tmp_path, budget):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        def model(prompts):
+            longest = max(len((p or "").split()) for p in prompts)
+            open(os.path.join(folder, f"{len(prompts)}-{longest}-{uuid.uuid4().hex}"), "w").close()
+            return [None if p is None else p.upper() for p in prompts]
+
+        return model
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.col("id") % 23), lambda i: F.lit("w")), " ")
+    text = F.when(F.col("id") == 5, None).when(F.col("id") == 6, "").otherwise(words)
+    df = spark.range(300).select("id", text.alias("p"))
+    got = predict.batch_predict(df, "p", load, budget)
+    assert got.where("response is distinct from upper(p)").count() == 0
+    for number, longest, _ in (f.name.split("-", 2) for f in tmp_path.iterdir()):
+        assert int(number) == 1 or int(number) * max(int(longest), 1) <= budget
+
+
+def test_an_incomplete_example_stops_the_selection(spark):
+    kind = f"question_id bigint, db_id string, question string, gold_sql string, schema_links {LINKS_TYPE}"
+    rows = [(i, "d", "q", "select 1", {"A": [], "B": []} if i else {"A": ["x"]}) for i in range(4)]
+    seen = Observation()
+    picked = jobs.augmentation_candidates(spark.createDataFrame(rows, kind), 0, 2, ["question_id"], seen)
+    assert len(picked.collect()) == 2
+    with pytest.raises(Exception, match='example with missing fields: .*"question_id":9'):
+        bad = spark.createDataFrame([*rows, (9, "d", None, "s", {})], kind)
+        jobs.augmentation_candidates(bad, 0, 2, ["question_id"]).collect()

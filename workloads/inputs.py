@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.links import LINKS_TYPE
 from schemaloom.operators.catalog import DOCUMENT_SCHEMA, db_key
+from schemaloom.sources import settings
 from workloads import templates as X
 
 
@@ -232,3 +233,11 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "run_id", name.alias("run_name"), path.alias("adapter_dir"), F.lit("base-1.5b").alias("base_model")
     )
+
+
+def run_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings of the runs that answered, as `settings.settings_of_runs` reads them."""
+    found = runs(spark, sf).where(F.col("run_id") != X.FAILED_RUN)
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in X.RUN_SETTINGS.items() for x in pair]), F.col("run_id"))
+    files = found.select(F.concat("adapter_dir", F.lit("/run_config.json")).alias("path"), text.alias("value"))
+    return settings.settings_of_runs(found, settings.settings_rows(files.where("value is not null")))

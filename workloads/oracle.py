@@ -569,8 +569,29 @@ FROM (SELECT exd.question_id, exd.db_id, lt.table_name, len(any_value(lt.cols))
             f"|| chr(10) || chr(10) || 'Assistant:' AS prompt FROM usr"
         )
 
+    q["parsed_settings"] = (
+        "SELECT '/sweeps/' || c_custkey AS adapter_dir, CASE c_custkey % 4 WHEN 0 THEN 'names' ELSE 'ids' END AS output_format, "
+        "2048 AS max_input_length, '{\"r\":' || c_custkey || '}' AS train_config, CAST(c_custkey % 30 AS INT) AS max_tables, "
+        "18 AS max_columns_per_table, 4 AS min_columns_per_table, TRUE AS include_types, TRUE AS include_keys, "
+        "TRUE AS include_join_neighbors, 2 AS join_neighbor_limit, TRUE AS always_include_table_columns_for_gold FROM customer"
+    )
     q["prompt_ids"] = with_(prompt("ids"), BASE, SCORES, free, user_text("ids"))
     q["prompt_names"] = with_(prompt("names"), BASE, SCORES, free, user_text("names"))
+    # Runs 1 and 2 have equal tables and columns; 3 and 4 have the wide budget.
+    wide_text = user_text("ids").replace("FROM cand", "FROM w_cand")
+    for name in ("tl", "usr"):
+        wide_text = wide_text.replace(f"{name} AS (", f"w_{name} AS (")
+    wide_text = wide_text.replace("FROM tl ", "FROM w_tl ")
+    names_text = user_text("names").replace("tl AS (", "n_tl AS (").replace("usr AS (", "n_usr AS (").replace("FROM tl ", "FROM n_tl ")
+    asked_by = lambda run, fmt, src: (
+        f"SELECT {run} AS run_id, question_id, md5(prompt) AS prompt_md5 FROM ({prompt(fmt).replace('FROM usr', 'FROM ' + src)})"
+    )
+    q["prompts_by_run"] = with_(
+        " UNION ALL ".join(
+            asked_by(*x) for x in ((1, "ids", "usr"), (2, "names", "n_usr"), (3, "ids", "w_usr"), (4, "ids", "w_usr"))
+        ),
+        BASE, SCORES, free, wide, user_text("ids"), names_text, wide_text,
+    )
     payload = (BASE, LINKS, SCORES, forced, user_text("ids"), TARGETS_CTE)
     q["example_payloads"] = with_(
         f"SELECT question_id, db_id, question, {lit(V.SYSTEM_PROMPT_IDS)} AS system, user_text AS user, ids AS assistant, "
@@ -836,6 +857,9 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
     q["questions_without_schema"] = with_(
         "SELECT -1 - question_id AS question_id, 'lost ' || db_id AS db_id FROM ex WHERE o_totalprice > 492000", BASE
     )
+    q["predict_by_size"] = (
+        "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\w+|[^\\w\\s]'))::INT AS n_tokens, md5(coalesce(text, '')) AS response FROM documents"
+    )
     q["batch_predict"] = with_("SELECT question_id, question, 'echo ' || question AS response FROM ex", BASE)
     q["link_questions"] = with_(
         "SELECT question_id, '{\"' || table_name || '\":[\"' || col_name || '\"]}' AS links FROM cand JOIN sent USING (question_id) "

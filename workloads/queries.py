@@ -12,10 +12,10 @@ from schemaloom.config import PRESETS, RetrievalConfig, RunConfig
 from schemaloom.functions import jsontext, prompts, sequences, tokens
 from schemaloom.functions import links as link_text
 from schemaloom.functions.arrays import inline_rows, let
-from schemaloom.operators import catalog, curate, evaluate, indexed, joins, links, predict, retrieval
+from schemaloom.operators import budgets, catalog, curate, evaluate, indexed, joins, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
-from schemaloom.sources import readers, writers
+from schemaloom.sources import readers, settings, writers
 from workloads import inputs
 from workloads import templates as X
 
@@ -330,6 +330,14 @@ def prompt_names(spark, sf):
     return jobs.prompts(d.questions, d.schema_docs, BUDGET, "names", d.size()).select("question_id", "prompt")
 
 
+@query
+def prompts_by_run(spark, sf):
+    """Prompts under the budgets and answer formats of four runs, from one scoring."""
+    d = Data(spark, sf)
+    df = budgets.prompts_by_run(d.questions, d.schema_docs, d.run_settings, d.size())
+    return df.select("run_id", "question_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def example_payloads(spark, sf):
     return _payloads(spark, sf, "ids")
@@ -707,6 +715,18 @@ def parsed_runs(spark, sf):
     return readers.run_rows(Data(spark, sf).customers.select(path.alias("path"), value.alias("value")), "grid")
 
 
+@query
+def parsed_settings(spark, sf):
+    """A settings file for each customer, with keys that are unknown, null or absent."""
+    value = F.format_string(
+        '{"seed": 1, "output_format": "%s", "retrieval": {"max_tables": %d, "join_neighbor_limit": null, "depth": 2}, "train_config": {"r": %d}}',
+        F.when(F.col("family") == 0, "NAMES").otherwise("ids"), F.col("c_custkey") % 30, F.col("c_custkey"),
+    )
+    path = F.format_string("file:///sweeps/%d/run_config.json", F.col("c_custkey"))
+    rows = settings.settings_rows(Data(spark, sf).customers.select(path.alias("path"), value.alias("value")))
+    return rows.select("adapter_dir", "output_format", "max_input_length", "train_config", "retrieval.*")
+
+
 @query
 def prediction_rows(spark, sf):
     """Lines of predictions whose links are those of the examples."""
@@ -824,6 +844,25 @@ def batch_predict(spark, sf):
     return predict.batch_predict(d.questions.select("question_id", "question"), "question", echo)
 
 
+def digests():
+    """A stand-in model: the MD5 of each prompt."""
+
+    def model(prompts: list[str]) -> list[str]:
+        from hashlib import md5
+
+        return [md5(p.encode()).hexdigest() for p in prompts]
+
+    return model
+
+
+@query
+def predict_by_size(spark, sf):
+    """Whole documents as prompts, in batches of at most 4,096 padded tokens."""
+    docs = Data(spark, sf).table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = docs.withColumn("n_tokens", sequences.token_count(F.col("text")))
+    return predict.batch_predict(asked, "text", digests, 4096, F.col("n_tokens")).drop("text")
+
+
 def echo():
     return lambda prompts: ["echo " + p for p in prompts]
 

@@ -168,6 +168,14 @@ RUNS = (1, 2, 3, 4)
 # A run that never gave predictions.
 FAILED_RUN = 5
 
+# Settings files of runs; run 4 has none. Keys that nobody knows are dropped.
+RUN_SETTINGS = {
+    1: '{"retrieval": {"max_tables": 2, "max_columns_per_table": 4, "min_columns_per_table": 2, "join_neighbor_limit": 1, "depth": 3}}',
+    2: '{"output_format": "NAMES", "retrieval": {"max_tables": 2, "max_columns_per_table": 1, "min_columns_per_table": 4, '
+    '"join_neighbor_limit": 1}, "train_config": {"lora_r": 16}}',
+    3: '{"base_model": "base-7b", "output_format": "ids", "seed": 7, "retrieval": {"max_tables": 12, "max_columns_per_table": 20, "include_types": null}}',
+}
+
 # An answer whose values are not lists of names.
 ODD_ANSWER = (
     '{"orders":"o_orderkey","customer":{"c_name":1},"part":null,"lineitem":["l_tax",2,null],'
