@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
-from schemaloom.functions.arrays import let
+from schemaloom.functions.arrays import inline_rows, let
 from schemaloom.operators.catalog import db_key
 from schemaloom.operators.links import with_catalog, with_name_index
 
@@ -71,43 +71,42 @@ def per_question(
     Questions without gold or without a schema are left out, a missing
     prediction scores as empty. `runs` is the list of runs to score.
     """
-    # Gold is parsed once per question, before the questions meet the runs.
-    wanted = gold.select("question_id", L.scorer_entries(F.col("links_json")).alias("wanted"))
-    asked = questions.select("question_id", "db_id").join(wanted, "question_id")
-    run_ids = F.array(*[F.lit(r) for r in runs])
-    pairs = asked.withColumn("run_id", F.explode(run_ids)).join(
-        last_wins(predictions).drop("entries", "question_key").withColumn("present", F.lit(True)), ["run_id", "question_id"], "left"
-    )
-    # Questions per database and run: enough to find hot databases, without the joins.
-    counts = questions.groupBy(db_key(F.col("db_id")).alias("db_key")).agg(
-        (F.count(F.lit(1)) * len(runs)).alias("n")
-    )
+    # The last answers of all runs travel with their question, which meets gold and schema once.
+    known = predictions.where(F.col("question_id").isNotNull() & F.col("run_id").isin(runs))
+    answers = last_wins(known).groupBy("question_id").agg(F.collect_list(F.struct("run_id", "links_json")).alias("answers"))
+    wanted = gold.select("question_id", F.col("links_json").alias("wanted"))
+    asked = questions.select("question_id", "db_id").join(wanted, "question_id").join(answers, "question_id", "left")
+    # Questions per database: enough to find hot databases, without the joins.
+    counts = questions.groupBy(db_key(F.col("db_id")).alias("db_key")).agg(F.count(F.lit(1)).alias("n"))
     names = F.col("names")
-    scored = with_name_index(pairs, docs, columns, counts).select(
-        "run_id",
-        "question_id",
-        "db_id",
-        # A prediction without links is there all the same; it scores as empty.
-        F.col("present").isNull().alias("is_missing"),
-        L.canonical_sets(F.col("wanted"), names, is_gold=True).alias("g"),
-        L.canonical_sets(L.scorer_entries(F.col("links_json")), names).alias("p"),
-    )
-    rated = scored.withColumns(
-        {"t": prf(F.col("p.tables"), F.col("g.tables")), "c": prf(F.col("p.pairs"), F.col("g.pairs"))}
-    )
-    return rated.select(
-        "run_id",
-        "question_id",
-        "db_id",
-        *[
-            F.col(f"{level}.{metric}").alias(f"{metric}_{level}")
-            for level in ("t", "c")
-            for metric in ("p", "r", "f1")
-        ],
-        F.col("p.bad_tables").alias("bad_tables"),
-        F.col("p.bad_columns").alias("bad_columns"),
-        "is_missing",
+
+    def scored(run: Column, answer: Column, g: Column) -> Column:
+        return let(
+            L.canonical_sets(L.scorer_entries(answer.links_json), names),
+            lambda p: let(
+                F.struct(prf(p.tables, g.tables).alias("t"), prf(p.pairs, g.pairs).alias("c")),
+                lambda m: F.struct(
+                    run.alias("run_id"),
+                    *[m[level][metric].alias(f"{metric}_{level}") for level in ("t", "c") for metric in ("p", "r", "f1")],
+                    p.bad_tables.alias("bad_tables"),
+                    p.bad_columns.alias("bad_columns"),
+                    # A prediction without links is there all the same; it scores as empty.
+                    answer.isNull().alias("is_missing"),
+                ),
+            ),
+        )
+
+    def of_run(run: Column, g: Column) -> Column:
+        answer = F.try_element_at(F.filter("answers", lambda a: a.run_id == run), F.lit(1))
+        return let(answer, lambda a: scored(run, a, g))
+
+    run_ids = F.array(*[F.lit(r) for r in runs])
+    rows = let(
+        L.canonical_sets(L.scorer_entries(F.col("wanted")), names, is_gold=True),
+        lambda g: F.transform(run_ids, lambda run: of_run(run, g)),
     )
+    made = inline_rows(with_name_index(asked, docs, columns, counts), rows, "run_id", "question_id", "db_id")
+    return made.select("run_id", "question_id", "db_id", *made.columns[3:])
 
 
 def _with_scores(averages: DataFrame) -> DataFrame:
