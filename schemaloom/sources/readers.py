@@ -42,8 +42,37 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.json$", "").alias("db_key"), "*")
 
 
+def question_rows(text: Column) -> Column:
+    """Entries of a questions file with `question_key`, the id as text.
+
+    As in `links_rows`, ids that are not whole numbers are null in `question_id`.
+    """
+    keyed = json_rows(text, "question_id string")
+    return F.zip_with(
+        json_rows(text, QUESTION_FIELDS),
+        keyed,
+        lambda row, raw: F.struct(
+            row.question_id.alias("question_id"),
+            row.db_id.alias("db_id"),
+            row.question.alias("question"),
+            _key(row.question_id, raw.question_id).alias("question_key"),
+        ),
+    )
+
+
+def _key(number: Column, raw: Column) -> Column:
+    """The text "1" is not the number 1: it has a mark before it, and so has every other text."""
+    return F.coalesce(number.cast("string"), F.concat(F.lit("text:"), raw))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return _whole_files(spark, QUESTION_FIELDS, path)
+    """Questions of JSON list files: `file_path, pos, question_id, db_id, question, question_key`."""
+    return _json_list(spark, path, question_rows)
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """Rows whose `question_id` is the id as text, so that questions, gold and predictions with text ids meet too."""
+    return rows.withColumn("question_id", F.col("question_key")).drop("question_key")
 
 
 def _lines(spark: SparkSession, fields: str, path: str) -> DataFrame:
@@ -53,7 +82,7 @@ def _lines(spark: SparkSession, fields: str, path: str) -> DataFrame:
 
 def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
     """Questions as JSON lines: the form for large inputs."""
-    return _lines(spark, QUESTION_FIELDS, path)
+    return _keyed_lines(spark, "db_id string, question string", path)
 
 
 def example_rows(text: Column) -> Column:
@@ -132,7 +161,7 @@ def links_rows(text: Column) -> Column:
         lambda row, raw: F.struct(
             row.question_id.alias("question_id"),
             row.schema_links.alias("schema_links"),
-            F.coalesce(row.question_id.cast("string"), F.concat(F.lit("text:"), raw.question_id)).alias("question_key"),
+            _key(row.question_id, raw.question_id).alias("question_key"),
         ),
     )
 
@@ -145,19 +174,31 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     return _json_list(spark, path, links_rows).withColumnRenamed("schema_links", "links_json")
 
 
+def _last(rows: DataFrame, links: str, *place: str) -> DataFrame:
+    return rows.groupBy("question_id", "question_key").agg(F.max_by(links, F.struct(*place)).alias("links_json"))
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold links; of repeated ids the last one counts."""
-    return (
-        read_links(spark, path)
-        .groupBy("question_id")
-        .agg(F.max_by("links_json", F.struct("file_path", "pos")).alias("links_json"))
+    """Gold links with `question_key`; of repeated ids the last one counts."""
+    return _last(read_links(spark, path), "links_json", "file_path", "pos")
+
+
+def _keyed_lines(spark: SparkSession, fields: str, path: str) -> DataFrame:
+    """JSON lines whose `question_id` may be a number or a text, with `question_key`.
+
+    The id is read as a VARIANT, which keeps the two apart.
+    """
+    rows = _lines(spark, f"question_id variant, {fields}", path)
+    whole = F.schema_of_variant("question_id") == "BIGINT"
+    number = F.when(whole, F.try_variant_get("question_id", "$", "bigint"))
+    return rows.withColumns(
+        {"question_id": number, "question_key": _key(number, F.try_variant_get("question_id", "$", "string"))}
     )
 
 
 def read_gold_lines(spark: SparkSession, path: str) -> DataFrame:
     """Gold links as JSON lines with an explicit `pos`, the last of repeated ids: the form for large inputs."""
-    rows = _lines(spark, f"{LINKS_FIELDS}, pos bigint", path)
-    return rows.groupBy("question_id").agg(F.max_by("schema_links", "pos").alias("links_json"))
+    return _last(_keyed_lines(spark, "schema_links string, pos bigint", path), "schema_links", "pos")
 
 
 def read_predictions(spark: SparkSession, path: str, run_id: Column | None = None) -> DataFrame:
@@ -171,8 +212,8 @@ def read_predictions(spark: SparkSession, path: str, run_id: Column | None = Non
 
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     """Predictions as JSON lines with an explicit `pos`: the form for large runs. A broken line stops the job."""
-    fields = "run_id string, question_id bigint, pos bigint, schema_links string"
-    return _lines(spark, fields, path).withColumnRenamed("schema_links", "links_json")
+    fields = "run_id string, pos bigint, schema_links string"
+    return _keyed_lines(spark, fields, path).withColumnRenamed("schema_links", "links_json")
 
 
 def safe_name(name: Column) -> Column:

@@ -26,7 +26,7 @@ def test_examples_and_questions(spark, tmp_path):
     path = put(tmp_path / "train.json", EXAMPLES)
     df = readers.check_examples(readers.read_examples(spark, path))
     assert df.count() == 3 and df.first().schema_links == {"T": ["c"], "U": []}
-    assert readers.read_questions(spark, path).columns == ["question_id", "db_id", "question"]
+    assert readers.read_questions(spark, path).columns == ["file_path", "pos", "question_id", "db_id", "question", "question_key"]
     bad = put(tmp_path / "bad.json", EXAMPLES + [{"question_id": 9}])
     with pytest.raises(ValueError):
         readers.check_examples(readers.read_examples(spark, bad))
@@ -191,3 +191,35 @@ def test_a_cut_prediction_line_stops_the_job(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"run_id": "1", "question_id": 1, "pos": 0, "schema_links": "{}"}\n{"run_id": "1", "quest')
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.read_prediction_lines(spark, str(tmp_path)).collect()
+
+
+def test_text_ids_are_scored_by_key(spark, tmp_path):
+    ids = [1, "1", "q-7", 8.5, None]
+    asked = [{"question_id": i, "db_id": "k", "question": f"q{n}"} for n, i in enumerate(ids)]
+    gold = [{"question_id": i, "schema_links": {"A": ["x"]}} for i in ids[:4]]
+    wrong = {"schema_links": {"A": []}}
+    answers = [{"question_id": i, "schema_links": {"A": ["x"]}} for i in ids[:3]] + [{"question_id": 1, **wrong}]
+    keys = ["1", "text:1", "text:q-7", "text:8.5", None]
+    lines = lambda rows: "\n".join(json.dumps(r | {"pos": n, "run_id": "r"}) for n, r in enumerate(rows))
+    questions = readers.read_questions(spark, put(tmp_path / "q.json", asked))
+    assert [(r.question_key, r.pos, r.question) for r in questions.orderBy("pos").collect()] == [
+        (key, n, f"q{n}") for n, key in enumerate(keys)
+    ]
+    assert [r.question_id for r in questions.orderBy("pos").collect()] == [1, None, None, None, None]
+    read = lambda: readers.read_question_lines(spark, put(tmp_path / "q.jsonl", lines(asked)))
+    assert sorted((r.question, r.question_id, r.question_key) for r in read().collect()) == sorted(
+        (r.question, r.question_id, r.question_key) for r in questions.collect()
+    )
+    whole = (
+        readers.read_gold(spark, put(tmp_path / "g.json", gold)),
+        readers.read_predictions(spark, put(tmp_path / "r" / "p.json", answers)),
+    )
+    split = (
+        readers.read_gold_lines(spark, put(tmp_path / "g.jsonl", lines(gold))),
+        readers.read_prediction_lines(spark, put(tmp_path / "p.jsonl", lines(answers))),
+    )
+    catalog = docs(spark, {"k": doc({"A": ["x"]})})
+    for g, p in (whole, split):
+        rows = E.per_question(readers.by_key(questions), readers.by_key(g), readers.by_key(p), catalog, ["r"], 10)
+        got = {r.question_id: (r.f1_c, r.is_missing) for r in rows.collect()}
+        assert got == {"1": (0.0, False), "text:1": (1.0, False), "text:q-7": (1.0, False), "text:8.5": (0.0, True)}

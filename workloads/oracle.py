@@ -796,6 +796,11 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
         "UNION ALL SELECT question_id, 1, NULL, NULL, NULL, -1 FROM ex",
         BASE, SHAPES,
     )
+    q["parsed_questions"] = with_(
+        "SELECT 0 AS pos, question_id, db_id, question, CAST(question_id AS VARCHAR) AS question_key FROM ex "
+        "UNION ALL SELECT 1, -1, NULL, NULL, 'text:' || question_id FROM ex",
+        BASE,
+    )
     q["incomplete_examples"] = with_("SELECT question_id, NULL::VARCHAR AS db_id FROM ex", BASE)
     q["parsed_predictions"] = with_(
         "SELECT question_id AS asked, 0 AS pos, TRUE AS is_number, question_id::VARCHAR AS question_key, links_json FROM ex "

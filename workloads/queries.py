@@ -678,6 +678,16 @@ def parsed_examples(spark, sf):
     )
 
 
+@query
+def parsed_questions(spark, sf):
+    """Each question as a list of two entries, the second one under its id as a text."""
+    entry = F.to_json(F.struct("question_id", "db_id", "question"))
+    again = F.format_string('{"question_id": "%d", "question": null}', "question_id")
+    text = F.concat(F.lit("["), entry, F.lit(","), again, F.lit("]"))
+    rows = Data(spark, sf).questions.select(F.posexplode(readers.question_rows(text)).alias("pos", "row"))
+    return rows.select("pos", "row.*").fillna(-1, "question_id")
+
+
 @query
 def incomplete_examples(spark, sf):
     """Entries of the lists of `parsed_examples` that lack a field."""
