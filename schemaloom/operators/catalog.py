@@ -387,6 +387,19 @@ def name_index() -> Column:
     return let(bound, index)
 
 
+# What a document, a table and a character of a name take at most once features are made from them, in bytes.
+DOCUMENT_BYTES, TABLE_BYTES, CHARACTER_BYTES = 128, 512, 16
+
+
 def catalog_size(docs: DataFrame) -> int:
-    """Number of columns in all documents: the measure for broadcasting."""
-    return docs.agg(F.coalesce(F.sum(F.size(_pairs())), F.lit(0)).alias("n")).first()["n"]
+    """Size of all documents, the measure for broadcasting, in columns of about 1 KB.
+
+    A document counts as its columns, or as its bytes in KB where tables
+    without columns or long names make these more.
+    """
+    nested = [F.flatten("column_names_original"), F.flatten("column_names")]
+    texts = F.concat_ws("", "table_names_original", "table_names", *nested, "column_types")
+    tables = F.greatest(F.size("table_names_original"), F.size("table_names"), F.lit(0))
+    size = DOCUMENT_BYTES + TABLE_BYTES * tables.cast("long") + CHARACTER_BYTES * F.length(texts).cast("long")
+    largest = F.greatest(F.size(_pairs()).cast("long"), F.ceil(size / 1024))
+    return docs.agg(F.coalesce(F.sum(largest), F.lit(0)).alias("n")).first()["n"]

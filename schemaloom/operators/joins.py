@@ -64,7 +64,8 @@ def hot_key_join(
 ) -> DataFrame:
     """Join `left` to the one row per `key` of `right` in a shuffle.
 
-    Keys with more than `rows_per_salt` left rows are split over several
+    Keys with more than `rows_per_salt` left rows (or, beyond `HOT_PART` times
+    that many rows in all, 1 / `HOT_PART` of them) are split over several
     tasks: their rows get a salt from a hash of `spread_by`, which gives the
     same salt when a lost task runs again, and the one right row is repeated
     per salt. All other keys use salt 0 and stay as they are. `counts`

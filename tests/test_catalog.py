@@ -106,3 +106,12 @@ def test_published_catalog_reads_back(spark, tmp_path):
 
 def test_catalog_size(spark):
     assert C.catalog_size(docs(spark, {"k": SITE, "l": doc({"t": ["a"]})})) == 5 + 2
+
+
+def test_size_measures_more_than_columns(spark):
+    size = lambda d: C.catalog_size(docs(spark, {"k": d}))
+    assert C.catalog_size(docs(spark, {"k": SITE}).where("false")) == 0
+    assert size(doc({f"t{i}": [] for i in range(1000)})) > 500
+    assert size(doc({"t": ["x" * 100_000]})) > 1500
+    assert size(doc({"t": [f"c{i}" for i in range(100)]})) == 101
+    assert size({"table_names_original": ["t"]}) >= 1 and size({}) >= 1

@@ -700,9 +700,9 @@ spoilt AS (SELECT *, EXISTS (SELECT 1 FROM tcol WHERE tcol.f = spoilt0.f AND tab
         BASE, SHAPES,
     )
 
-    q["last_wins"] = with_("SELECT run_id, question_id, links_json, entries FROM lasts", BASE, PREDICTIONS, LASTS)
+    q["last_wins"] = with_("SELECT run_id, question_id, links_json, entries FROM lasts", BASE, ALL_PREDICTIONS, LASTS)
     q["extra_predictions"] = with_(
-        "SELECT DISTINCT run_id, question_id FROM preds WHERE question_id NOT IN (SELECT question_id FROM ex)", BASE, PREDICTIONS
+        "SELECT DISTINCT run_id, question_id FROM preds WHERE question_id NOT IN (SELECT question_id FROM ex)", BASE, ALL_PREDICTIONS
     )
     q["eval_diagnostics"] = with_(
         """SELECT run_id, sum(entries - 1)::BIGINT AS duplicates, count(*) FILTER (status IS NULL) AS extra,

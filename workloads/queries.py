@@ -493,13 +493,13 @@ def links_shape(spark, sf):
 
 @query
 def last_wins(spark, sf):
-    return evaluate.last_wins(Data(spark, sf).predictions)
+    return evaluate.last_wins(Data(spark, sf).all_predictions)
 
 
 @query
 def extra_predictions(spark, sf):
     d = Data(spark, sf)
-    return evaluate.extra_predictions(d.predictions, d.questions)
+    return evaluate.extra_predictions(d.all_predictions, d.questions)
 
 
 @query
