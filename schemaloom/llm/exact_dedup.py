@@ -1,11 +1,15 @@
 """Exact dedup by a tree of merged digest runs, in DataFrame operations.
 
-Rows are dealt over runs by a hash. A run holds one entry per digest: the best
-row, the number of rows and the evidence. In each round `FAN_IN` neighbouring
-runs exchange their entries and merge them, sorted by digest, until one run is
-left. An entry of a merged run stands for many rows, so a text with a third of
-all rows moves as one row per run. The answers go down the same way: to the
-first runs, and there to the rows.
+Rows are dealt over runs by a hash, and combined on the map side: a run holds
+one entry per text, with its best row, the number of rows and the evidence.
+Runs are then merged in binomial rounds. In round r, run i + 2^r joins run i:
+both come to one partition, sorted by digest, and one pass over the sorted
+entries keeps the best row of each text whose evidence agrees, until run 0 is
+left. An entry stands for many rows, so a text with a third of all rows moves
+as one row per run. No run is ever whole in one task: the digests are cut into
+shards of `SHARD_ENTRIES` entries, each with a tree of its own, and all trees
+go through a round together. The answers go down the same way: to the first
+runs, and there to the rows.
 """
 
 from __future__ import annotations
@@ -15,8 +19,10 @@ from pyspark.sql import functions as F
 
 from schemaloom.llm.shared import SPACE, saved, text_of
 
-# First runs, and runs merged in a round.
-RUNS, FAN_IN = 256, 16
+# First runs; log2 of them is the number of rounds.
+RUNS = 8
+# Entries of all runs that one shard has on average. The number of shards grows with the input.
+SHARD_ENTRIES = 100_000
 
 # Entries are the same text only if all of these agree: a SHA-256, a second
 # hash of another family, and the length.
@@ -28,7 +34,6 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(text, f"{SPACE}+", "")
 
 
-
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(`id`, `points`, evidence, `run`) of every row."""
     raw = text_of(text_column)
@@ -41,10 +46,30 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return out.select("id", "points", F.unhex("hex").alias("digest"), "check", "length", run.alias("run"))
 
 
-def _merged(entries: DataFrame) -> DataFrame:
-    """One entry per run and text: the most code points, then the smallest id, null last."""
-    # Larger is better; a null id is worst.
-    return entries.groupBy("run", *EVIDENCE).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+def _best(entries: DataFrame, *keys: str) -> DataFrame:
+    """One entry per text and `keys`: the most code points, then the smallest id, null last."""
+    return entries.groupBy(*keys, *EVIDENCE).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """The runs of one number in one partition per shard, sorted and merged in one pass.
+
+    The exchange is by run and not by text, and the aggregate that follows it
+    reads the sorted partition as it lies.
+    """
+    together = runs.repartition("shard", "run").sortWithinPartitions("shard", "run", *EVIDENCE)
+    return _best(together, "shard", "run")
+
+
+def tree_merge(first: DataFrame, shards: int) -> DataFrame:
+    """One entry per text out of the entries (`run`, evidence, `best`, `n`) of all first runs."""
+    entries = first.withColumn("shard", F.pmod("check", F.lit(shards)))
+    step = 1
+    while step < RUNS:
+        # Run i + step goes to run i; the others stay.
+        entries = merged(entries.withColumn("run", F.col("run") - F.col("run").bitwiseAND(F.lit(step))))
+        step *= 2
+    return entries
 
 
 def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -65,12 +90,8 @@ def _answered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     rows = saved(digests(docs, id_column, text_column))
     # The smallest struct is the best row: most points first, ids without null first.
     best = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("no_id"), F.col("id"))
-    first = saved(_merged(rows.select("run", *EVIDENCE, best.alias("best"), F.lit(1).cast("long").alias("n"))))
-    runs, entries = RUNS, first
-    while runs > 1:
-        runs = -(-runs // FAN_IN)
-        up = entries.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-        entries = _merged(up).sortWithinPartitions(*EVIDENCE)
+    first = saved(_best(rows.select("run", *EVIDENCE, best.alias("best"), F.lit(1).cast("long").alias("n")), "run"))
+    entries = tree_merge(first, max(1, -(-first.count() // SHARD_ENTRIES)))
     answers = entries.select(*EVIDENCE, F.col("best.id").alias("keep_id"), F.col("best.points").alias("most"), F.col("n").alias("group_size"))
     down = first.select("run", *EVIDENCE).join(answers, EVIDENCE)
     out = rows.join(down, ["run", *EVIDENCE])

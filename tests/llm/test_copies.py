@@ -31,15 +31,34 @@ def expected_groups(rows):
     return out
 
 
-@pytest.mark.parametrize("runs, fan_in", [(256, 16), (8, 2), (1, 4)])
-def test_groups(docs, sample, monkeypatch, runs, fan_in):
+@pytest.mark.parametrize("runs, shard", [(8, 100_000), (5, 3), (1, 4)])
+def test_groups(docs, sample, monkeypatch, runs, shard):
     monkeypatch.setattr(exact_dedup, "RUNS", runs)
-    monkeypatch.setattr(exact_dedup, "FAN_IN", fan_in)
+    monkeypatch.setattr(exact_dedup, "SHARD_ENTRIES", shard)
     for df in (docs, sample):
         got = exact_dedup.duplicate_groups(df)
         assert Counter(tuple(r) for r in got.collect()) == expected_groups(df.collect())
 
 
+def test_rounds_merge_sorted_runs(sample):
+    best = F.struct("points", F.col("id").isNull().alias("no_id"), "id").alias("best")
+    first = exact_dedup.digests(sample).select("run", *exact_dedup.EVIDENCE, best, F.lit(1).cast("long").alias("n"))
+    merged = exact_dedup.merged(first.withColumn("shard", F.pmod("check", F.lit(2))))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    # One exchange, by shard and run; its sort is the only one, and the merge reads it.
+    assert plan.count("Exchange hashpartitioning(shard") == plan.count("Exchange") == plan.count("+- Sort [") == 1
+    assert "SortAggregate" in plan
+    rows = merged.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()).collect()
+    of_run = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.place):
+        of_run[r.shard, r.run].append(r)
+    for own in of_run.values():
+        assert len({r.part for r in own}) == 1
+        assert [bytes(r.digest) for r in own] == sorted({bytes(r.digest) for r in own})
+    runs = exact_dedup.tree_merge(first, 2).select("run").distinct().collect()
+    assert [r.run for r in runs] == [0]
+
+
 def test_groups_run_without_python(sample):
     text = exact_dedup.duplicate_groups(sample)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", text)
