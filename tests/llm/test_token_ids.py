@@ -32,6 +32,18 @@ def test_counts_equal_the_library(docs, sample, monkeypatch, chunk_docs):
         assert rows_of(token_counts.token_counts(df, BYTES)) == expected
 
 
+def test_a_frequent_pretoken_meets_in_many_tasks(spark, sample, monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG_ROW", 12)
+    monkeypatch.setattr(token_counts, "NEAR", 1)
+    monkeypatch.setattr(token_counts, "FAR", 2)
+    spread = spark.createDataFrame(sample.collect(), sample.schema).repartition(6, "doc_id")
+    got = token_counts.token_counts(spread, BYTES)
+    plain = token_counts.token_counts(sample, BYTES)
+    assert Counter(got.collect()) == Counter(plain.collect())
+    # The exchange is by pre-token and neighbourhood of chunks.
+    assert "CASE WHEN (octet_length(postings" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_counts_of_nothing(no_docs):
     assert token_counts.token_counts(no_docs, BYTES).count() == 0
 
