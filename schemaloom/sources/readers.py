@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from schemaloom.config import RunConfig
 from schemaloom.functions.arrays import any_of
 from schemaloom.functions.links import LINKS_TYPE
 from schemaloom.operators.catalog import DOCUMENT_SCHEMA
+from schemaloom.operators.evaluate import REPORT_LABELS
 
 QUESTION_FIELDS = "question_id bigint, db_id string, question string"
 EXAMPLE_FIELDS = f"{QUESTION_FIELDS}, gold_sql string, schema_links {LINKS_TYPE}"
 # A nested value read as a string keeps its raw JSON text.
 LINKS_FIELDS = "question_id bigint, schema_links string"
+# Metrics that a leaderboard has for each run.
+REPORT_METRICS = tuple(REPORT_LABELS)
 # Columns that give the order of the input, over all files.
 INPUT_ORDER = ("file_path", "pos")
 
@@ -31,15 +34,27 @@ def file_path() -> Column:
     return _decoded(F.col("_metadata.file_path"))
 
 
-def _whole_files(spark: SparkSession, fields: StructType | str, path: str) -> DataFrame:
-    """JSON documents or lists; a broken file stops the job with an error that names it."""
-    return spark.read.schema(fields).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Schema documents `<db_key>.json`, one row per file."""
-    rows = _whole_files(spark, DOCUMENT_SCHEMA, path)
-    return rows.select(F.regexp_replace(_decoded(F.col("_metadata.file_name")), r"\.json$", "").alias("db_key"), "*")
+    text = spark.read.text(path, wholetext=True)
+    return document_rows(text.select(file_path().alias("path"), "value"))
+
+
+# Where a text that is no document goes.
+BROKEN = "_broken"
+
+
+def document_rows(files: DataFrame) -> DataFrame:
+    """Schema documents from the `path` and text (`value`) of their files; a broken one stops the job with its path."""
+    fields = StructType([*DOCUMENT_SCHEMA.fields, StructField(BROKEN, StringType())])
+    parsed = F.from_json("value", fields, {"columnNameOfCorruptRecord": BROKEN})
+    rows = files.select("path", parsed.alias("doc"))
+    # An empty text parses as null, and text behind the document as a broken record.
+    failed = F.raise_error(F.concat(F.lit("not a schema document: "), F.col("path"))).cast(DOCUMENT_SCHEMA)
+    whole = F.struct(*[F.col(f"doc.{name}").alias(name) for name in DOCUMENT_SCHEMA.fieldNames()])
+    sound = F.col("doc").isNotNull() & F.col(f"doc.{BROKEN}").isNull()
+    key = F.regexp_extract("path", r"([^/]*?)(?:\.json)?$", 1)
+    return rows.select(key.alias("db_key"), F.when(sound, whole).otherwise(failed).alias("doc")).select("db_key", "doc.*")
 
 
 def question_rows(text: Column) -> Column:
@@ -258,6 +273,49 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return text.select(file_path().alias("path"), F.col("value").alias("report"))
 
 
+def _table_file(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """A written table with a header; a row that does not fit `fields`, or another header, stops the job."""
+    options = {"header": True, "escape": '"', "mode": "FAILFAST", "enforceSchema": False}
+    return spark.read.schema(fields).options(**options).csv(path)
+
+
+def read_per_question(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `writers.write_per_question` over runs."""
+    metrics = ", ".join(f"{metric}_{level} double" for level in ("t", "c") for metric in ("p", "r", "f1"))
+    return _table_file(spark, path, f"run_id string, question_id bigint, db_id string, {metrics}")
+
+
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `writers.write_leaderboard`: runs with their metrics and status."""
+    text = ("adapter_dir", "base_model", "run_id", "run_name", "status")
+    fields = sorted([*[f"{c} string" for c in text], *[f"{c} double" for c in REPORT_METRICS]])
+    return _table_file(spark, path, ", ".join(fields))
+
+
+def read_best_run(spark: SparkSession, path: str) -> DataFrame:
+    """The row of `writers.write_best_run`, or none."""
+    metrics = ", ".join(f"{c} double" for c in REPORT_METRICS)
+    text = "run_id string, run_name string, adapter_dir string, base_model string, status string"
+    return _lines(spark, f"{text}, {metrics}, promote boolean", path)
+
+
+def read_stats(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The totals and the counts per database that `writers.write_stats` left for all splits below a path."""
+    sizes = "total_examples unique_databases multi_table_examples single_table_examples empty_column_examples "
+    sizes += "many_column_examples oversampled_examples original_examples"
+    averages = "avg_tables_per_example double, avg_columns_per_example double, max_tables int, max_columns int"
+    totals = ", ".join(["split string", *[f"{c} bigint" for c in sizes.split()], averages])
+    return (
+        _lines(spark, totals, f"{path}/*/totals"),
+        _lines(spark, "split string, db_id string, n bigint", f"{path}/*/examples_per_db"),
+    )
+
+
+def read_splits(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Records of `writers.write_splits` with their `source`; a filter on it reads its folder only."""
+    return _lines(spark, f"{fields}, source string", path)
+
+
 def read_run_config(spark: SparkSession, path: str) -> RunConfig:
     """One run's settings; defaults when the file is missing."""
     try:

@@ -66,10 +66,15 @@ def write_config(spark: SparkSession, settings: dict | RunConfig, path: str) ->
     ).text(path)
 
 
+def _write_table(df: DataFrame, path: str) -> None:
+    """A table with a header; quotes inside a value are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_per_question(rows: DataFrame, path: str) -> None:
     columns = ["question_id", "db_id", "p_t", "r_t", "f1_t", "p_c", "r_c", "f1_c"]
     keys = ["run_id"] if "run_id" in rows.columns else []
-    rows.select(*keys, *columns).write.mode("overwrite").option("header", True).csv(path)
+    _write_table(rows.select(*keys, *columns), path)
 
 
 # Fixed values in the next two functions: the field names of the files.
@@ -105,7 +110,7 @@ def selection_rows(selected: DataFrame) -> DataFrame:
 
 
 def write_review(selected: DataFrame, path: str) -> None:
-    review_rows(selected).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _write_table(review_rows(selected), path)
 
 
 def write_selection(selected: DataFrame, path: str) -> None:
@@ -114,7 +119,7 @@ def write_selection(selected: DataFrame, path: str) -> None:
 
 def write_leaderboard(board: DataFrame, path: str) -> None:
     """All runs, best first, columns in alphabetical order."""
-    board.select(*sorted(board.columns)).write.mode("overwrite").option("header", True).csv(path)
+    _write_table(board.select(*sorted(board.columns)), path)
 
 
 def write_best_run(best: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from schemaloom.config import PRESETS, RunConfig
 from schemaloom.operators import curate as U
 from schemaloom.operators import evaluate as E
-from schemaloom.sources import readers, writers
+from schemaloom.sources import folders, readers, writers
 
 
 def put(path, value):
@@ -165,6 +165,59 @@ def test_score_outputs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "best")).first().run_name == "r"
 
 
+def test_written_tables_read_back(spark, tmp_path):
+    metrics = [c for c in readers.REPORT_METRICS]
+    board = spark.createDataFrame(
+        [("r", 'a "b", c', "runs/1", "m", "ok", *[0.5] * 9), ("s", None, "runs/2", "", "infer_failed", *[-1.0] * 9)],
+        "run_id string, run_name string, adapter_dir string, base_model string, status string, "
+        + ", ".join(f"{c} double" for c in metrics),
+    )
+    writers.write_leaderboard(board, str(tmp_path / "board"))
+    got = {r.run_id: r for r in readers.read_leaderboard(spark, str(tmp_path / "board")).collect()}
+    assert got["r"].run_name == 'a "b", c' and got["s"].run_name is None and got["s"].f1_t == -1.0
+    writers.write_best_run(E.best_run(board), str(tmp_path / "best"))
+    assert readers.read_best_run(spark, str(tmp_path / "best")).first().promote
+    writers.write_best_run(E.best_run(board.where("status <> 'ok'")), str(tmp_path / "none"))
+    assert readers.read_best_run(spark, str(tmp_path / "none")).count() == 0
+    # Another table in the place of the leaderboard stops the job.
+    board.select("run_id", "status").write.option("header", True).csv(str(tmp_path / "other"))
+    with pytest.raises(Exception):
+        readers.read_leaderboard(spark, str(tmp_path / "other")).collect()
+
+
+def test_splits_read_one_folder(spark, tmp_path):
+    records = spark.createDataFrame([(1, "original"), (2, "oversampled"), (3, "original")], "question_id long, source string")
+    writers.write_splits(records, str(tmp_path / "split"))
+    split = readers.read_splits(spark, str(tmp_path / "split"), "question_id bigint")
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, records.collect()))
+    assert "PartitionFilters: [isnotnull(source" in split.where("source = 'original'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalog_files(spark, tmp_path):
+    put(tmp_path / "s" / "my db.json", {"table_names_original": ["T"], "column_names_original": [[-1, "*"], [0, "c"]], "foreign_keys": [[1, 1]]})
+    row = readers.read_catalog(spark, str(tmp_path / "s")).first()
+    assert (row.db_key, row.column_names_original, row.foreign_keys) == ("my db", [["-1", "*"], ["0", "c"]], [[1, 1]])
+    for name, text in (("cut", '{"table_names_original": ["T"'), ("empty", ""), ("list", "[1]")):
+        put(tmp_path / name / f"{name}.json", text)
+        if name != "empty":  # a file without text has no row
+            with pytest.raises(Exception, match=f"{name}.json"):
+                readers.read_catalog(spark, str(tmp_path / name)).collect()
+
+
+def test_work_folder(spark, monkeypatch):
+    assert folders.work_folder(spark, "a") != folders.work_folder(spark, "a")
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: None)
+
+    with pytest.raises(ValueError):
+        folders.work_folder(Cluster, "a")
+
+
 def test_prediction_lines(spark, tmp_path):
     parsed = spark.createDataFrame([(1, [("A", ["x"])])], "question_id bigint, parsed array<struct<table_name:string,cols:array<string>>>")
     writers.write_predictions(parsed, str(tmp_path / "p"))

@@ -62,6 +62,11 @@ def schema_docs(spark: SparkSession, sf: str) -> DataFrame:
     ).select("db_id", "db_key", "doc.*")
 
 
+def document_text() -> Column:
+    """The text of a customer's schema file."""
+    return _pick(F.col("family"), [F.lit(json.dumps(X.document(f))) for f in X.FAMILIES])
+
+
 def _template() -> Column:
     """The template a question is made from, as a struct `q, links, sql`."""
     texts = {f"{row[0]}:{row[1]}": dict(zip(("q", "links", "sql"), row[2:])) for row in X.rows()}

@@ -826,6 +826,33 @@ UNION ALL SELECT question_id, db_id, 'extra', 0 FROM shape WHERE num_tables >= 2
         BASE, DIFFICULTY, norm,
     )
 
+    q["parsed_catalog"] = q["catalog_columns"]
+    q["stored_examples"] = with_(
+        "SELECT question_id, question_id % 1000 AS pos, db_id, question, gold_sql, answer AS links FROM shape JOIN nj0 USING (f, tn)",
+        BASE, SHAPES, norm,
+    )
+    q["stored_gold"] = with_(
+        "SELECT question_id, question_id::VARCHAR AS question_key, CASE WHEN o_totalprice < 10000 THEN '{}' ELSE links_json END AS links_json FROM ex",
+        BASE,
+    )
+    q["stored_stats"] = with_(
+        "SELECT 'training' AS split, per.*, tot.* EXCLUDE (stage) FROM (SELECT db_id, count(*) AS n FROM balanced GROUP BY db_id) per, "
+        f"({stats('x', 'balanced')}) tot",
+        BASE, BALANCED,
+    )
+    q["stored_splits"] = q["light_balance"]
+    q["stored_per_question"] = with_(f"SELECT run_id, question_id, db_id, {per_row} FROM rws", BASE, SCORED)
+    q["stored_leaderboard"] = with_(
+        "SELECT board.*, coalesce(run_id = first(CASE WHEN status = 'ok' THEN run_id END) OVER "
+        "(ORDER BY leaderboard_score DESC, adapter_dir ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) "
+        "AND leaderboard_score >= 0.5, FALSE) AS promote FROM board",
+        *scored, BOARD,
+    )
+    q["records_written"] = with_(
+        "SELECT count(*) FILTER (question_id % 7 <> 0) AS written, count(*) AS rows, count(*) FILTER (question_id % 7 = 0) AS without_schema FROM ex",
+        BASE,
+    )
+
     ids = f"SELECT doc_id, {token_ids('text')} AS ids FROM documents"
     q["token_ids"] = f"SELECT doc_id, len(ids)::INT AS n_ids, md5({text('ids')}) AS ids_md5 FROM ({ids})"
     lengths = "list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: length(w))"

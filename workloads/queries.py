@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
@@ -15,7 +15,7 @@ from schemaloom.functions.arrays import inline_rows, let
 from schemaloom.operators import budgets, catalog, curate, evaluate, indexed, joins, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
-from schemaloom.sources import readers, settings, writers
+from schemaloom.sources import folders, readers, settings, writers
 from workloads import inputs
 from workloads import templates as X
 
@@ -763,6 +763,91 @@ def selection_rows(spark, sf):
     )
 
 
+# Files written by one job and read by the next ---------------------------------------------------
+
+
+@query
+def parsed_catalog(spark, sf):
+    """Columns of the schema files of all customers; positions in them are numbers, names are text."""
+    d = Data(spark, sf)
+    path = F.concat(F.lit("file:///schemas/"), catalog.db_key(F.col("db_id")), F.lit(".json"))
+    files = d.customers.select(path.alias("path"), inputs.document_text().alias("value"))
+    return catalog.catalog_columns(readers.document_rows(files))
+
+
+@query
+def stored_examples(spark, sf):
+    """Examples as JSON lines with their place."""
+    path = folders.work_folder(spark, "examples")
+    writers.write_jsonl(Data(spark, sf).linked_examples.withColumn("pos", F.col("question_id") % 1000), path)
+    rows = readers.complete_examples(readers.read_example_lines(spark, path))
+    links = link_text.normalized_json(F.col("schema_links")).alias("links")
+    return rows.select("question_id", "pos", "db_id", "question", "gold_sql", links)
+
+
+@query
+def stored_gold(spark, sf):
+    """Gold as JSON lines; cheap orders have a later entry that is empty."""
+    path = folders.work_folder(spark, "gold")
+    rows = Data(spark, sf).ordered_examples
+    first = rows.select("question_id", "schema_links", F.lit(0).alias("pos"))
+    nothing = F.map_filter("schema_links", lambda k, v: F.lit(False))
+    later = rows.where("o_totalprice < 10000").select("question_id", nothing, F.lit(1))
+    writers.write_jsonl(first.union(later), path)
+    return readers.read_gold_lines(spark, path)
+
+
+@query
+def stored_stats(spark, sf):
+    """Counts per database of the balanced examples, beside the totals of their split."""
+    path = folders.work_folder(spark, "stats")
+    records = curate.light_balance(Data(spark, sf).ordered_examples, order=INPUT_ORDER)
+    writers.write_stats(records, "training", path)
+    totals, counts = readers.read_stats(spark, path)
+    return rounded(counts.join(totals, "split"), "avg_tables_per_example", "avg_columns_per_example")
+
+
+@query
+def stored_splits(spark, sf):
+    """Original and balanced records out of their folders."""
+    path = folders.work_folder(spark, "splits")
+    writers.write_splits(curate.light_balance(Data(spark, sf).ordered_examples, order=INPUT_ORDER), path)
+    return readers.read_splits(spark, path, "question_id bigint, db_id string, is_oversampled boolean")
+
+
+@query
+def stored_per_question(spark, sf):
+    """The table of scores per question and run, out of its file."""
+    path = folders.work_folder(spark, "per_question")
+    writers.write_per_question(_rows(spark, sf), path)
+    rows = readers.read_per_question(spark, path).withColumn("run_id", F.col("run_id").cast("int"))
+    return rounded(rows, *evaluate.METRICS)
+
+
+@query
+def stored_leaderboard(spark, sf):
+    """The leaderboard out of its file, with the run that the other file names as the best one."""
+    path = folders.work_folder(spark, "board")
+    writers.write_leaderboard(_board(spark, sf), f"{path}/all")
+    board = readers.read_leaderboard(spark, f"{path}/all")
+    writers.write_best_run(evaluate.best_run(board, min_score=0.5), f"{path}/best")
+    best = readers.read_best_run(spark, f"{path}/best").select("run_id", "promote")
+    return board.join(best, "run_id", "left").withColumn("run_id", F.col("run_id").cast("int")).fillna(False, "promote")
+
+
+@query
+def records_written(spark, sf):
+    """What the pass that writes the training records counts: all examples, and those whose database has no schema."""
+    d = Data(spark, sf)
+    examples, path = d.linked_examples, folders.work_folder(spark, "records")
+    lost = F.when(F.col("question_id") % 7 == 0, F.concat(F.lit("lost "), "db_id")).otherwise(F.col("db_id"))
+    seen = Observation()
+    records = jobs.sft_records(examples.withColumn("db_id", lost), d.schema_docs, columns=d.size(), observed=seen)
+    writers.write_jsonl(records, path)
+    written = readers.read_splits(spark, path, "question_id bigint").agg(F.count(F.lit(1)).alias("written"))
+    return written.select("written", *[F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("rows", "without_schema")])
+
+
 # Sequences and prediction ---------------------------------------------------------------------
 
 
