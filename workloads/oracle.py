@@ -512,6 +512,7 @@ SELECT documents.doc_id, coalesce(n, 0)::INT AS n_tokens, md5(coalesce(j, '')) A
         "SELECT question_id, rk AS t_rank, table_name, round(score, 6) AS score FROM tr WHERE rk <= 3", BASE, SCORES
     )
     q["topk_tables_indexed"] = q["topk_tables"]
+    q["topk_tables_bucketed"] = q["topk_tables"]
     q["topk_tables_repeated"] = with_(
         "SELECT rep.question_id, rk AS t_rank, table_name, round(score, 6) AS score FROM tr "
         "JOIN texts USING (question_id) JOIN rep ON rep.f = texts.f AND rep.question = texts.question WHERE rk <= 3",

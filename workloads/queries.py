@@ -12,7 +12,7 @@ from schemaloom.config import PRESETS, RetrievalConfig, RunConfig
 from schemaloom.functions import jsontext, prompts, sequences, tokens
 from schemaloom.functions import links as link_text
 from schemaloom.functions.arrays import inline_rows, let
-from schemaloom.operators import budgets, catalog, curate, evaluate, indexed, joins, links, predict, retrieval
+from schemaloom.operators import bucketed, budgets, catalog, curate, evaluate, indexed, joins, links, predict, retrieval
 from schemaloom.operators import sequences as seq_ops
 from schemaloom.plans import jobs
 from schemaloom.sources import folders, readers, settings, writers
@@ -303,6 +303,15 @@ def topk_tables_indexed(spark, sf):
     return rounded(indexed.topk_tables(d.questions, indexed.indexed_catalog(d.schema_docs), 3, d.size()), "score")
 
 
+@query
+def topk_tables_bucketed(spark, sf):
+    """The same from questions and schemas that were stored in equal buckets, one database split."""
+    d, path = Data(spark, sf), folders.work_folder(spark, "buckets")
+    name = "bucketed_" + path.rsplit("-", 1)[1]
+    bucketed.publish(d.questions, d.schema_docs, name, path, buckets=8, rows_per_salt=20)
+    return rounded(retrieval.topk_tables(bucketed.with_scores(spark, name), 3), "score")
+
+
 @query
 def candidate_schema_indexed(spark, sf):
     d = Data(spark, sf)
