@@ -24,6 +24,10 @@ COMPARED = [
     "parsed_predictions",
     "parsed_runs",
     "selection_rows",
+    "parsed_catalog",
+    "stored_gold",
+    "stored_stats",
+    "stored_leaderboard",
 ]
 
 
