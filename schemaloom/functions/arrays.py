@@ -18,6 +18,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
+def choose(condition: Column, value: Column, otherwise: Column) -> Column:
+    """`value` where the condition holds, else `otherwise`.
+
+    Inside a higher-order function, where nothing is compiled, this costs much
+    less than a `CASE` with one branch.
+    """
+    return F.call_function("if", condition, value, otherwise)
+
+
 def empty_if_null(arr: Column, element_type: str) -> Column:
     return F.coalesce(arr, F.array().cast(f"array<{element_type}>"))
 
@@ -44,6 +53,18 @@ def contains_any(text: Column, parts: tuple[str, ...]) -> Column:
     return any_of([text.contains(part) for part in parts])
 
 
+def last_of_each(arr: Column, key: Callable[[Column], Column]) -> Column:
+    """Of elements with equal key only the last one; no key is null."""
+    later = lambda a, x, i: F.exists(F.slice(a, i + 2, F.size(a)), lambda y: key(y) == key(x))
+    # Most arrays have nothing to drop, and need no element held against those behind it.
+    return let(
+        arr,
+        lambda a: choose(
+            F.size(F.array_distinct(F.transform(a, key))) == F.size(a), a, F.filter(a, lambda x, i: ~later(a, x, i))
+        ),
+    )
+
+
 def inline_rows(df: DataFrame, structs: Column | str, required: str, *keep: Column | str) -> DataFrame:
     """One row per struct, beside the kept columns; `required` is never null in a struct.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
-from schemaloom.functions.arrays import contains_any
+from schemaloom.functions.arrays import choose, contains_any, let
 
 # A gap between a lower-case letter or digit and an upper-case letter.
 CAMEL_GAP = r"(?<=[a-z0-9])(?=[A-Z])"
@@ -36,7 +36,7 @@ def split_identifier(text: Column) -> Column:
     return F.flatten(
         F.transform(
             words,
-            lambda w: F.when(plural(w), F.array(w, F.left(w, F.length(w) - 1))).otherwise(F.array(w)),
+            lambda w: choose(plural(w), F.array(w, F.left(w, F.length(w) - 1)), F.array(w)),
         )
     )
 
@@ -46,8 +46,9 @@ def expand_synonyms(tokens: Column) -> Column:
     expansions = {word: [word, *others] for word, others in V.synonyms().items()}
     # As one JSON literal the table is folded to a constant when the plan is made.
     lookup = F.from_json(F.lit(json.dumps(expansions)), "map<string,array<string>>")
+    # A look-up in a map walks over its keys, so only words that are there are looked up.
     return F.flatten(
-        F.transform(tokens, lambda t: F.coalesce(F.try_element_at(lookup, t), F.array(t)))
+        F.transform(tokens, lambda t: choose(t.isin(*expansions), F.try_element_at(lookup, t), F.array(t)))
     )
 
 
@@ -79,7 +80,7 @@ def word_bag(words: Column) -> Column:
 
 def plain_name(identifier: Column) -> Column:
     """Lower-case name with single blanks; null when nothing is left."""
-    return F.nullif(F.trim(spaced(identifier)), F.lit(""))
+    return let(F.trim(spaced(identifier)), lambda name: choose(name != "", name, F.lit(None).cast("string")))
 
 
 def compact(text: Column) -> Column:
@@ -90,13 +91,26 @@ def compact(text: Column) -> Column:
 def compact_name(plain: Column) -> Column:
     """A plain name without blanks; null when too short to be telling."""
     name = F.replace(plain, F.lit(" "), F.lit(""))
-    return F.when(F.length(name) >= V.COMPACT_NAME_MIN_LENGTH, name)
+    return choose(F.length(name) >= V.COMPACT_NAME_MIN_LENGTH, name, F.lit(None).cast("string"))
 
 
 def name_hits(question_lc: Column, question_compact: Column, plain: Column, short: Column) -> Column:
-    return F.when(question_lc.contains(plain), F.lit(V.PLAIN_NAME_BONUS)).otherwise(F.lit(0.0)) + F.when(
-        question_compact.contains(short), F.lit(V.COMPACT_NAME_BONUS)
-    ).otherwise(F.lit(0.0))
+    """Bonus for a name in a question; `question_compact` is the `compact` form and `short` the `compact_name`.
+
+    A question that holds the plain name holds the compact one in its compact
+    form, so most names need one search.
+    """
+    both = F.lit(V.PLAIN_NAME_BONUS + V.COMPACT_NAME_BONUS)
+    hit = question_lc.contains(plain)
+    told = choose(question_compact.contains(short), choose(hit, both, F.lit(V.COMPACT_NAME_BONUS)), F.lit(0.0))
+    return choose(short.isNull(), choose(hit, F.lit(V.PLAIN_NAME_BONUS), F.lit(0.0)), told)
+
+
+def word_mask(words: Column) -> Column:
+    """64 bits that have one set for each word; masks without a common bit have no common word."""
+    one = F.lit(1).cast("long")
+    bit = lambda w: F.call_function("shiftleft", one, F.hash(w))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda mask, w: mask.bitwiseOR(bit(w)))
 
 
 def substring_score(question: Column, identifier: Column) -> Column:
@@ -114,7 +128,7 @@ def offers(name_lc: Column, hint: tuple) -> Column:
 
 
 def bonus(condition: Column, value: float) -> Column:
-    return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
+    return choose(condition, F.lit(value), F.lit(0.0))
 
 
 def operator_hints(tokens: Column, column_name: Column) -> Column:

@@ -17,7 +17,7 @@ from schemaloom.functions.arrays import empty_if_null, inline_rows, let
 
 STRINGS = T.ArrayType(T.StringType())
 INTS = T.ArrayType(T.IntegerType())
-NAME_FEATURES = ("name_lc", "words", "norm", "plain", "short")
+NAME_FEATURES = ("name_lc", "words", "mask", "norm", "plain", "short")
 DOCUMENT_SCHEMA = T.StructType(
     [
         T.StructField("table_names_original", STRINGS),
@@ -265,12 +265,13 @@ def sorted_tables(type_rule: str = "position") -> Column:
 
 def _name_features(name: Column) -> Column:
     """What the scores need from a table or column name, worked out once."""
-    words = F.transform(F.array_distinct(tok.split_identifier(name)), tok.padded)
+    words = F.array_distinct(tok.split_identifier(name))
     return let(
         F.struct(words.alias("words"), tok.plain_name(name).alias("plain")),
         lambda f: F.struct(
             F.lower(name).alias("name_lc"),
-            f.words.alias("words"),
+            F.transform(f.words, tok.padded).alias("words"),
+            tok.word_mask(f.words).alias("mask"),
             F.greatest(F.sqrt(F.size(f.words)), F.lit(1.0)).alias("norm"),
             f.plain.alias("plain"),
             tok.compact_name(f.plain).alias("short"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from schemaloom import vocabulary as V
 from schemaloom.config import RetrievalConfig
 from schemaloom.functions import tokens as tok
-from schemaloom.functions.arrays import inline_rows, let, take
+from schemaloom.functions.arrays import any_of, choose, inline_rows, let, take
 from schemaloom.functions.links import fold_links
 from schemaloom.operators.catalog import db_key, linking_tables
 from schemaloom.operators.joins import BROADCAST_COLUMNS, hot_key_join, join_catalog
@@ -27,6 +27,7 @@ def question_features(question: Column) -> Column:
         tok.question_tokens(question),
         lambda words: F.struct(
             tok.word_bag(words).alias("bag"),
+            tok.word_mask(words).alias("mask"),
             F.lower(question).alias("lc"),
             tok.compact(question).alias("compact"),
             tok.asks_for(words, V.DATE_HINT).alias("date"),
@@ -37,7 +38,8 @@ def question_features(question: Column) -> Column:
 
 
 def _overlap(q: Column, item: Column) -> Column:
-    return F.size(F.filter(item.words, lambda w: q.bag.contains(w))) / item.norm
+    shared = F.size(F.filter(item.words, lambda w: q.bag.contains(w))) / item.norm
+    return choose(q.mask.bitwiseAND(item.mask) == 0, F.lit(0.0), shared)
 
 
 def _hits(q: Column, item: Column) -> Column:
@@ -47,10 +49,10 @@ def _hits(q: Column, item: Column) -> Column:
 def column_score(q: Column, c: Column) -> Column:
     """The order of the additions is part of the result: ties compare bits."""
     score = F.lit(V.COLUMN_OVERLAP_WEIGHT) * _overlap(q, c) + _hits(q, c)
-    score = score + tok.bonus(q.date & c.has_date, V.DATE_HINT[0])
-    score = score + tok.bonus(q["count"] & c.has_count, V.COUNT_HINT[0])
-    score = score + tok.bonus(q.average & c.has_average, V.AVERAGE_HINT[0])
-    return score + c.key_bonus
+    hinted = score + tok.bonus(q.date & c.has_date, V.DATE_HINT[0])
+    hinted = hinted + tok.bonus(q["count"] & c.has_count, V.COUNT_HINT[0])
+    hinted = hinted + tok.bonus(q.average & c.has_average, V.AVERAGE_HINT[0])
+    return choose(c.has_date | c.has_count | c.has_average, hinted, score) + c.key_bonus
 
 
 def table_total(overlap: Column, hits: Column, top: Column) -> Column:
@@ -70,14 +72,18 @@ def scored_tables(q: Column, tables: Column) -> Column:
     """Scores of all tables and their columns, in schema order.
 
     Only numbers and the sort name are kept; everything else stays in `tables`
-    at the same position.
+    at the same position. The first three fields are what tables are ranked by.
     """
 
     def scored(t: Column) -> Column:
         return let(
             F.transform(t.columns, lambda c: column_score(q, c)),
             lambda scores: F.struct(
-                t.table_idx, t.name_lc, table_score(q, t, scores).alias("score"), scores.alias("scores")
+                table_score(q, t, scores).alias("score"),
+                t.name_lc,
+                (-t.table_idx).alias("back"),
+                t.table_idx,
+                scores.alias("scores"),
             ),
         )
 
@@ -160,8 +166,7 @@ def table_scores(scored: DataFrame) -> DataFrame:
 
 def ranked_tables(scored: Column) -> Column:
     """Table positions: score down, lower-case name down, schema order."""
-    keys = F.transform(scored, lambda t: F.struct(t.score, t.name_lc, (-t.table_idx).alias("back")))
-    return F.transform(F.sort_array(keys, asc=False), lambda k: -k.back)
+    return F.transform(F.sort_array(scored, asc=False), lambda t: t.table_idx)
 
 
 def table_names(positions: Column, tables: Column) -> Column:
@@ -192,18 +197,15 @@ def forced_tables(tables: Column, chosen: Column, force: Column) -> Column:
 
 def join_neighbours(tables: Column, order: Column, chosen: Column, seeds: int, limit: int) -> Column:
     """Chosen tables plus, seed by seed, their best neighbours not yet in."""
+
+    def added(acc: Column, near: Column) -> Column:
+        new = take(F.filter(order, lambda n: F.array_contains(near, n) & ~F.array_contains(acc, n)), limit)
+        return choose(F.size(near) == 0, acc, F.concat(acc, new))
+
     return F.aggregate(
         take(chosen, seeds),
         chosen,
-        lambda acc, seed: F.concat(
-            acc,
-            let(
-                F.get(tables, seed).neighbours,
-                lambda near: take(
-                    F.filter(order, lambda n: F.array_contains(near, n) & ~F.array_contains(acc, n)), limit
-                ),
-            ),
-        ),
+        lambda acc, seed: let(F.get(tables, seed).neighbours, lambda near: added(acc, near)),
     )
 
 
@@ -220,18 +222,17 @@ def choose_tables(tables: Column, order: Column, cfg: RetrievalConfig, force: Co
     return let(top, lambda best: join_neighbours(tables, order, best, cfg.max_tables, cfg.join_neighbor_limit))
 
 
-def _is_forced(force: Column | None, t: Column, c: Column) -> Column:
-    if force is None:
-        return F.lit(False)
+def _is_forced(force: Column, t: Column, c: Column) -> Column:
     return F.exists(force, lambda f: (f.table_lc == t.name_lc) & F.array_contains(f.cols_lc, c.name_lc))
 
 
 def prune_columns(t: Column, scores: Column, cfg: RetrievalConfig, force: Column | None) -> Column:
     """The columns that fit the budget and all forced ones, in schema order."""
+    forced = lambda c: [] if force is None else [_is_forced(force, t, c).alias("forced")]
     keys = F.transform(
         t.columns,
         lambda c, j: F.struct(
-            _is_forced(force, t, c).alias("forced"),
+            *forced(c),
             F.get(scores, j).alias("score"),
             (c.is_pk | c.is_fk).alias("key"),
             c.name_lc,
@@ -241,9 +242,9 @@ def prune_columns(t: Column, scores: Column, cfg: RetrievalConfig, force: Column
     kept = F.transform(take(F.sort_array(keys, asc=False), cfg.columns_kept), lambda k: -k.back)
     cut = let(
         kept,
-        lambda best: F.filter(t.columns, lambda c, j: F.array_contains(best, j) | _is_forced(force, t, c)),
+        lambda best: F.filter(t.columns, lambda c, j: any_of([F.array_contains(best, j), *forced(c)])),
     )
-    return F.when(F.size(t.columns) <= cfg.columns_kept, t.columns).otherwise(cut)
+    return choose(F.size(t.columns) <= cfg.columns_kept, t.columns, cut)
 
 
 def numbered_columns(columns: Column) -> Column:

@@ -6,6 +6,7 @@ from schemaloom.config import PRESETS, RetrievalConfig, RunConfig
 from schemaloom.functions.links import LINKS_TYPE
 from schemaloom.operators import joins
 from schemaloom.operators import retrieval as R
+from schemaloom.operators.catalog import linking_catalog
 
 # A diamond: a and b both touch hub; far hangs on hub.
 DIAMOND = doc(
@@ -176,3 +177,16 @@ def test_config():
     assert run.output_format == "ids" and run.retrieval.max_tables == 24
     with pytest.raises(ValueError):
         RunConfig(output_format="xml")
+
+
+def test_few_steps_per_column(spark):
+    """Scores have no CASE, and names whose mask shares no bit with the question's are not searched for words."""
+    catalog, rows = docs(spark, {"k": DIAMOND}), asked(spark, [(1, "k", "apple key"), (2, "k", None)])
+    stored = linking_catalog(catalog).localCheckpoint()
+    assert "CASE WHEN" not in plan(R.with_scores(rows, stored, 100, stored=True).select("question_id", "scored"))
+    item = lambda mask: F.struct(
+        F.array(F.lit(" apple ")).alias("words"), F.lit(mask).cast("long").alias("mask"), F.lit(1.0).alias("norm")
+    )
+    q = F.struct(F.lit(" apple ").alias("bag"), F.lit(6).cast("long").alias("mask"))
+    got = spark.range(1).select(*[R._overlap(q, item(m)).alias(f"m{m}") for m in (1, 2)]).first()
+    assert tuple(got) == (0.0, 1.0)

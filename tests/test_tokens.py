@@ -77,3 +77,11 @@ def test_sql_helpers(spark):
     assert value(spark, T.sql_contains(sql, V.SUBQUERY_FRAGMENTS)) is True
     assert value(spark, T.sql_contains(sql, V.GROUP_ORDER_FRAGMENTS)) is False
     assert value(spark, T.word_count(F.lit("  one\ttwo\n three "))) == 3
+
+
+def test_word_mask(spark):
+    """Words that are shared show in the masks, whatever else is there."""
+    mask = lambda *words: T.word_mask(F.array(*map(F.lit, words)))
+    assert value(spark, mask("order", "date").bitwiseAND(mask("date", "x1"))) != 0
+    assert value(spark, mask("order", "order") == mask("order"))
+    assert value(spark, T.word_mask(F.array().cast("array<string>"))) == 0
