@@ -8,6 +8,10 @@ up to an upper bound for each table; tables are scored in the order of their
 bounds until no bound reaches the worst of the best so far. Tables without any
 evidence have a score of their own that is known beforehand.
 
+The index is made inside the schema row. Words of a question are looked up in
+it; last letters are met from the shorter side: those of a small schema are
+searched in the question, those of a question are looked up in a large one.
+
 Results are those of `retrieval`, to the last bit. It pays for schemas of many
 hundred columns; below that, scoring all of them is as fast.
 """
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from schemaloom import vocabulary as V
 from schemaloom.config import RetrievalConfig
 from schemaloom.functions import tokens as tok
-from schemaloom.functions.arrays import inline_rows, let, take
+from schemaloom.functions.arrays import choose, inline_rows, let, take
 from schemaloom.operators import retrieval as R
 from schemaloom.operators.catalog import db_key, linking_tables
 from schemaloom.operators.joins import join_catalog
@@ -29,6 +33,10 @@ from schemaloom.operators.joins import join_catalog
 WIDTH = 1 << 24
 # Names of so many letters or more are found by their last ones; shorter names are tried one by one.
 GRAMS = (6, 3)
+# A question has some hundred letters; with so many last letters or less, a schema lists them to be searched.
+FEW_GRAMS = 500
+AT = "array<struct<code:bigint,most:double>>"
+GRAM_LIST = f"array<struct<text:string,compact:boolean,at:{AT}>>"
 HINTS = {"date": V.DATE_HINT, "count": V.COUNT_HINT, "average": V.AVERAGE_HINT}
 # Bounds are added up in another order than scores.
 SLACK = 1 + 1e-9
@@ -100,32 +108,53 @@ def _sort_key(t: Column, score: Column) -> Column:
     return F.struct(score.alias("score"), t.name_lc, (-t.table_idx).alias("back"))
 
 
+def _index(tables: Column) -> Column:
+    """The hash table of the postings of a schema and, if they are few, its last letters as (`text`, `compact`, `at`)."""
+    size = F.greatest(F.lit(1), F.aggregate(tables, F.lit(0), lambda n, t: n + F.size(t.columns)))
+
+    def placed(postings: Column, places: Column) -> Column:
+        place = lambda p: F.pmod(F.xxhash64(p.key), places).cast("int")
+        return F.sort_array(F.transform(postings, lambda p: F.struct(place(p).alias("place"), p.key, p.code, p.most)))
+
+    def of_key(x: Column, at: Column) -> Column:
+        codes = F.transform(at, lambda i: F.struct(F.get(x, i).code, F.get(x, i).most)).alias("at")
+        return let(F.get(x, F.get(at, 0)), lambda first: F.struct(first.place, first.key, codes))
+
+    def table(keyed: Column, places: Column) -> Column:
+        # An entry for every place, so that the array has no gaps.
+        none = F.lit(None).cast(f"struct<key:string,at:{AT}>").alias("e")
+        gaps = F.transform(F.sequence(F.lit(0), places - 1), lambda i: F.struct(i.alias("place"), none))
+        filled = F.transform(keyed, lambda x: F.struct(x.place, F.struct(x.key, x["at"]).alias("e")))
+        entry = lambda x: lambda i: F.get(x, i).e
+        of_place = lambda x, at: F.transform(F.filter(at, lambda i: F.get(x, i).e.isNotNull()), entry(x))
+        return _runs(F.sort_array(F.concat(filled, gaps)), "place", of_place)
+
+    def grams(keyed: Column) -> Column:
+        # The mark of a gram is a letter, its length in one digit and a colon.
+        found = F.filter(keyed, lambda x: x.key.startswith("p") | x.key.startswith("s"))
+        listed = lambda x: F.struct(F.substring(x.key, 4, GRAMS[0]).alias("text"), x.key.startswith("s").alias("compact"), x["at"])
+        return let(found, lambda g: choose(F.size(g) <= FEW_GRAMS, F.transform(g, listed), F.lit(None).cast(GRAM_LIST)))
+
+    made = lambda keyed, places: F.struct(table(keyed, places).alias("index"), grams(keyed).alias("grams"))
+    return let(
+        F.struct(size.alias("size"), _postings(tables).alias("postings")),
+        lambda b: let(_runs(placed(b.postings, b.size), "key", of_key), lambda keyed: made(keyed, b.size)),
+    )
+
+
 def indexed_catalog(docs: DataFrame, stored: bool = False) -> DataFrame:
-    """One row per database: `tables`, the `index` of their names, `tiny` names and `idle` ranks; a form to store.
+    """One row per database: `tables`, the `index` of their names, few `grams`, `tiny` names and `idle` ranks; a form to store.
 
     `docs` holds schema documents, or with `stored` a `linking_catalog`. The
     index is a hash table with one place for each column: an array of arrays of
-    (`key`, `at`).
+    (`key`, `at`). `grams` is null in a schema with many of them.
     """
     rows = docs if stored else docs.select("db_key", linking_tables().alias("tables"))
-    size = F.greatest(F.lit(1), F.aggregate("tables", F.lit(0), lambda n, t: n + F.size(t.columns)))
-    # Worked out below the generators: above them the whole schema would stand in every row that they make.
-    sized = rows.select("db_key", size.alias("size"), _postings(F.col("tables")).alias("postings"))
-    keyed = sized.select("db_key", "size", F.explode("postings").alias("p"))
-    place = F.pmod(F.xxhash64("p.key"), F.col("size")).cast("int").alias("place")
-    of_key = keyed.groupBy("db_key", place, F.col("p.key").alias("key")).agg(
-        F.sort_array(F.collect_list(F.struct("p.code", "p.most"))).alias("at")
+    made = _index(F.col("tables")).alias("made")
+    others = (_tiny(F.col("tables")).alias("tiny"), _idle(F.col("tables")).alias("idle"))
+    return rows.where("db_key is not null").select("db_key", "tables", made, *others).select(
+        "db_key", "tables", "made.*", "tiny", "idle"
     )
-    # A row for every place, so that the array has no gaps.
-    places = rows.select("db_key", size.alias("size")).select("db_key", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("place"))
-    none = F.lit(None).cast("struct<key:string,at:array<struct<code:bigint,most:double>>>").alias("e")
-    of_place = (
-        of_key.select("db_key", "place", F.struct("key", "at").alias("e")).unionByName(places.select("*", none))
-        .groupBy("db_key", "place").agg(F.sort_array(F.collect_list("e")).alias("e"))
-    )
-    index = of_place.groupBy("db_key").agg(F.array_sort(F.collect_list(F.struct("place", "e"))).alias("places"))
-    tables = rows.select("db_key", "tables", _tiny(F.col("tables")).alias("tiny"), _idle(F.col("tables")).alias("idle"))
-    return tables.join(index, "db_key").select("db_key", "tables", F.col("places.e").alias("index"), "tiny", "idle")
 
 
 def _grams(text: Column, mark: str) -> Column:
@@ -139,7 +168,7 @@ def _grams(text: Column, mark: str) -> Column:
 def _keys(question: Column, q: Column) -> Column:
     words = F.transform(tok.question_tokens(question), lambda w: F.concat(F.lit("w:"), w))
     hints = F.array_compact(F.array(*[F.when(q[name], F.lit("h:" + name)) for name in HINTS]))
-    return F.concat(words, _grams(q.lc, "p"), _grams(q.compact, "s"), hints)
+    return F.concat(words, hints)
 
 
 def _found(question: Column, q: Column) -> Column:
@@ -154,19 +183,28 @@ def _found(question: Column, q: Column) -> Column:
         F.filter(F.col("tiny"), lambda x: q.lc.contains(x.plain)),
         lambda x: F.struct(x.code.alias("code"), F.lit(V.PLAIN_NAME_BONUS).alias("most")),
     )
-    return F.sort_array(F.concat(F.flatten(F.transform(_keys(question, q), looked_up)), tiny))
+    listed = F.filter(F.col("grams"), lambda g: choose(g.compact, q.compact, q.lc).contains(g.text))
+    literal = choose(
+        F.col("grams").isNull(),
+        F.transform(F.concat(_grams(q.lc, "p"), _grams(q.compact, "s")), looked_up),
+        F.transform(listed, lambda g: g["at"]),
+    )
+    return F.sort_array(F.concat(F.flatten(F.transform(_keys(question, q), looked_up)), F.flatten(literal), tiny))
 
 
 def _runs(rows: Column, of: str, body) -> Column:
-    """`body` of every run of structs with an equal field `of`; `rows` are in its order."""
+    """`body` of every run of structs with an equal field `of`; `rows` are in its order.
+
+    `body` gets all rows and the positions of the run: a slice of an array costs more than its elements.
+    """
 
     def cut(x: Column) -> Column:
         first = lambda i: (i == 0) | (F.get(x, i)[of] != F.get(x, i - 1)[of])
-        starts = F.when(F.size(x) > 0, F.filter(F.sequence(F.lit(0), F.size(x) - 1), first)).otherwise(F.array().cast("array<int>"))
+        starts = choose(F.size(x) > 0, F.filter(F.sequence(F.lit(0), F.size(x) - 1), first), F.array().cast("array<int>"))
         return let(
             F.struct(x.alias("x"), starts.alias("s")),
             lambda b: F.transform(
-                b.s, lambda start, k: body(F.slice(b.x, start + 1, F.coalesce(F.get(b.s, k + 1), F.size(b.x)) - start))
+                b.s, lambda start, k: body(b.x, F.sequence(start, F.coalesce(F.get(b.s, k + 1), F.size(b.x)) - 1))
             ),
         )
 
@@ -175,24 +213,25 @@ def _runs(rows: Column, of: str, body) -> Column:
 
 def _bounds(found: Column) -> Column:
     """(`bound`, `back`) of every table with evidence, largest bound first."""
-    total = lambda run: F.aggregate(run, F.lit(0.0), lambda a, x: a + x.most)
-    columns = _runs(
-        found, "code",
-        lambda run: F.struct(
-            F.floor(F.get(run, 0).code / WIDTH).cast("int").alias("table"),
-            (F.get(run, 0).code % WIDTH == 0).alias("own"),
-            total(run).alias("most"),
-        ),
-    )
 
-    def bound(run: Column) -> Column:
-        own = F.aggregate(run, F.lit(0.0), lambda a, x: a + F.when(x.own, x.most).otherwise(0.0))
+    def of_code(x: Column, at: Column) -> Column:
+        most = F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(x, i).most)
+        return let(
+            F.struct(F.get(x, F.get(at, 0)).code.alias("code"), most.alias("most")),
+            lambda c: F.struct(F.floor(c.code / WIDTH).cast("int").alias("table"), (c.code % WIDTH == 0).alias("own"), c.most),
+        )
+
+    def of_table(x: Column, at: Column) -> Column:
+        # The code of a table comes before those of its columns.
+        head = F.get(x, F.get(at, 0))
+        own = choose(head.own, head.most, F.lit(0.0))
         bonus = [F.lit(V.KEY_BONUS)] * V.TOP_COLUMNS
-        tops = F.concat(F.transform(F.filter(run, lambda x: ~x.own), lambda x: x.most + V.KEY_BONUS), F.array(*bonus))
-        most = let(take(F.sort_array(tops, asc=False), V.TOP_COLUMNS), lambda top: R.table_total(own, F.lit(0.0), top))
-        return F.struct((most * SLACK).alias("bound"), (-F.get(run, 0).table).alias("back"))
+        found_in = F.transform(F.filter(at, lambda i: ~F.get(x, i).own), lambda i: F.get(x, i).most + V.KEY_BONUS)
+        tops = F.sort_array(F.concat(found_in, F.array(*bonus)), asc=False)
+        most = let(take(tops, V.TOP_COLUMNS), lambda top: R.table_total(own, F.lit(0.0), top))
+        return F.struct((most * SLACK).alias("bound"), (-head.table).alias("back"))
 
-    return F.sort_array(_runs(columns, "table", bound), asc=False)
+    return F.sort_array(_runs(_runs(found, "code", of_code), "table", of_table), asc=False)
 
 
 def _scored(q: Column, t: Column) -> Column:
@@ -211,7 +250,7 @@ def _best(q: Column, tables: Column, idle: Column, bounds: Column, k: int) -> Co
             take(F.sort_array(F.concat(state.best, F.array(_scored(q, t))), asc=False), k).alias("best"),
             (state.scored + F.size(t.columns)).alias("scored"),
         )
-        return F.when(done, state).otherwise(more)
+        return choose(done, state, more)
 
     def with_idle(state: Column) -> Column:
         hit = F.transform(bounds, lambda x: x.back)
@@ -243,7 +282,7 @@ def with_best_tables(
         ),
     )
     out = joined.withColumn("_found", found).withColumns({"best": F.col("_found.best"), "scored_columns": F.col("_found.scored")})
-    return out.drop("_found", "index", "tiny", "idle", *([] if keep else ["tables"]))
+    return out.drop("_found", "index", "grams", "tiny", "idle", *([] if keep else ["tables"]))
 
 
 def topk_tables(questions: DataFrame, indexed: DataFrame, k: int, columns: int | None = None) -> DataFrame:

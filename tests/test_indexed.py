@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import asked, doc, docs
+from helpers import asked, doc, docs, plan
 from pyspark.sql import functions as F
 
 from schemaloom.config import RetrievalConfig
@@ -113,3 +113,14 @@ def test_a_hot_question_is_split(spark, monkeypatch):
     assert once.count() == 4_000
     (salts,) = seen
     assert len(salts) == 8 and all(300 < n < 700 for _, n in salts)
+
+
+def test_index_is_made_inside_the_schema_row(spark, made):
+    """No posting is shuffled, and small schemas list their last letters to be searched in a question."""
+    _, catalog = made
+    whole = catalog.localCheckpoint()
+    assert "Exchange" not in plan(I.indexed_catalog(whole))
+    large = {"large": doc({f"t{i}": [f"field{i:04d}_{j}" for j in range(20)] for i in range(40)})}
+    rows = I.indexed_catalog(whole.unionByName(docs(spark, large))).select("db_key", F.size("index").alias("n"), "grams").collect()
+    assert [r.db_key for r in rows if r.grams is None] == ["large"]
+    assert next(r.n for r in rows if r.db_key == "large") == 800
