@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
 from schemaloom.config import OUTPUT_FORMATS, RetrievalConfig
+from schemaloom.functions.arrays import choose, let
 
 
 def _check(output_format: str) -> bool:
@@ -17,13 +18,15 @@ def _check(output_format: str) -> bool:
 
 def _suffix(c: Column, cfg: RetrievalConfig) -> Column:
     types, keys = (flag if isinstance(flag, Column) else F.lit(flag) for flag in (cfg.include_types, cfg.include_keys))
+    none = F.lit(None).cast("string")
     bits = [
-        F.when(types, F.nullif(c.col_type, F.lit(""))),
-        F.when(keys & c.is_pk, F.lit("PK")),
-        F.when(keys & c.is_fk, F.lit("FK")),
+        choose(types & (c.col_type != ""), c.col_type, none),
+        choose(keys & c.is_pk, F.lit("PK"), none),
+        choose(keys & c.is_fk, F.lit("FK"), none),
     ]
-    text = F.concat_ws(" ", *bits)
-    return F.when(text != "", F.concat(F.lit(" ["), text, F.lit("]"))).otherwise(F.lit(""))
+    return let(
+        F.concat_ws(" ", *bits), lambda text: choose(text != "", F.concat(F.lit(" ["), text, F.lit("]")), F.lit(""))
+    )
 
 
 def serialize_candidates(candidates: Column, cfg: RetrievalConfig, output_format: str = "ids") -> Column:
