@@ -18,9 +18,18 @@ from schemaloom.functions.workers import kept
 TOKEN = r"\w+|[^\w\s]"
 
 
+def token_texts(text: Column) -> Column:
+    """The regex tokens of a text."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def hashed_token_ids(text: Column, vocabulary: int = 50_000) -> Column:
     """Ids of regex tokens by hash: a stand-in that needs no vocabulary file."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return hashed_ids(token_texts(text), vocabulary)
+
+
+def hashed_ids(tokens: Column, vocabulary: int = 50_000) -> Column:
+    """The id of each token by its hash."""
     return F.transform(
         tokens,
         lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % vocabulary).cast("int"),

@@ -140,13 +140,21 @@ def training_sequences(
     tokens: Tokens = seq.hashed_token_ids,
     observed: Observation | None = None,
 ) -> DataFrame:
-    """Payloads to fitted and labelled token rows; `observed` counts those that were cut as `truncated`."""
+    """Payloads to fitted and labelled token rows; `observed` counts those that were cut as `truncated`.
+
+    Ids by hash stand for their tokens one by one, so prompts are fitted as
+    tokens and only those that stay are hashed.
+    """
+    prompt = P.prompt_text(F.col("system"), F.col("user"))
+    by_hash = tokens is seq.hashed_token_ids
     ids = payloads.select(
         "question_id",
-        tokens(P.prompt_text(F.col("system"), F.col("user"))).alias("prompt_ids"),
+        (seq.token_texts(prompt) if by_hash else tokens(prompt)).alias("prompt_ids"),
         tokens(F.concat("assistant", F.lit(eos_text))).alias("answer_ids"),
     )
     fitted = counted(S.truncate_pair(ids, max_length, eos_id), observed, truncated=F.col("truncated"))
+    if by_hash:
+        fitted = fitted.withColumn("prompt_ids", seq.hashed_ids(F.col("prompt_ids")))
     return S.label_mask(fitted)
 
 

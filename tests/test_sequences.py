@@ -227,3 +227,16 @@ def test_an_incomplete_example_stops_the_selection(spark):
     with pytest.raises(Exception, match='example with missing fields: .*"question_id":9'):
         bad = spark.createDataFrame([*rows, (9, "d", None, "s", {})], kind)
         jobs.augmentation_candidates(bad, 0, 2, ["question_id"]).collect()
+
+
+def test_only_kept_tokens_are_hashed(spark):
+    """The rows are those of hashing whole prompts; the prompt is cut before its tokens become ids."""
+    given = [(1, "s", "one two three four five six", "a b"), (2, "", "", ""), (3, "s", None, "a"), (4, "s", "x", "long " * 40)]
+    payloads = spark.createDataFrame(given, "question_id bigint, system string, user string, assistant string")
+    whole = lambda text: seq.hashed_token_ids(text)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for length in (6, 12, 500):
+        fitted = jobs.training_sequences(payloads, length)
+        assert rows(fitted) == rows(jobs.training_sequences(payloads, length, tokens=whole))
+    logical = fitted._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(slice(prompt_ids" in logical
