@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from schemaloom.functions.arrays import empty_if_null, let
+from schemaloom.functions.arrays import empty_if_null, last_of_each, let
 
 OBJECT_TYPE = "map<string,variant>"
 # Only double quotes delimit strings, as in the JSON grammar.
@@ -55,13 +55,7 @@ def first_json_object(text: Column) -> Column:
 
 def entries_last_wins(obj: Column) -> Column:
     """Key/value pairs of an object; of equal keys only the last one counts."""
-    return let(
-        F.map_entries(obj),
-        lambda pairs: F.filter(
-            pairs,
-            lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later.key == p.key),
-        ),
-    )
+    return last_of_each(F.map_entries(obj), lambda p: p.key)
 
 
 def as_object(value: Column) -> Column:

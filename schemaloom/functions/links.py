@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
 from schemaloom.functions import jsontext as J
-from schemaloom.functions.arrays import empty_if_null, let
+from schemaloom.functions.arrays import empty_if_null, last_of_each, let
 
 LINKS_TYPE = "map<string,array<string>>"
 
 
 def _last_per_table(entries: Column) -> Column:
-    return let(
-        entries,
-        lambda es: F.filter(
-            es,
-            lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later.table_lc == e.table_lc),
-        ),
-    )
+    return last_of_each(entries, lambda e: e.table_lc)
 
 
 def fold_links(links: Column) -> Column:

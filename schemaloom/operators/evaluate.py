@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schemaloom.functions import links as L
-from schemaloom.functions.arrays import inline_rows, let
+from schemaloom.functions.arrays import choose, inline_rows, let
 from schemaloom.operators.catalog import db_key
 from schemaloom.operators.links import with_catalog, with_name_index
 
@@ -29,7 +29,7 @@ def last_wins(predictions: DataFrame) -> DataFrame:
 
 
 def _division(part: Column, whole: Column, otherwise: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(otherwise)
+    return choose(whole > 0, part / whole, otherwise)
 
 
 def prf(predicted: Column, gold: Column) -> Column:
@@ -46,7 +46,7 @@ def prf(predicted: Column, gold: Column) -> Column:
 
     def rates(n: Column) -> Column:
         return F.struct(
-            _division(n.tp, n.found, F.when(n.wanted == 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("p"),
+            _division(n.tp, n.found, choose(n.wanted == 0, F.lit(1.0), F.lit(0.0))).alias("p"),
             _division(n.tp, n.wanted, F.lit(1.0)).alias("r"),
         )
 

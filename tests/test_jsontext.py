@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from schemaloom.functions import jsontext as J
+from schemaloom.functions.arrays import last_of_each
 
 
 def first(text):
@@ -45,3 +46,12 @@ def test_floods_of_braces(spark):
     start = time.time()
     assert keys(spark, texts) == [None, [], None, ["a"], ["a"], ["b"], []]
     assert time.time() - start < 60
+
+
+def test_last_of_each(spark):
+    """Equal keys keep the last element; arrays without any stay as they are."""
+    given = [[("a", 1), ("b", 2)], [("a", 1), ("b", 2), ("a", 3)], [], None]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(given)], "id int, a array<struct<key:string,n:int>>")
+    got = rows.select("id", last_of_each(F.col("a"), lambda x: x.key).alias("a")).orderBy("id").collect()
+    plain = [r.a and [tuple(x) for x in r.a] for r in got]
+    assert plain == [given[0], [("b", 2), ("a", 3)], [], None]
