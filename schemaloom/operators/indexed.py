@@ -8,9 +8,11 @@ up to an upper bound for each table; tables are scored in the order of their
 bounds until no bound reaches the worst of the best so far. Tables without any
 evidence have a score of their own that is known beforehand.
 
-The index is made inside the schema row. Words of a question are looked up in
-it; last letters are met from the shorter side: those of a small schema are
-searched in the question, those of a question are looked up in a large one.
+The index is made inside the schema row and met from the shorter side. Words
+and letters of a question are looked up in that of a large schema. That of a
+small one has the words, names and hints of each table, which are searched in
+the question: tables with evidence are scored without bounds, the others have
+the scores that the index holds.
 
 Results are those of `retrieval`, to the last bit. It pays for schemas of many
 hundred columns; below that, scoring all of them is as fast.
@@ -23,8 +25,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import vocabulary as V
 from schemaloom.config import RetrievalConfig
-from schemaloom.functions import tokens as tok
-from schemaloom.functions.arrays import choose, inline_rows, let, take
+from schemaloom.functions.arrays import any_of, choose, inline_rows, let, take
 from schemaloom.operators import retrieval as R
 from schemaloom.operators.catalog import db_key, linking_tables
 from schemaloom.operators.joins import join_catalog
@@ -33,11 +34,20 @@ from schemaloom.operators.joins import join_catalog
 WIDTH = 1 << 24
 # Names of so many letters or more are found by their last ones; shorter names are tried one by one.
 GRAMS = (6, 3)
-# A question has some hundred letters; with so many last letters or less, a schema lists them to be searched.
-FEW_GRAMS = 500
+# A question has some hundred letters; a schema with so many tables and columns or less lists its words and names to be searched.
+FEW_NAMES = 250
 AT = "array<struct<code:bigint,most:double>>"
-GRAM_LIST = f"array<struct<text:string,compact:boolean,at:{AT}>>"
 HINTS = {"date": V.DATE_HINT, "count": V.COUNT_HINT, "average": V.AVERAGE_HINT}
+# What an index has of a large or of a small schema only.
+INDEX = f"array<array<struct<key:string,at:{AT}>>>"
+TINY = "array<struct<plain:string,code:bigint>>"
+SORT_KEYS = "array<struct<score:double,name_lc:string,back:int>>"
+LISTS = (
+    "array<struct<words:array<string>,short:array<string>,plain:array<string>,"
+    + "".join(f"{name}:boolean," for name in HINTS)
+    + "score:double,scores:array<double>>>"
+)
+INDEX_COLUMNS = ("index", "grams", "tiny", "idle")
 # Bounds are added up in another order than scores.
 SLACK = 1 + 1e-9
 
@@ -93,23 +103,25 @@ def _tiny(tables: Column) -> Column:
 def _idle(tables: Column) -> Column:
     """Sort keys of all tables as a question without any evidence ranks them, best first."""
 
-    def key(t: Column) -> Column:
-        bonuses = F.transform(t.columns, lambda c: c.key_bonus)
-        score = let(
-            take(F.sort_array(bonuses, asc=False), V.TOP_COLUMNS),
-            lambda top: R.table_total(F.lit(0.0), F.lit(0.0), top),
-        )
-        return _sort_key(t, score)
+    return F.sort_array(F.transform(tables, lambda t: let(_bonuses(t), lambda s: _sort_key(t, _idle_score(s)))), asc=False)
+
+
+def _bonuses(t: Column) -> Column:
+    """Scores of a table's columns for a question without any evidence."""
+    return F.transform(t.columns, lambda c: c.key_bonus)
 
-    return F.sort_array(F.transform(tables, key), asc=False)
+
+def _idle_score(bonuses: Column) -> Column:
+    top = take(F.sort_array(bonuses, asc=False), V.TOP_COLUMNS)
+    return let(top, lambda best: R.table_total(F.lit(0.0), F.lit(0.0), best))
 
 
 def _sort_key(t: Column, score: Column) -> Column:
     return F.struct(score.alias("score"), t.name_lc, (-t.table_idx).alias("back"))
 
 
-def _index(tables: Column) -> Column:
-    """The hash table of the postings of a schema and, if they are few, its last letters as (`text`, `compact`, `at`)."""
+def _table(tables: Column) -> Column:
+    """The hash table of the postings of a schema."""
     size = F.greatest(F.lit(1), F.aggregate(tables, F.lit(0), lambda n, t: n + F.size(t.columns)))
 
     def placed(postings: Column, places: Column) -> Column:
@@ -129,32 +141,72 @@ def _index(tables: Column) -> Column:
         of_place = lambda x, at: F.transform(F.filter(at, lambda i: F.get(x, i).e.isNotNull()), entry(x))
         return _runs(F.sort_array(F.concat(filled, gaps)), "place", of_place)
 
-    def grams(keyed: Column) -> Column:
-        # The mark of a gram is a letter, its length in one digit and a colon.
-        found = F.filter(keyed, lambda x: x.key.startswith("p") | x.key.startswith("s"))
-        listed = lambda x: F.struct(F.substring(x.key, 4, GRAMS[0]).alias("text"), x.key.startswith("s").alias("compact"), x["at"])
-        return let(found, lambda g: choose(F.size(g) <= FEW_GRAMS, F.transform(g, listed), F.lit(None).cast(GRAM_LIST)))
-
-    made = lambda keyed, places: F.struct(table(keyed, places).alias("index"), grams(keyed).alias("grams"))
     return let(
         F.struct(size.alias("size"), _postings(tables).alias("postings")),
-        lambda b: let(_runs(placed(b.postings, b.size), "key", of_key), lambda keyed: made(keyed, b.size)),
+        lambda b: let(_runs(placed(b.postings, b.size), "key", of_key), lambda keyed: table(keyed, b.size)),
     )
 
 
-def indexed_catalog(docs: DataFrame, stored: bool = False) -> DataFrame:
-    """One row per database: `tables`, the `index` of their names, few `grams`, `tiny` names and `idle` ranks; a form to store.
+def _lists(tables: Column) -> Column:
+    """For each table its distinct words and names, the hints of its columns, and the scores that it has without evidence."""
+
+    def of_table(t: Column) -> Column:
+        of_all = lambda pick: F.concat(F.array(pick(t)), F.transform(t.columns, pick))
+        # A question with the plain name has the short one in its compact form, if there is one.
+        unshortened = lambda x: choose(x.short.isNull(), x.plain, F.lit(None).cast("string"))
+        return let(
+            _bonuses(t),
+            lambda bonuses: F.struct(
+                F.transform(F.array_distinct(F.flatten(of_all(lambda x: x.words))), lambda w: F.btrim(w)).alias("words"),
+                F.array_compact(of_all(lambda x: x.short)).alias("short"),
+                F.array_compact(of_all(unshortened)).alias("plain"),
+                *[F.exists(t.columns, lambda c: c[f"has_{name}"]).alias(name) for name in HINTS],
+                _idle_score(bonuses).alias("score"),
+                bonuses.alias("scores"),
+            ),
+        )
+
+    return F.transform(tables, of_table)
+
+
+def _index(tables: Column) -> Column:
+    """`index`, `tiny` names and `idle` ranks of a large schema, or `grams` of a small one."""
+    few = F.aggregate(tables, F.size(tables), lambda n, t: n + F.size(t.columns)) <= FEW_NAMES
+    none = lambda kind: F.array().cast(kind)
+    return let(
+        few,
+        lambda small: F.struct(
+            choose(small, none(INDEX), _table(tables)).alias("index"),
+            choose(small, _lists(tables), F.lit(None).cast(LISTS)).alias("grams"),
+            choose(small, none(TINY), _tiny(tables)).alias("tiny"),
+            choose(small, none(SORT_KEYS), _idle(tables)).alias("idle"),
+        ),
+    )
+
+
+def indexed_catalog(docs: DataFrame, stored: bool = False, late: bool = False) -> DataFrame:
+    """One row per database: `tables`, the `index` of their names, `tiny` names and `idle` ranks, or few `grams`; a form to store.
 
     `docs` holds schema documents, or with `stored` a `linking_catalog`. The
     index is a hash table with one place for each column: an array of arrays of
-    (`key`, `at`). `grams` is null in a schema with many of them.
+    (`key`, `at`). That of a small schema is in `grams`, one entry for each
+    table; it is null in a large schema. With `late` the rows stay documents,
+    and the join with the questions makes the index behind its shuffle.
     """
+    if late:
+        return docs.where("db_key is not null")
     rows = docs if stored else docs.select("db_key", linking_tables().alias("tables"))
     made = _index(F.col("tables")).alias("made")
-    others = (_tiny(F.col("tables")).alias("tiny"), _idle(F.col("tables")).alias("idle"))
-    return rows.where("db_key is not null").select("db_key", "tables", made, *others).select(
-        "db_key", "tables", "made.*", "tiny", "idle"
-    )
+    return rows.where("db_key is not null").select("db_key", "tables", made).select("db_key", "tables", "made.*")
+
+
+def _join_indexed(questions: DataFrame, indexed: DataFrame, columns: int | None) -> DataFrame:
+    asked = questions.withColumn("db_key", db_key(F.col("db_id")))
+    if "index" in indexed.columns:
+        return join_catalog(asked, indexed, columns)
+    made = let(linking_tables(), lambda tables: F.struct(tables.alias("tables"), _index(tables).alias("made")))
+    joined = join_catalog(asked, indexed, columns, {"_made": made})
+    return joined.select("*", "_made.tables", "_made.made.*").drop("_made")
 
 
 def _grams(text: Column, mark: str) -> Column:
@@ -165,14 +217,14 @@ def _grams(text: Column, mark: str) -> Column:
     return F.array_distinct(F.concat(*map(of, GRAMS)))
 
 
-def _keys(question: Column, q: Column) -> Column:
-    words = F.transform(tok.question_tokens(question), lambda w: F.concat(F.lit("w:"), w))
+def _keys(q: Column) -> Column:
+    words = F.transform(q.words, lambda w: F.concat(F.lit("w:"), w))
     hints = F.array_compact(F.array(*[F.when(q[name], F.lit("h:" + name)) for name in HINTS]))
     return F.concat(words, hints)
 
 
-def _found(question: Column, q: Column) -> Column:
-    """(`code`, `most`) of all evidence for a question, in the order of the codes."""
+def _found(q: Column) -> Column:
+    """(`code`, `most`) of all evidence for a question in a large schema, in the order of the codes."""
     index = F.col("index")
 
     def looked_up(key: Column) -> Column:
@@ -183,13 +235,8 @@ def _found(question: Column, q: Column) -> Column:
         F.filter(F.col("tiny"), lambda x: q.lc.contains(x.plain)),
         lambda x: F.struct(x.code.alias("code"), F.lit(V.PLAIN_NAME_BONUS).alias("most")),
     )
-    listed = F.filter(F.col("grams"), lambda g: choose(g.compact, q.compact, q.lc).contains(g.text))
-    literal = choose(
-        F.col("grams").isNull(),
-        F.transform(F.concat(_grams(q.lc, "p"), _grams(q.compact, "s")), looked_up),
-        F.transform(listed, lambda g: g["at"]),
-    )
-    return F.sort_array(F.concat(F.flatten(F.transform(_keys(question, q), looked_up)), F.flatten(literal), tiny))
+    literal = F.transform(F.concat(_grams(q.lc, "p"), _grams(q.compact, "s")), looked_up)
+    return F.sort_array(F.concat(F.flatten(F.transform(_keys(q), looked_up)), F.flatten(literal), tiny))
 
 
 def _runs(rows: Column, of: str, body) -> Column:
@@ -239,10 +286,12 @@ def _scored(q: Column, t: Column) -> Column:
     return let(scores, lambda s: _sort_key(t, R.table_score(q, t, s)))
 
 
+def _none() -> Column:
+    return F.struct(F.array().cast(SORT_KEYS).alias("best"), F.lit(0).alias("scored"))
+
+
 def _best(q: Column, tables: Column, idle: Column, bounds: Column, k: int) -> Column:
     """The k best sort keys and the number of columns that were scored for them."""
-    start = F.struct(F.array().cast("array<struct<score:double,name_lc:string,back:int>>").alias("best"), F.lit(0).alias("scored"))
-
     def step(state: Column, x: Column) -> Column:
         done = (F.size(state.best) >= k) & (x.bound < F.get(state.best, k - 1).score)
         t = F.get(tables, -x.back)
@@ -258,9 +307,40 @@ def _best(q: Column, tables: Column, idle: Column, bounds: Column, k: int) -> Co
         head = F.filter(take(idle, F.size(bounds) + k), lambda x: ~F.array_contains(hit, x.back))
         return F.struct(take(F.sort_array(F.concat(state.best, head), asc=False), k).alias("best"), state.scored.alias("scored"))
 
-    if k < 1:
-        return start
-    return F.aggregate(bounds, start, step, with_idle)
+    return F.aggregate(bounds, _none(), step, with_idle)
+
+
+def _touched(q: Column, lists: Column) -> Column:
+    """For each table of a small schema whether it has evidence for a question."""
+
+    def of_table(x: Column) -> Column:
+        named = F.exists(x.short, lambda n: q.compact.contains(n)) | F.exists(x.plain, lambda n: q.lc.contains(n))
+        hit = any_of([F.arrays_overlap(x.words, q.words), *[q[name] & x[name] for name in HINTS], named])
+        # A table with a missing name is scored.
+        return F.coalesce(hit, F.lit(True))
+
+    return F.transform(lists, of_table)
+
+
+def _scored_touched(q: Column, tables: Column, lists: Column, touched: Column) -> Column:
+    """`retrieval.scored_tables` of a small schema; tables without evidence have the scores of the index."""
+    idle = lambda t, x: F.struct(x.score, t.name_lc, (-t.table_idx).alias("back"), t.table_idx, x.scores)
+    return F.transform(tables, lambda t, i: choose(F.get(touched, i), R.scored_table(q, t), idle(t, F.get(lists, i))))
+
+
+def _best_in_small(q: Column, tables: Column, lists: Column, k: int) -> Column:
+    keys = lambda scored: F.transform(scored, lambda t: F.struct(t.score, t.name_lc, t.back))
+    work = lambda hit: F.aggregate(tables, F.lit(0), lambda n, t: choose(F.get(hit, t.table_idx), n + F.size(t.columns), n))
+    return let(
+        _touched(q, lists),
+        lambda hit: F.struct(
+            take(F.sort_array(keys(_scored_touched(q, tables, lists, hit)), asc=False), k).alias("best"), work(hit).alias("scored")
+        ),
+    )
+
+
+def _best_in_large(q: Column, tables: Column, k: int) -> Column:
+    return let(_bounds(_found(q)), lambda b: _best(q, tables, F.col("idle"), b, k))
 
 
 def with_best_tables(
@@ -271,18 +351,14 @@ def with_best_tables(
     `indexed` is an `indexed_catalog` and `columns` the measured size of it.
     The schema, `tables`, stays if `keep` is set.
     """
-    asked = questions.withColumn("db_key", db_key(F.col("db_id")))
-    joined = join_catalog(asked, indexed, columns)
+    joined = _join_indexed(questions, indexed, columns)
     # No question finds as much as an empty one.
     question = F.coalesce("question", F.lit(""))
-    found = let(
-        R.question_features(question),
-        lambda q: let(
-            _bounds(_found(question, q)), lambda b: _best(q, F.col("tables"), F.col("idle"), b, k)
-        ),
-    )
+    tables, lists = F.col("tables"), F.col("grams")
+    best = lambda q: choose(lists.isNull(), _best_in_large(q, tables, k), _best_in_small(q, tables, lists, k))
+    found = let(R.question_features(question), best) if k > 0 else _none()
     out = joined.withColumn("_found", found).withColumns({"best": F.col("_found.best"), "scored_columns": F.col("_found.scored")})
-    return out.drop("_found", "index", "grams", "tiny", "idle", *([] if keep else ["tables"]))
+    return out.drop("_found", *INDEX_COLUMNS, *([] if keep else ["tables"]))
 
 
 def topk_tables(questions: DataFrame, indexed: DataFrame, k: int, columns: int | None = None) -> DataFrame:
@@ -304,11 +380,10 @@ def candidate_schema(
 
     Beyond the best tables only their neighbours are scored.
     """
-    rows = with_best_tables(questions, indexed, cfg.max_tables, columns, keep=True)
-    tables = F.col("tables")
+    joined = _join_indexed(questions, indexed, columns)
+    tables, lists = F.col("tables"), F.col("grams")
 
-    def made(q: Column) -> Column:
-        top = F.transform("best", lambda x: -x.back)
+    def made(q: Column, top: Column) -> Column:
         near = F.array_distinct(F.flatten(F.transform(top, lambda i: F.get(tables, i).neighbours)))
         keys = F.sort_array(F.transform(near, lambda i: _scored(q, F.get(tables, i))), asc=False)
         order = F.transform(keys, lambda x: -x.back)
@@ -318,4 +393,11 @@ def candidate_schema(
         scores = lambda i: F.transform(F.get(tables, i).columns, lambda c: R.column_score(q, c))
         return let(chosen, lambda c: R.numbered_tables(tables, c, scores, cfg))
 
-    return rows.withColumn("candidates", let(R.question_features(F.coalesce("question", F.lit(""))), made)).drop("best", "scored_columns")
+    def of_question(q: Column) -> Column:
+        best = _best_in_large(q, tables, cfg.max_tables) if cfg.max_tables > 0 else _none()
+        in_large = let(F.transform(best.best, lambda x: -x.back), lambda top: made(q, top))
+        in_small = let(_touched(q, lists), lambda hit: R.candidates(tables, _scored_touched(q, tables, lists, hit), cfg))
+        return choose(lists.isNull(), in_large, in_small)
+
+    candidates = let(R.question_features(F.coalesce("question", F.lit(""))), of_question)
+    return joined.withColumn("candidates", candidates).drop(*INDEX_COLUMNS)

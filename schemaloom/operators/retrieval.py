@@ -26,6 +26,7 @@ def question_features(question: Column) -> Column:
     return let(
         tok.question_tokens(question),
         lambda words: F.struct(
+            words.alias("words"),
             tok.word_bag(words).alias("bag"),
             tok.word_mask(words).alias("mask"),
             F.lower(question).alias("lc"),
@@ -68,26 +69,27 @@ def table_score(q: Column, t: Column, scores: Column) -> Column:
     )
 
 
+def scored_table(q: Column, t: Column) -> Column:
+    """The score of a table and those of its columns."""
+    return let(
+        F.transform(t.columns, lambda c: column_score(q, c)),
+        lambda scores: F.struct(
+            table_score(q, t, scores).alias("score"),
+            t.name_lc,
+            (-t.table_idx).alias("back"),
+            t.table_idx,
+            scores.alias("scores"),
+        ),
+    )
+
+
 def scored_tables(q: Column, tables: Column) -> Column:
     """Scores of all tables and their columns, in schema order.
 
     Only numbers and the sort name are kept; everything else stays in `tables`
     at the same position. The first three fields are what tables are ranked by.
     """
-
-    def scored(t: Column) -> Column:
-        return let(
-            F.transform(t.columns, lambda c: column_score(q, c)),
-            lambda scores: F.struct(
-                table_score(q, t, scores).alias("score"),
-                t.name_lc,
-                (-t.table_idx).alias("back"),
-                t.table_idx,
-                scores.alias("scores"),
-            ),
-        )
-
-    return F.transform(tables, scored)
+    return F.transform(tables, lambda t: scored_table(q, t))
 
 
 def with_scores(
@@ -229,17 +231,18 @@ def _is_forced(force: Column, t: Column, c: Column) -> Column:
 def prune_columns(t: Column, scores: Column, cfg: RetrievalConfig, force: Column | None) -> Column:
     """The columns that fit the budget and all forced ones, in schema order."""
     forced = lambda c: [] if force is None else [_is_forced(force, t, c).alias("forced")]
-    keys = F.transform(
+    # Scores may be costly, and are only needed where there is something to cut.
+    keys = lambda s: F.transform(
         t.columns,
         lambda c, j: F.struct(
             *forced(c),
-            F.get(scores, j).alias("score"),
+            F.get(s, j).alias("score"),
             (c.is_pk | c.is_fk).alias("key"),
             c.name_lc,
             (-j).alias("back"),
         ),
     )
-    kept = F.transform(take(F.sort_array(keys, asc=False), cfg.columns_kept), lambda k: -k.back)
+    kept = F.transform(take(F.sort_array(let(scores, keys), asc=False), cfg.columns_kept), lambda k: -k.back)
     cut = let(
         kept,
         lambda best: F.filter(t.columns, lambda c, j: any_of([F.array_contains(best, j), *forced(c)])),

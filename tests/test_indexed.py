@@ -124,3 +124,30 @@ def test_index_is_made_inside_the_schema_row(spark, made):
     rows = I.indexed_catalog(whole.unionByName(docs(spark, large))).select("db_key", F.size("index").alias("n"), "grams").collect()
     assert [r.db_key for r in rows if r.grams is None] == ["large"]
     assert next(r.n for r in rows if r.db_key == "large") == 800
+
+
+def test_a_small_schema_lists_its_tables(spark, made):
+    """It has no hash table; its tables hold words, names and the scores they have without evidence."""
+    asked_, catalog = made
+    rows = {r.db_key: r for r in I.indexed_catalog(catalog).collect()}
+    assert {k: len(r.grams) for k, r in rows.items()} == {k: len(r.tables) for k, r in rows.items()}
+    assert all(r["index"] == [] and r.tiny == [] and r.idle == [] for r in rows.values())
+    large = I.indexed_catalog(docs(spark, {"large": doc({f"t{i}": [f"c{i}_{j}" for j in range(20)] for i in range(40)})})).first()
+    assert large.grams is None and len(large["index"]) == 800 and len(large.idle) == 40
+
+
+def test_index_made_behind_the_shuffle(spark, made):
+    """Documents are shuffled and not what is made from them; the rows are the same."""
+    asked_, catalog = made
+    names = {f"t{i}": [f"order{i}_{j}" for j in range(20)] for i in range(30)}
+    catalog = catalog.unionByName(docs(spark, {"large": doc(names, pk=["t1.order1_0"], fk=[("t1.order1_0", "t2.order2_1")])}))
+    asked_ = asked_.unionByName(asked(spark, [(-5, "large", "order1_0 and order2 1"), (-6, "large", "none")]))
+    cfg = RetrievalConfig(max_tables=2, max_columns_per_table=3, min_columns_per_table=1, join_neighbor_limit=1)
+    late = I.indexed_catalog(catalog, late=True)
+    expected = {r.question_id: r.candidates for r in R.candidate_schema(asked_, catalog, cfg, 10**4).collect()}
+    for size in (10**4, None):
+        found = I.candidate_schema(asked_, late, cfg, size)
+        assert {r.question_id: r.candidates for r in found.collect()} == expected
+    lines = plan(found.select("question_id", "candidates")).splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "AS _made" in line]
+    assert "Exchange hashpartitioning(db_key" in lines[at + 1]

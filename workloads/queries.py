@@ -315,7 +315,8 @@ def topk_tables_bucketed(spark, sf):
 @query
 def candidate_schema_indexed(spark, sf):
     d = Data(spark, sf)
-    made = indexed.candidate_schema(d.questions, indexed.indexed_catalog(d.schema_docs), BUDGET, d.size())
+    index = indexed.indexed_catalog(d.schema_docs, late=True)
+    made = indexed.candidate_schema(d.questions, index, BUDGET, d.size())
     return retrieval.explode_candidates(made)
 
 
