@@ -12,8 +12,14 @@ from schemaloom.functions.links import to_links_map
 from schemaloom.operators.curate import dataset_stats, db_counts
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """JSON lines, plain unless a `compression` is given; readers tell it by the names of the files.
+
+    Records with whole schemas in their prompts are best written with `gzip`:
+    those of a database lie together and repeat its schema. Such a file is read
+    by one task, as it was written by one.
+    """
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def prediction_rows(df: DataFrame, links: str = "parsed") -> DataFrame:

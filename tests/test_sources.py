@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from helpers import doc, docs
@@ -8,6 +9,7 @@ from schemaloom.config import PRESETS, RunConfig
 from schemaloom.operators import curate as U
 from schemaloom.operators import evaluate as E
 from schemaloom.sources import folders, readers, writers
+from workloads import queries
 
 
 def put(path, value):
@@ -276,3 +278,34 @@ def test_text_ids_are_scored_by_key(spark, tmp_path):
         rows = E.per_question(readers.by_key(questions), readers.by_key(g), readers.by_key(p), catalog, ["r"], 10)
         got = {r.question_id: (r.f1_c, r.is_missing) for r in rows.collect()}
         assert got == {"1": (0.0, False), "text:1": (1.0, False), "text:q-7": (1.0, False), "text:8.5": (0.0, True)}
+
+
+def test_compressed_lines(spark, tmp_path):
+    """Records that repeat a schema take little disk as gzip, and read back whole."""
+    schema = " ".join(f"table_{i} column_{i * 7919 % 1000}" for i in range(100))
+    rows = spark.range(2_000).select(F.col("id").alias("question_id"), F.concat(F.lit(schema), "id").alias("text"))
+    plain, small = str(tmp_path / "plain"), str(tmp_path / "small")
+    writers.write_jsonl(rows, plain)
+    writers.write_jsonl(rows, small, "gzip")
+    read = lambda path: sorted(map(tuple, spark.read.schema("question_id bigint, text string").json(path).collect()))
+    assert read(small) == read(plain) and len(read(small)) == 2_000
+    size = lambda path, end: sum(f.stat().st_size for f in Path(path).glob(f"part-*{end}"))
+    assert 0 < size(small, ".json.gz") < size(plain, ".json") / 10
+
+
+def test_records_query_writes_whole_compressed_records(spark, tmp_path, monkeypatch):
+    customers = [(i, f"Customer#{i:09d}", 0, 1.0, "BUILDING") for i in range(8)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    orders = spark.range(80).selectExpr(
+        "id AS o_orderkey", "id % 8 AS o_custkey", "'O' AS o_orderstatus", "1D AS o_totalprice", "TIMESTAMP'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    path = tmp_path / "records"
+    monkeypatch.setattr(queries.folders, "work_folder", lambda spark, name: str(path))
+    assert tuple(queries.QUERIES["records_written"](spark, str(tmp_path)).first()) == (68, 80, 12)
+    assert list(path.glob("part-*")) and all(f.name.endswith(".json.gz") for f in path.glob("part-*"))
+    written = spark.read.json(str(path))
+    assert {r.question_id for r in written.collect()} == {i for i in range(80) if i % 7}
+    assert written.where("size(messages) = 3 and schema_links is not null and source = 'original'").count() == 68

@@ -853,7 +853,7 @@ def records_written(spark, sf):
     lost = F.when(F.col("question_id") % 7 == 0, F.concat(F.lit("lost "), "db_id")).otherwise(F.col("db_id"))
     seen = Observation()
     records = jobs.sft_records(examples.withColumn("db_id", lost), d.schema_docs, columns=d.size(), observed=seen)
-    writers.write_jsonl(records, path)
+    writers.write_jsonl(records, path, "gzip")
     written = readers.read_splits(spark, path, "question_id bigint").agg(F.count(F.lit(1)).alias("written"))
     return written.select("written", *[F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("rows", "without_schema")])
 
